@@ -55,7 +55,7 @@ def word_classes(docs: DataFrame, text_col: str = "text") -> list[int]:
 def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
     """``(doc, line_no, k1, k2, n, sig, prefix)`` of each line that has words.
 
-    ``prefix`` holds 32-bit hashes of the rarest words. Different words may
+    ``prefix`` holds 31-bit hashes of the rarest words. Different words may
     share a hash: that only adds candidates.
     """
     rank = constant_array(classes)
@@ -63,9 +63,9 @@ def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
     no_word = F.xxhash64(F.lit(""))
     low = F.lit((1 << 56) - 1)
     ordered = F.sort_array(F.transform(F.array_remove(F.col("h"), no_word), lambda h: F.shiftleft(F.get(rank, _counter(h)), 56).bitwiseOR(h.bitwiseAND(low))))
-    sig = F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))))
+    sig = F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = F.transform(F.slice("o", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    prefix = F.transform(F.slice("o", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     rows = lines.withColumn("h", hashed).withColumn("o", ordered).withColumn("n", F.size("o")).where("n > 0")
     return rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", sig.alias("sig"), prefix.alias("prefix"))
 
