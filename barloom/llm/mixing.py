@@ -64,8 +64,9 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return taken
     if budget >= total:
         return counts.astype(np.int64).copy()
+    ahead = budget - REACH // 2 if budget > REACH else 0  # the program keeps a choice of sums
     for i, n in enumerate(counts):
-        taken[i] = int(n) * budget // total
+        taken[i] = int(n) * ahead // total
     left = budget - int((lengths * taken).sum())
     for i in np.argsort(-lengths, kind="stable"):
         size, spare = int(lengths[i]), int(counts[i] - taken[i])

@@ -197,6 +197,8 @@ def _distinct_strings(length: int, gram: int):
         for table in _ordered_groups(batches):
             matrix, first, last = _matrix(table, length, gram)
             one, two = gram_hashes(matrix, length), gram_hashes(matrix, length, _BASE2)
+            # a string meets its copies at the same place of the same gram, and itself at other places
+            one ^= table.column("gram").to_numpy().view(np.uint64)[:, None]
             doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy().astype(np.int64)
             for column, order, common in columnwise_order(matrix):
                 if column > lead:
@@ -209,7 +211,7 @@ def _distinct_strings(length: int, gram: int):
                 rows, lone = rows[fits], lone[fits]
                 if len(rows):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(one[rows, column].view(np.int64)), pa.array(two[rows, column].view(np.int64)),
+                        [pa.array(_mixed(one[rows, column] + np.uint64(column)).view(np.int64)), pa.array(two[rows, column].view(np.int64)),
                          pa.array(doc[rows], pa.int64(), mask=~lone), pa.array(place[rows] - lead + column)],
                         names=["h1", "h2", "doc", "lo"],
                     )
