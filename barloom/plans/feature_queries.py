@@ -370,7 +370,7 @@ def win19_strict_returns(spark: S, sf: str) -> D:
     return src.dense_panel(event_bars(spark, sf), ["close"]).withColumn("ret", change(F.col("close")))
 
 
-@query(f"{_DAY} volume_weight:6", f"v as (select *, {full('avg', 'volume', 20, 10)} / volume as x from bars), out as (select symbol, ts, case when x is not null then greatest(1.0 / 3, least(3.0, x)) else 1.0 end as volume_weight from v)")
+@query(f"{_DAY} volume_weight:8", f"v as (select *, {full('avg', 'volume', 20, 10)} / volume as x from bars), out as (select symbol, ts, case when x is not null then greatest(1.0 / 3, least(3.0, x)) else 1.0 end as volume_weight from v)")
 def win20_volume_time(spark: S, sf: str) -> D:
     return ft.volume_time_weights(price_bars(spark, sf))
 

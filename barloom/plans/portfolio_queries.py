@@ -119,7 +119,7 @@ def prj13_signal_labels(spark: S, sf: str) -> D:
     return blended(spark, sf).withColumn("label", mb.signal_label(F.col("position") * 2))
 
 
-@query(f"{DAY} position:6", MEMBER_SQL + ", l as (select symbol, max(ts) as t, arg_max(position, ts) as position from blended group by 1), out as (select symbol, cast(t + k as date) as ts, position from l, (select unnest(range(1, 6)) as k))")
+@query(f"{DAY} position:6", MEMBER_SQL + ", l as (select symbol, max(ts) as t, arg_max(position, ts) as position from blended group by 1), out as (select symbol, cast(t + cast(k as int) as date) as ts, position from l, (select unnest(range(1, 6)) as k))")
 def mod18_flat_forecast(spark: S, sf: str) -> D:
     last = blended(spark, sf).groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("position", "ts").alias("position"))
     return mb.flat_forecast(last, 5)

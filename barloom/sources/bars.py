@@ -80,8 +80,9 @@ def parse_universe(lines: DataFrame, line_col: str = "value", order_col: str = "
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(trial_sharpes, counts)`` of a JSONL ledger: the finite Sharpe ratios, and how many lines are corrupt."""
     schema = "name string, oos_periodic_sharpe double, _corrupt string"
-    lines = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return ledger_parts(lines)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return ledger_parts(lines.select(F.from_json("value", schema, options).alias("p")).select("p.*"))
 
 
 def ledger_parts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

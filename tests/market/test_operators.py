@@ -1,0 +1,366 @@
+"""Operators that SQL cannot hold: kernels, scans, parsers, sinks and streams, on small fixtures."""
+
+import datetime as dt
+import json
+import math
+import os
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from barloom.functions.normal import norm_cdf, norm_ppf
+from barloom.functions.scan import ema_step, scan_by_key
+from barloom.operators import conformal, evaluate as ev, factors as fc, features as ft, folds, members as mb, pairs as pr, portfolio as pf, scaling, sentiment as sn, universe
+from barloom.plans.panels import price_bars
+from barloom.sources import bars as src
+from barloom.streaming import bars as st
+
+
+def days(n):
+    return [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+
+
+def walk(spark, n=120, symbols=("A", "B"), seed=1):
+    rng, rows = np.random.default_rng(seed), []
+    for s in symbols:
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+        for d, c in zip(days(n), close):
+            o = c * (1 + rng.normal(0, 0.003))
+            rows.append((s, d, float(o), float(max(o, c) * 1.01), float(min(o, c) * 0.99), float(c), float(rng.integers(100, 1000))))
+    return spark.createDataFrame(rows, "symbol string, ts date, open double, high double, low double, close double, volume double")
+
+
+# causality --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "op",
+    [ft.indicators, ft.exponential_means, ft.volume_time_weights, ft.baseline_positions, lambda b: ft.lagged(b.select("symbol", "ts", "close")),
+     lambda b: ft.realized_vol(b, back_fill=False), lambda b: ft.drawdown(b, "close"), lambda b: pr.residual_prices(b)],
+)
+def test_the_future_does_not_change_the_past(spark, op):
+    bars = walk(spark)
+    cut = days(120)[80]
+    bent = bars.withColumns({c: F.when(F.col("ts") > cut, F.col(c) * 1.7).otherwise(F.col(c)) for c in ("open", "high", "low", "close", "volume")})
+    key = ["symbol", "ts"]
+    a, b = (op(x).where(F.col("ts") <= cut).toPandas().sort_values(key).reset_index(drop=True) for x in (bars, bent))
+    pd.testing.assert_frame_equal(a, b)
+
+
+def test_labels_stay_null_at_the_end(spark):
+    out = ft.with_labels(walk(spark), (5,)).where("target_5 is null").groupBy("symbol").count().collect()
+    assert all(r["count"] == 5 for r in out)
+
+
+def test_ema_against_pandas(spark):
+    bars = walk(spark)
+    got = scan_by_key(bars, ["symbol"], "ts", ema_step("close", 7), {"e": "double"}).toPandas().sort_values(["symbol", "ts"])
+    want = got.groupby("symbol")["close"].transform(lambda x: x.ewm(span=7, adjust=False).mean())
+    assert np.allclose(got["e"], want)
+
+
+# pairs and factors --------------------------------------------------------------
+
+
+def test_cointegrated_pair_is_found(spark):
+    rng = np.random.default_rng(42)
+    x = np.cumsum(rng.normal(0, 0.01, 650)) + 4
+    gap = np.zeros(650)
+    for t in range(1, 650):
+        gap[t] = 0.82 * gap[t - 1] + rng.normal(0, 0.01)
+    z = np.cumsum(rng.normal(0, 0.01, 650)) + 3
+    series = {"AAA": np.exp(x), "BBB": np.exp(0.15 + 0.92 * x + gap), "ZZZ": np.exp(z)}
+    rows = [(0, d, s, float(v)) for s, path in series.items() for d, v in zip(days(650), path)]
+    prices = spark.createDataFrame(rows, "fold int, ts date, symbol string, close double")
+    both = pr.pair_rows(prices, both_orders=True)
+    found = pr.pair_statistics(both).withColumn("p", pr.mackinnon_p(F.col("stat"), 2))
+    best = {frozenset((r["y"], r["x"])): r for r in pr.best_order(found).collect()}
+    good, bad = best[frozenset(("AAA", "BBB"))], best[frozenset(("AAA", "ZZZ"))]
+    assert good["p"] < 0.01 < bad["p"] and 1 <= good["half_life"] < 10
+    aic = {(r["y"], r["x"]): r for r in pr.engle_granger_aic(both).collect()}
+    assert aic["BBB", "AAA"]["stat"] < -5 and aic["BBB", "AAA"]["adf_stat"] < -5
+
+
+def test_surface_values(spark):
+    df = spark.createDataFrame([(-2.86,), (-3.34,), (-30.0,), (5.0,)], "s double")
+    r = df.select(pr.mackinnon_p(F.col("s"), 1).alias("one"), pr.mackinnon_p(F.col("s"), 2).alias("two")).collect()
+    assert r[0]["one"] == pytest.approx(0.05, abs=2e-3) and r[1]["two"] == pytest.approx(0.05, abs=2e-3)
+    assert (r[2]["one"], r[3]["one"]) == (0.0, 1.0)
+
+
+@pytest.mark.parametrize(
+    "zs, want",
+    [([0, 2.1, 1.0, 0.4, 0.4], [0, -1, -1, 0, 0]), ([-2.5, -4.2, -2.5], [1, 0, 1]), ([2.1, None, 2.1], [-1, 0, -1]), ([2.5, -2.5], [-1, -1])],
+)
+def test_band_states(zs, want):
+    step, held, out = pr.band_step(2.0, 0.5, 4.0), None, []
+    for z in zs:
+        held, values = step(held, {"z": z})
+        out.append(values[0])
+    assert out == want
+
+
+@pytest.mark.parametrize(
+    "state, s, ok, want",
+    [(0, -1.3, True, 1), (0, 1.3, True, -1), (1, -0.6, True, 1), (1, -0.4, True, 0), (-1, 0.8, True, -1), (-1, 0.7, True, 0), (1, 1.3, True, -1), (1, -1.0, False, 0), (0, 0.0, True, 0)],
+)
+def test_reversion_states(state, s, ok, want):
+    assert fc.reversion_step()(state, {"sscore": s, "ok": ok})[0] == want
+
+
+def test_eigenportfolios_against_numpy(spark):
+    bars = walk(spark, 90, tuple("ABCDEFGH"), seed=11)
+    r = bars.withColumn("ret", ft.change(F.col("close"))).select("symbol", "ts", "ret")
+    windows = fc.rebalance_days(bars.select("ts").distinct(), 60, 20)
+    q = fc.eigenportfolios(r, windows, 2).toPandas()
+    assert set(q["factor"]) == {0, 1} and q.groupby(["rebalance", "factor"]).size().eq(8).all()
+    at = q["rebalance"].max()
+    w = r.toPandas().pivot(index="ts", columns="symbol", values="ret").loc[:at].tail(60).dropna()
+    z = (w - w.mean()) / w.std()
+    value, vector = np.linalg.eigh(z.T @ z / (len(z) - 1))
+    v = vector[:, -1] * np.sign(vector[:, -1].sum())
+    got = q[(q["rebalance"] == at) & (q["factor"] == 0)].set_index("symbol")["weight"]
+    assert np.allclose(got.loc[list(w.columns)], v / w.std().to_numpy())
+    panel = fc.residual_panel(r, bars.select("ts").distinct(), 60, 40, 2, 20)
+    assert panel.count() == 8 * windows.count() and panel.where("tradeable and not valid").count() == 0
+
+
+def test_mean_reversion_is_recovered(spark):
+    rng, x = np.random.default_rng(7), [0.0]
+    for _ in range(3000):
+        x.append(0.55 * x[-1] + rng.normal(0, 0.01))
+    rows = [("A", t, float(d)) for t, d in enumerate(np.diff(x))]
+    fit = fc.ou_fit(spark.createDataFrame(rows, "symbol string, ts int, residual double"), ["symbol"]).first()
+    assert fit["b"] == pytest.approx(0.55, abs=0.05) and fit["valid"] and fit["half_life"] == pytest.approx(-math.log(2) / math.log(fit["b"]))
+
+
+# portfolios -------------------------------------------------------------------
+
+
+def book(spark, targets, opens):
+    rows = [("p", t, s, float(o), None if w is None else float(w)) for s in targets for t, (w, o) in enumerate(zip(targets[s], opens[s]))]
+    return spark.createDataFrame(rows, "portfolio string, ts int, symbol string, open double, target double")
+
+
+def test_target_fills_on_the_next_bar(spark):
+    df = book(spark, {"A": [0.5, None, 0.0, 0.0]}, {"A": [10, 11, 12.1, 12.1]})
+    held = {r["ts"]: r["held"] for r in pf.fills(df).collect()}
+    assert held == {0: 0.0, 1: 0.5, 2: 0.5, 3: 0.0}
+    acc = {r["ts"]: r for r in pf.account(pf.fills(df), pf.Costs(0, 0, 0, 1, 0)).collect()}
+    assert acc[0]["net_return"] == 0 and acc[1]["net_return"] == pytest.approx(0.05) and acc[2]["net_return"] == 0
+    paid = pf.account(pf.fills(df), pf.Costs()).toPandas()
+    assert (paid["cost"] >= 0).all() and (paid["net_return"] <= paid["gross_return"]).all()
+
+
+def test_banded_fills(spark):
+    df = book(spark, {"A": [0.5, 0.52, 0.8, None, 0.1], "B": [0.4, 0.4, 0.8, None, 0.1]}, {"A": [10] * 5, "B": [10] * 5})
+    got = {(r["ts"], r["symbol"]): r["held"] for r in pf.banded_fills(df, 0.05, 1.0).collect()}
+    assert [got[t, "A"] for t in range(5)] == pytest.approx([0, 0.5, 0.5, 0.5, 0.5])
+    assert [got[t, "B"] for t in range(5)] == pytest.approx([0, 0.4, 0.4, 0.5, 0.5])
+    free = {(r["ts"], r["symbol"]): r["held"] for r in pf.banded_fills(df, 0.0, None).collect()}
+    plain = {(r["ts"], r["symbol"]): r["held"] for r in pf.fills(df).collect()}
+    assert free == pytest.approx(plain)
+
+
+def test_costs_are_checked():
+    with pytest.raises(ValueError):
+        pf.Costs(spread_bps=-1)
+    with pytest.raises(ValueError):
+        pf.Costs(impact_model="cubic")
+
+
+def test_clip_and_scale_orders_differ(spark):
+    df = spark.createDataFrame([(0, "A", 2.0), (0, "B", 0.5)], "ts int, symbol string, weight double")
+    combined = {r["symbol"]: r["weight"] for r in pf.combine_books(df, 0.6, 1.0).collect()}
+    capped = {r["symbol"]: r["weight"] for r in pf.cap_book(df, 0.6, 1.0).collect()}
+    assert combined == pytest.approx({"A": 0.6 / 1.1, "B": 0.5 / 1.1}) and capped == pytest.approx({"A": 0.6, "B": 0.2})
+
+
+def test_marked_value_and_trades(spark):
+    p = spark.createDataFrame([(1, 1, 10.0, 5.0, 6.0), (1, -1, 10.0, 5.0, 6.0)], "ts int, side int, shares double, entry double, price double")
+    assert pf.marked_value(p, 7.0).first()["value"] == pytest.approx(10 * 6 + 10 * 4 + 7)
+
+
+# evaluation -------------------------------------------------------------------
+
+
+def test_normal_distribution(spark):
+    got = spark.createDataFrame([(0.0,), (1.96,), (None,)], "z double").select(norm_cdf(F.col("z")).alias("p")).collect()
+    assert got[0]["p"] == 0.5 and got[1]["p"] == pytest.approx(0.975, abs=1e-4) and got[2]["p"] is None
+    assert norm_ppf(0.975) == pytest.approx(1.959964, abs=1e-5)
+
+
+def test_deflation_lowers_confidence(spark):
+    rng = np.random.default_rng(4)
+    r = spark.createDataFrame([("s", float(x)) for x in rng.normal(0.05, 1, 500)], "k string, ret double")
+    trials = spark.createDataFrame([(float(x),) for x in rng.normal(0, 0.05, 20)], "sharpe double")
+    plain = ev.with_psr(ev.moments(r, ["k"])).first()
+    few, many = (ev.deflated_sharpe(r, trials, ["k"], declared=n).first() for n in (20, 2000))
+    assert plain["psr"] > few["psr"] > many["psr"]
+    same = spark.createDataFrame([(0.1,), (0.1,)], "sharpe double")
+    assert ev.expected_max_sharpe(same) == 0.0 and ev.expected_max_sharpe(same.limit(1)) is None
+
+
+def test_overfitting_of_noise_and_of_skill(spark):
+    rng = np.random.default_rng(5)
+    noise = [(t, f"s{k}", float(x)) for k in range(4) for t, x in enumerate(rng.normal(0, 1, 500))]
+    skill = [(t, s, x + (0.5 if s == "s0" else 0)) for t, s, x in noise]
+    pbo = [ev.backtest_overfitting(spark.createDataFrame(rows, "pos long, strategy string, ret double"), 8).first()["pbo"] for rows in (noise, skill)]
+    assert pbo[1] == 0.0 < 0.2 < pbo[0]
+
+
+def test_packet_json_is_strict(spark):
+    row = spark.createDataFrame([(1.0, float("nan"))], "a double, b double").select(F.to_json(F.struct("a", F.when(~F.isnan("b"), F.col("b")).alias("b"))).alias("j")).first()
+    assert json.loads(row["j"]) == {"a": 1.0}
+
+
+# members and bands --------------------------------------------------------------
+
+
+def test_simplex_weights_against_a_grid():
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        p, y = rng.normal(size=(60, 3)), rng.normal(size=60)
+        gram, cross = p.T @ p / 60, p.T @ y / 60
+        w = mb.simplex_weights(gram, cross)
+        loss = lambda v: v @ gram @ v - 2 * cross @ v
+        grid = [np.array([a, b, c]) / 20 for a in range(21) for b in range(21 - a) for c in range(21 - a - b)]
+        assert (w >= 0).all() and w.sum() <= 1 + 1e-9 and loss(w) <= min(map(loss, grid)) + 1e-9
+
+
+def test_forecasters_have_skill(spark):
+    rng, x = np.random.default_rng(0), [0.0]
+    for _ in range(400):
+        x.append(0.8 * x[-1] + rng.normal(0, 0.1))
+    rows = [("A", d, float(v)) for d, v in zip(days(401), x)]
+    fit = mb.autoregression(spark.createDataFrame(rows, "symbol string, ts date, x double")).first()
+    assert (fit["p"], fit["d"]) in ((1, 0), (2, 0)) and fit["forecast"] == pytest.approx(0.8 * x[-1], abs=0.15)
+    wave = [("A", d, 10 + 0.01 * i + math.sin(2 * math.pi * (d - dt.date(1970, 1, 1)).days / 7)) for i, d in enumerate(days(300))]
+    df = spark.createDataFrame(wave, "symbol string, ts date, close double")
+    f = mb.seasonal_trend(df.limit(200), df, []).join(df, ["symbol", "ts"]).agg(F.max(F.abs(F.col("forecast") - F.col("close"))).alias("e")).first()
+    assert f["e"] < 0.3
+
+
+def test_quantile_needs_rows(spark):
+    df = spark.createDataFrame([("A", float(i)) for i in range(4)] + [("B", float(i)) for i in range(99)], "symbol string, residual double")
+    q = {r["symbol"]: r["q"] for r in conformal.residual_quantile(df, 0.1).collect()}
+    assert q["A"] is None and q["B"] == pytest.approx(np.quantile(np.arange(99.0), 0.9 * 100 / 99))
+
+
+# sources, universe, sinks ---------------------------------------------------------
+
+
+PAGE = """<html><table><tr><th>Symbol[1]</th><th>Name</th></tr><tr><td> BRK  B </td><td>x</td></tr><tr><td>aapl[2]</td><td>y</td></tr><tr><td>AAPL</td><td>z</td></tr></table>
+<table><tr><th>Date</th><th>Added</th><th>n</th><th>Removed</th></tr><tr><td>March 5, 2020</td><td>AAPL</td><td></td><td>OLD</td></tr><tr><td>soon</td><td>X</td><td></td><td>Y</td></tr></table></html>"""
+
+
+def test_universe_from_pages(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>none</p>")], "page_id int, html string")
+    cells = universe.html_tables(spark, pages).where("page_id = 1")
+    members = {r["ticker"]: r["row_no"] for r in universe.constituents(cells).collect()}
+    assert members == {"BRKB": 1, "AAPL": 2}
+    ch = universe.changes(cells).collect()
+    assert [(r["date"], r["added"], r["removed"]) for r in ch] == [(dt.date(2020, 3, 5), "AAPL", "OLD")]
+    events = universe.changes(cells).select("date", "row_no", F.explode(F.array(F.struct(F.col("added").alias("ticker"), F.lit("add").alias("kind")), F.struct(F.col("removed").alias("ticker"), F.lit("remove").alias("kind")))).alias("e")).select("e.ticker", "date", "row_no", "e.kind")
+    got = {(r["ticker"], str(r["start"]), str(r["end"])) for r in universe.membership(events, universe.constituents(cells), "2021-01-01").collect()}
+    assert got == {("AAPL", "2020-03-05", "2021-01-01"), ("OLD", "1990-01-01", "2020-03-05"), ("BRKB", "1990-01-01", "2021-01-01")}
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    syms = spark.createDataFrame([("b b",), ("A",), ("a",)], "symbol string")
+    src.write_universe(syms, str(tmp_path / "u"))
+    lines = spark.read.text(str(tmp_path / "u")).withColumn("line_no", F.monotonically_increasing_id())
+    assert {r["symbol"] for r in src.parse_universe(lines).collect()} == {"A", "BB"}
+    for x in (0.1, 0.2):
+        src.append_trial(spark.createDataFrame([("t", x)], "name string, oos_periodic_sharpe double"), str(tmp_path / "l"))
+    with open(tmp_path / "l" / "part-bad.json", "w") as f:
+        f.write('{"name": "x", "oos\n')
+    good, counts = src.read_ledger(spark, str(tmp_path / "l"))
+    assert sorted(r[0] for r in good.collect()) == [0.1, 0.2] and counts.first()["corrupt"] == 1
+    src.write_results({"fills": spark.createDataFrame([("r1", 1.0)], "run_id string, x double")}, str(tmp_path / "out"))
+    assert os.path.isdir(tmp_path / "out" / "fills" / "run_id=r1")
+
+
+def test_scaler_state_round_trip(spark, tmp_path):
+    rows = walk(spark).withColumn("fold", F.lit(0))
+    state = scaling.fit_scalers(rows.where("ts < '2020-03-01'"), {"price": ["close"], "volume": ["volume"]})
+    state.write.parquet(str(tmp_path / "s"))
+    again = spark.read.parquet(str(tmp_path / "s"))
+    a, b = (scaling.apply_scalers(rows, s, ["close", "volume"]).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True) for s in (state, again))
+    pd.testing.assert_frame_equal(a, b)
+    assert scaling.missing_columns(again, ["close"]) == ["volume"]
+
+
+def test_news_edges(spark):
+    closes = spark.createDataFrame([("A", 1, 100), ("A", 2, 200)], "symbol string, ts int, close_at long")
+    rows = [("A", 50, 1), ("A", 100, 2), ("A", 101, 3), ("A", 200, 4), ("A", 201, 5), ("A", None, 6), ("B", 50, 7)]
+    got = {r["article_id"]: r["ts"] for r in sn.to_bars(spark.createDataFrame(rows, "symbol string, published long, article_id int"), closes).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 2}
+
+
+def test_folds_do_not_leak(spark):
+    pos = spark.range(1000).select(F.lit("A").alias("symbol"), F.col("id").alias("pos"))
+    table = folds.purged_folds(spark.createDataFrame([("A", 1000), ("B", 5)], "symbol string, n long"), 5, 7, 0.01)
+    assigned = folds.fold_rows(pos, table)
+    assert table.where("symbol = 'B'").count() == 0 and table.count() == 5
+    assert folds.leaks(assigned, table, 7).count() == 0
+    assert assigned.where("role = 'test'").count() == 1000 - 1000 // 6
+    with pytest.raises(ValueError):
+        folds.rolling_slices(spark, 100, 50, 10, step=5)
+
+
+# streams --------------------------------------------------------------------------
+
+
+def run_stream(df, tmp_path, name, mode="append"):
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return df.sparkSession.table(name)
+
+
+def test_stream_bars_equal_batch(spark, sf_dir, tmp_path):
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    os.makedirs(tmp_path / "in")
+    os.symlink(path, tmp_path / "in" / "events.parquet")
+    trades = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("size"), F.col("event_id").alias("order"))
+    got = run_stream(st.stream_bars(trades, "1 hour", "1 hour"), tmp_path, "bars_out").toPandas()
+    from barloom.plans.panels import event_bars
+
+    batch = event_bars(spark, sf_dir).toPandas()
+    batch["ts"] = pd.to_datetime(batch["ts"], unit="s")
+    both = got.merge(batch, on=["symbol", "ts"], suffixes=("", "_b"))
+    assert len(both) == len(got) >= len(batch) - 10
+    for c in ("open", "high", "low", "close", "volume"):
+        assert np.allclose(both[c], both[f"{c}_b"])
+
+
+def test_stream_states_equal_batch(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(s, dt.datetime(2020, 1, 1) + dt.timedelta(hours=i), float(rng.normal()), bool(rng.random() > 0.1), int(rng.random() < 0.2)) for s in "AB" for i in range(80)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, sscore double, ok boolean, miss int")
+    df.coalesce(1).write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
+    key = ["symbol", "ts"]
+    got = run_stream(st.stream_states(stream, fc.reversion_step(), ["sscore", "ok"]), tmp_path, "states_out").toPandas().sort_values(key)
+    want = fc.reversion_positions(df, ["symbol"]).toPandas().sort_values(key)
+    assert got["state"].tolist() == want["state"].tolist()
+    got = run_stream(st.stream_alpha(stream), tmp_path, "alpha_out").toPandas().sort_values(key)
+    want = conformal.adaptive_alpha(df.select("symbol", "ts", "miss")).toPandas().sort_values(key)
+    assert np.allclose(got["alpha"], want["alpha"])
+
+
+def test_stream_mean_and_sentiment(spark, tmp_path):
+    rows = [("A", dt.datetime(2020, 1, 1) + dt.timedelta(hours=i), float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, close double")
+    df.coalesce(1).write.parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "m"))
+    means = run_stream(st.stream_mean(stream, "4 hours", "1 hour", "1 hour"), tmp_path, "mean_out").toPandas()
+    full = {r.ts: r.mean for r in means.itertuples() if r.ts >= pd.Timestamp("2020-01-01 04:00")}
+    assert full[pd.Timestamp("2020-01-01 10:00")] == pytest.approx(np.mean([6, 7, 8, 9]))
+    cal = spark.createDataFrame([("A", dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 1, 16)), ("A", dt.datetime(2020, 1, 1, 16), dt.datetime(2020, 1, 2, 16))], "symbol string, prev_close timestamp, close_at timestamp")
+    news = stream.select("symbol", F.col("ts").alias("published"), F.col("close").alias("score"))
+    out = run_stream(st.stream_sentiment(news, cal, "1 hour"), tmp_path, "news_out").toPandas()
+    assert out[out["close_at"] == pd.Timestamp("2020-01-01 16:00")]["news"].sum() == 16
