@@ -41,11 +41,24 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         #: Every beginning of a piece: the id of the piece it is, or -1.
         self.starts = {p[:i]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
+        #: The pieces as a tree: character -> (id or -1, score, tree of what may follow).
+        self.tree = self.tree_of(self.ids)
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.lowest = min(self.score)
         if any(pair[0] != SPACE and pair[1] == SPACE for pair in self.joined):
             raise ValueError("a piece holds a space after another character")
 
+    def tree_of(self, ids: dict[str, int]) -> dict:
+        root: dict = {}
+        for piece, i in sorted(ids.items(), key=lambda x: len(x[0])):
+            node = root
+            for char in piece[:-1]:
+                if char not in node:
+                    node[char] = (-1, 0.0, {})
+                node = node[char][2]
+            node[piece[-1]] = (i, self.score[i], node[piece[-1]][2] if piece[-1] in node else {})
+        return root
+
     def words(self, text: str) -> list[str]:
         """``text`` as escaped words, each with the spaces before it."""
         return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []

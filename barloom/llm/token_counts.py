@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from barloom.llm.pieces import Pieces, load_pieces
 
 #: Words whose counts each Python worker keeps at hand.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 class PrefixCounter:
@@ -33,8 +33,8 @@ class PrefixCounter:
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
         self._valid: dict[int, bool] = {}
-        #: Beginnings of pieces; -1 also for pieces that merging never makes.
-        self._starts = {p: i if i >= 0 and self.merge(p) == [p] else -1 for p, i in pieces.starts.items()}
+        #: The pieces that merging makes; others never are tokens.
+        self._tree = pieces.tree_of({p: i for p, i in pieces.ids.items() if self.merge(p) == [p]})
         self._chunk: dict[str, tuple[int, ...]] = {}
         self._word: dict[str, tuple[int, ...]] = {}
 
@@ -58,16 +58,16 @@ class PrefixCounter:
 
     def chunk_counts(self, chunk: str) -> tuple[int, ...]:
         """Token counts of the prefixes of a chunk, from one character on."""
-        starts, piece, valid = self._starts, self.pieces.piece, self._valid
-        n = len(chunk)
+        piece, valid, n = self.pieces.piece, self._valid, len(chunk)
         last, count = [-1] * (n + 1), [0] * (n + 1)
         for start in range(n):
-            before, open_end = last[start], start + 1
-            while open_end <= n:
-                token = starts.get(chunk[start:open_end])
-                if token is None:  # no piece begins so
+            before, node = last[start], self._tree
+            for end in range(start, n):
+                entry = node.get(chunk[end])
+                if entry is None:  # no piece begins so
                     break
-                if token >= 0 and last[open_end] == -1:
+                token, _, node = entry
+                if token >= 0 and last[end + 1] == -1:
                     ok = True
                     if before >= 0:
                         key = before << 20 | token
@@ -75,8 +75,7 @@ class PrefixCounter:
                         if ok is None:
                             ok = self._follows(piece[before], piece[token], key)
                     if ok:
-                        last[open_end], count[open_end] = token, count[start] + 1
-                open_end += 1
+                        last[end + 1], count[end + 1] = token, count[start] + 1
             if last[start + 1] == -1 and chunk[start] not in self.pieces.ids:
                 count[start + 1] = count[start] + len(self.pieces.fallback(chunk[start]))
         return tuple(count[1:])
