@@ -1,13 +1,14 @@
 """Near-duplicate lines, by an exact set-similarity join.
 
 A line is the set of its lower-cased words. Words are ordered from rare to
-frequent over the whole corpus; two lines whose Jaccard similarity reaches t
-share one of the first n - ceil(t * n) + 1 words of both (prefix filter), the
-shared word's places leave room for enough common words (positional filter),
-and their sizes differ by at most the factor t (length filter). A 64-bit
-parity signature bounds the number of words in one line only from below. What
-passes all filters is verified on the words themselves. A line is removed if
-an equal or similar line stands before it.
+frequent over the whole corpus. Two lines whose Jaccard similarity reaches t
+share a word among the first n - ceil(t * n) + 1 of the larger and the first
+n - ceil(2t / (1 + t) * n) + 1 of the smaller (prefix filter), a shared
+word's places leave room for enough common words (positional filter), and the
+sizes differ by at most the factor t (length filter). A 64-bit parity signature
+bounds from below how many words only one of the lines has. What passes is
+verified on the words themselves. A line is removed if an equal or similar
+line stands before it.
 
 Everything on this path is DataFrame work: no Python touches a row.
 """
@@ -24,14 +25,23 @@ from barloom.llm.scratch import keep
 #: Counters of word frequency. They fix the order of words, which affects
 #: speed and never the result, so a word may share its counter with others.
 COUNTERS = 1 << 14
-#: Pairs of neighbours in a line's prefix, from its end, under which the line looks for a first similar one.
-HUB_KEYS = 2
+#: Pairs of neighbours in a line's prefix, from its end, under which the line
+#: looks for a first similar one, and how many lines such a pair must have.
+HUB_KEYS, HUB_LINES = 2, 32
 _SPACE = r"[\x20\x09-\x0D]+"
+_NOT_SPACE = r"[^\x20\x09-\x0D]"
+_OTHER_SPACE = r"[\x09\x0B-\x0D]"
 _NO_ID = -(1 << 63)
 
 
+def _split(line: Column) -> Column:
+    """Lower-cased words of a line, with empty ones between spaces; one-character splits are the fast ones."""
+    low = F.lower(line)
+    return F.when(line.rlike(_OTHER_SPACE), F.split(low, _SPACE)).otherwise(F.split(low, " "))
+
+
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), _SPACE), lambda w: w != "")
+    return F.array_distinct(F.array_remove(_split(line), ""))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,8 +55,12 @@ def _counter(hashed: Column) -> Column:
 
 
 def word_classes(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """Twice the binary logarithm of each counter's number of words, rounded down."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), _SPACE)).alias("w"))
+    """Twice the binary logarithm of each counter's number of words, rounded down.
+
+    Words are counted between spaces alone; one that a line end joins to the
+    next counts as another word, which shifts no counter by much.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), " ")).alias("w"))
     found = words.groupBy(_counter(F.xxhash64("w")).alias("c")).count().collect()  # at most COUNTERS rows
     counts = {r["c"]: r["count"] for r in found}
     return [min(126, int(2 * math.log2(counts[c]))) if counts.get(c) else 0 for c in range(COUNTERS)]
@@ -55,40 +69,32 @@ def word_classes(docs: DataFrame, text_col: str = "text") -> list[int]:
 def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
     """``(doc, line_no, k1, k2, n, sig, prefix)`` of each line that has words.
 
-    ``prefix`` holds 31-bit hashes of the rarest words. Different words may
+    ``sig`` has a bit for each residue of the words' hashes, set if an odd
+    number of words has it; ``prefix`` holds 31-bit hashes of the rarest words. Different words may
     share a hash: that only adds candidates.
     """
-    rank = constant_array(classes)
-    hashed = F.array_distinct(F.transform(F.split(F.lower(F.col("line")), _SPACE), lambda w: F.xxhash64(w)))
-    no_word = F.xxhash64(F.lit(""))
-    low = F.lit((1 << 56) - 1)
-    ordered = F.sort_array(F.transform(F.array_remove(F.col("h"), no_word), lambda h: F.shiftleft(F.get(rank, _counter(h)), 56).bitwiseOR(h.bitwiseAND(low))))
-    sig = F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))))
+    rank, low = constant_array(classes), F.lit((1 << 56) - 1)
+
+    def placed(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(rank, _counter(h)), 56).bitwiseOR(h.bitwiseAND(low))
+
+    ordered = F.sort_array(F.array_remove(F.array_distinct(F.transform(_split(F.col("line")), placed)), placed(F.lit(""))))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    sig = F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
     prefix = F.transform(F.slice("o", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    rows = lines.withColumn("h", hashed).withColumn("o", ordered).withColumn("n", F.size("o")).where("n > 0")
+    rows = lines.withColumn("o", ordered).withColumn("n", F.size("o")).where("n > 0")
     return rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", sig.alias("sig"), prefix.alias("prefix"))
 
 
-def _could_match(t: float, a: str, b: str, places: bool) -> Column:
-    """Filters between two sets given as structs ``(n, sig[, place])``."""
-    both = F.col(f"{a}.n") + F.col(f"{b}.n")
-    need = F.ceil(F.lit(t / (1 + t)) * both - 1e-9)
-    sizes = (F.col(f"{a}.n") >= F.lit(t) * F.col(f"{b}.n") - 1e-9) & (F.col(f"{b}.n") >= F.lit(t) * F.col(f"{a}.n") - 1e-9)
-    parity = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= both - 2 * need
-    if not places:
-        return sizes & parity
-    room = F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place"))
-    return sizes & (room >= need) & parity  # places count from 0, the shared word included
-
-
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """The ``(doc, line_no)`` of ``pairs(late, early)`` that are similar, judged on the words."""
     ends = pairs.select(F.col("late").alias("at")).union(pairs.select("early")).distinct()
     wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line_no").alias("numbers"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    picked = texts.join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), "text")
-    words = picked.select(F.struct("doc", "line_no").alias("at"), F.array_distinct(_words(F.get(F.split("text", "\n"), F.col("line_no")))).alias("words"))
+    picked = texts.join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("lines"))
+    words = picked.select(F.struct("doc", "line_no").alias("at"), _words(F.get("lines", F.col("line_no"))).alias("words"))
     words = keep(words.dropDuplicates(["at"]))
     left, right = words.select(F.col("at").alias("late"), F.col("words").alias("a")), words.select(F.col("at").alias("early"), F.col("words").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
@@ -96,45 +102,72 @@ def _verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, te
     return pairs.join(left, "late").join(right, "early").where(alike).select("late.doc", "late.line_no").distinct()
 
 
+def _family_heads(firsts: DataFrame, threshold: float) -> DataFrame:
+    """``(late, early)``: each line with the first line that shares a pair of its rare words, where many share it."""
+    tail = F.slice(F.reverse("prefix"), 1, HUB_KEYS + 1)
+    pair = [F.xxhash64(F.get(tail, F.lit(i)), F.get(tail, F.lit(i + 1))) for i in range(HUB_KEYS)]
+    keys = F.when(F.size("prefix") > HUB_KEYS, F.array(*pair)).otherwise(F.array(F.xxhash64("prefix")))
+    keyed = firsts.select(F.explode(keys).alias("key"), "doc", "line_no", "n", "sig")
+    often = keep(keyed.groupBy("key").count().where(F.col("count") >= HUB_LINES).select("key"))
+    among = keyed.join(often, "key", "left_semi")
+    heads = keep(among.groupBy("key").agg(F.min(F.struct("doc", "line_no", "n", "sig")).alias("head")))
+    late, early = F.struct("doc", "line_no"), F.struct("head.doc", "head.line_no")
+    small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (small + large) - 1e-9)
+    parity = F.bit_count(F.col("sig").bitwiseXOR(F.col("head.sig"))) <= small + large - 2 * need
+    met = among.join(heads, "key").where((late > early) & (small >= F.lit(threshold) * large - 1e-9) & parity)
+    return met.select(late.alias("late"), early.alias("early")).distinct()
+
+
+def _candidates(firsts: DataFrame, t: float) -> DataFrame:
+    """``(late, early)`` that pass all filters; lines with ``done`` are no late ones.
+
+    A pair meets under a word of the larger line's prefix that is in the
+    smaller line's shorter one, the first in document order being the larger
+    on ties.
+    """
+    rows = firsts.select("doc", "line_no", "n", "sig", "done", F.posexplode("prefix").alias("place", "word"))
+    a = rows.select("word", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line_no", "n", "sig", "place", "done")))
+    short = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9)
+    b = rows.where(F.col("place") <= short).select("word", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line_no", "n", "sig", "place", "done")))
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    sooner = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line_no") < F.col("b_line_no")))
+    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & sooner)
+    room = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= need
+    near = F.col("b_n") >= F.lit(t) * F.col("a_n") - 1e-9
+    open_ = ~F.when(sooner, F.col("b_done")).otherwise(F.col("a_done"))
+    different = (F.col("a_doc") != F.col("b_doc")) | (F.col("a_line_no") != F.col("b_line_no"))
+    parity = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= F.col("a_n") + F.col("b_n") - 2 * need
+    met = a.join(b, "word").where(larger & different & near & room & parity & open_)
+    one, two = F.struct(F.col("a_doc").alias("doc"), F.col("a_line_no").alias("line_no")), F.struct(F.col("b_doc").alias("doc"), F.col("b_line_no").alias("line_no"))
+    return met.select(F.greatest(one, two).alias("late"), F.least(one, two).alias("early")).distinct()
+
+
 def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, line_no)``: the lines (from 0) that have an equal or similar line before them.
 
     The order is by document id, null ids first, then by line number. A line
     without words is never removed. Rows that repeat an id are one document.
 
-    Equal lines collapse to their first. A line next looks at the first line
-    that shares a pair of its rare words; families of thousands of variants
-    settle there, and only lines that remain meet all lines before them.
+    Equal lines collapse to their first. In families of many variants a line
+    next looks at the family's first; only lines that remain meet all others.
     """
     lines = _lines(docs, id_col, text_col)
-    every = keep(lines.where(F.length(F.regexp_replace("line", _SPACE, "")) > 0).select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")))
+    every = keep(lines.where(F.col("line").rlike(_NOT_SPACE)).select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")))
     sets = _sets(lines, word_classes(docs, text_col), threshold)
-    firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct(F.struct("doc", "line_no").alias("at"), "n", "sig", "prefix")).alias("s"))
-    firsts = keep(firsts.select("k1", "k2", "s.at", "s.n", "s.sig", "s.prefix"))
+    firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "prefix")).alias("s"))
+    firsts = keep(firsts.select("k1", "k2", "s.*"))
+    settled = keep(_verify(keep(_family_heads(firsts, threshold)), docs, threshold, id_col, text_col))
 
-    body = F.struct("at", "n", "sig")
-    tail = F.slice(F.reverse("prefix"), 1, HUB_KEYS + 1)
-    pair = [F.xxhash64(F.get(tail, F.lit(i)), F.get(tail, F.lit(i + 1))) for i in range(HUB_KEYS)]
-    pairs_of = F.when(F.size("prefix") > HUB_KEYS, F.array(*pair)).otherwise(F.array(F.xxhash64("prefix")))
-    keyed = firsts.select(F.explode(pairs_of).alias("key"), body.alias("x"))
-    hubs = keep(keyed.groupBy("key").agg(F.min("x").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    near_hub = keyed.join(hubs, "key").where((F.col("x.at") > F.col("hub.at")) & _could_match(threshold, "x", "hub", places=False))
-    near_hub = keep(near_hub.select(F.col("x.at").alias("late"), F.col("hub.at").alias("early")).distinct())
-    settled = keep(_verify(near_hub, docs, threshold, id_col, text_col))
-
-    done = settled.select(F.struct("doc", "line_no").alias("at"), F.lit(True).alias("done"))
-    marked = firsts.join(done, "at", "left").select("at", "n", "sig", F.coalesce("done", F.lit(False)).alias("done"), "prefix")
-    postings = marked.select("at", "n", "sig", "done", F.posexplode("prefix").alias("place", "word")).select("word", F.struct("at", "n", "sig", "place", "done").alias("x"))
-    probe, index = postings.withColumnRenamed("x", "a"), postings.withColumnRenamed("x", "b")
-    meet = ~F.col("a.done") & (F.col("a.at") > F.col("b.at")) & _could_match(threshold, "a", "b", places=True)
-    found = keep(probe.join(index, "word").where(meet).select(F.col("a.at").alias("late"), F.col("b.at").alias("early")).distinct())
+    at = ["doc", "line_no"]
+    marked = firsts.join(settled.withColumn("done", F.lit(True)), at, "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    found = keep(_candidates(marked, threshold))
     similar = settled.union(_verify(found, docs, threshold, id_col, text_col))
-
-    gone = similar.select("doc", "line_no", F.lit(True).alias("gone"))
-    first_at = firsts.select("k1", "k2", F.col("at.doc").alias("doc"), F.col("at.line_no").alias("line_no")).join(gone, ["doc", "line_no"], "left")
-    first_at = keep(first_at.select("k1", "k2", F.struct("doc", "line_no").alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")))
-    out = every.join(first_at, ["k1", "k2"]).where(F.col("gone") | (F.struct("doc", "line_no") > F.col("at")))
-    return out.select("doc", "line_no").distinct()
+    gone = similar.withColumn("gone", F.lit(True))
+    first_at = firsts.select("k1", "k2", *at).join(gone, at, "left")
+    first_at = keep(first_at.select("k1", "k2", F.struct(*at).alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")))
+    out = every.join(first_at, ["k1", "k2"]).where(F.col("gone") | (F.struct(*at) > F.col("at")))
+    return out.select(*at).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
