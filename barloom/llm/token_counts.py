@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from barloom.llm.pieces import Pieces, load_pieces
 
 #: Words whose counts each Python worker keeps at hand.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 
 class PrefixCounter:
