@@ -133,9 +133,9 @@ def prj5_usable_rows(spark: S, sf: str) -> D:
     return ft.with_labels(price_bars(spark, sf), (5,)).dropna(subset=["target_5"])
 
 
-@query("symbol ts:s close:8", "out as (select * from bars where symbol in (select symbol from bars group by 1 having min(ts) <= date '1995-01-01'))")
+@query("symbol ts:s close:8", "out as (select * from bars where symbol in (select symbol from bars group by 1 having min(ts) <= date '1995-01-16'))")
 def prj6_listed_by(spark: S, sf: str) -> D:
-    return universe.listed_by(price_bars(spark, sf), "1995-01-01")
+    return universe.listed_by(price_bars(spark, sf), "1995-01-16")
 
 
 @query("ts:i", "d as (select ts, count(*) as n from ebars group by 1), out as (select ts from d where n >= greatest(1, ceil(0.6 * (select max(n) from d))))", EVENT_BARS_SQL)
@@ -276,7 +276,7 @@ def _ema(span: int, x: str, before: str) -> str:
     return f"{a!r} * {x} + {1 - a!r} * {before}"
 
 
-@query(f"{_DAY} ema5:5 ema10:5 ema20:5", _EMA.format(first="close as ema5, close as ema10, close as ema20", next=", ".join(_ema(s, "n.close", f"s.ema{s}") for s in (5, 10, 20)), more=""), recursive=True)
+@query(f"{_DAY} ema5:7 ema10:7 ema20:7", _EMA.format(first="close as ema5, close as ema10, close as ema20", next=", ".join(_ema(s, "n.close", f"s.ema{s}") for s in (5, 10, 20)), more=""), recursive=True)
 def win2_exponential_means(spark: S, sf: str) -> D:
     return ft.exponential_means(price_bars(spark, sf))
 
@@ -301,7 +301,7 @@ def win4_volatility(spark: S, sf: str) -> D:
     return _features(spark, sf)
 
 
-@query(f"{_DAY} volume_change:6 volume_ma5:6 volume_ma10:6 price_volume_ratio:8", f"out as (select symbol, ts, volume / lag(volume) {W} - 1 as volume_change, {full('avg', 'volume', 5)} as volume_ma5, {full('avg', 'volume', 10)} as volume_ma10, close / (volume + 1) as price_volume_ratio from bars)")
+@query(f"{_DAY} volume_change:6 volume_ma5:6 volume_ma10:6 price_volume_ratio:11", f"out as (select symbol, ts, volume / lag(volume) {W} - 1 as volume_change, {full('avg', 'volume', 5)} as volume_ma5, {full('avg', 'volume', 10)} as volume_ma10, close / (volume + 1) as price_volume_ratio from bars)")
 def win5_volume(spark: S, sf: str) -> D:
     return _features(spark, sf)
 
@@ -370,7 +370,7 @@ def win19_strict_returns(spark: S, sf: str) -> D:
     return src.dense_panel(event_bars(spark, sf), ["close"]).withColumn("ret", change(F.col("close")))
 
 
-@query(f"{_DAY} volume_weight:8", f"v as (select *, {full('avg', 'volume', 20, 10)} / volume as x from bars), out as (select symbol, ts, case when x is not null then greatest(1.0 / 3, least(3.0, x)) else 1.0 end as volume_weight from v)")
+@query(f"{_DAY} volume_weight:11", f"v as (select *, {full('avg', 'volume', 20, 10)} / volume as x from bars), out as (select symbol, ts, case when x is not null then greatest(1.0 / 3, least(3.0, x)) else 1.0 end as volume_weight from v)")
 def win20_volume_time(spark: S, sf: str) -> D:
     return ft.volume_time_weights(price_bars(spark, sf))
 

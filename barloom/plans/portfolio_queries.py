@@ -177,7 +177,7 @@ def port3_cap_book(spark: S, sf: str) -> D:
     return pf.cap_book(price_bars(spark, sf).withColumn("weight", change(F.col("close"))), 0.2, 1.0)
 
 
-@query(f"{DAY} held:8", """num as (select symbol, ts, round(close / open - 1, 10) as w, row_number() over (partition by symbol order by ts) as rn from bars),
+@query(f"{DAY} held:10", """num as (select symbol, ts, round(close / open - 1, 10) as w, row_number() over (partition by symbol order by ts) as rn from bars),
 scan as (select symbol, ts, rn, case when abs(w) > 0.3 then w else 0 end as held from num where rn = 1
   union all select n.symbol, n.ts, n.rn, case when abs(n.w - s.held) > 0.3 then n.w else s.held end from scan s join num n on n.symbol = s.symbol and n.rn = s.rn + 1), out as (select * from scan)""", recursive=True)
 def port4_no_trade_band(spark: S, sf: str) -> D:
@@ -235,7 +235,7 @@ def port10_log_equity(spark: S, sf: str) -> D:
     return pf.equity(safe_accounts(spark, sf), 1.0).withColumn("equity", F.log("equity"))
 
 
-@query("portfolio bars:i sharpe:6 volatility:5 max_drawdown:6 avg_gross:6 avg_net:6 avg_turnover:6 total_cost:7", METRIC_SQL + """, out as (select portfolio, count(*) as bars, avg(r) / stddev_samp(r) * sqrt(252) as sharpe, stddev_samp(r) * sqrt(252) as volatility,
+@query("portfolio bars:i sharpe:6 volatility:5 max_drawdown:6 avg_gross:6 avg_net:6 avg_turnover:6 total_cost:12", METRIC_SQL + """, out as (select portfolio, count(*) as bars, avg(r) / stddev_samp(r) * sqrt(252) as sharpe, stddev_samp(r) * sqrt(252) as volatility,
   max(d) as max_drawdown, avg(gross) as avg_gross, avg(net) as avg_net, avg(turnover) as avg_turnover, sum(cost) as total_cost from dd group by 1)""")
 def port11_metrics(spark: S, sf: str) -> D:
     return pf.metrics(safe_accounts(spark, sf))
@@ -325,7 +325,7 @@ def port23_baseline_runs(spark: S, sf: str) -> D:
     return pf.metrics(a)
 
 
-@query("order_id:i symbol submit_bar:i fill_bar:i ref_price:8 slip_bps:6 fill_price:6 slippage_cost:6 commission:6", """b as (select symbol, cast(row_number() over (partition by symbol order by ts) as int) as bar, case when volume >= 80 then open end as open from bars),
+@query("order_id:i symbol submit_bar:i fill_bar:i ref_price:8 slip_bps:12 fill_price:6 slippage_cost:6 commission:6", """b as (select symbol, cast(row_number() over (partition by symbol order by ts) as int) as bar, case when volume >= 80 then open end as open from bars),
 o as (select symbol, bar, bar * 100 + cast(substr(symbol, 7) as int) as order_id, cast(floor(bar / 50) * 50 + 49 as int) as fold_end, case when bar % 2 = 0 then 1 else -1 end as side from b where bar % 3 = 0),
 f as (select order_id, o.symbol, o.bar as submit_bar, any_value(side) as side, min(b.bar) as fill_bar, arg_min(b.open, b.bar) as ref_price from o join b on b.symbol = o.symbol and b.bar > o.bar and b.bar <= fold_end and b.open > 0 group by 1, 2, 3),
 s as (select *, 1.0 + 0.5 * abs(10 * ref_price) / 1e6 as slip_bps from f), p as (select *, ref_price * (1 + side * slip_bps / 1e4) as fill_price from s),
@@ -464,7 +464,7 @@ def eval18_representative(spark: S, sf: str) -> D:
     return ev.nearest_to_mean(seeds(spark, sf))
 
 
-@query("portfolio n_obs:i total_cost:7 avg_gross:6 max_gross:6 net_sharpe:6 gross_sharpe:6", TARGET_SQL + """, out as (select portfolio, count(*) as n_obs, sum(cost) as total_cost, avg(gross) as avg_gross, max(gross) as max_gross,
+@query("portfolio n_obs:i total_cost:12 avg_gross:6 max_gross:6 net_sharpe:6 gross_sharpe:6", TARGET_SQL + """, out as (select portfolio, count(*) as n_obs, sum(cost) as total_cost, avg(gross) as avg_gross, max(gross) as max_gross,
   avg(net_return) / stddev_samp(net_return) * sqrt(252) as net_sharpe, avg(net_return + cost) / stddev_samp(net_return + cost) * sqrt(252) as gross_sharpe from acct group by 1)""")
 def eval11_trial_metrics(spark: S, sf: str) -> D:
     return ev.trial_metrics(safe_accounts(spark, sf).withColumn("net_return", F.col("gross_return") - F.col("cost")))
