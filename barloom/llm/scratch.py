@@ -8,6 +8,7 @@ executor costs only the tasks it ran. They are removed when the driver exits.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,9 @@ def keep(df: DataFrame) -> DataFrame:
         _used[home] = spark
     path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark drops shuffle files when the driver collects what points to them; a plan of many steps should not wait
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
