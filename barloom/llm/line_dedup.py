@@ -27,7 +27,7 @@ from barloom.llm.scratch import keep
 COUNTERS = 1 << 14
 #: Pairs of neighbours in a line's prefix, from its end, under which the line
 #: looks for a first similar one, and how many lines such a pair must have.
-HUB_KEYS, HUB_LINES = 2, 32
+HUB_KEYS, HUB_LINES = 5, 32
 _SPACE = r"[\x20\x09-\x0D]+"
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 _OTHER_SPACE = r"[\x09\x0B-\x0D]"
@@ -109,8 +109,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, te
 def _family_heads(firsts: DataFrame, threshold: float) -> DataFrame:
     """``(late, early)``: each line with the first line that shares a pair of its rare words, where many share it."""
     tail = F.slice(F.reverse("prefix"), 1, HUB_KEYS + 1)
-    pair = [F.xxhash64(F.get(tail, F.lit(i)), F.get(tail, F.lit(i + 1))) for i in range(HUB_KEYS)]
-    keys = F.when(F.size("prefix") > HUB_KEYS, F.array(*pair)).otherwise(F.array(F.xxhash64("prefix")))
+    pair = [F.when(F.size("prefix") > i + 1, F.xxhash64(F.get(tail, F.lit(i)), F.get(tail, F.lit(i + 1)))) for i in range(HUB_KEYS)]
+    whole = F.when(F.size("prefix") == 1, F.xxhash64("prefix"))
+    keys = F.filter(F.array(*pair, whole), lambda k: k.isNotNull())
     keyed = firsts.select(F.explode(keys).alias("key"), "doc", "line_no", "n", "sig")
     often = keep(keyed.groupBy("key").count().where(F.col("count") >= HUB_LINES).select("key"))
     among = keyed.join(often, "key", "left_semi")
