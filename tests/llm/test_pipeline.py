@@ -44,7 +44,8 @@ def test_decisions(stages, spark, sf_dir):
     times = collections.Counter(r["doc_id"] for r in stages[3].collect())
     assert set(times.values()) <= {1, 2}
     words = lambda df: sum(len(r["text"].split()) for r in df.collect())
-    assert abs(words(stages[3]) - 1.5 * words(stages[2])) <= len(set(first))
+    # whole documents, about ten a source: up to 64 words from each target, as in the operator's own test
+    assert abs(words(stages[3]) - 1.5 * words(stages[2])) <= 64 * 20
     back = decode_documents(stages[4], piece_model()).collect()
     assert all(r["text"] == cut[r["doc_id"]] for r in back)
     assert collections.Counter(r["doc_id"] for r in back) == times
