@@ -26,15 +26,21 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 16
 
 
-def simhash(text: bytes, words: int) -> int:
-    """Fingerprint of UTF-8 ``text`` as a signed 64-bit number."""
+def shingles_of(text: bytes, words: int) -> list[bytes]:
+    """Shingles of UTF-8 ``text`` in order; a shorter text is one shingle."""
     tokens = text.translate(_LOWER).split()
     if not tokens:
-        return 0
+        return []
     if len(tokens) < words:
-        shingles = [b" ".join(tokens)]
-    else:
-        shingles = [b" ".join(s) for s in zip(*(tokens[i:] for i in range(words)), strict=False)]
+        return [b" ".join(tokens)]
+    return [b" ".join(s) for s in zip(*(tokens[i:] for i in range(words)), strict=False)]
+
+
+def simhash(text: bytes, words: int) -> int:
+    """Fingerprint of UTF-8 ``text`` as a signed 64-bit number."""
+    shingles = shingles_of(text, words)
+    if not shingles:
+        return 0
     digest, seed = xxhash.xxh64_intdigest, SEED
     hashes = np.fromiter((digest(s, seed) for s in shingles), dtype="<u8", count=len(shingles))
     ones = np.zeros(64, dtype=np.int64)

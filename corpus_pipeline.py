@@ -13,7 +13,7 @@ from barloom.llm.mixing import mixed_documents
 from barloom.llm.queries import piece_model, read
 from barloom.llm.scratch import keep
 from barloom.llm.sentencepiece_codec import encode_documents
-from barloom.llm.simhash import keep_representatives
+from barloom.llm.shingle_dedup import keep_first_of_similar
 from barloom.llm.toxicity import drop_toxic
 
 
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_representatives(docs, words=5, max_bits=2)
+    """One document of each group whose five-word shingles link at Jaccard similarity 0.8 or more."""
+    return keep_first_of_similar(docs, words=5, threshold=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
