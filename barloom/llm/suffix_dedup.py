@@ -187,9 +187,10 @@ def _repeats(length: int, gram: int):
 
 
 def _distinct_strings(length: int, gram: int):
-    """``(h1, h2, doc, lo)``: one row for each different string of a part of a split gram.
+    """``(h1, h2, doc, lo)``: one row for each different string of each part of a split gram.
 
-    ``doc`` is null where the string repeats inside the part.
+    ``doc`` is null where the string repeats inside the part; ``_repeats``
+    finds those, as it never cuts a part either.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +201,16 @@ def _distinct_strings(length: int, gram: int):
             # a string meets its copies at the same place of the same gram, and itself at other places
             one ^= table.column("gram").to_numpy().view(np.uint64)[:, None]
             doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy().astype(np.int64)
+            grams, salts = table.column("gram").to_numpy(), table.column("salt").to_numpy()
+            group = np.cumsum(np.append(False, (grams[1:] != grams[:-1]) | (salts[1:] != salts[:-1])))
+            groups = int(group[-1]) + 1
             for column, order, common in columnwise_order(matrix):
                 if column > lead:
                     continue
-                follows = common >= length
-                heads = np.flatnonzero(~follows)
-                lone = ~np.append(follows[1:], False)[heads]
+                # equal strings are neighbours in the order; a group gives each once, whatever else its table holds
+                run = np.cumsum(common < length)
+                _, heads, copies = np.unique(run * groups + group[order], return_index=True, return_counts=True)
+                lone = copies == 1
                 rows = order[heads]
                 fits = (first[rows] <= column) & (last[rows] >= column + length)
                 rows, lone = rows[fits], lone[fits]

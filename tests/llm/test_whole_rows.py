@@ -4,6 +4,8 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import pyarrow as pa
+from barloom.llm.suffix_dedup import _distinct_strings
 from test_operators import DOCS, components
 
 
@@ -35,3 +37,17 @@ def test_near_dedup_links_at_similarity(spark):
     want = [(i, t) for i, t in texts.items() if group[i] == i] + [(None, texts[0]), (5, "another text of the same id")]
     key = lambda r: (r[0] is None, r)
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=key) == sorted(want, key=key)
+
+
+def test_parts_of_a_gram_in_one_table():
+    """A string with a copy in each of two parts is lone in both, also where both parts are in one table."""
+    string = bytes(range(65, 65 + 20))
+    rows = [(7, 0, 1, 0, 0, string), (7, 0, 2, 0, 0, string[::-1]), (7, 0, 3, 0, 0, string[::-1]), (7, 1, 4, 0, 0, string), (7, 1, 5, 0, 0, string[::-1])]
+    names = ["gram", "salt", "doc", "place", "lead", "context"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    found = pa.Table.from_batches(_distinct_strings(20, 10)(iter([batch]))).to_pylist()
+    by = {}
+    for r in found:
+        by.setdefault((r["h1"], r["h2"]), []).append((r["doc"], r["lo"]))
+    assert sorted(sorted(v, key=str) for v in by.values()) == [[(1, 0), (4, 0)], [(5, 0), (None, 0)]]
