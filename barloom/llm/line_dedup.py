@@ -31,7 +31,6 @@ HUB_KEYS, HUB_LINES = 5, 32
 _SPACE = r"[\x20\x09-\x0D]+"
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 _OTHER_SPACE = r"[\x09\x0B-\x0D]"
-_NO_ID = -(1 << 63)
 
 
 def _split(line: Column) -> Column:
@@ -44,10 +43,25 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.array_remove(_split(line), ""))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_doc``, which tells documents apart and orders them.
+
+    It is the id, unless an id is null or repeated: then it is the id, a hash
+    of the text and, for null ids, a number of the row, written once. Null ids
+    come first.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return docs.withColumn("_doc", F.col(id_col).cast("long"))
+    known = F.col(id_col).isNotNull()
+    number = F.when(known, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
+    key = F.struct(known.alias("known"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash"), number.alias("number"))
+    return keep(docs.withColumn("_doc", key))
+
+
+def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     """``(doc, line_no, line)`` of every line; a null text has none."""
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc")
-    return docs.select(doc, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    return docs.select(F.col("_doc").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
 
 
 def _counter(hashed: Column) -> Column:
@@ -92,11 +106,11 @@ def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
     return rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", parity(0).alias("sig"), parity(1).alias("sig2"), prefix.alias("prefix"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
     """The ``(doc, line_no)`` of ``pairs(late, early)`` that are similar, judged on the words."""
     ends = pairs.select(F.col("late").alias("at")).union(pairs.select("early")).distinct()
     wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line_no").alias("numbers"))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col("_doc").alias("doc"), F.col(text_col).alias("text"))
     picked = texts.join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("lines"))
     words = picked.select(F.struct("doc", "line_no").alias("at"), _words(F.get("lines", F.col("line_no"))).alias("words"))
     words = keep(words.dropDuplicates(["at"]))
@@ -149,26 +163,28 @@ def _candidates(firsts: DataFrame, t: float) -> DataFrame:
     return met.select(F.greatest(one, two).alias("late"), F.least(one, two).alias("early")).distinct()
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, line_no)``: the lines (from 0) that have an equal or similar line before them.
+def _removed(docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
+    """``(doc, line_no)``: the lines (from 0) of ``_keyed`` rows that have an equal or similar line before them.
 
-    The order is by document id, null ids first, then by line number. A line
-    without words is never removed. Rows that repeat an id are one document.
+    The order is by document id, null ids first, rows of one id by a hash of
+    their text, then by line number. A line without words is never removed.
+    Rows that repeat an id and its text are one document; every row without an
+    id is one of its own.
 
     Equal lines collapse to their first. In families of many variants a line
     next looks at the family's first; only lines that remain meet all others.
     """
-    lines = _lines(docs, id_col, text_col)
+    lines = _lines(docs, text_col)
     every = keep(lines.where(F.col("line").rlike(_NOT_SPACE)).select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")))
     sets = _sets(lines, word_classes(docs, text_col), threshold)
     firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "sig2", "prefix")).alias("s"))
     firsts = keep(firsts.select("k1", "k2", "s.*"))
-    settled = keep(_verify(keep(_family_heads(firsts, threshold)), docs, threshold, id_col, text_col))
+    settled = keep(_verify(keep(_family_heads(firsts, threshold)), docs, threshold, text_col))
 
     at = ["doc", "line_no"]
     marked = firsts.join(settled.withColumn("done", F.lit(True)), at, "left").withColumn("done", F.coalesce("done", F.lit(False)))
     found = keep(_candidates(marked, threshold))
-    similar = settled.union(_verify(found, docs, threshold, id_col, text_col))
+    similar = settled.union(_verify(found, docs, threshold, text_col))
     gone = similar.withColumn("gone", F.lit(True))
     first_at = firsts.select("k1", "k2", *at).join(gone, at, "left")
     first_at = keep(first_at.select("k1", "k2", F.struct(*at).alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")))
@@ -177,14 +193,13 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines of ``removed_lines`` taken out of the text; every row stays.
+    """``docs`` with the lines of ``_removed`` taken out of the text; every row stays.
 
     A text whose lines are all removed becomes empty; null and empty texts
     stay as they are. Line ends between kept lines are kept.
     """
-    gone = removed_lines(docs, threshold, id_col, text_col)
-    lists = keep(gone.groupBy("doc").agg(F.collect_set("line_no").alias("_gone")))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
+    keyed = _keyed(docs, id_col, text_col)
+    lists = keep(_removed(keyed, threshold, text_col).groupBy("doc").agg(F.collect_set("line_no").alias("_gone")))
     joined = keyed.join(lists.withColumnRenamed("doc", "_doc"), "_doc", "left")
     rest = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
@@ -193,10 +208,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 
 def line_report(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)``: the removed line numbers of every row of ``docs``, ascending."""
-    gone = removed_lines(docs, threshold, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col)
+    gone = _removed(keyed, threshold, text_col)
     lists = keep(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
-    sizes = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"),
+    sizes = keyed.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col("_doc").alias("doc"),
         F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).alias("n_lines"),
     )
     sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))

@@ -34,7 +34,6 @@ LENGTH, GRAM = 400, 100
 SPLIT = 1024
 #: Contexts ordered at once; groups are never cut.
 BATCH = 4096
-_NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _BASE2 = 0xC2B2AE3D27D4EB4F
 _PIECE = 1 << 22
@@ -252,7 +251,7 @@ def _contexts(length: int, gram: int):
 
 def _cut(with_kept: bool):
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string())
-    names = ["doc", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"]
+    names = ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,14 +281,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     bytes covers which also starts elsewhere, in this document or another;
     ``kept`` are the other bytes, concatenated (a cut may fall inside a
     character; null if ``with_kept`` is off). Null and empty texts have no
-    bytes. Rows that share an id, or have none, must share their text; each
-    is a copy of the others, so strings of ``length`` repeat among them.
-    Other columns are not read.
+    bytes. Every row counts: rows that share an id, or have none, are rows of
+    their own, so strings of ``length`` repeat among them if their texts have
+    them. Other columns are not read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc")
-    texts = docs.select(doc, F.col(text_col).alias("text"))
+    doc_id = F.col(id_col).cast("long").alias("doc_id")
+    # a row with the id and the text of another has its marks and spans, so the two may share a key
+    told = docs.select(doc_id).groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    doc = (doc_id if told else F.xxhash64(doc_id, text_col)).alias("doc")
+    texts = docs.select(doc, doc_id, F.col(text_col).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +304,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                     names=["doc", "place", "gram"],
                 )
 
-    marks = keep(texts.where(F.octet_length("text") >= length).mapInArrow(find, "doc long, place long, gram long"))
+    marks = keep(texts.select("doc", "text").where(F.octet_length("text") >= length).mapInArrow(find, "doc long, place long, gram long"))
     shared = keep(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
     salt = F.pmod(F.xxhash64("doc", "place"), F.ceil(F.col("n") / SPLIT)).cast("int").alias("salt")
     used = marks.join(shared, "gram").select("doc", F.struct("place", "gram", salt, (F.col("n") > SPLIT).alias("split")).alias("m"))
@@ -324,7 +326,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         across = met.where("n > 1").select(F.explode("at").alias("s")).select("s.doc", "s.lo", (F.col("s.lo") + length).alias("hi"))
         ranges = ranges.unionByName(across)
     spans = ranges.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    cut = dealt.join(spans, "doc", "left").mapInArrow(
-        _cut(with_kept), "doc long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string"
+    return dealt.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(
+        _cut(with_kept), "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string"
     )
-    return cut.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept", "kept_sha256")

@@ -5,8 +5,9 @@ from itertools import combinations
 
 import corpus_pipeline
 import pyarrow as pa
-from barloom.llm.suffix_dedup import _distinct_strings
-from test_operators import DOCS, components
+from barloom.llm.line_dedup import dedup_lines, line_report
+from barloom.llm.suffix_dedup import _distinct_strings, remove_repeats
+from test_operators import DOCS, components, plain_spans
 
 
 def plain_shingles(text):
@@ -51,3 +52,34 @@ def test_parts_of_a_gram_in_one_table():
     for r in found:
         by.setdefault((r["h1"], r["h2"]), []).append((r["doc"], r["lo"]))
     assert sorted(sorted(v, key=str) for v in by.values()) == [[(1, 0), (4, 0)], [(5, 0), (None, 0)]]
+
+
+def rows_without_own_id(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared, lines = " ".join(word() for _ in range(12)), [" ".join(word() for _ in range(12)) for _ in range(12)]
+    texts = [
+        (None, "\n".join([lines[0], shared, lines[1]])), (None, "\n".join([lines[2], shared, lines[3]])), (None, "\n".join([lines[4], lines[5], lines[6]])),
+        (3, "\n".join([lines[7], shared, lines[8]])), (3, "\n".join([lines[9], lines[10]])), (4, lines[11]), (None, lines[11] + " tail"), (None, lines[11] + " tail"),
+    ]
+    return texts, spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], DOCS), shared
+
+
+def test_repeats_in_rows_without_own_id(spark):
+    texts, df, _ = rows_without_own_id(spark)
+    number = {t: k for k, (_, t) in enumerate(texts)}
+    spans = plain_spans({k: t.encode() for k, (_, t) in enumerate(texts)}, 40)
+    want = sorted((str(i), bytes(c for c, g in zip(t.encode(), spans[number[t]], strict=True) if not g)) for i, t in texts)
+    found = remove_repeats(df, length=40, gram=12).collect()
+    assert sorted((str(r["doc_id"]), bytes(r["kept"])) for r in found) == want
+
+
+def test_lines_in_rows_without_own_id(spark):
+    texts, df, shared = rows_without_own_id(spark)
+    kept = [r["text"] for r in dedup_lines(df).collect()]
+    lines = sorted(x for t in kept for x in t.split("\n") if x)
+    assert lines == sorted({x for _, t in texts[:5] for x in t.split("\n")} | {texts[6][1]}) and len(kept) == len(texts)
+    report = line_report(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["n_removed"]) for r in report) == sorted(
+        [("None", 3, 0), ("None", 3, 1), ("None", 3, 0), ("3", 3, 1), ("3", 2, 0), ("4", 1, 1), ("None", 1, 0), ("None", 1, 1)]
+    )
