@@ -409,7 +409,7 @@ def mod11_meta_weights(spark: S, sf: str) -> D:
 def src9_html_tables(spark: S, sf: str) -> D:
     """Cells of the tables of every page; each page's words come as a table of their own, as the pages have none."""
     text = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[<>&]", " ")
-    rows_ = F.transform(F.slice(F.split(text, r"\s+"), 1, 60), lambda w: F.concat(F.lit("<tr><td>"), w, F.lit("[1]</td><td> x  y </td></tr>")))
+    rows_ = F.transform(F.split(text, r"\s+"), lambda w: F.concat(F.lit("<tr><td>"), w, F.lit("[1]</td><td> x  y </td></tr>")))
     pages = read(spark, sf, "pages").select("page_id", F.concat("html", F.lit("<table>"), F.array_join(rows_, ""), F.lit("</table>")).alias("html"))
     cells = universe.html_tables(spark, pages)
     return cells.groupBy("page_id").agg(F.count("*").alias("cells"), F.count_distinct("table_no").alias("tables"), F.max(F.length("cell")).alias("longest"))
