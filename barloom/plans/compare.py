@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 import pandas as pd
@@ -28,6 +29,14 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
     return sorted(zip(*([text(v.item() if hasattr(v, "item") else v) for v in frame[c]] for c in frame.columns), strict=True))
 
 
+def _same(x: str, y: str) -> bool:
+    """Equal, or numbers that agree to all digits but the last of a rounded double."""
+    try:
+        return x == y or math.isclose(float(x), float(y), rel_tol=1e-9)
+    except ValueError:
+        return False
+
+
 def difference(spark_frame: pd.DataFrame, oracle: pd.DataFrame) -> str:
     """Empty if both hold the same rows, else what differs first."""
     if sorted(spark_frame.columns) != sorted(oracle.columns):
@@ -35,5 +44,5 @@ def difference(spark_frame: pd.DataFrame, oracle: pd.DataFrame) -> str:
     a, b = rows_of(spark_frame), rows_of(oracle)
     if len(a) != len(b):
         return f"{len(a)} rows against {len(b)}"
-    bad = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+    bad = [(x, y) for x, y in zip(a, b, strict=True) if x != y and not all(map(_same, x, y))]
     return f"{len(bad)} rows differ, first {bad[0]}" if bad else ""
