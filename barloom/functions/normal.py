@@ -1,23 +1,34 @@
-"""The normal distribution: an exact Arrow UDF and its driver-side inverse."""
+"""The normal distribution as built-in expressions, and its driver-side inverse."""
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, functions as F
 
+#: Hart's (1968) rational approximation 5666 of the normal tail, from the highest power down.
+TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+#: From here on a continued fraction takes over.
+FAR = 7.07106781186547
 
-@pandas_udf(DoubleType())
-def _cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))), na_action="ignore")
+
+def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
 
 
 def norm_cdf(z: Column) -> Column:
-    return _cdf(z)
+    """Probability below ``z``, to about 14 digits; no Python runs in it."""
+    x = F.abs(z)
+    near = _poly(TAIL_ABOVE, x) / _poly(TAIL_BELOW, x)
+    far = x + 0.65
+    for k in (4, 3, 2, 1):
+        far = x + k / far
+    tail = F.when(x > 37, 0.0).otherwise(F.exp(-x * x / 2) * F.when(x < FAR, near).otherwise(1 / (far * 2.506628274631)))
+    return F.when(z.isNotNull(), F.when(z > 0, 1 - tail).otherwise(tail))
 
 
 def norm_ppf(p: float) -> float:

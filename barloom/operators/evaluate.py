@@ -62,6 +62,25 @@ def deflated_sharpe(returns: DataFrame, trials: DataFrame, keys: list[str], decl
     return with_psr(moments(returns, keys), 0.0 if level is None else level).withColumn("benchmark", F.lit(level).cast("double"))
 
 
+def deflate(stats: DataFrame, trials: DataFrame, keys: list[str], declared: int | None = None) -> DataFrame:
+    """``stats(n, sharpe, skew, kurt)`` with ``trials, sr_null, psr, dsr`` from ``trials(sharpe)`` of the same ``keys``.
+
+    The factor of the expected maximum depends on the number of trials alone;
+    it is looked up for the few numbers that occur. NULL below two trials.
+    """
+    level = trials.where("sharpe is not null").groupBy(*keys).agg(F.count("*").alias("trials"), F.stddev_samp("sharpe").alias("_dev"))
+    most = F.greatest(F.col("trials"), F.lit(declared or 0))
+    level = level.withColumn("_most", most)
+    numbers = [r[0] for r in level.select("_most").distinct().collect() if r[0] >= 2]  # a number for each count of trials
+    factor = F.lit(None).cast("double")
+    for n in numbers:
+        factor = F.when(F.col("_most") == n, expected_max_factor(n)).otherwise(factor)
+    null = F.when(F.col("trials") >= 2, F.when(F.coalesce("_dev", F.lit(0.0)) < 1e-15, 0.0).otherwise(F.col("_dev") * factor))
+    both = stats.join(level.withColumn("sr_null", null).drop("_dev", "_most"), keys, "left") if keys else stats.withColumn("_k", F.lit(1)).join(F.broadcast(level.withColumn("sr_null", null).withColumn("_k", F.lit(1))), "_k", "left").drop("_k", "_dev", "_most")
+    plain = psr_z(both, 0.0).withColumnRenamed("z", "psr_z")
+    return psr_z(plain, F.col("sr_null")).withColumnRenamed("z", "dsr_z").withColumns({"psr": norm_cdf(F.col("psr_z")), "dsr": norm_cdf(F.col("dsr_z"))})
+
+
 def overfitting_splits(slices: int) -> list[tuple[int, int]]:
     """``(split, slice)`` of every in-sample half; the other slices are out of sample."""
     if slices < 2 or slices % 2:
@@ -76,8 +95,8 @@ def split_scores(returns: DataFrame, slices: int) -> DataFrame:
     multiply them. ``rank`` orders the out-of-sample ratios ascending, ties by
     strategy; ``best`` marks the highest in-sample ratio, the first on ties.
     """
-    spark, size = returns.sparkSession, returns.agg(F.max("pos") + 1).first()[0] // slices
-    parts = returns.where(F.col("pos") < size * slices).withColumn("slice", (F.col("pos") / size).cast("int"))
+    spark, size = returns.sparkSession, (returns.agg(F.max("pos") + 1).first()[0] or 0) // slices
+    parts = returns.where(F.col("pos") < size * slices).withColumn("slice", (F.col("pos") / max(1, size)).cast("int"))
     sums = parts.groupBy("strategy", "slice").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     chosen = F.from_json(F.lit(str([list(x) for x in overfitting_splits(slices)])), "array<array<int>>")
     halves = spark.range(1).select(F.explode(chosen).alias("x")).groupBy(F.col("x")[0].alias("split")).agg(F.collect_set(F.col("x")[1]).alias("half"))
@@ -118,6 +137,24 @@ def sweep_summary(trial_stats: DataFrame) -> DataFrame:
     return ok.agg(best.alias("best_trial"), F.max("sharpe").alias("best_sharpe"), F.count("*").alias("n_valid"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_samp("sharpe").alias("std_sharpe"))
 
 
+def best_deflated(returns: DataFrame, run: str, groups: list[str]) -> DataFrame:
+    """Of each group the run with the highest Sharpe ratio (the first on ties), deflated by all runs of the group.
+
+    ``returns(run, *groups, ret)``; gives ``run, n_valid, mean, std, best`` and
+    what ``deflate`` adds.
+    """
+    stats = moments(returns, [*groups, run])
+    ok = stats.where("sharpe is not null")
+    top = F.row_number().over(Window.partitionBy(*groups or [F.lit(0)]).orderBy(F.desc("sharpe"), run))
+    best = ok.withColumn("_rn", top).where("_rn = 1").drop("_rn").withColumn("best", F.col("sharpe"))
+    whole = [F.count("*").alias("n_valid"), F.avg("sharpe").alias("mean"), F.stddev_samp("sharpe").alias("std")]
+    if groups:
+        best = best.join(ok.groupBy(*groups).agg(*whole), groups)
+    else:
+        best = best.withColumn("_k", F.lit(1)).join(F.broadcast(ok.agg(*whole).withColumn("_k", F.lit(1))), "_k").drop("_k")
+    return deflate(best, ok, groups)
+
+
 def nearest_to_mean(runs: DataFrame) -> DataFrame:
     """The ``seed`` of each member whose Sharpe ratio is nearest to the member's mean."""
     mean = F.avg("sharpe").over(Window.partitionBy("member"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.scan import scan_by_key
 from barloom.functions.windows import change, clip, median, ordered, rolling
+from barloom.operators.features import volume_time_weights
+from barloom.sources.bars import dense_panel
 
 
 def consensus_days(bars: DataFrame, share: float = 0.6) -> DataFrame:
@@ -77,6 +80,11 @@ def eigenportfolios(returns: DataFrame, rebalances: DataFrame, k: int) -> DataFr
     Symbols must be known on every day of the window. Signs make each
     eigenvector's sum positive; a symbol without variance has weight 0.
     """
+    return _eigenportfolios(_windowed(returns, rebalances), k)
+
+
+def _eigenportfolios(rows: DataFrame, k: int) -> DataFrame:
+    """The same from the rows ``(rebalance, ts, symbol, ret)`` of the windows."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x = frame.pivot(index="ts", columns="symbol", values="ret").dropna(axis=1)
@@ -96,7 +104,7 @@ def eigenportfolios(returns: DataFrame, rebalances: DataFrame, k: int) -> DataFr
             out += [(frame["rebalance"].iloc[0], j, s, float(w), float(value[-1 - j] / value.sum())) for s, w in zip(x.columns, q, strict=True)]
         return pd.DataFrame(out, columns=columns)
 
-    return _windowed(returns, rebalances).groupBy("rebalance").applyInPandas(run, "rebalance date, factor int, symbol string, weight double, explained double")
+    return rows.groupBy("rebalance").applyInPandas(run, "rebalance date, factor int, symbol string, weight double, explained double")
 
 
 def factor_returns(returns: DataFrame, portfolios: DataFrame) -> DataFrame:
@@ -200,33 +208,179 @@ def cost_aware_band(half_life: Column, cost: float, risk: float) -> Column:
     return F.coalesce(F.when(half_life > 0, risk * F.sqrt(F.lit(cost) / (math.log(2) / half_life))), F.lit(0.0))
 
 
-def signal_health(panel: DataFrame, max_half_life: float) -> DataFrame:
-    """``evaluations`` and the shares that are invalid, slow and without a score."""
-    active = F.col("active")
+def signal_health(panel: DataFrame, max_half_life: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``evaluations`` (active rows), the shares of them that are invalid and slow, and the share of all candidates that is not active."""
+    active = F.coalesce(F.col("active"), F.lit(False))
     n = F.count_if(active)
-    return panel.agg(
-        n.alias("evaluations"), (F.count_if(active & ~F.col("valid")) / n).alias("invalid_rate"),
-        (F.count_if(active & F.col("valid") & (F.col("half_life") > max_half_life)) / n).alias("slow_rate"), (F.count_if(active & F.col("sscore").isNull()) / n).alias("missing_rate"),
+    return panel.groupBy(*keys).agg(
+        n.alias("evaluations"), (F.count_if(active & ~F.col("valid")) / F.nullif(n, F.lit(0))).alias("invalid_rate"),
+        (F.count_if(active & F.col("valid") & (F.col("half_life") > max_half_life)) / F.nullif(n, F.lit(0))).alias("slow_rate"), (F.count_if(~active) / F.nullif(F.count("*"), F.lit(0))).alias("missing_rate"),
     )
 
 
-def residual_panel(returns: DataFrame, calendar: DataFrame, corr_window: int, regr_window: int, k: int, every: int, max_half_life: float = 30.0) -> DataFrame:
-    """``(ts, symbol, sscore, half_life, valid, tradeable, betas)`` at every rebalance.
+def last_half_life(scores: DataFrame, days: DataFrame) -> DataFrame:
+    """``(fold, symbol, half_life)``: the last one known before each fold's test; ``days(fold, ts, formation)``."""
+    starts = days.where("not formation").groupBy("fold").agg(F.min("ts").alias("_start"))
+    known = scores.where("half_life is not null").select("symbol", "ts", "half_life")
+    # a row for each fold: broadcast, so that the panel stays where it is
+    return known.join(F.broadcast(starts), F.col("ts") < F.col("_start")).groupBy("fold", "symbol").agg(F.max_by("half_life", "ts").alias("half_life"))
+
+
+@dataclass(frozen=True)
+class ResidualSpec:
+    """Windows, screens and factors of a residual panel; ``funds`` are the factors if given, else eigenportfolios are."""
+
+    corr_window: int = 252
+    regr_window: int = 60
+    factors: int = 15
+    every: int = 5
+    least_price: float = 5.0
+    least_dollar: float = 1e6
+    max_half_life: float = 30.0
+    volume_time: bool = False
+    volume_window: int = 60
+    volume_clip: float = 4.0
+    funds: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.corr_window < 20 or not 5 <= self.regr_window <= self.corr_window:
+            raise ValueError("windows are too short, or the regression window exceeds the correlation window")
+        if self.regr_window < self.k + 5:
+            raise ValueError("the regression needs five rows more than it has factors")
+        if self.every < 1 or self.factors < 1 or self.max_half_life <= 0 or self.volume_clip <= 1 or self.volume_window < 2:
+            raise ValueError("a parameter is out of range")
+        if len(set(self.funds)) != len(self.funds):
+            raise ValueError("funds must be unique")
+
+    @property
+    def k(self) -> int:
+        return len(self.funds) or self.factors
+
+    @property
+    def warmup(self) -> int:
+        return self.corr_window + self.regr_window
+
+
+@dataclass(frozen=True)
+class ResidualPanel:
+    """``scores(ts, symbol, rebalance, active, valid, sscore, half_life, tradeable, betas)``: a row for each candidate of each bar,
+
+    ``portfolios(rebalance, factor, symbol, weight, explained)`` and
+    ``rebalances(rebalance, pos, eligible, used)``.
+    """
 
-    Eigenportfolios over the correlation window, regressions over the last
-    ``regr_window`` days of it, and mean reversion of the residuals; the task
-    of a rebalance holds one window of the panel.
+    spec: ResidualSpec
+    scores: DataFrame
+    portfolios: DataFrame
+    rebalances: DataFrame
+
+
+def residual_panel(bars: DataFrame, spec: ResidualSpec, members: DataFrame | None = None) -> ResidualPanel:
+    """Mean-reversion scores of every bar, each from what was known by then.
+
+    ``bars(symbol, ts, close, volume)`` on trading days; days without a bar
+    count as missing. Every ``every`` bars from the first full correlation
+    window on, eigenportfolios are estimated over the symbols that are
+    eligible then; below k + 2 of them the rebalance is skipped. The
+    cross-section stays until the next rebalance. On each bar after the
+    warm-up, candidates are its symbols that are still eligible; those with a
+    whole regression window are active: least squares on the factor returns
+    (0 for missing returns of their members) and mean reversion of the summed
+    residuals. With ``volume_time`` the regression explains returns weighted
+    by volume. A rebalance is a task: the rows of its windows, for all symbols.
     """
-    windows = rebalance_days(calendar, corr_window, every)
-    portfolios = eigenportfolios(returns, windows, k)
-    short = windows.withColumn("days", F.slice("days", -regr_window, regr_window))
-    names = [f"f{j}" for j in range(k)]
-    rows = _windowed(returns, short)
-    f = factor_returns(rows.select("symbol", "ts", "ret").distinct(), portfolios).groupBy("rebalance", "ts").pivot("factor", list(range(k))).agg(F.first("f"))
-    f = f.toDF("rebalance", "ts", *names)
-    used = rows.join(portfolios.select("rebalance", "symbol").distinct(), ["rebalance", "symbol"], "left_semi")
-    left = factor_residuals(used.join(f, ["rebalance", "ts"]), names)
-    fit = ou_fit(left, ["rebalance", "symbol"]).join(left.groupBy("rebalance", "symbol").agg(F.first("alpha").alias("alpha"), F.first("betas").alias("betas")), ["rebalance", "symbol"])
-    scored = s_score(fit, "alpha")
-    fast = F.coalesce(F.col("valid") & (F.col("half_life") <= max_half_life), F.lit(False))
-    return scored.select(F.col("rebalance").alias("ts"), "symbol", "sscore", "half_life", "valid", fast.alias("tradeable"), "betas")
+    days = bars.select("ts").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("ts")) - 1).cast("int"))
+    dense = dense_panel(bars, ["close", "volume"])
+    rows = eligibility(dense, members, spec.corr_window, spec.least_price, spec.least_dollar, spec.funds)
+    if spec.volume_time:
+        rows = volume_time_weights(rows, spec.volume_window, spec.volume_clip).withColumn("dep", F.col("ret") * F.col("volume_weight"))
+    else:
+        rows = rows.withColumn("dep", F.col("ret"))
+    rows = rows.join(days, "ts").select("pos", "ts", "symbol", "ret", "dep", "eligible")
+    n = days.count()
+
+    first = spec.warmup if spec.funds else spec.corr_window
+    starts = rows.where((F.col("pos") >= first) & ((F.col("pos") - first) % spec.every == 0)).groupBy("pos").agg(F.min("ts").alias("rebalance"), F.count_if("eligible").alias("eligible"))
+    used = F.lit(True) if spec.funds else F.col("eligible") >= spec.k + 2
+    rebalances = starts.withColumn("used", used)
+    ahead = Window.orderBy("pos")
+    live = rebalances.where("used").select("rebalance", "pos", (F.coalesce(F.lead("pos").over(ahead), F.lit(n)) - 1).cast("int").alias("hi"))
+
+    if spec.funds:
+        place = F.create_map(*(F.lit(x) for i, s in enumerate(spec.funds) for x in (s, i)))
+        held = F.explode(F.array(*(F.lit(s) for s in spec.funds)))
+        portfolios = live.select("rebalance", held.alias("symbol")).select("rebalance", place[F.col("symbol")].alias("factor"), "symbol", F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("explained"))
+    else:
+        at = rows.where("eligible").select("pos", "symbol").join(live.select("rebalance", "pos"), "pos").select("rebalance", "symbol")
+        spans = live.select("rebalance", F.explode(F.sequence(F.col("pos") - spec.corr_window + 1, F.col("pos"))).alias("pos"))
+        window = rows.join(spans, "pos").join(at, ["rebalance", "symbol"]).select("rebalance", "ts", "symbol", "ret")
+        portfolios = _eigenportfolios(window, spec.k)
+
+    spans = live.select("rebalance", F.col("pos").alias("start"), F.explode(F.sequence(F.greatest(F.col("pos") - spec.regr_window + 1, F.lit(0)), F.col("hi"))).alias("pos"))
+    inside = rows.join(spans, "pos")
+    moved = inside.join(portfolios, ["rebalance", "symbol"]).groupBy("rebalance", "pos", "factor").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("f"))
+    moved = moved.groupBy("rebalance", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("factor", "f"))), lambda x: x["f"]).alias("f"))
+    if spec.funds:
+        inside = inside.where(~F.col("symbol").isin(list(spec.funds))).withColumn("inside", F.lit(True))
+    else:
+        section = portfolios.select("rebalance", "symbol").distinct().withColumn("inside", F.lit(True))
+        inside = inside.join(section, ["rebalance", "symbol"])
+    ready = inside.join(moved, ["rebalance", "pos"]).select("rebalance", "start", "pos", "ts", "symbol", "ret", "dep", "eligible", "f")
+    return ResidualPanel(spec, ready.groupBy("rebalance").applyInPandas(_score_bars(spec), _SCORES), portfolios, rebalances)
+
+
+_SCORES = "ts date, symbol string, rebalance date, active boolean, valid boolean, sscore double, half_life double, tradeable boolean, betas array<double>"
+
+
+def ou_batch(residuals: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(valid, half_life, sscore)`` of the columns of ``residuals``; NaN where there is none."""
+    path = np.cumsum(residuals, axis=0)
+    before, after = path[:-1], path[1:]
+    x, y = before - before.mean(axis=0), after - after.mean(axis=0)
+    xx = (x * x).sum(axis=0)
+    b = np.divide((x * y).sum(axis=0), xx, out=np.full(len(xx), np.nan), where=xx > 1e-300)
+    inside = (b > 0) & (b < 1)
+    safe = np.where(inside, b, 0.5)
+    a = after.mean(axis=0) - safe * before.mean(axis=0)
+    noise = after - a - safe * before
+    sigma = np.sqrt((noise * noise).sum(axis=0) / (len(noise) - 2) / (1 - safe * safe))
+    valid = inside & (sigma > 1e-9)
+    score = (path[-1] - a / (1 - safe) - alpha / -np.log(safe)) / np.where(valid, sigma, 1.0)
+    return valid, np.where(inside, -math.log(2) / np.log(safe), np.nan), np.where(valid, score, np.nan)
+
+
+def _score_bars(spec: ResidualSpec):
+    w = spec.regr_window
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rebalance, start = frame["rebalance"].iloc[0], int(frame["start"].iloc[0])
+        days = frame.drop_duplicates("pos").sort_values("pos")
+        wide = {c: frame.pivot(index="pos", columns="symbol", values=c) for c in ("ret", "dep", "eligible")}
+        symbols, factor = wide["ret"].columns, np.array(days["f"].tolist())
+        ret, dep = wide["ret"].to_numpy(float), wide["dep"].to_numpy(float)
+        open_ = wide["eligible"].to_numpy(bool)
+        out = []
+        for i, pos in enumerate(days["pos"]):
+            if pos < max(start, spec.warmup) or i + 1 < w or not open_[i].any():
+                continue
+            whole = np.isfinite(ret[i + 1 - w : i + 1]).all(axis=0)
+            active, missing = np.flatnonzero(open_[i] & whole), np.flatnonzero(open_[i] & ~whole)
+            part = pd.DataFrame({"symbol": symbols[np.concatenate((active, missing))], "active": np.arange(len(active) + len(missing)) < len(active)})
+            a = np.column_stack([np.ones(w), factor[i + 1 - w : i + 1]])
+            y = dep[i + 1 - w : i + 1][:, active]
+            coef, *_ = np.linalg.lstsq(a, y, rcond=None)
+            valid, life, score = ou_batch(y - a @ coef, coef[0])
+            pad = np.full(len(missing), np.nan)
+            fast = valid & (life <= spec.max_half_life)
+            none = np.zeros(len(missing), dtype=bool)
+            part["valid"], part["sscore"], part["half_life"] = np.concatenate((valid, none)), np.concatenate((score, pad)), np.concatenate((life, pad))
+            part["tradeable"] = np.concatenate((fast & np.isfinite(score), none))
+            part["betas"] = [*coef[1:].T.tolist(), *([None] * len(missing))]
+            out.append(part.assign(ts=days["ts"].iloc[i], rebalance=rebalance))
+        names = ["ts", "symbol", "rebalance", "active", "valid", "sscore", "half_life", "tradeable", "betas"]
+        if not out:
+            return pd.DataFrame(columns=names)
+        found = pd.concat(out)[names]
+        return found.astype({"sscore": object, "half_life": object}).where(found.notna(), None)
+
+    return run

@@ -57,6 +57,11 @@ def rolling_slices(spark: SparkSession, n: int, formation: int, test: int, step:
     return spark.createDataFrame(rows, "fold int, form_lo int, form_hi int, test_lo int, test_hi int")
 
 
+def calendar_slices(bars: DataFrame, formation: int, test: int, step: int | None = None, least_test: int = 2) -> DataFrame:
+    """``rolling_slices`` over all days of ``bars``."""
+    return rolling_slices(bars.sparkSession, bars.select("ts").distinct().count(), formation, test, step, least_test)
+
+
 def flatten_ends(targets: DataFrame, rows: int = 2) -> DataFrame:
     """The last ``rows`` targets of each (fold, symbol) set to 0."""
     w = Window.partitionBy("fold", "symbol").orderBy(F.desc("ts"))

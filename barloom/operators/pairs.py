@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,9 +43,11 @@ def half_life(slope: Column) -> Column:
 
 
 def pair_statistics(rows: DataFrame) -> DataFrame:
-    """Hedge ratio, half-life, beta drift, return correlation and lag-0 Engle-Granger statistic of each pair.
+    """Hedge ratio, half-life, beta drift, return correlation and lag-0 unit-root statistics of each pair.
 
-    Everything comes from two aggregations of the pair's rows.
+    ``stat`` tests the hedge residual without a constant (Engle-Granger),
+    ``adf_stat`` with one. Everything comes from two aggregations of the
+    pair's rows.
     """
     w = ordered(*PAIR)
     size = F.count("*").over(Window.partitionBy(*PAIR))
@@ -61,15 +64,52 @@ def pair_statistics(rows: DataFrame) -> DataFrame:
     step = spread.withColumn("_before", F.lag("_s").over(w)).withColumn("_d", F.col("_s") - F.col("_before"))
     both = F.col("_before").isNotNull()
     tests = step.groupBy(*PAIR).agg(
-        F.regr_slope("_d", "_before").alias("_slope"), F.sum(F.when(both, F.col("_before") * F.col("_d"))).alias("_bd"),
-        F.sum(F.when(both, F.col("_before") * F.col("_before"))).alias("_bb"), F.sum(F.when(both, F.col("_d") * F.col("_d"))).alias("_dd"),
-        F.count("_before").alias("_m"), F.stddev_samp("_s").alias("spread_std"),
+        F.sum(F.when(both, F.col("_before") * F.col("_d"))).alias("_bd"), F.sum(F.when(both, F.col("_before") * F.col("_before"))).alias("_bb"),
+        F.sum(F.when(both, F.col("_d") * F.col("_d"))).alias("_dd"), *_step_sums(),
     )
     rho = F.col("_bd") / F.col("_bb")
     error = F.sqrt((F.col("_dd") - rho * F.col("_bd")) / (F.col("_m") - 1) / F.col("_bb"))
     drift = F.when(F.col("n") < 6, F.lit(float("inf"))).otherwise(F.abs(F.col("_b2") - F.col("_b1")) / F.abs("beta"))
-    out = fit.join(tests, PAIR).withColumns({"half_life": half_life(F.col("_slope")), "beta_drift": drift, "stat": rho / error})
-    return out.select(*PAIR, "n", "alpha", "beta", "return_corr", "half_life", "beta_drift", "stat", "spread_std")
+    out = fit.join(tests, PAIR).withColumns({"half_life": half_life(F.col("_slope")), "beta_drift": drift, "stat": rho / error, "adf_stat": _adf_stat()})
+    return out.select(*PAIR, "n", "alpha", "beta", "return_corr", "half_life", "beta_drift", "stat", "adf_stat", "spread_std")
+
+
+def _step_sums() -> list[Column]:
+    """Sums over a spread ``_s`` and its steps ``_d`` from ``_before``, from which half-life and unit-root statistic follow."""
+    return [
+        F.regr_slope("_d", "_before").alias("_slope"), F.regr_sxx("_d", "_before").alias("_xx"), F.regr_sxy("_d", "_before").alias("_xy"),
+        F.regr_syy("_d", "_before").alias("_yy"), F.count("_before").alias("_m"), F.stddev_samp("_s").alias("spread_std"),
+    ]
+
+
+def _adf_stat() -> Column:
+    """The slope on the level over its error, with a constant."""
+    slope = F.col("_xy") / F.col("_xx")
+    return slope / F.sqrt((F.col("_yy") - slope * F.col("_xy")) / (F.col("_m") - 2) / F.col("_xx"))
+
+
+def pair_diagnostics(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``n, return_corr, spread_std, half_life, adf_stat, adf_p`` of pairs on rows they were not fitted on.
+
+    ``fitted`` has the hedge ratios; fewer than three rows leave all but ``n``
+    NULL.
+    """
+    w = ordered(*PAIR)
+    known = rows.join(fitted.select(*PAIR, "alpha", "beta"), PAIR).withColumn("_s", F.col("ly") - F.col("alpha") - F.col("beta") * F.col("lx"))
+    step = known.withColumns({"_before": F.lag("_s").over(w), "_dy": F.col("ly") - F.lag("ly").over(w), "_dx": F.col("lx") - F.lag("lx").over(w)})
+    step = step.withColumn("_d", F.col("_s") - F.col("_before"))
+    found = step.groupBy(*PAIR).agg(F.count("*").alias("n"), F.corr("_dy", "_dx").alias("_corr"), *_step_sums())
+    enough = lambda x: F.when(F.col("n") >= 3, x)
+    out = found.withColumn("adf_stat", enough(_adf_stat()))
+    return out.select(
+        *PAIR, "n", enough(F.col("_corr")).alias("return_corr"), enough(F.col("spread_std")).alias("spread_std"), enough(half_life(F.col("_slope"))).alias("half_life"),
+        "adf_stat", mackinnon_p(F.col("adf_stat"), 1).alias("adf_p"),
+    )
+
+
+def with_p_values(stats: DataFrame) -> DataFrame:
+    """``p`` and ``adf_p`` of the statistics ``stat`` (two series) and ``adf_stat`` (one)."""
+    return stats.withColumns({"p": mackinnon_p(F.col("stat"), 2), "adf_p": mackinnon_p(F.col("adf_stat"), 1)})
 
 
 def mackinnon_z(stat: Column, series: int) -> Column:
@@ -146,16 +186,71 @@ def benjamini_hochberg(tests: DataFrame, alpha: float, keys: tuple[str, ...] = (
     return ranked.withColumn("passes", F.coalesce(F.col("p") <= bound, F.lit(False))).drop("_cut")
 
 
-def rejection_reason(candidates: DataFrame, max_p: float, max_adf_p: float, min_corr: float, max_half_life: float, max_drift: float) -> DataFrame:
+@dataclass(frozen=True)
+class Selection:
+    """What a pair must satisfy; ``shrunk`` leaves out the two significance gates and ranks by the statistic."""
+
+    least_rows: int = 252
+    max_p: float = 0.05
+    max_adf_p: float = 0.05
+    fdr: float = 0.10
+    min_corr: float = 0.30
+    min_half_life: float = 1.0
+    max_half_life: float = 60.0
+    max_drift: float = 0.50
+    min_beta: float = 0.05
+    most: int = 10
+    shrunk: bool = False
+
+    def __post_init__(self) -> None:
+        if self.least_rows < 30 or self.most < 1:
+            raise ValueError("a fit needs 30 rows and a selection one pair at least")
+        if not all(0 < x < 1 for x in (self.max_p, self.max_adf_p, self.fdr)) or not 0 <= self.min_corr <= 1:
+            raise ValueError("p-values and levels lie between 0 and 1")
+        if not 0 < self.min_half_life < self.max_half_life or min(self.max_drift, self.min_beta) < 0:
+            raise ValueError("half-lives must be positive and ascending, drift and beta not negative")
+
+
+def rejection_reason(candidates: DataFrame, s: Selection) -> DataFrame:
     """``reason``: the first gate that fails, NULL if none does."""
     c = F.col
-    gate = (
-        F.when(c("stat").isNull(), "candidate_unavailable").when(~c("passes"), "fdr").when(c("p") > max_p, "coint_pvalue").when(c("adf_p") > max_adf_p, "adf_pvalue")
-        .when(c("return_corr") < min_corr, "return_corr").when(c("half_life") > max_half_life, "half_life").when(c("beta_drift") > max_drift, "beta_drift")
-    )
+    off = lambda x: ~F.coalesce(F.abs(x) < float("inf"), F.lit(False))
+    lacking = c("stat").isNull() | c("beta").isNull() | (c("n") < s.least_rows) | (F.abs("beta") < s.min_beta)
+    gate = F.when(F.coalesce(lacking, F.lit(True)), "candidate_unavailable")
+    if not s.shrunk:
+        gate = gate.when(~c("passes"), "fdr")
+    gate = gate.when(c("p") > s.max_p, "coint_pvalue")
+    if not s.shrunk:
+        gate = gate.when(c("adf_p") > s.max_adf_p, "adf_pvalue")
+    gate = gate.when(F.coalesce(F.abs("return_corr") < s.min_corr, F.lit(True)), "return_corr")
+    gate = gate.when(off(c("half_life")) | ~c("half_life").between(s.min_half_life, s.max_half_life), "half_life")
+    gate = gate.when(off(c("beta_drift")) | (c("beta_drift") > s.max_drift), "beta_drift")
     return candidates.withColumn("reason", gate)
 
 
+def tested_pairs(stats: DataFrame, s: Selection) -> DataFrame:
+    """The better order of each pair with ``p, adf_p`` and ``passes``; a pair without a usable fit has no ``p``."""
+    usable = F.coalesce((F.col("n") >= s.least_rows) & (F.abs("beta") >= s.min_beta), F.lit(False))
+    tested = with_p_values(stats).withColumn("p", F.when(usable, F.col("p")))
+    return benjamini_hochberg(best_order(tested), s.fdr)
+
+
+def choose_pairs(stats: DataFrame, s: Selection) -> DataFrame:
+    """Candidates of each fold in their better order with ``p, adf_p, passes, reason, rank`` and ``evidence``.
+
+    ``stats`` has both orders of a pair. Pairs without a usable fit count as
+    unavailable and take no part in the false discovery rate. Chosen pairs
+    have no reason; their evidence is 1 unless the selection is shrunk.
+    """
+    gated = rejection_reason(tested_pairs(stats, s), s)
+    order = [F.desc(F.abs("stat")), F.col("p"), F.col("half_life")] if s.shrunk else [F.col("p"), F.col("half_life"), F.col("beta_drift")]
+    ranked = select_pairs(gated, s.most, order)
+    if not s.shrunk:
+        return ranked.withColumn("evidence", F.when(F.col("reason").isNull(), 1.0))
+    weights = evidence_weights(ranked.where("reason is null")).select(*PAIR, "evidence")
+    return ranked.join(weights, PAIR, "left")
+
+
 def select_pairs(candidates: DataFrame, most: int, order: list[Column]) -> DataFrame:
     """Accepted candidates ranked within the fold; those past ``most`` get the reason ``max_pairs``."""
     open_ = F.col("reason").isNull()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.functions.windows import ordered
 from barloom.operators import evaluate as ev, factors as fc, folds, members as mb, pairs as pr, portfolio as pf
+from barloom.sources.folder import stored
 
 
 def column_groups(columns: list[str], is_label) -> dict[str, list[str]]:
@@ -20,46 +23,129 @@ def column_groups(columns: list[str], is_label) -> dict[str, list[str]]:
     }
 
 
-def pairs_report(bars: DataFrame, slices: DataFrame, most: int = 3, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, gross: float = 1.0, costs: pf.Costs = pf.Costs()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(chosen, trials, metrics)``: pairs chosen on formation rows, each pair's own Sharpe ratio, and the book of each fold.
-
-    ``slices(fold, form_lo, form_hi, test_lo, test_hi)`` in rows of the
-    calendar. Scores run over formation and test rows together, so a test
-    starts with a warm window; positions count on test rows alone and the last
-    two are flat.
-    """
+def fold_days(bars: DataFrame, slices: DataFrame) -> DataFrame:
+    """``(fold, ts, formation)``: the days of ``slices(fold, form_lo, form_hi, test_lo, test_hi)``, in rows of the calendar."""
     calendar = bars.select("ts").distinct().withColumn("pos", F.row_number().over(Window.orderBy("ts")) - 1)
     spans = slices.withColumn("pos", F.explode(F.sequence(F.col("form_lo"), F.col("test_hi") - 1)))
-    spans = spans.select("fold", "pos", (F.col("pos") < F.col("form_hi")).alias("formation")).join(calendar, "pos")
-    rows = bars.join(spans, "ts")
-    stats = pr.pair_statistics(pr.pair_rows(rows.where("formation"))).where("stat is not null and beta is not null")
-    rank = F.row_number().over(Window.partitionBy("fold").orderBy("stat", "y", "x"))
-    chosen = stats.withColumn("rank", rank).where(F.col("rank") <= most)
-    scored = pr.spread_scores(pr.pair_rows(rows).join(chosen.select(*pr.PAIR), pr.PAIR, "left_semi"), chosen)
-    scored = scored.join(spans.select("fold", "ts", "formation"), ["fold", "ts"]).where("not formation")
-    legs = pr.pair_legs(pr.pair_positions(scored.select(*pr.PAIR, "ts", "beta", "z"), entry, leave, stop), gross / most)
-    flat = folds.flatten_ends(legs.withColumnsRenamed({"weight": "target", "symbol": "leg"}).withColumn("symbol", F.concat_ws("/", "y", "x", "leg")))
-    flat = flat.withColumn("symbol", F.col("leg"))
+    return spans.select("fold", "pos", (F.col("pos") < F.col("form_hi")).alias("formation")).join(calendar, "pos")
+
+
+def _flat_at_the_end(book: DataFrame, days: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``book`` with 0 on the last two test days of each fold."""
+    last = days.where("not formation").withColumn("_rn", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("ts")))).select("fold", "ts", (F.col("_rn") <= 2).alias("_end"))
+    return book.join(last, ["fold", "ts"]).withColumn(weight, F.when(F.col("_end"), 0.0).otherwise(F.col(weight))).select(*keys, weight)
+
+
+def _on_all_days(targets: DataFrame, bars: DataFrame, portfolio: str) -> DataFrame:
+    """Targets ``(ts, symbol, target)`` on every bar, 0 where there is none."""
+    filled = bars.select("ts", "symbol", "open").join(targets, ["ts", "symbol"], "left")
+    return filled.withColumns({"target": F.coalesce("target", F.lit(0.0)), "portfolio": F.lit(portfolio)})
+
+
+@dataclass(frozen=True)
+class PairBook:
+    """Signals and limits of a pairs book."""
+
+    entry: float = 2.0
+    leave: float = 0.5
+    stop: float = 4.0
+    gross_per_pair: float = 1.0
+    window: int = 60
+    least: int = 40
+    cap: float = 0.35
+    gross: float = 1.0
+
+
+def pairs_report(
+    bars: DataFrame, slices: DataFrame, selection: pr.Selection = pr.Selection(), book: PairBook = PairBook(), costs: pf.Costs = pf.Costs(), lags: bool = True
+) -> dict[str, DataFrame]:
+    """Walk-forward pairs: ``candidates, turnover, diagnostics, trials, accounts, folds, summary``.
+
+    Pairs are tested on a fold's formation rows in both orders (lags by AIC,
+    or none), gated, ranked and weighted. Scores run over formation and test
+    rows together, so a test starts with a warm window; positions count on
+    test rows alone and end flat. Each pair's own account gives a trial; the
+    books of all folds, clipped and scaled, are one portfolio, whose Sharpe
+    ratio ``summary`` deflates by the trials (``pair_set_dsr``).
+    """
+    days = fold_days(bars, slices)
+    rows = pr.pair_rows(bars.join(days, "ts"), both_orders=True)
+    formed = rows.join(days.where("formation").select("fold", "ts"), ["fold", "ts"], "left_semi")
+    stats = pr.pair_statistics(formed)
+    if lags:
+        stats = stats.drop("stat", "adf_stat").join(pr.engle_granger_aic(formed).select(*pr.PAIR, "stat", "adf_stat"), pr.PAIR)
+    candidates = stored(pr.choose_pairs(stats, selection), "candidates")
+    chosen = candidates.where("reason is null")
+    held = rows.join(chosen.select(*pr.PAIR), pr.PAIR, "left_semi")
+    test = days.where("not formation").select("fold", "ts")
+    scored = pr.spread_scores(held, chosen, book.window, book.least).select(*pr.PAIR, "ts", "beta", "z")
+    states = pr.pair_positions(scored, book.entry, book.leave, book.stop)
+    legs = pr.pair_legs(states, book.gross_per_pair).join(chosen.select(*pr.PAIR, "evidence"), pr.PAIR).join(test, ["fold", "ts"], "left_semi")
+    legs = stored(_flat_at_the_end(legs.withColumn("weight", F.col("weight") * F.col("evidence")), days, [*pr.PAIR, "ts", "symbol"], "weight"), "legs")
+
     opens = bars.select("ts", "symbol", "open")
-    alone = flat.withColumn("portfolio", F.concat_ws("/", "fold", "y", "x")).join(opens, ["ts", "symbol"])
+    alone = legs.withColumnRenamed("weight", "target").withColumn("portfolio", F.concat_ws("/", "fold", "y", "x")).join(opens, ["ts", "symbol"])
     trials = ev.periodic_sharpe(pf.account(pf.fills(alone), costs).withColumn("ret", F.col("net_return")), ["portfolio"])
-    book = flat.groupBy("fold", "ts", "symbol").agg(F.sum("target").alias("weight"))
-    book = pf.scale_to_gross(book, gross, "weight", ("fold", "ts")).withColumn("portfolio", F.col("fold").cast("string"))
-    accounts = pf.account(pf.fills(book.withColumnRenamed("weight", "target").join(opens, ["ts", "symbol"])), costs)
-    return chosen, trials, pf.metrics(accounts)
+
+    combined = pf.combine_books(legs.select("ts", "symbol", "weight"), book.cap, book.gross)  # test days of folds do not overlap
+    accounts = pf.account(pf.fills(_on_all_days(combined.withColumnRenamed("weight", "target"), bars, "pairs")), costs)
+    accounts = stored(accounts.join(test, "ts"), "accounts")
+    by_fold = pf.metrics(accounts.withColumn("portfolio", F.col("fold").cast("string"))).withColumnRenamed("portfolio", "fold")
+    return {
+        "candidates": candidates, "turnover": pr.fold_turnover(chosen), "trials": trials, "accounts": accounts, "folds": by_fold,
+        "diagnostics": pr.pair_diagnostics(held.join(test, ["fold", "ts"], "left_semi"), chosen),
+        "summary": pf.metrics(accounts).join(_deflated(accounts, trials), "portfolio"),
+    }
+
+
+def _deflated(accounts: DataFrame, trials: DataFrame) -> DataFrame:
+    """``(portfolio, trials, pair_set_dsr)``; NULL below two trials with a Sharpe ratio."""
+    out = ev.deflate(ev.moments(accounts.withColumn("ret", F.col("net_return")), ["portfolio"]), trials, [])
+    return out.select("portfolio", F.col("trials"), F.col("dsr").alias("pair_set_dsr"))
 
 
-def residual_report(panel: DataFrame, bars: DataFrame, unit: float, costs: pf.Costs = pf.Costs()) -> DataFrame:
-    """Metrics, names traded and the share of cost of the book that an s-score panel ``(ts, symbol, sscore, tradeable)`` drives.
+def residual_report(
+    panel: fc.ResidualPanel, bars: DataFrame, slices: DataFrame, unit: float = 0.02, cap: float = 0.35, gross: float = 1.0, band: float | str = 0.0,
+    strength: bool = False, costs: pf.Costs = pf.Costs(),
+) -> dict[str, DataFrame]:
+    """Walk-forward of an s-score panel: ``folds``, ``accounts``, ``targets`` and a one-row ``summary``.
 
-    A position holds until the next evaluation of its symbol.
+    States start flat in each fold's test rows. A bar's book holds the stock
+    legs and the hedge of their exposures, scaled, then clipped; a no-trade
+    band (a number, or ``"cost"`` for one from costs and the half-life last
+    known before the test) is held by symbol. ``folds`` has the metrics, the
+    names traded, cost over absolute gross profit and the signal's health.
     """
-    states = fc.reversion_positions(panel.withColumn("ok", F.col("tradeable")).select("symbol", "ts", "sscore", "ok"), ["symbol"])
-    targets = bars.select("ts", "symbol", "open").join(states.select("ts", "symbol", (F.col("state") * unit).alias("target")), ["ts", "symbol"], "left")
-    accounts = pf.account(pf.fills(targets.withColumn("portfolio", F.lit("residual"))), costs)
-    names = states.where("state <> 0").agg(F.count_distinct("symbol").alias("names")).withColumn("portfolio", F.lit("residual"))
-    share = accounts.groupBy("portfolio").agg((F.sum("cost") / (F.sum("cost") + F.sum(F.abs("gross_return")))).alias("cost_share"))
-    return pf.metrics(accounts).join(names, "portfolio").join(share, "portfolio")
+    days = fold_days(bars, slices)
+    test = days.where("not formation").select("fold", "ts")
+    scores, portfolios = stored(panel.scores, "scores"), stored(panel.portfolios, "portfolios")
+    scored = scores.join(test, "ts")
+    states = fc.reversion_positions(scored.select("fold", "symbol", "ts", "sscore", F.col("tradeable").alias("ok")), ["fold", "symbol"])
+    states = states.withColumn("scale", fc.conviction(F.col("sscore"), 1.25, 2.0) if strength else F.lit(1.0))
+    betas = scored.where("betas is not null").select("ts", "symbol", F.posexplode("betas").alias("factor", "beta"))
+    weights = scores.select("ts", "rebalance").distinct().join(portfolios, "rebalance").select("ts", "factor", "symbol", "weight")
+    net = fc.residual_book(states.select("ts", "symbol", "state", "scale"), betas, weights, unit, "scale")
+    book = pf.cap_book(_on_all_days(net.withColumnRenamed("weight", "target"), bars, "residual").withColumnRenamed("target", "weight").join(test, "ts"), cap, gross)
+    if band == "cost" or band > 0:
+        width = F.lit(None if band == "cost" else float(band)).cast("double")
+        book = book.withColumn("band", width)
+        if band == "cost":
+            speed = fc.last_half_life(scores, days).withColumn("_w", fc.cost_aware_band(F.col("half_life"), (costs.commission_bps + costs.spread_bps) * 2 / 1e4, 1.0))
+            book = book.join(speed.select("fold", "symbol", "_w"), ["fold", "symbol"], "left").withColumn("band", F.coalesce("_w", F.lit(0.0))).drop("_w")
+        held = pf.no_trade_band(book.select("fold", "symbol", "ts", "weight", "band"), "band", keys=("fold", "symbol"))
+        book = pf.cap_book(held.select("fold", "symbol", "ts", F.col("held").alias("weight")), cap, gross)
+    targets = stored(_flat_at_the_end(book, days, ["fold", "ts", "symbol"], "weight").withColumnRenamed("weight", "target"), "targets")
+    accounts = stored(pf.account(pf.fills(_on_all_days(targets.select("ts", "symbol", "target"), bars, "residual")), costs).join(test, "ts"), "accounts")
+
+    traded = targets.where((F.abs("target") > 0) & ~F.col("symbol").isin(list(panel.spec.funds))).groupBy("fold").agg(F.count_distinct("symbol").alias("names"))
+    share = accounts.groupBy("fold").agg((F.sum("cost") / F.greatest(F.abs(F.sum("gross_return")), F.lit(1e-9))).alias("cost_share"))
+    health = fc.signal_health(scored, panel.spec.max_half_life, ("fold",))
+    by_fold = pf.metrics(accounts.withColumn("portfolio", F.col("fold").cast("string"))).withColumn("fold", F.col("portfolio").cast("int")).drop("portfolio")
+    by_fold = by_fold.join(traded, "fold", "left").fillna(0, subset=["names"]).join(share, "fold").join(health, "fold", "left")
+    weighed = lambda c: (F.sum(F.col(c) * F.col("evaluations")) / F.sum("evaluations")).alias(c)
+    totals = by_fold.agg(F.count("*").alias("folds"), F.avg("names").alias("avg_names"), F.sum("evaluations").alias("evaluations"), weighed("invalid_rate"), weighed("slow_rate"))
+    summary = pf.metrics(accounts).join(totals.withColumn("portfolio", F.lit("residual")), "portfolio")
+    return {"folds": by_fold, "accounts": accounts, "targets": targets, "summary": summary}
 
 
 def pca_residual_prices(returns: DataFrame, portfolios: DataFrame, windows: DataFrame, k: int) -> DataFrame:
