@@ -100,7 +100,8 @@ def realized_vol(bars: DataFrame, rows: int = 20, floor: float = 5e-3, back_fill
     logs = bars.withColumn("_r", F.log(F.col("close") / F.lag("close").over(w)))
     raw = logs.withColumn("_s", rolling(F.stddev_samp, F.col("_r"), rows, max(2, rows // 4)))
     if back_fill:
-        raw = raw.withColumn("_s", F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        back = Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
+        raw = raw.withColumn("_s", F.last("_s", ignorenulls=True).over(back))
     return raw.withColumn("sigma", F.when(F.col("_s").isNotNull(), F.greatest("_s", F.lit(floor)))).drop("_r", "_s")
 
 

@@ -192,17 +192,37 @@ def autoregression(series: DataFrame, most: int = 2) -> DataFrame:
 
 
 def seasonal_trend(train: DataFrame, test: DataFrame, regressors: list[str], orders: dict[float, int] | None = None) -> DataFrame:
-    """Trend, weekly and yearly Fourier terms and regressors in one linear regression; ``(symbol, ts, forecast)`` of the test rows."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    """Trend, weekly and yearly Fourier terms and regressors in a linear regression of each symbol; ``(symbol, ts, forecast)`` of the test rows.
 
+    One aggregation gives the moments of every symbol; a symbol's normal
+    equations are a small system of their own. The trend and the regressors
+    are taken from the symbol's means, with a slight ridge.
+    """
     orders = {7.0: 2, 365.25: 3} if orders is None else orders
     day = F.unix_date(F.col("ts").cast("date")).cast("double")
+    waves = {f"_{fn}{i}_{int(p)}": getattr(F, fn)(2 * np.pi * (i + 1) * day / p) for p, n in orders.items() for i in range(n) for fn in ("sin", "cos")}
+    names = ["_t", *waves, *regressors]
 
     def ready(df: DataFrame) -> DataFrame:
-        waves = {f"_{fn}{i}_{int(p)}": getattr(F, fn)(2 * np.pi * (i + 1) * day / p) for p, n in orders.items() for i in range(n) for fn in ("sin", "cos")}
-        df = df.withColumns({"_t": day / 365.25, **waves}).fillna(0.0, subset=regressors) if regressors else df.withColumns({"_t": day / 365.25, **waves})
-        return VectorAssembler(inputCols=["_t", *waves, *regressors], outputCol="_x").transform(df)
-
-    model = LinearRegression(featuresCol="_x", labelCol="close", regParam=1e-6).fit(ready(train))
-    return model.transform(ready(test)).select("symbol", "ts", F.col("prediction").alias("forecast"))
+        df = df.withColumns({"_t": day / 365.25, **waves})
+        return df.fillna(0.0, subset=regressors) if regressors else df
+
+    columns = [*names, "close"]
+    means = ready(train).where("close is not null").groupBy("symbol").agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)), F.count("*").alias("_n"))
+    moved = ready(train).where("close is not null").join(means, "symbol").select("symbol", "_n", *(F.col(f"_m{i}") for i in range(len(columns))), *((F.col(c) - F.col(f"_m{i}")).alias(f"_d{i}") for i, c in enumerate(columns)))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = moved.groupBy("symbol").agg(F.first("_n").alias("_n"), F.array(*(F.first(f"_m{i}") for i in range(len(columns)))).alias("means"), F.array(*(F.sum(F.col(f"_d{i}") * F.col(f"_d{j}")) for i, j in pairs)).alias("sums"))
+
+    @F.udf("array<double>")
+    def solve(n: int, sums: list[float]) -> list[float]:  # once for each symbol
+        gram = np.zeros((len(columns),) * 2)
+        for (i, j), v in zip(pairs, sums, strict=True):
+            gram[i, j] = gram[j, i] = v / n
+        k = len(names)
+        return np.linalg.solve(gram[:k, :k] + 1e-9 * np.trace(gram[:k, :k]) / k * np.eye(k) + 1e-15 * np.eye(k), gram[:k, k]).tolist()
+
+    fitted = sums.select("symbol", "means", solve("_n", "sums").alias("w"))
+    value = F.col("means")[len(names)]
+    for i, c in enumerate(names):
+        value = value + F.col("w")[i] * (F.col(c) - F.col("means")[i])
+    return ready(test).join(fitted, "symbol").select("symbol", "ts", value.alias("forecast"))

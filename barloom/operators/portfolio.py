@@ -82,9 +82,10 @@ def fills(targets: DataFrame, keys: tuple[str, ...] = ("portfolio", "symbol")) -
 
 
 def banded_fills(targets: DataFrame, band: float, limit: float | None) -> DataFrame:
-    """``held`` with a band and a gross limit, which ties the symbols of a portfolio together: one scan for each portfolio.
+    """``held`` with a band and a gross limit.
 
-    A bar without any target gives no order; a single missing target keeps
+    The limit ties the symbols of a portfolio together: one scan for each
+    portfolio. Without it, symbols are scans of their own. A bar without any target gives no order; a single missing target keeps
     its position; targets within the band of the position keep it; the rest
     is scaled to the limit; a book equal to the last within 1e-5 relative and
     1e-8 absolute trades nothing.
@@ -108,7 +109,7 @@ def banded_fills(targets: DataFrame, band: float, limit: float | None) -> DataFr
         return frame.merge(long, on=["ts", "symbol"])[[*frame.columns, "held"]]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in targets.schema.fields) + ", held double"
-    return targets.groupBy("portfolio").applyInPandas(run, schema)
+    return targets.groupBy("portfolio", *(["symbol"] if limit is None else [])).applyInPandas(run, schema)
 
 
 def account(held: DataFrame, costs: Costs, dividends: bool = False) -> DataFrame:
@@ -199,8 +200,8 @@ def fill_orders(submitted: DataFrame, bars: DataFrame) -> DataFrame:
     both = submitted.select("symbol", "bar", F.struct("order_id", "fold_end").alias("o"), F.lit(None).cast("double").alias("open")).unionByName(
         priced.select("symbol", F.col("fill_bar").alias("bar"), F.lit(None).cast("struct<order_id: bigint, fold_end: int>").alias("o"), F.col("fill_open").alias("open"))
     )
-    later = Window.partitionBy("symbol").orderBy("bar").rangeBetween(1, Window.unboundedFollowing)
-    price = F.first(F.when(F.col("open").isNotNull(), F.struct(F.col("bar").alias("at"), "open")), ignorenulls=True).over(later)
+    later = Window.partitionBy("symbol").orderBy(F.desc("bar")).rangeBetween(Window.unboundedPreceding, -1)
+    price = F.last(F.when(F.col("open").isNotNull(), F.struct(F.col("bar").alias("at"), "open")), ignorenulls=True).over(later)
     found = both.withColumn("f", price).where("o is not null and f.at <= o.fold_end")
     return found.select("o.order_id", "symbol", F.col("bar").alias("submit_bar"), F.col("f.at").alias("fill_bar"), F.col("f.open").alias("ref_price"))
 

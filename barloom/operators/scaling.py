@@ -68,6 +68,14 @@ def missing_columns(state: DataFrame, columns: list[str]) -> list[str]:
     return sorted(fitted - set(columns))
 
 
+def replay(frame: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:
+    """``symbol, fold, ts`` and exactly the saved ``columns`` of ``frame``, scaled by each row's fold; a saved column that either lacks stops the replay."""
+    lacking = sorted((set(columns) - set(frame.columns)) | (set(columns) - {r[0] for r in state.select("column").distinct().collect()}))
+    if lacking:
+        raise ValueError(f"saved columns are missing: {', '.join(lacking)}")
+    return apply_scalers(frame, state, columns).select("symbol", "fold", "ts", *columns)
+
+
 def restandardize(frame: DataFrame, train: DataFrame, columns: list[str], low: float = 0.1, high: float = 1.5) -> DataFrame:
     """Columns whose training deviation is out of [low, high] are standardised once more, by training figures."""
     keys = ["symbol", "fold"]

@@ -69,9 +69,8 @@ class HtmlTables:
 def html_tables(spark: SparkSession, pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` joined laterally with the cells of their tables."""
     spark.udtf.register("barloom_html_tables", udtf(HtmlTables, returnType="table_no int, row_no int, col_no int, cell string"))
-    pages.createOrReplaceTempView("barloom_pages")
     others = ", ".join(f"p.{c}" for c in pages.columns if c != html_col)
-    return spark.sql(f"select {others}, t.* from barloom_pages p, lateral barloom_html_tables(p.{html_col}) t")
+    return spark.sql(f"select {others}, t.* from {{pages}} p, lateral barloom_html_tables(p.{html_col}) t", pages=pages)
 
 
 def constituents(cells: DataFrame) -> DataFrame:

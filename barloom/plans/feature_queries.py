@@ -243,11 +243,12 @@ def join7_coverage(spark: S, sf: str) -> D:
     return universe.coverage(_members(spark, sf), priced, spark.createDataFrame([("7", "8")], "ticker string, vendor string"))
 
 
-@query("ts:s symbol ret:6", f"""r as (select symbol, ts, close / lag(close) {W} - 1 as ret from bars where symbol in ('Brand#11', 'Brand#12', 'Brand#13')),
-out as (select * from r where ts in (select ts from r where ret is not null group by ts having count(distinct symbol) = 3))""")
+@query("ts:s symbol ret:6", f"""r as (select symbol, ts, close / lag(close) {W} - 1 as ret from bars ),
+out as (select * from r where ts in (select ts from r where ret is not null group by ts having count(distinct symbol) = (select count(distinct symbol) from bars)))""")
 def join8_common_days(spark: S, sf: str) -> D:
-    r = price_bars(spark, sf).where(F.col("symbol").isin("Brand#11", "Brand#12", "Brand#13")).withColumn("ret", change(F.col("close")))
-    common = r.where("ret is not null").groupBy("ts").agg(F.count_distinct("symbol").alias("n")).where("n = 3")
+    r = price_bars(spark, sf).withColumn("ret", change(F.col("close")))
+    every = r.select("symbol").distinct().count()
+    common = r.where("ret is not null").groupBy("ts").agg(F.count_distinct("symbol").alias("n")).where(F.col("n") == every)
     return r.join(common, "ts", "left_semi")
 
 
@@ -301,7 +302,7 @@ def win4_volatility(spark: S, sf: str) -> D:
     return _features(spark, sf)
 
 
-@query(f"{_DAY} volume_change:6 volume_ma5:6 volume_ma10:6 price_volume_ratio:11", f"out as (select symbol, ts, volume / lag(volume) {W} - 1 as volume_change, {full('avg', 'volume', 5)} as volume_ma5, {full('avg', 'volume', 10)} as volume_ma10, close / (volume + 1) as price_volume_ratio from bars)")
+@query(f"{_DAY} volume_change:6 volume_ma5:6 volume_ma10:6 price_volume_ratio:6", f"out as (select symbol, ts, volume / lag(volume) {W} - 1 as volume_change, {full('avg', 'volume', 5)} as volume_ma5, {full('avg', 'volume', 10)} as volume_ma10, close / (volume + 1) as price_volume_ratio from bars)")
 def win5_volume(spark: S, sf: str) -> D:
     return _features(spark, sf)
 
@@ -421,11 +422,12 @@ def fld1_fold_rows(spark: S, sf: str) -> D:
     return _folds(spark, sf)[0].groupBy("symbol", "fold", "role").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-@query("fold:i symbol n:i mean_close:4", """num as (select *, row_number() over (partition by symbol order by ts) - 1 as pos from bars), sl as (select i as fold, 100 + i * 20 as lo, least(100 + i * 20 + 20, 299) as hi from range(20) t(i) where 100 + i * 20 + 2 <= 299 and 100 + i * 20 < 300),
+@query("fold:i symbol n:i mean_close:4", """num as (select *, row_number() over (partition by symbol order by ts) - 1 as pos from bars), ln as (select max(pos) + 1 as n from num), sl as (select i as fold, 100 + i * 20 as lo, least(100 + i * 20 + 20, n - 1) as hi from range(100000) t(i), ln where 100 + i * 20 + 2 <= n - 1),
 out as (select fold, symbol, count(*) as n, avg(close) as mean_close from num join sl on pos >= lo and pos < hi group by 1, 2)""")
 def fld2_rolling_slices(spark: S, sf: str) -> D:
     rows = folds.positions(price_bars(spark, sf))
-    slices = folds.rolling_slices(spark, 300, 100, 20)
+    n = rows.agg(F.max("pos")).first()[0] + 1
+    slices = folds.rolling_slices(spark, n, 100, 20)
     days = slices.select("fold", F.explode(F.sequence(F.col("test_lo").cast("long"), F.col("test_hi").cast("long") - 1)).alias("pos"))
     return rows.join(days, "pos").groupBy("fold", "symbol").agg(F.count("*").alias("n"), F.avg("close").alias("mean_close"))
 
@@ -467,10 +469,10 @@ def fld7_no_leaks(spark: S, sf: str) -> D:
     return folds.leaks(assigned, table, 5).agg(F.count("*").alias("leaks"))
 
 
-@query("symbol fold:i", """art as (select distinct p_brand as symbol, p_size % 5 as fold, p_partkey % 4 as artifact from part where p_size <= 20),
+@query("symbol fold:i", """art as (select distinct p_brand as symbol, p_size % 10 as fold, p_partkey % 4 as artifact from part),
 out as (select symbol, fold from art group by 1, 2 having count(distinct artifact) = 4)""", "")
 def fld8_complete_folds(spark: S, sf: str) -> D:
-    art = read(spark, sf, "part").where("p_size <= 20").select(F.col("p_brand").alias("symbol"), (F.col("p_size") % 5).alias("fold"), (F.col("p_partkey") % 4).cast("string").alias("artifact"))
+    art = read(spark, sf, "part").select(F.col("p_brand").alias("symbol"), (F.col("p_size") % 10).alias("fold"), (F.col("p_partkey") % 4).cast("string").alias("artifact"))
     return folds.complete_folds(art, ["0", "1", "2", "3"])[0]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from barloom.functions.windows import change, clip, ordered
 from barloom.operators import conformal, evaluate as ev, features as ft, members as mb, portfolio as pf
 from barloom.plans.feature_queries import BASELINE_SQL, ROLL, SIGMA_SQL, W, full
+from barloom.plans.normal_sql import cdf_sql, deflated_sql, luck_sql
 from barloom.plans.panels import price_bars, read
 from barloom.plans.registry import query
 
@@ -202,6 +203,21 @@ def port7_fills(spark: S, sf: str) -> D:
     return pf.fills(targets(spark, sf))
 
 
+_HELD = "list_transform(range(1, len(s.held) + 1), lambda i: case when s.tg[i] is null or abs(s.tg[i] - s.held[i]) <= 0.01 then s.held[i] else s.tg[i] end)"
+
+
+@query(f"portfolio {DAY} held:8", TARGET_SQL + f""", dg as (select portfolio, ts, list(target order by symbol) as tg, list(symbol order by symbol) as sy from (select p.portfolio, d.ts, n.symbol, target from (select distinct portfolio from tgt) p cross join (select distinct ts from tgt) d cross join (select distinct symbol from tgt) n left join tgt using (portfolio, ts, symbol)) group by 1, 2),
+dn as (select *, row_number() over (partition by portfolio order by ts) as rn from dg),
+scan as (select portfolio, ts, sy, tg, rn, list_transform(tg, lambda x: 0.0::double) as held from dn where rn = 1
+  union all select portfolio, ts, sy, tg, rn, case when len(list_filter(range(1, len(book) + 1), lambda i: abs(book[i] - was[i]) > 1e-8 + 1e-5 * abs(was[i]))) > 0 then book else was end as held
+  from (select portfolio, ts, sy, tg, rn, was, case when g > 0.4 then list_transform(raw, lambda x: x * 0.4 / g) else raw end as book from
+    (select *, list_sum(list_transform(raw, lambda x: abs(x))) as g from (select n.portfolio, n.ts, n.sy, n.tg, n.rn, s.held as was, {_HELD} as raw from scan s join dn n on n.portfolio = s.portfolio and n.rn = s.rn + 1)))),
+un as (select portfolio, ts, unnest(sy) as symbol, unnest(held) as held from scan), out as (select un.* from un join tgt using (portfolio, ts, symbol))""", recursive=True)
+def port7_banded_fills(spark: S, sf: str) -> D:
+    """Fills with a no-trade band of 0.01 and a gross limit of 0.4."""
+    return pf.banded_fills(targets(spark, sf).select("portfolio", "symbol", "ts", "target"), 0.01, 0.4)
+
+
 @query("portfolio ts:s gross_return:7 trading:10 impact:10 borrow:10 cost:10 turnover:7 gross:7 net:7 net_return:7", TARGET_SQL + ", out as (select * from acct)")
 def port8_accounts(spark: S, sf: str) -> D:
     return accounts(spark, sf)
@@ -325,7 +341,7 @@ def port23_baseline_runs(spark: S, sf: str) -> D:
     return pf.metrics(a)
 
 
-@query("order_id:i symbol submit_bar:i fill_bar:i ref_price:8 slip_bps:12 fill_price:6 slippage_cost:6 commission:6", """b as (select symbol, cast(row_number() over (partition by symbol order by ts) as int) as bar, case when volume >= 80 then open end as open from bars),
+@query("order_id:i symbol submit_bar:i fill_bar:i ref_price:8 slip_bps:8 fill_price:6 slippage_cost:6 commission:6", """b as (select symbol, cast(row_number() over (partition by symbol order by ts) as int) as bar, case when volume >= 80 then open end as open from bars),
 o as (select symbol, bar, bar * 100 + cast(substr(symbol, 7) as int) as order_id, cast(floor(bar / 50) * 50 + 49 as int) as fold_end, case when bar % 2 = 0 then 1 else -1 end as side from b where bar % 3 = 0),
 f as (select order_id, o.symbol, o.bar as submit_bar, any_value(side) as side, min(b.bar) as fill_bar, arg_min(b.open, b.bar) as ref_price from o join b on b.symbol = o.symbol and b.bar > o.bar and b.bar <= fold_end and b.open > 0 group by 1, 2, 3),
 s as (select *, 1.0 + 0.5 * abs(10 * ref_price) / 1e6 as slip_bps from f), p as (select *, ref_price * (1 + side * slip_bps / 1e4) as fill_price from s),
@@ -361,7 +377,8 @@ def eval2_psr_argument(spark: S, sf: str) -> D:
     return ev.psr_z(ev.moments(returns(spark, sf), ["portfolio"]))
 
 
-@query("portfolio benchmark:6 psr:5 z:5")
+@query("portfolio benchmark:6 psr:5 z:5", _MOM + f""", tri as (select symbol, close / lag(close) {W} - 1 as ret from bars), ts as (select symbol, avg(ret) / stddev_samp(ret) as sharpe from tri group by 1), bm as (select stddev_samp(sharpe) * {luck_sql('50')} as benchmark from ts where sharpe is not null),
+zz as (select *, (sharpe - benchmark) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) as z from mo, bm), out as (select *, {cdf_sql('z')} as psr from zz)""")
 def eval4_deflated_sharpe(spark: S, sf: str) -> D:
     r = price_bars(spark, sf).withColumn("ret", change(F.col("close")))
     trials = ev.periodic_sharpe(r, ["symbol"])
@@ -373,16 +390,16 @@ def eval6_calmar(spark: S, sf: str) -> D:
     return pf.metrics(safe_accounts(spark, sf)).withColumn("calmar_known", F.col("calmar").isNotNull())
 
 
-STRAT_SQL = f"""r0 as (select symbol as strategy, ts, close / lag(close) {W} - 1 as ret from bars where symbol in (select symbol from bars group by 1 order by count(*) desc, 1 limit 6)),
-days as (select ts, row_number() over (order by ts) - 1 as pos from (select ts from r0 where ret is not null group by 1 having count(*) = 6)),
+STRAT_SQL = f"""r0 as (select symbol as strategy, ts, close / lag(close) {W} - 1 as ret from bars),
+days as (select ts, row_number() over (order by ts) - 1 as pos from (select ts from r0 where ret is not null group by 1 having count(*) = (select count(distinct symbol) from bars))),
 rr as (select strategy, pos, ret from r0 join days using (ts))"""
 
 
 def strategies(spark: S, sf: str) -> D:
-    b = price_bars(spark, sf)
-    top = b.groupBy("symbol").count().orderBy(F.desc("count"), "symbol").limit(6).select("symbol")
-    r = b.join(top, "symbol", "left_semi").withColumn("ret", change(F.col("close")))
-    days = r.where("ret is not null").groupBy("ts").count().where(F.col("count") == 6).select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("pos"))
+    """Returns of all symbols on the days that every one has."""
+    r = price_bars(spark, sf).withColumn("ret", change(F.col("close")))
+    every = r.select("symbol").distinct().count()
+    days = r.where("ret is not null").groupBy("ts").count().where(F.col("count") == every).select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("pos"))
     return r.join(days, "ts").select(F.col("symbol").alias("strategy"), "pos", "ret")
 
 
@@ -392,15 +409,24 @@ sc as (select m, strategy, avg(ret) filter (m >> slice & 1 = 1) / stddev_samp(re
 rk as (select *, row_number() over (partition by m order by outside, strategy) as rank, row_number() over (partition by m order by inside desc, strategy) as top from sc)"""
 
 
-@query("pbo:6 splits:i", PBO_SQL + ", out as (select avg(cast(rank / 7 < 0.5 as int)) as pbo, count(*) as splits from rk where top = 1)")
+@query("pbo:6 splits:i", PBO_SQL + ", out as (select avg(cast(rank / ((select count(distinct strategy) from sc) + 1) < 0.5 as int)) as pbo, count(*) as splits from rk where top = 1)")
 def eval7_overfitting(spark: S, sf: str) -> D:
     return ev.backtest_overfitting(strategies(spark, sf), 6)
 
 
-@query("strategy n:i mean_inside:6 mean_outside:6 times_best:i", PBO_SQL + ", out as (select strategy, count(*) as n, avg(inside) as mean_inside, avg(outside) as mean_outside, count(*) filter (top = 1) as times_best from rk group by 1)")
+@query("strategy n:i mean_inside:6 mean_outside:6 times_best:i sharpe:6 psr:6 dsr:6 pbo:6", PBO_SQL + f""", {deflated_sql('sd', 'rr', 'strategy', '')},
+pb as (select avg(cast(rank / ((select count(distinct strategy) from sc) + 1) < 0.5 as int)) as pbo from rk where top = 1),
+ta as (select strategy, count(*) as n, avg(inside) as mean_inside, avg(outside) as mean_outside, count(*) filter (top = 1) as times_best from rk group by 1),
+out as (select ta.*, sharpe, psr, dsr, pbo from ta join (select strategy, sharpe, psr, dsr from sd_df) using (strategy), pb)""")
 def eval16_strategy_table(spark: S, sf: str) -> D:
-    s = ev.split_scores(strategies(spark, sf), 6)
-    return s.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("inside").alias("mean_inside"), F.avg("outside").alias("mean_outside"), F.count_if("best").alias("times_best"))
+    """Every strategy with its own figures, its deflation by all of them, and the overfitting of the choice among them."""
+    rows = strategies(spark, sf)
+    s = ev.split_scores(rows, 6)
+    table = s.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("inside").alias("mean_inside"), F.avg("outside").alias("mean_outside"), F.count_if("best").alias("times_best"))
+    stats = ev.moments(rows, ["strategy"])
+    judged = ev.deflate(stats, stats, []).select("strategy", "sharpe", "psr", "dsr")
+    pbo = ev.backtest_overfitting(rows, 6).select("pbo", F.lit(1).alias("_k"))
+    return table.join(judged, "strategy").withColumn("_k", F.lit(1)).join(F.broadcast(pbo), "_k")
 
 
 _GRID = "grid as (select row_number() over (order by a, b, c) - 1 as trial, f, s, w from (values (0, 5), (1, 10), (2, 20)) x(a, f), (values (0, 30), (1, 50), (2, 60)) y(b, s), (values (0, 0.02), (1, 0.04)) z(c, w))"
@@ -421,8 +447,8 @@ tr as (select trial, ts, avg(sign(case f when 5 then a5 when 10 then a10 else a2
 st as (select trial, avg(ret) / stddev_samp(ret) as sharpe from tr group by 1)"""
 
 
-def sweep(spark: S, sf: str) -> D:
-    """Every trial on every bar; the trial is one more key."""
+def sweep_returns(spark: S, sf: str) -> D:
+    """``(trial, ts, ret)``: every trial on every bar; the trial is one more key."""
     from barloom.functions.windows import rolling
 
     c = F.col("close")
@@ -432,8 +458,11 @@ def sweep(spark: S, sf: str) -> D:
     rows = b.withColumn("t", F.explode(trials))
     pick = lambda i, ns: F.coalesce(*(F.when(F.col("t")[i] == n, F.col(f"a{n}")) for n in ns))
     pos = F.signum(pick(1, (5, 10, 20)) - pick(2, (30, 50, 60))) * F.col("t")[3] / 100
-    daily = rows.groupBy(F.col("t")[0].alias("trial"), "ts").agg(F.avg(pos * F.col("fwd")).alias("ret"))
-    return ev.periodic_sharpe(daily, ["trial"])
+    return rows.groupBy(F.col("t")[0].alias("trial"), "ts").agg(F.avg(pos * F.col("fwd")).alias("ret"))
+
+
+def sweep(spark: S, sf: str) -> D:
+    return ev.periodic_sharpe(sweep_returns(spark, sf), ["trial"])
 
 
 @query("trial:i sharpe:6", _SWEEP + ", out as (select * from st)")
@@ -441,9 +470,10 @@ def eval17_sweep(spark: S, sf: str) -> D:
     return sweep(spark, sf)
 
 
-@query("best_sharpe:6 n_valid:i mean_sharpe:6 std_sharpe:6", _SWEEP + ", out as (select max(sharpe) as best_sharpe, count(*) as n_valid, avg(sharpe) as mean_sharpe, stddev_samp(sharpe) as std_sharpe from st where sharpe is not null)")
+@query("best:6 n_valid:i mean:6 std:6 sr_null:6 psr:6 dsr:6", _SWEEP + ", " + deflated_sql("sw", "tr", "trial", "") + ", out as (select sharpe as best, trials as n_valid, mean, std, sr_null, psr, dsr from sw_df where place = 1)")
 def eval9_sweep_summary(spark: S, sf: str) -> D:
-    return ev.sweep_summary(sweep(spark, sf))
+    """The best trial of the sweep, deflated by all trials; trials that differ by size alone tie."""
+    return ev.best_deflated(sweep_returns(spark, sf), "trial", [])
 
 
 _SEED = f"sr as (select substr(symbol, 1, 7) as member, symbol as seed, close / lag(close) {W} - 1 as ret from bars), ss as (select member, seed, avg(ret) / stddev_samp(ret) as sharpe from sr group by 1, 2 having count(ret) > 2)"
@@ -454,9 +484,11 @@ def seeds(spark: S, sf: str) -> D:
     return ev.periodic_sharpe(r, ["member", "seed"]).where("n > 2")
 
 
-@query("member n:i mean:6 std:6 best:6", _SEED + ", out as (select member, count(*) as n, avg(sharpe) as mean, stddev_samp(sharpe) as std, max(sharpe) as best from ss group by 1)")
+@query("member seed n_valid:i mean:6 std:6 best:6 sr_null:6 psr:6 dsr:6", _SEED + ", " + deflated_sql("sd", "sr", "seed", "member") + ", out as (select member, seed, trials as n_valid, mean, std, sharpe as best, sr_null, psr, dsr from sd_df where place = 1)")
 def eval10_seed_summary(spark: S, sf: str) -> D:
-    return seeds(spark, sf).groupBy("member").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean"), F.stddev_samp("sharpe").alias("std"), F.max("sharpe").alias("best"))
+    """Each member's seeds and its best one, deflated by all of them."""
+    r = price_bars(spark, sf).select(F.substring("symbol", 1, 7).alias("member"), F.col("symbol").alias("seed"), change(F.col("close")).alias("ret"))
+    return ev.best_deflated(r, "seed", ["member"])
 
 
 @query("member seed", _SEED + ", m as (select *, abs(sharpe - avg(sharpe) over (partition by member)) as d from ss), out as (select member, arg_min(seed, (d, seed)) as seed from m group by 1)")
@@ -470,11 +502,22 @@ def eval11_trial_metrics(spark: S, sf: str) -> D:
     return ev.trial_metrics(safe_accounts(spark, sf).withColumn("net_return", F.col("gross_return") - F.col("cost")))
 
 
-@query("seed tier", _SEED.replace("group by 1, 2 having count(ret) > 2", "group by 1, 2") .replace("as sharpe from sr", "as sharpe, count(*) as n_obs from sr") + """, out as (select seed, case when n_obs < 80 then 'no_claim' when sharpe > 0 and sharpe * 3 >= 0.95 then 'robust' when sharpe > 0 then 'net' when sharpe + 0.01 > 0 then 'gross' else 'mechanics' end as tier from ss)""")
+_ALONE = BASELINE_SQL + """, al as (select 'hold/' || symbol as portfolio, symbol, ts, open, hold * 1.0 as target from base union all select 'tsmom/' || symbol, symbol, ts, open, tsmom from base union all select 'ma_cross/' || symbol, symbol, ts, open, ma_cross from base),
+ah as (select *, coalesce(lag(target) over (partition by portfolio order by ts), 0) as held from al), am as (select *, coalesce(lead(open) over w / open - 1, 0) as move, held - coalesce(lag(held) over w, 0) as trade from ah window w as (partition by portfolio order by ts)),
+ac as (select portfolio, ts, held * move as gross_ret, abs(trade) * 1.5 / 1e4 + trade * trade * 5 / 1e4 + greatest(-held, 0) * 50 / 1e4 / 252 as cost from am), ar as (select portfolio, ts, gross_ret, gross_ret - cost as ret from ac),
+gs as (select portfolio, count(*) as n_obs, avg(gross_ret) / stddev_samp(gross_ret) as gross_sharpe from ar group by 1)"""
+
+
+@query("portfolio n_obs:i tier", _ALONE + ", " + deflated_sql("tp", "ar", "portfolio", "") + """, out as (select portfolio, n_obs, case when n_obs < 80 then 'no_claim' when sharpe > 0 and dsr >= 0.95 then 'robust' when sharpe > 0 then 'net' when gross_sharpe > 0 then 'gross' else 'mechanics' end as tier from gs join (select portfolio, sharpe, dsr from tp_df) using (portfolio))""")
 def eval12_claim_tiers(spark: S, sf: str) -> D:
-    r = price_bars(spark, sf).select(F.col("symbol").alias("seed"), change(F.col("close")).alias("ret"))
-    s = r.groupBy("seed").agg((F.avg("ret") / F.stddev_samp("ret")).alias("net_sharpe"), F.count("*").alias("n_obs"))
-    return ev.claim_tier(s.withColumns({"gross_sharpe": F.col("net_sharpe") + 0.01, "dsr": F.col("net_sharpe") * 3}), least=80)
+    """Tiers of every baseline on every symbol, net of costs and deflated by all of them."""
+    b = baselines(spark, sf)
+    t = b.select("symbol", "ts", "open", F.inline(F.array(*(F.struct(F.concat_ws("/", F.lit(k), "symbol").alias("portfolio"), F.col(k).cast("double").alias("target")) for k in KINDS))))
+    a = pf.account(pf.fills(t), pf.Costs())
+    stats = ev.moments(a.withColumn("ret", F.col("net_return")), ["portfolio"])
+    judged = ev.deflate(stats, stats, []).select("portfolio", F.col("sharpe").alias("net_sharpe"), "dsr")
+    gross = a.groupBy("portfolio").agg(F.count("*").alias("n_obs"), (F.avg("gross_return") / F.stddev_samp("gross_return")).alias("gross_sharpe"))
+    return ev.claim_tier(gross.join(judged, "portfolio"), least=80)
 
 
 @query("k:i config_hash", """out as (select p_partkey as k, substr(sha256('{"brand":"' || p_brand || '","size":' || p_size || '}'), 1, 12) as config_hash from part)""", "")
@@ -522,9 +565,12 @@ def cnf5_coverage(spark: S, sf: str) -> D:
     return conformal.coverage(conformal.realized(banded(spark, sf), 5))
 
 
-@query(f"{DAY} miss:i alpha:8", _MISS + """, num as (select symbol, ts, miss, row_number() over (partition by symbol order by ts) as rn from ms),
+ALPHA_SQL = (_MISS + """, num as (select symbol, ts, miss, row_number() over (partition by symbol order by ts) as rn from ms),
 scan as (select symbol, ts, miss, rn, case when miss is null then 0.1::double else least(0.9999, greatest(0.0001, 0.1::double + 0.02 * (0.1 - miss))) end as alpha from num where rn = 1
-  union all select n.symbol, n.ts, n.miss, n.rn, case when n.miss is null then s.alpha else least(0.9999, greatest(0.0001, s.alpha + 0.02 * (0.1 - n.miss))) end from scan s join num n on n.symbol = s.symbol and n.rn = s.rn + 1), out as (select * from scan)""", recursive=True)
+  union all select n.symbol, n.ts, n.miss, n.rn, case when n.miss is null then s.alpha else least(0.9999, greatest(0.0001, s.alpha + 0.02 * (0.1 - n.miss))) end from scan s join num n on n.symbol = s.symbol and n.rn = s.rn + 1), out as (select * from scan)""",)
+
+
+@query(f"{DAY} miss:i alpha:8", *ALPHA_SQL, recursive=True)
 def cnf3_adaptive_alpha(spark: S, sf: str) -> D:
     m = conformal.realized(banded(spark, sf), 5).select("symbol", "ts", "miss")
     return conformal.adaptive_alpha(m)

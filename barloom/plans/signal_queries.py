@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.windows import change, ordered
-from barloom.operators import factors as fc, members as mb, pairs as pr, sentiment as sn, universe
+from barloom.operators import factors as fc, members as mb, pairs as pr, sentiment as sn, universe, walkforward as wf
 from barloom.plans.feature_queries import FOLD_SQL, W, full
-from barloom.plans.panels import EVENT_BARS_SQL, NEWS_SQL, event_bars, news, price_bars, read
+from barloom.plans.panels import EVENT_BARS_SQL, NEWS_SQL, event_bars, price_bars, publications, read, stories
+from barloom.plans.normal_sql import cdf_sql
 from barloom.plans.registry import query
 
 S, D = SparkSession, DataFrame
@@ -63,60 +64,69 @@ def pair4_return_corr(spark: S, sf: str) -> D:
     return stats(spark, sf)
 
 
-_Z = ", z as (select *, case when stat <= -2.62 then 2.92 + 1.5012 * stat + 0.039796 * stat ** 2 else 2.1945 + 0.64695 * stat - 0.29198 * stat ** 2 - 0.042377 * stat ** 3 end as z from stats)"
-
-
-@query(f"{PAIR} stat:5 z:5", PAIR_SQL + _Z + ", out as (select * from z)", "")
-def pair5_engle_granger(spark: S, sf: str) -> D:
-    return stats(spark, sf).withColumn("z", pr.mackinnon_z(F.col("stat"), 2))
-
-
 @query(f"{PAIR} stat:4 lag:i adf_stat:4 adf_lag:i")
 def pair6_aic_lags(spark: S, sf: str) -> D:
     return pr.engle_granger_aic(rows(spark, sf))
 
 
-#: p-values stand in as a monotone map of the statistic, so that SQL has them too.
-_P = ", ps as (select *, 1 / (1 + exp(-stat - 28)) as p, 1 / (1 + exp(-stat - 28)) as adf_p from stats)"
-_BH = _P + """, rk as (select *, row_number() over (partition by fold order by p) as k, count(*) over (partition by fold) as m from ps),
-bh as (select *, p <= max(case when p <= 0.3 * k / m then p end) over (partition by fold) as pass from rk), bhp as (select *, coalesce(pass, false) as passes from bh)"""
+#: Random walks: the running sum of each type's centred log prices, so that some pairs revert and others do not.
+WALK_SQL = PAIR_SQL.replace("px as (select 0 as fold, ts, symbol, case when close > 0 then ln(close) end as l from ebars)", """lg as (select symbol, ts, ln(close) - avg(ln(close)) over (partition by symbol) as d from ebars where close > 0),
+px as (select 0 as fold, ts, symbol, 0.05 * sum(d) over (partition by symbol order by ts rows between unbounded preceding and current row) as l from lg)""")
+_BOTH = WALK_SQL.replace("a.symbol < b.symbol", "a.symbol <> b.symbol") + """, ad as (select fold, y, x, regr_slope(d, b) as sl, regr_sxx(d, b) as xx, regr_sxy(d, b) as xy, regr_syy(d, b) as yy, count(b) as m from st where b is not null group by 1, 2, 3),
+adf as (select fold, y, x, sl / sqrt((yy - sl * xy) / (m - 2) / xx) as adf_stat from ad),
+zz as (select stats.*, adf_stat, case when stat <= -2.62 then 2.92 + 1.5012 * stat + 0.039796 * stat ** 2 else 2.1945 + 0.64695 * stat - 0.29198 * stat ** 2 - 0.042377 * stat ** 3 end as z,
+  case when adf_stat <= -1.61 then 2.1659 + 1.4412 * adf_stat + 0.038269 * adf_stat ** 2 else 1.7339 + 0.93202 * adf_stat - 0.12745 * adf_stat ** 2 - 0.010368 * adf_stat ** 3 end as az from stats join adf using (fold, y, x)),
+pv as (select *, case when stat < -18.86 then 0 when stat > 0.92 then 1 else """ + cdf_sql("z") + """ end as p, case when adf_stat < -18.83 then 0 when adf_stat > 2.74 then 1 else """ + cdf_sql("az") + """ end as adf_p from zz),
+od as (select *, row_number() over (partition by fold, least(y, x), greatest(y, x) order by p, y) as o from pv), ps as (select * exclude (o) from od where o = 1)"""
+_BH = _BOTH.replace("as adf_p from zz)", "as adf_p from zz where true)").replace("order by p, y) as o from pv)", "order by p, y) as o from (select * replace (case when n >= 100 and abs(beta) >= 0.01 then p end as p) from pv))") + """,
+rk as (select *, row_number() over (partition by fold, p is null order by p) as k, count(p) over (partition by fold) as m from ps),
+bh as (select *, p <= max(case when p <= 0.5 * k / m then p end) over (partition by fold) as pass from rk), bhp as (select *, coalesce(pass, false) as passes from bh)"""
+SELECTION = pr.Selection(least_rows=100, max_p=0.3, max_adf_p=0.25, fdr=0.5, min_corr=0.005, max_half_life=60.0, max_drift=5.0, min_beta=0.01, most=2)
 
 
-def tested(spark: S, sf: str) -> D:
-    p = 1 / (1 + F.exp(-F.col("stat") - 28))
-    return pr.benjamini_hochberg(stats(spark, sf).withColumns({"p": p, "adf_p": p}), 0.3)
+def walk_prices(spark: S, sf: str) -> D:
+    by = Window.partitionBy("symbol")
+    logs = event_bars(spark, sf).where("close > 0").withColumn("d", F.log("close") - F.avg(F.log("close")).over(by))
+    path = F.sum("d").over(ordered("symbol").rowsBetween(Window.unboundedPreceding, 0))
+    return logs.select(F.lit(0).alias("fold"), "ts", "symbol", F.exp(0.05 * path).alias("close"), F.exp(0.05 * path).alias("open"))
 
 
-@query(f"{PAIR} p:6 passes", PAIR_SQL + _BH + ", out as (select * from bhp)", "")
-def pair7_false_discovery(spark: S, sf: str) -> D:
-    return tested(spark, sf)
+def walk_stats(spark: S, sf: str) -> D:
+    return pr.pair_statistics(pr.pair_rows(walk_prices(spark, sf), both_orders=True))
 
 
-_GATE = _BH + """, gt as (select *, case when stat is null then 'candidate_unavailable' when not passes then 'fdr' when p > 0.2 then 'coint_pvalue' when adf_p > 0.15 then 'adf_pvalue'
-  when return_corr < -0.02 then 'return_corr' when half_life > 50 then 'half_life' when beta_drift > 20 then 'beta_drift' end as reason from bhp),
-rs as (select *, case when reason is null then row_number() over (partition by fold, reason is null order by p, half_life, beta_drift, y, x) end as rank from gt),
-sel as (select * replace (case when rank > 2 then 'max_pairs' else reason end as reason) from rs)"""
+def selected(spark: S, sf: str) -> D:
+    return pr.choose_pairs(walk_stats(spark, sf), SELECTION)
 
 
-def gated(spark: S, sf: str) -> D:
-    return pr.rejection_reason(tested(spark, sf), 0.2, 0.15, -0.02, 50.0, 20.0)
+@query(f"{PAIR} stat:5 adf_stat:5 p:7 adf_p:7", _BOTH + ", out as (select * from ps)", "")
+def pair5_engle_granger(spark: S, sf: str) -> D:
+    """Each pair in the order with the lower p-value."""
+    return pr.best_order(pr.with_p_values(walk_stats(spark, sf)))
 
 
-def selected(spark: S, sf: str) -> D:
-    return pr.select_pairs(gated(spark, sf), 2, [F.col("p"), F.col("half_life"), F.col("beta_drift")])
+@query(f"{PAIR} p:7 adf_p:7 passes", _BH + ", out as (select * from bhp)", "")
+def pair7_false_discovery(spark: S, sf: str) -> D:
+    return selected(spark, sf)
+
 
+_GATE = _BH + """, gt as (select *, case when stat is null or n < 100 or abs(beta) < 0.01 then 'candidate_unavailable' when not passes then 'fdr' when p > 0.3 then 'coint_pvalue' when adf_p > 0.25 then 'adf_pvalue'
+  when abs(return_corr) < 0.005 then 'return_corr' when half_life > 60 or half_life < 1 then 'half_life' when beta_drift > 5 then 'beta_drift' end as reason from bhp),
+rs as (select *, case when reason is null then row_number() over (partition by fold, reason is null order by p, half_life, beta_drift, y, x) end as rank from gt),
+sel as (select * replace (case when rank > 2 then 'max_pairs' else reason end as reason) from rs)"""
 
-@query(f"{PAIR} reason", PAIR_SQL + _GATE + ", out as (select * from gt)", "")
+
+@query(f"{PAIR} reason", _GATE + ", out as (select * from gt)", "")
 def pair8_gates(spark: S, sf: str) -> D:
-    return gated(spark, sf)
+    return pr.rejection_reason(pr.tested_pairs(walk_stats(spark, sf), SELECTION), SELECTION)
 
 
-@query(f"{PAIR} rank:i reason", PAIR_SQL + _GATE + ", out as (select * from sel)", "")
+@query(f"{PAIR} rank:i reason", _GATE + ", out as (select * from sel)", "")
 def win23_top_pairs(spark: S, sf: str) -> D:
     return selected(spark, sf)
 
 
-@query("fold:i reason n:i", PAIR_SQL + _GATE + ", out as (select 0 as fold, r as reason, (select count(*) from sel where reason = r) as n from (values ('candidate_unavailable'), ('fdr'), ('coint_pvalue'), ('adf_pvalue'), ('return_corr'), ('half_life'), ('beta_drift'), ('max_pairs')) v(r))", "")
+@query("fold:i reason n:i", _GATE + ", out as (select 0 as fold, r as reason, (select count(*) from sel where reason = r) as n from (values ('candidate_unavailable'), ('fdr'), ('coint_pvalue'), ('adf_pvalue'), ('return_corr'), ('half_life'), ('beta_drift'), ('max_pairs')) v(r))", "")
 def pair9_rejections(spark: S, sf: str) -> D:
     return pr.rejection_counts(selected(spark, sf))
 
@@ -167,18 +177,28 @@ def pair13_legs(spark: S, sf: str) -> D:
     return pr.pair_legs(states(spark, sf), 0.5)
 
 
-@query(f"{PAIR} n:i return_corr:6 spread_std:6 half_life:5", PAIR_SQL + ", out as (select * from stats)", "")
+_LATER = WALK_SQL + """, mid as (select quantile_disc(ts, 0.5) as t from px), f1 as (select fold, y, x, regr_intercept(ly, lx) as alpha, regr_slope(ly, lx) as beta from pairs, mid where ts <= t group by 1, 2, 3),
+s1 as (select fold, y, x, ts, ly, lx, ly - alpha - beta * lx as s from pairs join f1 using (fold, y, x), mid where ts > t),
+s2 as (select *, lag(s) over w as b, s - lag(s) over w as d, ly - lag(ly) over w as dy, lx - lag(lx) over w as dx from s1 window w as (partition by fold, y, x order by ts)),
+s3 as (select fold, y, x, count(*) as n, corr(dy, dx) as return_corr, stddev_samp(s) as spread_std, regr_slope(d, b) as sl, regr_sxx(d, b) as xx, regr_sxy(d, b) as xy, regr_syy(d, b) as yy, count(b) as m from s2 group by 1, 2, 3),
+out as (select fold, y, x, n, return_corr, spread_std, case when sl >= -1e-12 then 'inf'::double else greatest(1, -ln(2) / sl) end as half_life, sl / sqrt((yy - sl * xy) / (m - 2) / xx) as adf_stat from s3)"""
+
+
+@query(f"{PAIR} n:i return_corr:6 spread_std:6 half_life:4 adf_stat:5", _LATER, "")
 def pair14_diagnostics(spark: S, sf: str) -> D:
-    return stats(spark, sf)
+    """Pairs fitted on the first half of the hours and judged on the second."""
+    all_rows = pr.pair_rows(walk_prices(spark, sf))
+    middle = walk_prices(spark, sf).agg(F.expr("percentile_disc(0.5) within group (order by ts)").alias("t")).first()["t"]
+    return pr.pair_diagnostics(all_rows.where(F.col("ts") > middle), pr.hedge_ratios(all_rows.where(F.col("ts") <= middle)))
 
 
-_CHOSEN = "chosen as (select distinct p_size % 6 as fold, p_brand as y, substr(p_type, 1, 5) as x from part where p_size < 12)"
+_CHOSEN = "chosen as (select distinct p_size % 6 as fold, p_brand as y, substr(p_type, 1, 5) as x from part where p_retailprice < 950)"
 
 
 @query("fold:i added:i dropped:i turnover:6", _CHOSEN + """, f as (select a.fold is not null as now, b.fold is not null as past, coalesce(a.fold, b.fold + 1) as fold from chosen a full join chosen b on b.fold + 1 = a.fold and a.y = b.y and a.x = b.x),
 out as (select fold, count(*) filter (not past) as added, count(*) filter (not now) as dropped, count(*) filter (not past or not now) / count(*) as turnover from f where fold <= (select max(fold) from chosen) group by 1)""", "")
 def pair15_turnover(spark: S, sf: str) -> D:
-    c = read(spark, sf, "part").where("p_size < 12").select((F.col("p_size") % 6).alias("fold"), F.col("p_brand").alias("y"), F.substring("p_type", 1, 5).alias("x")).distinct()
+    c = read(spark, sf, "part").where("p_retailprice < 950").select((F.col("p_size") % 6).alias("fold"), F.col("p_brand").alias("y"), F.substring("p_type", 1, 5).alias("x")).distinct()
     return pr.fold_turnover(c)
 
 
@@ -265,14 +285,39 @@ def fac6_s_scores(spark: S, sf: str) -> D:
     return s_scores(spark, sf)
 
 
-@query("ts:s symbol sscore:4 half_life:4 valid tradeable")
+@query("ts:s symbol rebalance:s active valid sscore:4 half_life:4 tradeable")
 def fac7_residual_panel(spark: S, sf: str) -> D:
-    return fc.residual_panel(rets(spark, sf), price_bars(spark, sf).select("ts").distinct(), 60, 40, 2, 40)
+    """Scores of every bar against two eigenportfolios, volume time on."""
+    return fc.residual_panel(price_bars(spark, sf), fc.ResidualSpec(60, 40, 2, 5, 1.0, 1000.0, 30.0, volume_time=True)).scores
+
 
+FUND = fc.ResidualSpec(60, 40, 1, 5, 1.0, 1000.0, 4.0, funds=("Brand#11",))
+_FUND = f"""cal as (select ts, row_number() over (order by ts) - 1 as pos from (select distinct ts from bars)), grid as (select cal.pos, cal.ts, s.symbol, close, volume from cal cross join (select distinct symbol from bars) s left join bars b on b.ts = cal.ts and b.symbol = s.symbol),
+pr as (select *, close / lag(close) over (partition by symbol order by pos) - 1 as ret from grid),
+el as (select *, count(ret) over (partition by symbol order by pos rows between 59 preceding and current row) >= 60 and close >= 1 and count(close * volume) over w20 >= 20 and quantile_cont(close * volume, 0.5) over w20 >= 1000 and symbol <> 'Brand#11' as ok from pr window w20 as (partition by symbol order by pos rows between 19 preceding and current row)),
+cand as (select pos, ts, symbol from el where ok and pos >= 100), fund as (select pos, coalesce(ret, 0) as f from pr where symbol = 'Brand#11'),
+win as (select c.pos as aw, c.ts, c.symbol, p.pos, p.ret, f from cand c join pr p on p.symbol = c.symbol and p.pos > c.pos - 40 and p.pos <= c.pos join fund on fund.pos = p.pos),
+fit as (select aw, ts, symbol, count(ret) = 40 as active, regr_slope(ret, f) as beta, regr_intercept(ret, f) as alpha from win group by 1, 2, 3),
+xs as (select w.aw, w.symbol, w.pos, sum(ret - alpha - beta * f) over (partition by w.aw, w.symbol order by w.pos rows between unbounded preceding and current row) as x from win w join fit using (aw, symbol) where active),
+lg as (select *, lag(x) over (partition by aw, symbol order by pos) as b0 from xs),
+of as (select aw, symbol, regr_slope(x, b0) as b, regr_intercept(x, b0) as a, arg_max(x, pos) as x_end, regr_syy(x, b0) as yy, regr_sxy(x, b0) as xy, count(b0) as n from lg group by 1, 2),
+ou as (select *, b > 0 and b < 1 as inside, case when b > 0 and b < 1 then sqrt(greatest(yy - b * xy, 0) / (n - 2) / (1 - b * b)) end as sg from of),
+ss as (select fit.aw as pos, ts, symbol, active, coalesce(inside and sg > 1e-9, false) as valid, case when inside then -ln(2) / ln(b) end as half_life, case when inside and sg > 1e-9 then (x_end - a / (1 - b) - alpha / -ln(b)) / sg end as sscore from fit left join ou using (aw, symbol))"""
 
-@query("evaluations:i invalid_rate:6 slow_rate:6 missing_rate:6", _SC + ", out as (select count(*) as evaluations, avg((not valid)::int) as invalid_rate, avg((valid and half_life > 4)::int) as slow_rate, avg((sscore is null)::int) as missing_rate from ss)")
+
+def fund_panel(spark: S, sf: str) -> fc.ResidualPanel:
+    return fc.residual_panel(price_bars(spark, sf), FUND)
+
+
+@query("ts:s symbol active valid sscore:3 half_life:3 tradeable", _FUND + ", out as (select *, valid and half_life <= 4 as tradeable from ss)")
+def fac7_fund_panel(spark: S, sf: str) -> D:
+    """Scores of every bar against one fund."""
+    return fund_panel(spark, sf).scores
+
+
+@query("evaluations:i invalid_rate:6 slow_rate:6 missing_rate:6", _FUND + ", out as (select count(*) filter (active) as evaluations, count(*) filter (active and not valid) / count(*) filter (active) as invalid_rate, count(*) filter (active and valid and half_life > 4) / count(*) filter (active) as slow_rate, count(*) filter (not active) / count(*) as missing_rate from ss)")
 def fac8_health(spark: S, sf: str) -> D:
-    return fc.signal_health(s_scores(spark, sf).withColumn("active", F.lit(True)), 4.0)
+    return fc.signal_health(fund_panel(spark, sf).scores, 4.0)
 
 
 _REV = EVENT_BARS_SQL + f""", zz as (select symbol, ts, round((close - avg(close) over w) / stddev_samp(close) over w, 6) as sscore, volume > 1 as ok, row_number() over (partition by symbol order by ts) as rn from ebars window w as (partition by symbol order by ts rows between 19 preceding and current row)),
@@ -282,9 +327,12 @@ scan as (select symbol, ts, rn, case when not ok or sscore is null then 0 when s
 
 @query("symbol ts:i state:i", _REV + ", out as (select * from scan)", "", recursive=True)
 def fac9_reversion_states(spark: S, sf: str) -> D:
+    return fc.reversion_positions(reversion_scores(spark, sf), ["symbol"])
+
+
+def reversion_scores(spark: S, sf: str) -> D:
     w = ordered("symbol").rowsBetween(-19, 0)
-    z = event_bars(spark, sf).select("symbol", "ts", F.round((F.col("close") - F.avg("close").over(w)) / F.stddev_samp("close").over(w), 6).alias("sscore"), (F.col("volume") > 1).alias("ok"))
-    return fc.reversion_positions(z, ["symbol"])
+    return event_bars(spark, sf).select("symbol", "ts", F.round((F.col("close") - F.avg("close").over(w)) / F.stddev_samp("close").over(w), 6).alias("sscore"), (F.col("volume") > 1).alias("ok"))
 
 
 _BOOK = _SC + """, sd as (select ts, symbol, case when sscore < -0.5 then 1 when sscore > 0.5 then -1 else 0 end as state from ss), lo as (select distinct rebalance as ts, symbol, 0 as factor, beta from re),
@@ -310,17 +358,20 @@ def fac11_conviction_and_band(spark: S, sf: str) -> D:
 # news --------------------------------------------------------------------------
 
 
-def _hits(words: tuple[str, ...]) -> str:
-    return " + ".join(f"(contains(lower(title), '{w}') or contains(lower(description), '{w}'))::int" for w in words)
+def _hits(words: str) -> str:
+    return " + ".join(f"(contains(lower(title), '{w}') or contains(lower(description), '{w}'))::int" for w in words.split())
 
 
-SCORE_SQL = NEWS_SQL + f""", hit as (select article_id, symbol, published, {_hits(sn.POSITIVE)} as p, {_hits(sn.NEGATIVE)} as n from news),
+_FOR = _hits("positive bullish upbeat optimistic growth profit up gain surge rally strong beat exceed outperform upgrade buy recommend success innovation partnership launch record dividend buyback")
+_AGAINST = _hits("negative bearish pessimistic downbeat decline loss down drop fall plunge weak miss underperform downgrade sell avoid fail layoff cut delay recall investigation lawsuit debt default bankruptcy")
+SCORE_SQL = NEWS_SQL + f""", hit as (select article_id, symbol, published, {_FOR} as p, {_AGAINST} as n from news),
 scored as (select article_id, symbol, published, case when p + n > 0 then (p - n) / (p + n) else 0 end as score from hit)"""
 
 
 def scored(spark: S, sf: str) -> D:
-    n = news(spark, sf)
-    return n.select("article_id", "symbol", "published", sn.keyword_score(F.col("title"), F.col("description")).alias("score"))
+    """Every document is scored once; its articles share the score."""
+    scores = sn.keyword_scores(stories(spark, sf)).select("doc_id", "score")
+    return publications(spark, sf).join(scores, "doc_id").drop("doc_id")
 
 
 @query("article_id:i symbol score:6", SCORE_SQL + ", out as (select * from scored)", "")
@@ -350,7 +401,7 @@ ag as (select symbol, ts, avg(score) as score, count(*) as news, case when count
 
 def calendar(spark: S, sf: str) -> D:
     day = (F.floor(F.col("published") / 86400) * 86400).cast("long")
-    return news(spark, sf).select("symbol", day.alias("ts")).distinct().withColumn("close_at", F.col("ts") + 3600 * 6)
+    return publications(spark, sf).select("symbol", day.alias("ts")).distinct().withColumn("close_at", F.col("ts") + 3600 * 6)
 
 
 @query("symbol ts:i article_id:i", SCORE_SQL + _DAILY + ", out as (select * from placed)", "")
@@ -369,15 +420,15 @@ def sen1_bar_sentiment(spark: S, sf: str) -> D:
 
 @query("fold:i member mae:5 n:i")
 def mod1_boosted_forecast(spark: S, sf: str) -> D:
-    """Skill of boosted trees on the last fold against a forecast of nothing."""
+    """Skill of boosted trees on every fold against a forecast of nothing."""
     from barloom.operators import features as ft
     from barloom.plans.feature_queries import _folds
 
-    assigned = _folds(spark, sf)[0].where("fold = 3")
+    assigned = _folds(spark, sf)[0]
     names = [f"r{k}" for k in (1, 2, 5)]
-    w = ordered("symbol")
+    w = ordered("symbol", "fold")
     rows_ = assigned.withColumns({n: F.log(F.col("close") / F.lag("close", int(n[1:])).over(w)) for n in names}).withColumn("y", F.log(F.lead("close").over(w) / F.col("close")))
-    predicted, _ = mb.boosted_forecast(rows_.where("role = 'train'"), rows_.where("role = 'test' and y is not null"), names, "y", rounds=8)
+    predicted = wf.out_of_fold(rows_, names, "y", 4, rounds=8).join(rows_.where("role = 'test' and y is not null").select("symbol", "ts", "fold", "y"), ["symbol", "ts", "fold"])
     items = F.array(F.struct(F.lit("boosted").alias("member"), F.abs(F.col("forecast") - F.col("y")).alias("e")), F.struct(F.lit("nothing").alias("member"), F.abs("y").alias("e")))
     return predicted.select("fold", F.inline(items)).groupBy("fold", "member").agg(F.avg("e").alias("mae"), F.count("*").alias("n"))
 

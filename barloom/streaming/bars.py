@@ -29,11 +29,22 @@ def stream_mean(bars: DataFrame, size: str, slide: str, late: str) -> DataFrame:
 
 
 def stream_sentiment(news: DataFrame, calendar: DataFrame, late: str) -> DataFrame:
-    """Score and number of the news of each bar; ``calendar(symbol, prev_close, close_at)`` is static."""
-    timed = news.withColumn("published", F.col("published").cast("timestamp")).withWatermark("published", late)
-    placed = timed.join(calendar, "symbol").where("published > prev_close and published <= close_at")
-    day = F.window("published", "1 day")
-    return placed.groupBy("symbol", day, "close_at").agg(F.avg("score").alias("score"), F.count("*").alias("news")).drop("window")
+    """Score, number and momentum of the news of each bar; ``calendar(symbol, prev_close, close_at)`` is static.
+
+    The closes of a symbol are one sorted array, so a piece of news meets its
+    symbol's row alone; the first close at or after it is its bar, which is
+    given out once the watermark has passed it. Momentum is
+    the mean of the newer half less that of the rest, 0 below two.
+    """
+    closes = calendar.groupBy("symbol").agg(F.array_sort(F.collect_list("close_at")).alias("closes"))
+    timed = news.withColumn("published", F.col("published").cast("timestamp")).join(closes, "symbol")
+    placed = timed.withColumn("close_at", F.get(F.filter("closes", lambda c: c >= F.col("published")), F.lit(0))).where("close_at is not null").withWatermark("close_at", late)
+    items = F.array_sort(F.collect_list(F.struct((-F.unix_micros("published")).alias("at"), "article_id", "score")))
+    bars = placed.groupBy("symbol", "close_at").agg(F.avg("score").alias("score"), F.count("*").alias("news"), items.alias("n"))
+    half = F.floor(F.size("n") / 2).cast("int")
+    mean = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x["score"]) / F.size(part)
+    momentum = F.when(F.size("n") >= 2, mean(F.slice("n", F.lit(1), half)) - mean(F.slice("n", half + 1, F.size("n")))).otherwise(0.0)
+    return bars.select("symbol", "close_at", "score", "news", momentum.alias("momentum"))
 
 
 def _keyed(rows: DataFrame, key: str, step: Callable[[Any, dict], tuple[Any, Any]], kind: str, columns: list[str], name: str) -> DataFrame:

@@ -123,8 +123,148 @@ def test_eigenportfolios_against_numpy(spark):
     v = vector[:, -1] * np.sign(vector[:, -1].sum())
     got = q[(q["rebalance"] == at) & (q["factor"] == 0)].set_index("symbol")["weight"]
     assert np.allclose(got.loc[list(w.columns)], v / w.std().to_numpy())
-    panel = fc.residual_panel(r, bars.select("ts").distinct(), 60, 40, 2, 20)
-    assert panel.count() == 8 * windows.count() and panel.where("tradeable and not valid").count() == 0
+
+
+def plain_scores(bars, spec, funds=()):
+    """The panel day by day with numpy, from wide frames."""
+    close, volume = (bars.pivot(index="ts", columns="symbol", values=c) for c in ("close", "volume"))
+    ret = (close / close.shift(1) - 1).where(close.notna())
+    known = ret.rolling(spec.corr_window).count() >= spec.corr_window
+    dollar = (close * volume).rolling(20).median()
+    ok = (known & (close >= spec.least_price) & (dollar >= spec.least_dollar)).to_numpy() & ~np.isin(close.columns, funds)
+    weight = 1.0
+    if spec.volume_time:
+        weight = (volume.rolling(spec.volume_window, min_periods=max(2, spec.volume_window // 2)).mean() / volume).clip(1 / spec.volume_clip, spec.volume_clip).fillna(1.0).to_numpy()
+    r, names, out, q, held = ret.to_numpy(), list(close.columns), {}, None, None
+    dep = r * weight
+    for t in range(spec.corr_window, len(r)):
+        if funds:
+            q, held = np.array([[float(n == f) for n in names] for f in funds]), ~np.isin(names, funds)
+        elif (t - spec.corr_window) % spec.every == 0 and ok[t].sum() >= spec.factors + 2:
+            w = r[t - spec.corr_window + 1 : t + 1][:, ok[t]]
+            z = (w - w.mean(axis=0)) / w.std(axis=0, ddof=1)
+            _, v = np.linalg.eigh(z.T @ z / (len(z) - 1))
+            q = np.zeros((spec.factors, len(names)))
+            for j in range(spec.factors):
+                e = v[:, -1 - j]
+                q[j, ok[t]] = e * (1 if e.sum() >= 0 else -1) / w.std(axis=0, ddof=1)
+            held = ok[t].copy()
+        if q is None or t < spec.warmup:
+            continue
+        inside = r[t - spec.regr_window + 1 : t + 1]
+        a = np.column_stack([np.ones(len(inside)), np.nan_to_num(inside) @ q.T])
+        for i in np.flatnonzero(held & ok[t]):
+            if not np.isfinite(inside[:, i]).all():
+                out[close.index[t], names[i]] = (False, None)
+                continue
+            y = dep[t - spec.regr_window + 1 : t + 1, i]
+            c = np.linalg.lstsq(a, y, rcond=None)[0]
+            x = np.cumsum(y - a @ c)
+            b, m0 = np.polyfit(x[:-1], x[1:], 1)
+            if not 0 < b < 1:
+                out[close.index[t], names[i]] = (True, None)
+                continue
+            e = x[1:] - m0 - b * x[:-1]
+            s = np.sqrt((e @ e) / (len(e) - 2) / (1 - b * b))
+            out[close.index[t], names[i]] = (True, (x[-1] - m0 / (1 - b) - c[0] / -np.log(b)) / s)
+    return out
+
+
+@pytest.mark.parametrize("funds, volume_time", [((), False), ((), True), (("A", "B"), False)])
+def test_residual_panel_day_by_day(spark, funds, volume_time):
+    rng = np.random.default_rng(5)
+    bars = walk(spark, 120, tuple("ABCDEFGH"), seed=12).toPandas()
+    bars["volume"] = rng.integers(500, 5000, len(bars)).astype(float)
+    bars = bars[~((bars["symbol"] == "H") & (bars["ts"] == sorted(bars["ts"].unique())[95]))]  # a day without a bar
+    df = spark.createDataFrame(bars[["symbol", "ts", "close", "volume"]])
+    spec = fc.ResidualSpec(40, 20, 2, 7, 0.0, 0.0, 30.0, volume_time, 20, 4.0, funds)
+    found = fc.residual_panel(df, spec)
+    got = {(r["ts"], r["symbol"]): (r["active"], r["sscore"]) for r in found.scores.collect()}
+    want = plain_scores(bars, spec, funds)
+    assert set(got) == set(want) and len({k[0] for k in got}) > 50
+    for key, (active, score) in want.items():
+        assert got[key][0] == active and (got[key][1] is None if score is None else got[key][1] == pytest.approx(score, rel=1e-6, abs=1e-6))
+    # what comes later changes nothing
+    early = sorted(bars["ts"].unique())[:100]
+    before = fc.residual_panel(spark.createDataFrame(bars[bars["ts"].isin(early)][["symbol", "ts", "close", "volume"]]), spec).scores.collect()
+    assert before and all(got[r["ts"], r["symbol"]][1] == (pytest.approx(r["sscore"]) if r["sscore"] is not None else None) for r in before)
+
+
+def test_skipped_rebalances_are_counted(spark):
+    bars = walk(spark, 90, tuple("ABCDE"), seed=3).withColumn("volume", F.lit(1000.0)).select("symbol", "ts", "close", "volume")
+    found = fc.residual_panel(bars, fc.ResidualSpec(40, 20, 4, 5, 0.0, 0.0))
+    assert found.rebalances.where("used").count() == 0 and found.rebalances.count() == 10 and found.scores.count() == 0
+
+
+def test_walk_forward_of_residuals(spark):
+    from barloom.operators import walkforward as wf
+
+    bars = walk(spark, 140, tuple("ABCDEFGH"), seed=21).withColumn("volume", F.lit(1000.0))
+    panel = fc.residual_panel(bars.select("symbol", "ts", "close", "volume"), fc.ResidualSpec(40, 20, 2, 5, 0.0, 0.0))
+    report = wf.residual_report(panel, bars, folds.calendar_slices(bars, 70, 25, least_test=5), 0.05, band=0.001)
+    by_fold = report["folds"].collect()
+    assert [r["fold"] for r in sorted(by_fold, key=lambda r: r["fold"])] == [0, 1, 2]
+    last = report["targets"].groupBy("fold").agg(F.max("ts").alias("ts"))
+    assert report["targets"].join(last, ["fold", "ts"]).where("target <> 0").count() == 0
+    gross = report["targets"].groupBy("ts").agg(F.sum(F.abs("target")).alias("g"), F.max(F.abs("target")).alias("m")).agg(F.max("g"), F.max("m")).first()
+    assert 0 < gross[0] <= 1 + 1e-9 and gross[1] <= 0.35
+    one = report["summary"].first()
+    assert one["folds"] == 3 and one["evaluations"] == sum(r["evaluations"] for r in by_fold) > 0
+
+
+def test_walk_forward_of_pairs(spark):
+    from barloom.operators import walkforward as wf
+
+    rng = np.random.default_rng(1)
+    x, gap = np.cumsum(rng.normal(0, 0.01, 400)) + 4, np.zeros(400)
+    for t in range(1, 400):
+        gap[t] = 0.8 * gap[t - 1] + rng.normal(0, 0.01)
+    paths = {"AAA": x, "BBB": 0.1 + 0.9 * x + gap, "YYY": np.cumsum(rng.normal(0, 0.01, 400)), "ZZZ": np.cumsum(rng.normal(0, 0.01, 400))}
+    bars = spark.createDataFrame([(d, s, float(np.exp(v)), float(np.exp(v))) for s, path in paths.items() for d, v in zip(days(400), path)], "ts date, symbol string, open double, close double")
+    out = wf.pairs_report(bars, folds.calendar_slices(bars, 250, 60), pr.Selection(least_rows=100, most=2), wf.PairBook(1.0, 0.2, 5.0, 1.0, 40, 20), lags=False)
+    chosen = {(r["fold"], *sorted((r["y"], r["x"]))) for r in out["candidates"].where("reason is null").collect()}
+    assert {(0, "AAA", "BBB"), (1, "AAA", "BBB")} <= chosen
+    counts = {(r["fold"], r["reason"]): r["n"] for r in pr.rejection_counts(out["candidates"]).collect()}
+    assert all(sum(n for (f, _), n in counts.items() if f == fold) + sum(c[0] == fold for c in chosen) == 6 for fold in (0, 1))
+    assert out["trials"].count() == len(chosen) and out["diagnostics"].count() == len(chosen)
+    one = out["summary"].first()
+    assert one["bars"] == 60 * 2 + 29 or one["bars"] > 120
+    assert one["trials"] == len(chosen) and 0 <= one["pair_set_dsr"] <= 1
+    assert out["turnover"].where("fold = 0").first()["turnover"] == 1.0
+
+
+def test_gates_look_at_absolute_correlation(spark):
+    rows = [(0, "A", "B", 300, 1.0, -0.6, 5.0, 0.1, -5.0, 0.01, 0.01, True), (0, "A", "C", 300, 1.0, 0.1, 5.0, 0.1, -5.0, 0.01, 0.01, True), (0, "B", "C", 300, 1.0, 0.5, float("inf"), 0.1, -5.0, 0.01, 0.01, True), (0, "B", "D", 20, 1.0, 0.5, 5.0, 0.1, -5.0, 0.01, 0.01, True)]
+    df = spark.createDataFrame(rows, "fold int, y string, x string, n long, beta double, return_corr double, half_life double, beta_drift double, stat double, p double, adf_p double, passes boolean")
+    got = {(r["y"], r["x"]): r["reason"] for r in pr.rejection_reason(df, pr.Selection()).collect()}
+    assert got == {("A", "B"): None, ("A", "C"): "return_corr", ("B", "C"): "half_life", ("B", "D"): "candidate_unavailable"}
+
+
+def test_replay_stops_without_a_saved_column(spark):
+    from barloom.operators import scaling
+
+    rows = spark.createDataFrame([("A", 0, dt.date(2020, 1, 1), 1.0)], "symbol string, fold int, ts date, close double")
+    state = spark.createDataFrame([("A", 0, "close", None, None, 0.0, 2.0)], "symbol string, fold int, column string, low double, high double, center double, width double")
+    assert scaling.replay(rows, state, ["close"]).first()["close"] == 0.5
+    with pytest.raises(ValueError, match="spread"):
+        scaling.replay(rows, state, ["close", "spread"])
+
+
+def test_column_groups():
+    from barloom.operators import walkforward as wf
+
+    groups = wf.column_groups(["open", "ma5", "volume_ma5", "rsi_14", "x_sentiment_score", "target_5"], lambda c: c.startswith("target"))
+    assert groups == {"price": ["open", "ma5"], "volume": ["volume_ma5"], "sentiment": ["x_sentiment_score"], "technical": ["rsi_14", "x_sentiment_score"], "label": ["target_5"]}
+
+
+def test_seasonal_trend_of_each_symbol(spark):
+    from barloom.operators import members as mb
+
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(days=7 * i), level + slope * i + 0.1 * np.sin(2 * np.pi * 7 * i / 365.25)) for s, level, slope in (("A", 1.0, 0.01), ("B", 100.0, -0.05)) for i in range(200)]
+    df = spark.createDataFrame([(s, d, float(v)) for s, d, v in rows], "symbol string, ts date, close double")
+    cut = F.col("ts") < F.lit("2023-01-01").cast("date")
+    found = mb.seasonal_trend(df.where(cut), df.where(~cut), []).join(df, ["symbol", "ts"]).collect()
+    assert found and all(abs(r["forecast"] - r["close"]) < 0.05 for r in found)
 
 
 def test_mean_reversion_is_recovered(spark):
@@ -361,6 +501,7 @@ def test_stream_mean_and_sentiment(spark, tmp_path):
     full = {r.ts: r.mean for r in means.itertuples() if r.ts >= pd.Timestamp("2020-01-01 04:00")}
     assert full[pd.Timestamp("2020-01-01 10:00")] == pytest.approx(np.mean([6, 7, 8, 9]))
     cal = spark.createDataFrame([("A", dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 1, 16)), ("A", dt.datetime(2020, 1, 1, 16), dt.datetime(2020, 1, 2, 16))], "symbol string, prev_close timestamp, close_at timestamp")
-    news = stream.select("symbol", F.col("ts").alias("published"), F.col("close").alias("score"))
+    news = stream.select("symbol", F.col("ts").alias("published"), F.col("close").alias("score"), F.hour("ts").alias("article_id"))
     out = run_stream(st.stream_sentiment(news, cal, "1 hour"), tmp_path, "news_out").toPandas()
-    assert out[out["close_at"] == pd.Timestamp("2020-01-01 16:00")]["news"].sum() == 16
+    first = out[out["close_at"] == pd.Timestamp("2020-01-01 16:00")].iloc[0]
+    assert (first["news"], first["score"], first["momentum"]) == (17, 8.0, np.mean(range(9, 17)) - np.mean(range(9)))
