@@ -2,7 +2,8 @@
 
 An iterative operator cuts its lineage by writing a table and reading it
 back. The tables go below ``spark.checkpoint.dir`` of the session, so a lost
-executor costs only the tasks it ran. They are removed when the driver exits.
+executor costs only the tasks it ran. They are removed when the driver exits,
+or by ``drop`` once nothing reads them.
 """
 
 from __future__ import annotations
@@ -42,15 +43,26 @@ def keep(df: DataFrame) -> DataFrame:
     # Spark drops shuffle files when the driver collects what points to them; a plan of many steps should not wait
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` returned; nothing may read them any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.kept_at)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _clear() -> None:
     for home, spark in _used.items():
         try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(home)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, home)
         except Exception:  # noqa: BLE001  the session may be gone already
             pass
 

@@ -3,8 +3,10 @@
 Every string of ``length`` bytes holds the smallest hash of its ``gram``-byte
 substrings, so two equal strings hold equal grams at equal places: these grams
 are the anchors. Anchors that occur once in the collection cannot lie in a
-repeat. Each other anchor brings its context, the bytes of all strings of
-``length`` that contain it, to the task of its gram.
+repeat. Around each other anchor lies its context, the bytes of all strings of
+``length`` that contain it. Anchors with the same context repeat all of it, as
+a hash of the context shows; one of them stands for all from there on, and
+only where a gram has different contexts do bytes go to the task of the gram.
 
 There the contexts are a small collection of documents, and its suffix order
 is built column by column from the right: each round inserts one symbol of
@@ -13,44 +15,49 @@ suffixes one symbol shorter into the order of the new ones) and carries the
 array of common prefixes along. Neighbours with a common prefix of ``length``
 or more start equal strings. A round reads its two arrays front to back.
 
-Inserting whole documents that way would take a round for each byte of the
-longest document over the whole collection; contexts bound the rounds by
+A gram with very many different contexts gives way to longer grams: of the
+bytes of a string beside the gram, at least half stand on one side of it, so
+the gram and those bytes are a gram of two groups that are each half as wide.
+
+Inserting whole documents would take a round for each byte of the longest
+document over the whole collection; contexts bound the rounds by
 2 * length - gram and split the collection into independent tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.scratch import keep
+from barloom.llm.rows import with_keys
+from barloom.llm.scratch import drop, keep
 
 LENGTH, GRAM = 400, 100
-#: Contexts of one gram in one task; a gram with more is split.
-SPLIT = 1024
+#: Different contexts of one gram in one task; a gram with more gives way to longer ones.
+SPLIT = 4096
 #: Contexts ordered at once; groups are never cut.
 BATCH = 4096
 _BASE = 0x9E3779B97F4A7C15
-_BASE2 = 0xC2B2AE3D27D4EB4F
 _PIECE = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
-def _power_table(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2**64."""
-    found = _powers.get(base)
-    if found is None or len(found[0]) < size:
+def _power_table(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < size:
         size = max(size, 1 << 16)
-        ones = np.full(size, base, dtype=np.uint64)
-        back = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
+        ones = np.full(size, _BASE, dtype=np.uint64)
+        back = np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
         ones[0] = back[0] = 1
-        found = _powers[base] = (np.multiply.accumulate(ones), np.multiply.accumulate(back))
-    return found
+        _powers[:] = [np.multiply.accumulate(ones), np.multiply.accumulate(back)]
+    return _powers
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -58,13 +65,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def gram_hashes(data: np.ndarray, gram: int, base: int = _BASE) -> np.ndarray:
-    """Hash of the ``gram`` bytes from each position on; along the last axis."""
-    up, down = _power_table(base, data.shape[-1] + 1)
-    n = data.shape[-1]
-    sums = np.zeros((*data.shape[:-1], n + 1), dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], axis=-1, out=sums[..., 1:])
-    return _mixed((sums[..., gram:] - sums[..., : n - gram + 1]) * down[: n - gram + 1])
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each position on."""
+    n = len(data)
+    up, down = _power_table(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    return _mixed((sums[gram:] - sums[: n - gram + 1]) * down[: n - gram + 1])
 
 
 def anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +129,7 @@ def columnwise_order(matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def _ordered_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole groups of (gram, salt), BATCH rows or a little more at a time; the input is sorted by them."""
+    """Whole groups of a gram, BATCH rows or a little more at a time; the input is sorted by the gram."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -131,10 +138,10 @@ def _ordered_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if rows < BATCH:
             continue
         table = pa.Table.from_batches(held)
-        gram, salt = table.column("gram").to_numpy(), table.column("salt").to_numpy()
-        ends = np.flatnonzero((gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])) + 1
+        gram = table.column("gram").to_numpy()
+        ends = np.flatnonzero(gram[1:] != gram[:-1]) + 1
         start = 0
-        while (later := ends[ends >= start + BATCH]).size or (start == 0 and rows < BATCH):
+        while (later := ends[ends >= start + BATCH]).size:
             yield table.slice(start, int(later[0]) - start)
             start = int(later[0])
         held, rows = table.slice(start).to_batches(), table.num_rows - start
@@ -185,68 +192,72 @@ def _repeats(length: int, gram: int):
     return run
 
 
-def _distinct_strings(length: int, gram: int):
-    """``(h1, h2, doc, lo)``: one row for each different string of each part of a split gram.
+def _rows_in_batches(rows: Iterator[tuple], kinds: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    ``doc`` is null where the string repeats inside the part; ``_repeats``
-    finds those, as it never cuts a part either.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = length - gram
-        for table in _ordered_groups(batches):
-            matrix, first, last = _matrix(table, length, gram)
-            one, two = gram_hashes(matrix, length), gram_hashes(matrix, length, _BASE2)
-            # a string meets its copies at the same place of the same gram, and itself at other places
-            one ^= table.column("gram").to_numpy().view(np.uint64)[:, None]
-            doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy().astype(np.int64)
-            grams, salts = table.column("gram").to_numpy(), table.column("salt").to_numpy()
-            group = np.cumsum(np.append(False, (grams[1:] != grams[:-1]) | (salts[1:] != salts[:-1])))
-            groups = int(group[-1]) + 1
-            for column, order, common in columnwise_order(matrix):
-                if column > lead:
-                    continue
-                # equal strings are neighbours in the order; a group gives each once, whatever else its table holds
-                run = np.cumsum(common < length)
-                _, heads, copies = np.unique(run * groups + group[order], return_index=True, return_counts=True)
-                lone = copies == 1
-                rows = order[heads]
-                fits = (first[rows] <= column) & (last[rows] >= column + length)
-                rows, lone = rows[fits], lone[fits]
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(_mixed(one[rows, column] + np.uint64(column)).view(np.int64)), pa.array(two[rows, column].view(np.int64)),
-                         pa.array(doc[rows], pa.int64(), mask=~lone), pa.array(place[rows] - lead + column)],
-                        names=["h1", "h2", "doc", "lo"],
-                    )
+def _contexts(length: int, gram: int):
+    """``(gram, doc, place, lead, context)`` of the marks ``(place, gram)`` of every text."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
-    return run
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                text = texts[i].as_py()
+                for m in batch.column(2)[i].as_py():
+                    at, left = m["place"], min(m["place"], length - gram)
+                    yield m["gram"], doc, at, left, text[at - left : at + length]
 
+    return lambda batches: _rows_in_batches(rows(batches), kinds, _CONTEXT_NAMES)
 
-def _contexts(length: int, gram: int):
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    names = ["gram", "salt", "doc", "place", "lead", "context"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, rows = length - gram, []
+_CONTEXT_NAMES = ["gram", "doc", "place", "lead", "context"]
+_CONTEXT = "gram long, doc long, place long, lead int, context binary"
+
+
+def context_hash(context: bytes, lead: int) -> tuple[int, int]:
+    """128 bits of a context and of where its gram stands, as two signed numbers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(context, lead))
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+def _halves(length: int, gram: int, half: int):
+    """The contexts of a gram as contexts of the two grams that are ``half`` bytes longer, with their hashes.
+
+    The longer gram reaches ``half`` bytes on or begins ``half`` bytes
+    before; contexts that hold no string of ``length`` around it drop out.
+    """
+    kinds, rest = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), length - gram - half
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            for i, doc in enumerate(docs):
-                text = texts[i].as_py()
-                for m in batch.column(2)[i].as_py():
-                    at, left = m["place"], min(m["place"], lead)
-                    rows.append((m["gram"], m["salt"], doc, at, left, text[at - left : at + length]))
-                if len(rows) >= BATCH:
-                    yield batch_of(rows)
-                    rows = []
-        if rows:
-            yield batch_of(rows)
+            for r in batch.to_pylist():
+                for back in (0, half):
+                    at = r["lead"] - back
+                    begin, end = max(0, at - rest), min(len(r["context"]), at + length)
+                    if at < 0 or at + gram + half > len(r["context"]) or end - begin < length:
+                        continue
+                    key = struct.unpack("<q", xxhash.xxh3_64_digest(r["context"][at : at + gram + half]))[0]
+                    context = r["context"][begin:end]
+                    yield key, r["doc"], r["place"] - back, at - begin, context, *context_hash(context, at - begin)
+
+    return lambda batches: _rows_in_batches(rows(batches), kinds, [*_CONTEXT_NAMES, "w1", "w2"])
 
-    return run
+
+def _classes(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc, lo, hi)`` of contexts that repeat as a whole, and ``(gram, doc, place, n)``: one mark for each different context of the grams that have ``n`` > 1."""
+    key = ["gram", "w1", "w2"]
+    classes = keep(marks.groupBy(*key).agg(F.count("*").alias("copies"), F.min(F.struct("doc", "place")).alias("first")))
+    whole = marks.join(classes.where("copies > 1").select(*key), key).select("doc", "lo", "hi")
+    many = classes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    return whole, classes.join(many, "gram").select("gram", "first.doc", "first.place", "n")
 
 
 def _cut(with_kept: bool):
@@ -292,40 +303,69 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     told = docs.select(doc_id).groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     doc = (doc_id if told else F.xxhash64(doc_id, text_col)).alias("doc")
     texts = docs.select(doc, doc_id, F.col(text_col).alias("text"))
+    lead = F.least("place", F.lit(length - gram))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "place", "gram", "size", "w1", "w2"]
         for batch in batches:
-            ids, data = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            found = [anchors(d, length, gram) for d in data]
-            sizes = [len(p) for p, _ in found]
-            if sum(sizes):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                places, grams = anchors(text, length, gram)
+                begins = np.maximum(places - (length - gram), 0)
+                sizes = np.minimum(places + length, len(text)) - begins
+                hashes = b"".join(xxhash.xxh3_128_digest(text[b : b + n], p - b) for p, b, n in zip(places.tolist(), begins.tolist(), sizes.tolist(), strict=True))
+                w = np.frombuffer(hashes, dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate([p for p, _ in found]).astype(np.int64)), pa.array(np.concatenate([h for _, h in found]))],
-                    names=["doc", "place", "gram"],
+                    [pa.array(np.full(len(places), doc, np.int64)), pa.array(places.astype(np.int64)), pa.array(grams), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(w[:, k])) for k in (0, 1))],
+                    names=names,
                 )
 
-    marks = keep(texts.select("doc", "text").where(F.octet_length("text") >= length).mapInArrow(find, "doc long, place long, gram long"))
-    shared = keep(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-    salt = F.pmod(F.xxhash64("doc", "place"), F.ceil(F.col("n") / SPLIT)).cast("int").alias("salt")
-    used = marks.join(shared, "gram").select("doc", F.struct("place", "gram", salt, (F.col("n") > SPLIT).alias("split")).alias("m"))
-    used = keep(used.groupBy("doc").agg(F.collect_set("m").alias("marks")))
+    marks = keep(texts.select("doc", "text").where(F.octet_length("text") >= length).mapInArrow(find, "doc long, place long, gram long, size int, w1 long, w2 long"))
+    shared = keep(marks.groupBy("gram").count().where("count > 1").select("gram"))
+    used = keep(marks.join(shared, "gram", "left_semi"))
+    drop(marks, shared)
+    used = used.withColumn("lo", F.col("place") - lead).withColumn("hi", F.col("lo") + F.col("size"))
 
     dealt = texts.repartition(parts, "doc")
-    schema = "gram long, salt int, doc long, place long, lead int, context binary"
-
-    def contexts_of(which: str) -> DataFrame:
-        marked = dealt.join(used, "doc").select("doc", "text", F.expr(which).alias("marks")).where("size(marks) > 0")
-        found = marked.mapInArrow(_contexts(length, gram), schema)
-        return found.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt")
-
-    ranges = contexts_of("marks").mapInArrow(_repeats(length, gram), "doc long, lo long, hi long")
-    if not shared.where(F.col("n") > SPLIT).isEmpty():
-        strings = contexts_of("filter(marks, m -> m.split)").mapInArrow(_distinct_strings(length, gram), "h1 long, h2 long, doc long, lo long")
-        # a part gives a string once, so the lists are no longer than a gram has parts
-        met = strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("doc").isNotNull(), F.struct("doc", "lo"))).alias("at"))
-        across = met.where("n > 1").select(F.explode("at").alias("s")).select("s.doc", "s.lo", (F.col("s.lo") + length).alias("hi"))
-        ranges = ranges.unionByName(across)
+    once = dealt if told else texts.dropDuplicates(["doc"]).repartition(parts, "doc")
+
+    def contexts_of(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+        lists = chosen.groupBy("doc").agg(F.collect_set(F.struct("place", "gram")).alias("marks"))
+        return texts.join(lists, "doc").select("doc", "text", "marks").mapInArrow(_contexts(length, gram), _CONTEXT)
+
+    def repeats_in(contexts: DataFrame, gram: int) -> DataFrame:
+        grouped = contexts.repartition(parts, "gram").sortWithinPartitions("gram")
+        return grouped.mapInArrow(_repeats(length, gram), "doc long, lo long, hi long")
+
+    whole, different = _classes(used)
+    different = keep(different)
+    ranges = whole.unionByName(repeats_in(contexts_of(different.where(F.col("n") <= SPLIT), once), gram))
+    hot = different.where(F.col("n") > SPLIT)
+    if not hot.isEmpty():
+        of_hot = with_keys(texts.withColumnRenamed("doc", "key"), keep(hot.select(F.col("doc").alias("key")).distinct())).withColumnRenamed("key", "doc")
+        of_hot = of_hot if told else of_hot.dropDuplicates(["doc"])
+        ranges = ranges.unionByName(_in_longer_grams(keep(contexts_of(hot, of_hot)), length, gram, repeats_in))
     spans = ranges.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return dealt.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(
         _cut(with_kept), "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string"
     )
+
+
+def _in_longer_grams(hot: DataFrame, length: int, gram: int, repeats_in: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """``(doc, lo, hi)`` of repeats in contexts of grams that have too many of them; grams grow until none has."""
+    found = []
+    while not hot.isEmpty():
+        half = (length - gram + 1) // 2
+        # a place can come from two grams, with the same context
+        narrow = keep(hot.mapInArrow(_halves(length, gram, half), f"{_CONTEXT}, w1 long, w2 long").dropDuplicates(["doc", "place"]))
+        gram += half
+        lo = F.col("place") - F.col("lead")
+        slim = narrow.select("gram", "w1", "w2", "doc", "place", lo.alias("lo"), (lo + F.octet_length("context")).alias("hi"))
+        whole, different = _classes(slim)
+        different = keep(different)
+        bytes_of = lambda chosen: narrow.drop("w1", "w2").join(chosen.select("gram", "doc", "place"), ["gram", "doc", "place"], "left_semi")  # noqa: B023, E731
+        found += [keep(whole), keep(repeats_in(bytes_of(different.where(F.col("n") <= SPLIT)), gram))]
+        hot = keep(bytes_of(different.where(F.col("n") > SPLIT)))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out

@@ -4,9 +4,9 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-import pyarrow as pa
+from barloom.llm import suffix_dedup
 from barloom.llm.line_dedup import dedup_lines, line_report
-from barloom.llm.suffix_dedup import _distinct_strings, remove_repeats
+from barloom.llm.suffix_dedup import remove_repeats
 from test_operators import DOCS, components, plain_spans
 
 
@@ -34,24 +34,24 @@ def test_near_dedup_links_at_similarity(spark):
     linked = [(i, k) for i, k in combinations(texts, 2) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
     group = components(texts, linked)
     rows = [(i, t, "en", "a", len(t)) for i, t in texts.items()] + [(None, texts[0], "en", "a", 1), (5, "another text of the same id", "en", "a", 1)]
+    rows += [(None, "lonely words without any id", "en", "a", 1)] * 2
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()
-    want = [(i, t) for i, t in texts.items() if group[i] == i] + [(None, texts[0]), (5, "another text of the same id")]
+    want = [(i, t) for i, t in texts.items() if group[i] == i] + [(None, "lonely words without any id"), (5, "another text of the same id")]
     key = lambda r: (r[0] is None, r)
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=key) == sorted(want, key=key)
 
 
-def test_parts_of_a_gram_in_one_table():
-    """A string with a copy in each of two parts is lone in both, also where both parts are in one table."""
-    string = bytes(range(65, 65 + 20))
-    rows = [(7, 0, 1, 0, 0, string), (7, 0, 2, 0, 0, string[::-1]), (7, 0, 3, 0, 0, string[::-1]), (7, 1, 4, 0, 0, string), (7, 1, 5, 0, 0, string[::-1])]
-    names = ["gram", "salt", "doc", "place", "lead", "context"]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-    found = pa.Table.from_batches(_distinct_strings(20, 10)(iter([batch]))).to_pylist()
-    by = {}
-    for r in found:
-        by.setdefault((r["h1"], r["h2"]), []).append((r["doc"], r["lo"]))
-    assert sorted(sorted(v, key=str) for v in by.values()) == [[(1, 0), (4, 0)], [(5, 0), (None, 0)]]
+def test_grams_that_grow_to_whole_strings(spark, monkeypatch):
+    """Two contexts of a gram are too many here, so grams grow until a string is a gram."""
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 1)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcd") for _ in range(70))
+    texts = {i: "".join(rng.choice("efgh") for _ in range(rng.randint(0, 50))) + passage[rng.randint(0, 9) : rng.randint(40, 70)] + "".join(rng.choice("efgh") for _ in range(20)) for i in range(40)}
+    texts |= {100 + i: "abababab" * 9 + "x" * i for i in range(3)} | {200: "z" * 90}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = plain_spans({i: t.encode() for i, t in texts.items()}, 40)
+    for r in remove_repeats(df, length=40, gram=12).collect():
+        assert bytes(r["kept"]) == bytes(c for c, gone in zip(texts[r["doc_id"]].encode(), spans[r["doc_id"]], strict=True) if not gone), r["doc_id"]
 
 
 def rows_without_own_id(spark):
