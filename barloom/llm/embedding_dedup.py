@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.components import connected_components
+from barloom.llm.rows import keyed_rows
 from barloom.llm.scratch import keep
 
 #: Rows of one side of a block.
@@ -54,6 +55,10 @@ def spherical_kmeans(units: np.ndarray, k: int, rounds: int = 10, seed: int = 5)
     return centroids
 
 
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
+
+
 def _fit_cells(rows: DataFrame, sizes: dict[tuple, int]) -> dict[tuple, np.ndarray]:
     """Centroids of each (label, dim) that has more than one cell, fitted on a sample of at most about SAMPLE vectors a label."""
     total = sum(sizes.values())
@@ -70,7 +75,7 @@ def _fit_cells(rows: DataFrame, sizes: dict[tuple, int]) -> dict[tuple, np.ndarr
     mask = wanted[0]
     for w in wanted[1:]:
         mask = mask | w
-    schema = "label int, dim int, centroid array<double>"
+    schema = f"label {_kind(rows, 'label')}, dim int, centroid array<double>"
     fitted = rows.where(mask).groupBy("label", "dim").applyInPandas(fit, schema).collect()  # at most MOST_CELLS rows
     out: dict[tuple, list] = {}
     for r in fitted:
@@ -100,7 +105,7 @@ def _to_cells(rows: DataFrame, centroids: dict[tuple, np.ndarray], threshold: fl
                 if len(at):
                     yield part.iloc[at].assign(cell=cell, visitor=True)
 
-    return rows.mapInPandas(assign, "rep long, n long, label int, dim int, embedding array<float>, cell int, visitor boolean")
+    return rows.mapInPandas(assign, f"rep long, n long, label {_kind(rows, 'label')}, dim int, embedding {_kind(rows, 'embedding')}, cell int, visitor boolean")
 
 
 def _compare(threshold: float):
@@ -144,19 +149,21 @@ def near_embeddings(
     smallest id that links reach. Vectors that are null, empty, zero or hold
     nulls or non-finite components, and rows with a null label or id, link with
     nothing and are kept (a null id has a null component). Vectors of
-    different lengths do not link. Different vectors under one id are one
-    node. An empty table gives an empty result.
+    different lengths do not link. Vectors under one id are rows of their own,
+    each judged by itself. An empty table gives an empty result.
     """
-    rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(label_col).cast("int").alias("label")
+    number = keyed_rows(vectors, id_col)
+    rows = number.rows.select(
+        "key", F.col(f"row.{id_col}").cast("long").alias("vec_id"), F.col(f"row.{vector_col}").alias("embedding"), F.col(f"row.{label_col}").alias("label")
     )
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable")
     reps = keep(
-        good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
-    ).select("rep", "n", "label", "dim", "embedding")
+        good.groupBy("label", "embedding").agg(F.min("key").alias("rep"), F.min("vec_id").alias("first_id"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
+    ).select("rep", "first_id", "n", "label", "dim", "embedding")
+    firsts, reps = reps.select("rep", "first_id"), reps.drop("first_id")
     sizes = {(r["label"], r["dim"]): r["count"] for r in reps.groupBy("label", "dim").count().collect()}  # a row for each label
     placed = keep(_to_cells(reps, _fit_cells(reps, sizes), threshold))
 
@@ -180,10 +187,11 @@ def near_embeddings(
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = keep(
-        reps.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    placed = reps.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(firsts, "rep")
+    placed = placed.select("label", "embedding", "first_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("group"))
+    placed = keep(placed)
+    smallest = placed.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    classes = keep(placed.join(smallest, "group").select("label", "embedding", "n_links", "component_id"))
     joined = good.join(classes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = joined.unionByName(alone)

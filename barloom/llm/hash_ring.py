@@ -13,7 +13,6 @@ rank in its arc.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections import defaultdict
 
@@ -92,7 +91,8 @@ def assign_shards(
     one apart; otherwise a shard holds up to ceil((1 + slack) * mean) rows and
     fewer keys move when the number of shards changes. Null keys are keys like
     any other; rows with the same key rank by the columns ``order``. An empty
-    table stays empty. Columns named ``shard`` or ``slot`` are replaced.
+    table stays empty. Columns named ``shard`` or ``slot`` are replaced; all
+    others keep their values, whatever their names.
 
     Ranks are taken in ``CELLS`` parts of each arc, dealt by a second hash of
     the key and of ``order``, so that a repeated key does not meet in one task
@@ -100,9 +100,11 @@ def assign_shards(
     """
     points = ring_points(shards, virtual_nodes)
     owners = [s for _, s in points]
-    position = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), F.col(key)), 64 - RING_BITS)
-    cell = F.pmod(F.xxhash64(F.lit("cell"), F.col(key), *(F.col(c) for c in order)), F.lit(CELLS)).cast("int")
-    base = rows.drop("shard", "slot").withColumns({"_at": position, "_cell": cell})
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    held = rows.select(F.struct(*(rows[c] for c in kept)).alias("row"), rows[key].alias("key"), F.struct(F.lit(0), *(rows[c] for c in order)).alias("order"))
+    position = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), "key"), 64 - RING_BITS)
+    cell = F.pmod(F.xxhash64(F.lit("cell"), "key", "order"), F.lit(CELLS)).cast("int")
+    base = held.withColumns({"_at": position, "_cell": cell})
     # the first point at or after the position; beyond the last one the ring starts again
     arc = points_below(F.col("_at"), [p for p, _ in points], closed=False)
     base = base.withColumn("_arc", F.pmod(arc, F.lit(len(points))))
@@ -125,16 +127,9 @@ def assign_shards(
             first, end = max(lo, n), min(hi, n + seen[a][c])
             if first < end:
                 pieces.append([a, c, first - n, end - n, shard, slot + first - lo])
-    plan = rows.sparkSession.range(1).select(
-        F.explode(F.from_json(F.lit(json.dumps(pieces)), "array<array<bigint>>")).alias("p")
-    )
-    plan = plan.select(
-        F.col("p")[0].cast("int").alias("_arc"), F.col("p")[1].cast("int").alias("_cell"),
-        F.col("p")[2].alias("_lo"), F.col("p")[3].alias("_hi"), F.col("p")[4].cast("int").alias("shard"), F.col("p")[5].alias("_slot"),
-    )
-    w = Window.partitionBy("_arc", "_cell").orderBy("_at", F.col(key), *order)
+    plan = rows.sparkSession.createDataFrame(pieces, "_arc int, _cell int, _lo long, _hi long, shard int, _slot long")
+    w = Window.partitionBy("_arc", "_cell").orderBy("_at", "key", "order")
     ranked = base.withColumn("_rank", F.row_number().over(w).cast("long") - 1)
-    # at most points x (CELLS + 2) short rows: a bound that does not grow with the data
+    # at most points x (CELLS + 2) short rows, a few MB: a bound that does not grow with the data
     joined = ranked.join(F.broadcast(plan), ["_arc", "_cell"]).where("_rank >= _lo and _rank < _hi")
-    kept = [c for c in rows.columns if c not in ("shard", "slot")]
-    return joined.select(*kept, "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))
+    return joined.select("row.*", "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))

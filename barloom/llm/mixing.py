@@ -16,14 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.llm.rows import keyed_rows
 from barloom.llm.scratch import keep
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CELLS = 4096
-#: The dynamic program covers sums up to this many words, or up to REACH_MOST
-#: where the lengths that are left over are longer than that.
+#: The dynamic program covers sums up to this many words.
 REACH = 1 << 15
-REACH_MOST = 1 << 24
 
 
 def word_count(text: Column) -> Column:
@@ -77,8 +76,13 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             if n > 0:
                 taken[i] += n
                 left -= n * size
-    taken += _knapsack(lengths, counts - taken, min(left, REACH_MOST))
-    return taken
+    if left > REACH:
+        # whatever is left over is longer than half of this: at most one document fits, and none after it
+        fits = np.flatnonzero((lengths <= left) & (counts > taken) & (lengths > 0))
+        if len(fits):
+            taken[fits[lengths[fits].argmax()]] += 1
+        return taken
+    return taken + _knapsack(lengths, counts - taken, left)
 
 
 def _knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
@@ -140,7 +144,13 @@ def mix_sources(
     split into ``CELLS`` hash cells: cells before the cut are taken whole and
     only the cell at the cut is ranked.
     """
-    sized = keep(docs.select("doc_id", "source", word_count(F.col(text_col)).alias("size")))
+    rows = docs.select(F.col("doc_id").alias("key"), "doc_id", "source", F.col(text_col).alias("text"))
+    return _mix(rows, weights, share, max_passes, seed).drop("key")
+
+
+def _mix(texts: DataFrame, weights: tuple[float, ...], share: float, max_passes: float, seed: int) -> DataFrame:
+    """``mix_sources`` of ``texts(key, doc_id, source, text)`` with ``key``, by which rows of one id and length rank."""
+    sized = keep(texts.select("key", "doc_id", "source", word_count(F.col("text")).alias("size")))
     by_length = keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = keep(source_targets(totals, weights, share, max_passes))
@@ -159,19 +169,24 @@ def mix_sources(
         named(targets), ["_null", "source"]
     ).withColumn("_room", F.col("extra") - F.coalesce(F.sum("_n").over(before), F.lit(0)))
     cut = keep(cut.select(*key, "_cell", "_room", "passes", "source_size", "target"))
-    rank = F.row_number().over(Window.partitionBy(*key, "_cell").orderBy("_order", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*key, "_cell").orderBy("_order", "key"))
     joined = rows.withColumn("_rank", rank).join(cut, [*key, "_cell"])
     copies = F.col("passes") + (F.col("_rank") <= F.col("_room")).cast("long")
     return joined.select(
-        "doc_id", F.when(~F.col("_null"), F.col("source")).alias("source"), "size", "source_size", "target",
+        "key", "doc_id", F.when(~F.col("_null"), F.col("source")).alias("source"), "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, its columns unchanged."""
-    found = mix_sources(docs, **options)
-    times = found.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(*(docs[c] for c in docs.columns), "_copies")
-    repeated = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
-    return joined.withColumn("_copy", repeated).drop("_copies", "_copy")
+def mixed_documents(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_passes: float = 2.0, seed: int = 11, text_col: str = "text"
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, its columns unchanged, whatever their names.
+
+    Rows are told apart even if they share an id or have none, so the mix has
+    the words that ``mix_sources`` reports.
+    """
+    rows = keyed_rows(docs).rows
+    texts = rows.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col(f"row.{text_col}").alias("text"))
+    times = _mix(texts, weights, share, max_passes, seed).select("key", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return rows.join(times.drop("copy"), "key").select("row.*")

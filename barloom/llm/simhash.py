@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm.components import connected_components
+from barloom.llm.rows import first_of_groups, keyed_rows
 from barloom.llm.scratch import keep
 
 SEED = 42
@@ -38,11 +39,19 @@ def shingles_of(text: bytes, words: int) -> list[bytes]:
 
 def simhash(text: bytes, words: int) -> int:
     """Fingerprint of UTF-8 ``text`` as a signed 64-bit number."""
-    shingles = shingles_of(text, words)
-    if not shingles:
+    return print_of(shingle_hashes(text, words))
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of all shingles of UTF-8 ``text``, repeats included."""
+    shingles, digest, seed = shingles_of(text, words), xxhash.xxh64_intdigest, SEED
+    return np.fromiter((digest(s, seed) for s in shingles), dtype="<u8", count=len(shingles))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """Fingerprint of shingle hashes: the bits that more than half of them have."""
+    if not len(hashes):
         return 0
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.fromiter((digest(s, seed) for s in shingles), dtype="<u8", count=len(shingles))
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _BLOCK):
         part = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8)
@@ -115,10 +124,10 @@ def near_duplicates(
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, max_bits: int = 2) -> DataFrame:
-    """``docs`` without the documents whose id is not the smallest of their group.
+    """``docs`` with one row of each group: the first by id, rows without an id last.
 
-    Rows that repeat one id stay or go together; rows without an id stay.
+    Rows are told apart even if they share an id or have none.
     """
-    found = near_duplicates(docs, words=words, max_bits=max_bits)
-    gone = keep(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = keyed_rows(docs)
+    found = near_duplicates(keyed.rows.select("key", F.col("row.text").alias("text")), "key", "text", words, max_bits)
+    return first_of_groups(keyed, found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")))

@@ -22,8 +22,9 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from barloom.llm.rows import keyed_rows, with_keys
 from barloom.llm.scratch import keep
 
 #: Labelled rows the model learns from, at most: the first by a hash of the id.
@@ -53,13 +54,6 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
-def chi_squared(pos: float, neg: float, all_pos: float, all_neg: float) -> float:
-    """Chi-squared of a term against the label, from the number of texts with it."""
-    a, b, c, d = pos, neg, all_pos - pos, all_neg - neg
-    below = (a + b) * (c + d) * (a + c) * (b + d)
-    return (a + b + c + d) * (a * d - b * c) ** 2 / below if below else 0.0
-
-
 def fit_lexicon(rows: DataFrame) -> dict[str, float]:
     """Log-odds of the terms that mark toxic texts, from ``rows(text, toxic)``; at most LEXICON_SIZE of them."""
 
@@ -206,6 +200,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 3, most_rows: i
     return ToxicityModel(lexicon, trees, steps, prior)
 
 
+def _held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
@@ -213,13 +211,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     read. Null and empty texts are scored like any other; a null id is not
     held out.
     """
-    out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    model = fit_toxicity(docs, labels.where(~out))
-    scored = model.score(docs)
+    out = _held_out(F.col("doc_id"))
+    scored = fit_toxicity(docs, labels.where(~out)).score(docs)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that ``score_documents`` predicts toxic; rows without an id stay."""
-    toxic = keep(score_documents(docs, labels, threshold).where("predicted = 1 and doc_id is not null").select("doc_id").distinct())
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that score ``threshold`` or more, judged row by row, also where ids are null or repeat."""
+    model = fit_toxicity(docs, labels.where(~_held_out(F.col("doc_id"))))
+    rows = keyed_rows(docs).rows
+    scored = model.score(rows.select("key", F.col("row.text").alias("text")), "key")
+    toxic = keep(scored.where(F.col("score") >= threshold).select(F.col("doc_id").alias("key")))
+    return with_keys(rows, toxic, "left_anti").select("row.*")

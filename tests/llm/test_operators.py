@@ -144,6 +144,28 @@ def test_mixing_odd_rows(spark, odd, empty):
     assert mixed.columns == odd.columns
 
 
+def test_fit_counts_of_very_long_documents():
+    lengths, counts = np.array([3, 1 << 26, (1 << 26) + 7, 1 << 27]), np.array([0, 1, 1, 1])
+    assert fit_counts(lengths, counts, (1 << 26) + 10**6).tolist() == [0, 0, 1, 0]
+    assert fit_counts(lengths, counts, 10**6).tolist() == [0, 0, 0, 0]
+
+
+def test_mix_of_rows_without_own_id(spark):
+    """Rows that share an id or have none are taken one by one, and columns keep their names and values."""
+    rows = [(None, " ".join(["w"] * (3 + k)), "en", "a", k) for k in range(40)] + [(7, " ".join(["v"] * (4 + k)), "en", "b", k) for k in range(40)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"_copies": F.col("n_chars") + 100, "key": F.col("n_chars") + 200, "row": F.col("n_chars") + 300, "copy": F.lit(5)})
+    reported = collections.Counter()
+    for r in mix_sources(df).collect():
+        reported[r["source"]] += r["taken"]
+    mixed = mixed_documents(df).collect()
+    got = collections.Counter()
+    for r in mixed:
+        got[r["source"]] += len(r["text"].split())
+        assert (r["_copies"], r["key"], r["row"], r["copy"]) == (r["n_chars"] + 100, r["n_chars"] + 200, r["n_chars"] + 300, 5)
+    assert abs(got["a"] - reported["a"]) <= 2 * 43 and abs(sum(got.values()) - sum(reported.values())) <= 2 * 43
+    assert max(collections.Counter((r["source"], r["n_chars"]) for r in mixed).values()) <= 2
+
+
 # 2, 7 --------------------------------------------------------------------
 
 
@@ -233,6 +255,37 @@ def test_fingerprints_of_edited_texts(spark, sf_dir, texts):
     assert np.mean([r["near_edited"] for r in found.values()]) > 0.6 > 0.3 > np.mean([r["near_next"] for r in found.values()])
 
 
+def test_signatures_chunk_by_chunk():
+    """Boundaries and characters from a byte-by-byte reading of the definition."""
+
+    def rolled(data, at):
+        window = [data[i] if i >= 0 else 0 for i in range(at - 6, at + 1)]
+        h = 0
+        for i, c in enumerate(window):
+            h = (h + (c + 1) * pow(0x01000193, 6 - i, 1 << 32)) % (1 << 32)
+        h = (h ^ h >> 15) * 0x9E3779B1 % (1 << 32)
+        return h ^ h >> 13
+
+    def signature(data, block):
+        out, total, open_, ends = "", 0, False, 0
+        for i in range(len(data)):
+            h = rolled(data, i)
+            total, open_ = (total + h) % (1 << 32), True
+            if h % block == block - 1 and ends < 63:
+                out, total, open_, ends = out + char(total), 0, False, ends + 1
+        return out + char(total) if open_ else out
+
+    def char(total):
+        return "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[(total ^ total >> 16) * 0x9E3779B1 % (1 << 32) >> 26]
+
+    rng = random.Random(8)
+    for n in (1, 5, 40, 300, 2000):
+        data = bytes(rng.randrange(97, 123) for _ in range(n))
+        block, first, second = fingerprint(data).split(":")
+        assert (first, second) == (signature(data, int(block)), signature(data, 2 * int(block)))
+        assert int(block) == 3 or len(first) >= 32
+
+
 def test_likeness_is_the_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -310,6 +363,43 @@ def test_few_keys_move_when_a_shard_is_added(spark, odd, empty):
     assert assign_shards(empty, 3).count() == 0
 
 
+def test_columns_of_the_caller_are_left_alone(spark):
+    names = ["_rank", "_cell", "_arc", "_at", "_lo", "_hi", "_slot", "row", "key", "order"]
+    df = spark.range(50).select(F.col("id").alias("doc_id"), *((F.col("id") + 100 + k).alias(n) for k, n in enumerate(names)))
+    for r in assign_shards(df, 4, order=("_slot",)).collect():
+        assert [r[n] for n in names] == [r["doc_id"] + 100 + k for k in range(len(names))]
+    lines = df.select("doc_id", F.concat(F.lit("some words of line "), "doc_id", F.lit("\nx")).alias("text"), *((F.col("_rank") + k).alias(n) for k, n in enumerate(("_doc", "_gone", "line", "doc", "gone", "row", "key"))))
+    for r in dedup_lines(lines).collect():
+        assert [r[n] for n in ("_doc", "_gone", "line", "doc", "gone", "row", "key")] == [r["doc_id"] + 100 + k for k in range(7)]
+
+
+def test_ring_against_a_walk(spark):
+    """Every key goes to the first point from its hash on whose shard has room, one key after the other along the ring."""
+    from barloom.llm.hash_ring import even_capacity, ring_points
+
+    points = ring_points(5, 8)
+    keys = spark.range(700).select(F.col("id").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.lit("ring"), "id"), 2).alias("at"), F.pmod(F.xxhash64(F.lit("cell"), "id", F.struct(F.lit(0))), F.lit(32)).alias("cell")).collect()
+    arc = lambda at: next((i for i, (p, _) in enumerate(points) if p >= at), len(points)) % len(points)
+    queue = collections.defaultdict(list)
+    for r in sorted(keys, key=lambda r: (r["cell"], r["at"], r["doc_id"])):
+        queue[arc(r["at"])].append(r["doc_id"])
+    room, want, waiting = even_capacity(700, 5), {}, []
+    for i, (_, shard) in enumerate(points):  # its own keys first
+        own = queue[i]
+        for k in own[: room[shard]]:
+            want[k] = shard
+        queue[i] = own[room[shard] :]
+        room[shard] = max(0, room[shard] - len(own))
+    for lap in range(2):  # then what overflowed, clockwise
+        for i, (_, shard) in enumerate(points):
+            if lap == 0:
+                waiting += queue[i]
+            while waiting and room[shard]:
+                want[waiting.pop(0)] = shard
+                room[shard] -= 1
+    assert {k: r["shard"] for k, r in rows_of(assign_shards(spark.range(700).withColumnRenamed("id", "doc_id"), 5, virtual_nodes=8)).items()} == want
+
+
 # 5 -----------------------------------------------------------------------
 
 
@@ -404,9 +494,51 @@ def test_vectors_that_link_with_nothing(spark):
     assert near_embeddings(df.where("vec_id < 0"), 0.93).count() == 0
 
 
+def test_vectors_under_one_id_and_other_types(spark):
+    rows = [(1, [1.0, 0.0], "p"), (1, [0.0, 1.0], "p"), (2, [1.0, 1e-9], "p"), (3, [0.0, 2.0], "p"), (4, [0.0, 2.0], "q")]
+    found = near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), 0.93).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
 # 8 -----------------------------------------------------------------------
 
 
+def test_features_one_by_one():
+    from barloom.llm.toxicity import FEATURES, Reader
+
+    read = Reader({"vile ": 2.0, "rott": 1.0})
+    f = lambda text: dict(zip(FEATURES, read.features(text), strict=True))
+    plain = f("The weather is mild today.")
+    assert plain["hits"] == plain["near_second_person"] == plain["hidden"] == 0 and plain["log_words"] == pytest.approx(np.log1p(5))
+    assert f("a vile b")["hits"] == pytest.approx(np.log1p(1)) and f("a vilely b")["hits"] == 0  # a whole word
+    assert f("rotten apples")["top_weight"] == 1.0 and f("rotten vile")["weighted_density"] == pytest.approx(1.5)
+    assert f("you are vile")["near_second_person"] == pytest.approx(1 / 3) and f("you " + "x" * 90 + " vile")["near_second_person"] == 0
+    assert f("you and your")["second_person"] == pytest.approx(2 / 3)
+    assert f("ABc d")["capitals"] == pytest.approx(0.5) and f("LOUD cry")["shouting"] == pytest.approx(0.5)
+    assert f("no!!")["punctuation"] == pytest.approx(0.5) and f("no!!")["exclamation"] == pytest.approx(0.5) and f("a12b")["digits"] == pytest.approx(0.5)
+    assert f("r0tten v1le")["hidden"] == pytest.approx(1.0) and f("r0tten v1le")["hidden_hits"] == pytest.approx(np.log1p(2))
+    assert len(read.features("")) == len(FEATURES)
+
+
+def test_calibration_is_isotonic(spark):
+    from barloom.llm.toxicity import fit_toxicity
+
+    big = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model = fit_toxicity(docs, labels)
+    bounds, levels = model.steps.boundaries, model.steps.predictions
+    assert list(bounds) == sorted(bounds) and list(levels) == sorted(levels) and 0 <= levels[0] <= levels[-1] <= 1
+
+
+def test_toxic_rows_without_an_id_go(spark):
+    rows = [(i, f"you are vile scum number{i} awful" if i % 2 else f"a calm day number{i} outside", "en", "a", 1) for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(400)], LABELS)
+    more = [(None, "you are vile scum today awful", "en", "a", 1), (None, "a calm day outside", "en", "a", 1), (3, "a calm day outside", "en", "a", 1)]
+    kept = [(r["doc_id"], r["text"]) for r in drop_toxic(spark.createDataFrame(rows + more, DOCS), labels).collect()]
+    assert (None, "a calm day outside") in kept and (3, "a calm day outside") in kept and not any("vile" in t for _, t in kept)
+
+
+
 def test_toxicity_on_held_out_rows(spark):
     big = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{big}/labels.parquet").to_pylist()}
@@ -549,4 +681,4 @@ def test_simhash_of_odd_rows(odd, empty):
     assert near_duplicates(empty).count() == 0
     kept = keep_representatives(odd)
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 5, 5, 7]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 5, 7]
