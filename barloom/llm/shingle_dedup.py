@@ -8,9 +8,13 @@ the factor t (length filter); the number of elements that two prefixes share
 bounds what the whole sets can share. What passes is verified on the whole sets, so
 no link is lost and none is added.
 
-Equal sets are one node. A node first meets the smallest node under each of
-its prefix elements; only nodes that these links leave in different groups
-meet each other, so a large group of near copies does not make all its pairs.
+Equal sets are one node. Nodes with equal or close SimHash prints meet first
+(the grid join of ``simhash``); those links are certain once verified. Prints
+miss most pairs near the threshold, so the prefix join goes over all nodes:
+each meets one node under every prefix element, another one in each round, as
+long as many pairs are open; then all nodes of different groups meet. A large
+group of near copies becomes one group in a few rounds and never makes all its
+pairs.
 """
 
 from __future__ import annotations
@@ -24,95 +28,123 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.components import connected_components
-from barloom.llm.scratch import keep
-from barloom.llm.simhash import SEED, shingles_of
-
-
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """Ascending distinct shingle hashes of UTF-8 ``text``, as signed numbers; a wordless text has none."""
-    shingles = set(shingles_of(text, words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8", count=len(shingles)).view("<i8"))
+from barloom.llm.rows import first_of_groups, keyed_rows, with_keys
+from barloom.llm.scratch import drop, keep
+from barloom.llm.simhash import SEED, close_pairs, print_of, shingle_hashes
 
 
 def _sets(words: int, threshold: float | None):
-    """``(row, doc_id, node, n, part)``: the prefix of every row's set, or all of it without ``threshold``."""
+    """``(key, node, n, fp, part)``: SimHash and the prefix of every row's set, or all of the set without ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t or b"", words) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            hashes = [shingle_hashes(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [np.unique(h.view("<i8")) for h in hashes]
             nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in found]
             parts = found if threshold is None else [s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1] for s in found]
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            part = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array(parts, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "node", "n", "part"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([print_of(h) for h in hashes], pa.int64()), part],
+                names=["key", "node", "n", "fp", "part"],
             )
 
     return run
 
 
-_SCHEMA = "row long, doc_id long, node long, n int, part array<long>"
+_SCHEMA = "key long, node long, n int, fp long, part array<long>"
+#: Rounds of meeting one node of each key before all nodes that are left meet.
+ROUNDS = 6
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, threshold: float) -> DataFrame:
     """The ``pairs(a, b)`` of nodes that are similar, judged on the whole sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row"), "node").select("row")
-    sets = keep(rows.join(wanted.distinct(), "row").mapInArrow(_sets(words, None), _SCHEMA).select("node", "part").dropDuplicates(["node"]))
+    pairs = keep(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("first").alias("key")), "node").select("key")
+    sets = keep(with_keys(rows, keep(wanted)).mapInArrow(_sets(words, None), _SCHEMA).select("node", "part"))
     left, right = sets.select(F.col("node").alias("a"), F.col("part").alias("x")), sets.select(F.col("node").alias("b"), F.col("part").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similar = common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9
-    return keep(pairs.join(left, "a").join(right, "b").where(similar).select("a", "b"))
+    links = keep(pairs.join(left, "a").join(right, "b").where(similar).select("a", "b"))
+    drop(sets, pairs)
+    return links
+
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: nodes whose fingerprints are equal or close, one node standing for all of a fingerprint."""
+    heads = keep(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = close_pairs(heads.select("fp").repartition("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), "a")
+    near = near.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("head_b")), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return same.union(near)
 
-def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``(row, doc_id, component_id)`` of every row of ``docs``; ``row`` is a hash of its id and text.
+
+def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``(key, component)`` of every row of ``rows(key, text)``, whose keys differ.
 
     Rows whose shingle sets have Jaccard similarity ``threshold`` or more are
-    linked, wordless texts with each other; ``component_id`` is the smallest
-    id that links reach, null if all ids are null.
+    linked, wordless texts with each other; ``component`` is the smallest key
+    that links reach.
     """
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = keep(rows.mapInArrow(_sets(words, threshold), _SCHEMA))
-    nodes = keep(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("part").alias("part")))
+    prints = keep(rows.select("key", "text").mapInArrow(_sets(words, threshold), _SCHEMA))
+    nodes = keep(prints.groupBy("node").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("part").alias("part")))
+    members = keep(prints.select("key", "node"))
+    drop(prints)
+    links = _alike(_simhash_pairs(nodes), nodes, rows, words, threshold)
+    groups = connected_components(links)
+
     keyed = nodes.select("node", F.explode("part").alias("key"))
     # most shingles are in one document; what is dealt out for them is as slim as can be
     shared = keep(keyed.groupBy("key").count().where("count > 1").select("key"))
     held = keep(keyed.join(shared, "key"))
+    drop(shared)
     place = (F.array_position("part", F.col("key")) - 1).cast("int").alias("place")
     met = keep(held.join(nodes, "node").select("key", "node", "n", place, (F.col("n") - F.size("part")).alias("rest"), F.element_at("part", -1).alias("last")))
-    heads = met.groupBy("key").agg(F.min("node").alias("node")).join(met, ["key", "node"])
-    heads = keep(heads.select("key", *(F.col(c).alias(f"head_{c}") for c in ("node", "n", "place"))))
+    drop(held)
 
     def fits(n1: str, p1: str, n2: str, p2: str):
         small, large = F.least(n1, n2), F.greatest(n1, n2)
         need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col(n1) + F.col(n2)) - 1e-9)
         return (small >= F.lit(threshold) * large - 1e-9) & (F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= need)
 
-    first = met.join(heads, "key").where((F.col("node") > F.col("head_node")) & fits("n", "place", "head_n", "head_place"))
-    links = _alike(keep(first.select(F.col("head_node").alias("a"), F.col("node").alias("b")).distinct()), nodes, rows, words, threshold)
-
-    settled = connected_components(links)
-    placed = keep(met.join(settled, "node", "left").select("key", "node", "n", "rest", "last", F.coalesce("component", "node").alias("group")))
-    open_ = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-    rest = keep(placed.join(open_, "key"))
-    a = rest.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "rest", "last", "group")))
-    b = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "rest", "last", "group")))
+    for turn in range(ROUNDS + 1):
+        written = keep(met.join(groups, "node", "left").select("key", "node", "n", "place", "rest", "last", F.coalesce("component", "node").alias("group")))
+        inside = written.groupBy("key", "group").agg(F.count("*").alias("n"))
+        apart = inside.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same")).where("all * all > same")
+        open_ = keep(apart.select("key", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), "all"))
+        left = open_.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("rows")).first()
+        placed = written.join(open_.select("key"), "key", "left_semi")
+        if turn == ROUNDS or (left["pairs"] or 0) <= 2 * (left["rows"] or 0):
+            break
+        # each node meets one of its key's; another one each time, so that near copies of one text soon are one group
+        draw = F.xxhash64(F.lit(turn), "node")
+        heads = placed.groupBy("key").agg(*(F.min_by(c, draw).alias(f"head_{c}") for c in ("node", "n", "place", "group")))
+        first = placed.join(heads, "key").where((F.col("group") != F.col("head_group")) & fits("n", "place", "head_n", "head_place"))
+        fresh = _alike(first.select(F.col("head_node").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows, words, threshold)
+        if fresh.isEmpty() and turn:
+            break
+        drop(written)
+        links = keep(links.union(fresh))
+        groups = connected_components(links)
+
+    a = placed.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "rest", "last", "group")))
+    b = placed.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "rest", "last", "group")))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     met_across = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & (small >= F.lit(threshold) * large - 1e-9))
     # the prefix that ends first is whole below the other's end: beyond the shared elements only its set's rest is open
     room = F.min(F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))) + F.count("*")
     need = F.min(F.ceil(F.lit(threshold / (1 + threshold)) * (small + large) - 1e-9))
     counted = met_across.groupBy("node_a", "node_b").agg(room.alias("room"), need.alias("need")).where("room >= need")
-    across = keep(counted.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    across = counted.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     groups = connected_components(links.union(_alike(across, nodes, rows, words, threshold)))
 
-    named = keep(nodes.join(groups, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("group")))
-    smallest = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    classes = keep(named.join(smallest, "group").select("node", "component_id"))
-    return prints.join(classes, "node").select("row", "doc_id", "component_id")
+    named = keep(nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group")))
+    smallest = named.groupBy("group").agg(F.min("first").alias("component"))
+    classes = keep(named.join(smallest, "group").select("node", "component"))
+    return members.join(classes, "node").select("key", "component")
 
 
 def keep_first_of_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the rows whose id is not the smallest of their group; rows without an id stay."""
-    gone = keep(similar_groups(docs, words, threshold).where("doc_id <> component_id").select(F.col("row").alias("_row")).distinct())
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(gone, "_row", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of similar ones: the first by id, rows without an id last."""
+    keyed = keyed_rows(docs)
+    return first_of_groups(keyed, similar_groups(keyed.rows.select("key", F.col("row.text").alias("text")), words, threshold))
