@@ -5,7 +5,7 @@ frequent over the whole corpus. Two lines whose Jaccard similarity reaches t
 share a word among the first n - ceil(t * n) + 1 of the larger and the first
 n - ceil(2t / (1 + t) * n) + 1 of the smaller (prefix filter), a shared
 word's places leave room for enough common words (positional filter), and the
-sizes differ by at most the factor t (length filter). A 128-bit parity signature
+sizes differ by at most the factor t (length filter). A parity signature
 bounds from below how many words only one of the lines has. What passes is
 verified on the words themselves. A line is removed if an equal or similar
 line stands before it.
@@ -43,75 +43,73 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.array_remove(_split(line), ""))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_doc``, which tells documents apart and orders them.
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
+    """``(doc, text, row)``: ``doc`` tells documents apart and orders them, ``row`` has the columns ``carried``.
 
     It is the id, unless an id is null or repeated: then it is the id, a hash
     of the text and, for null ids, a number of the row, written once. Null ids
     come first.
     """
+    row = F.struct(F.lit(0).alias("_"), *(docs[c] for c in carried)).alias("row")
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     if ids.groupBy("id").count().where("count > 1 or id is null").isEmpty():
-        return docs.withColumn("_doc", F.col(id_col).cast("long"))
+        return docs.select(F.col(id_col).cast("long").alias("doc"), docs[text_col].alias("text"), row)
     known = F.col(id_col).isNotNull()
     number = F.when(known, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
     key = F.struct(known.alias("known"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash"), number.alias("number"))
-    return keep(docs.withColumn("_doc", key))
+    return keep(docs.select(key.alias("doc"), docs[text_col].alias("text"), row))
 
 
-def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(doc, line_no, line)`` of every line; a null text has none."""
-    return docs.select(F.col("_doc").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+def _lines(docs: DataFrame) -> DataFrame:
+    """``(doc, line_no, line)`` of every line that has a word; a null text has none."""
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where(F.col("line").rlike(_NOT_SPACE))
 
 
 def _counter(hashed: Column) -> Column:
     return hashed.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
 
 
-def word_classes(docs: DataFrame, text_col: str = "text") -> list[int]:
+def word_classes(docs: DataFrame) -> list[int]:
     """Twice the binary logarithm of each counter's number of words, rounded down.
 
     Words are counted between spaces alone; one that a line end joins to the
     next counts as another word, which shifts no counter by much.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), " ")).alias("w"))
+    words = docs.select(F.explode(F.split(F.lower("text"), " ")).alias("w"))
     found = words.groupBy(_counter(F.xxhash64("w")).alias("c")).count().collect()  # at most COUNTERS rows
     counts = {r["c"]: r["count"] for r in found}
     return [min(126, int(2 * math.log2(counts[c]))) if counts.get(c) else 0 for c in range(COUNTERS)]
 
 
 def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
-    """``(doc, line_no, k1, k2, n, sig, sig2, prefix)`` of each line that has words.
+    """``(doc, line_no, k1, k2, n, sig, prefix)`` of each line.
 
-    ``sig`` and ``sig2`` have a bit for each residue of the words' hashes
-    modulo 128, set if an odd number of words has it; ``prefix`` holds 31-bit hashes of the rarest words. Different words may
-    share a hash: that only adds candidates.
+    ``sig`` has a bit for each residue of the words' hashes modulo 64, set if
+    an odd number of words has it; ``prefix`` holds 31-bit hashes of the
+    rarest words. Different words may share a hash: that only adds candidates.
     """
+    # nothing here may be NULL: Spark sorts such arrays as plain numbers
     rank, low = constant_array(classes), F.lit((1 << 56) - 1)
+    hashes = F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)))
+    nothing = F.xxhash64(F.lit(""))
 
-    def placed(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(rank, _counter(h)), 56).bitwiseOR(h.bitwiseAND(low))
+    def placed(h: Column) -> Column:
+        return F.shiftleft(F.coalesce(F.get(rank, _counter(h)), F.lit(0)), 56).bitwiseOR(h.bitwiseAND(low))
 
-    ordered = F.sort_array(F.array_remove(F.array_distinct(F.transform(_split(F.col("line")), placed)), placed(F.lit(""))))
+    ordered = F.sort_array(F.transform(F.array_remove(hashes, nothing), placed))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-
-    def parity(half: int) -> Column:
-        mine = lambda x: x.bitwiseAND(F.lit(64)) == 64 * half
-        return F.aggregate("o", F.lit(0).cast("long"), lambda s, x: F.when(mine(x), s.bitwiseXOR(bit(x))).otherwise(s))
-
+    sig = F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.transform(F.slice("o", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    rows = lines.withColumn("o", ordered).withColumn("n", F.size("o")).where("n > 0")
-    return rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", parity(0).alias("sig"), parity(1).alias("sig2"), prefix.alias("prefix"))
+    rows = lines.withColumn("o", ordered).withColumn("n", F.size("o"))
+    return rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", sig.alias("sig"), prefix.alias("prefix"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The ``(doc, line_no)`` of ``pairs(late, early)`` that are similar, judged on the words."""
     ends = pairs.select(F.col("late").alias("at")).union(pairs.select("early")).distinct()
     wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line_no").alias("numbers"))
-    texts = docs.select(F.col("_doc").alias("doc"), F.col(text_col).alias("text"))
-    picked = texts.join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("lines"))
+    picked = docs.select("doc", "text").join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("lines"))
     words = picked.select(F.struct("doc", "line_no").alias("at"), _words(F.get("lines", F.col("line_no"))).alias("words"))
     words = keep(words.dropDuplicates(["at"]))
     left, right = words.select(F.col("at").alias("late"), F.col("words").alias("a")), words.select(F.col("at").alias("early"), F.col("words").alias("b"))
@@ -145,10 +143,10 @@ def _candidates(firsts: DataFrame, t: float) -> DataFrame:
     smaller line's shorter one, the first in document order being the larger
     on ties.
     """
-    rows = firsts.select("doc", "line_no", "n", "sig", "sig2", "done", F.posexplode("prefix").alias("place", "word"))
-    a = rows.select("word", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line_no", "n", "sig", "sig2", "place", "done")))
+    rows = firsts.select("doc", "line_no", "n", "sig", "done", F.posexplode("prefix").alias("place", "word"))
+    a = rows.select("word", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line_no", "n", "sig", "place", "done")))
     short = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9)
-    b = rows.where(F.col("place") <= short).select("word", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line_no", "n", "sig", "sig2", "place", "done")))
+    b = rows.where(F.col("place") <= short).select("word", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line_no", "n", "sig", "place", "done")))
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
     sooner = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line_no") < F.col("b_line_no")))
     larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & sooner)
@@ -156,14 +154,14 @@ def _candidates(firsts: DataFrame, t: float) -> DataFrame:
     near = F.col("b_n") >= F.lit(t) * F.col("a_n") - 1e-9
     open_ = ~F.when(sooner, F.col("b_done")).otherwise(F.col("a_done"))
     different = (F.col("a_doc") != F.col("b_doc")) | (F.col("a_line_no") != F.col("b_line_no"))
-    odd = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) + F.bit_count(F.col("a_sig2").bitwiseXOR(F.col("b_sig2")))
+    odd = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig")))
     parity = odd <= F.col("a_n") + F.col("b_n") - 2 * need
     met = a.join(b, "word").where(larger & different & near & room & parity & open_)
     one, two = F.struct(F.col("a_doc").alias("doc"), F.col("a_line_no").alias("line_no")), F.struct(F.col("b_doc").alias("doc"), F.col("b_line_no").alias("line_no"))
     return met.select(F.greatest(one, two).alias("late"), F.least(one, two).alias("early")).distinct()
 
 
-def _removed(docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
+def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     """``(doc, line_no)``: the lines (from 0) of ``_keyed`` rows that have an equal or similar line before them.
 
     The order is by document id, null ids first, rows of one id by a hash of
@@ -174,17 +172,17 @@ def _removed(docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
     Equal lines collapse to their first. In families of many variants a line
     next looks at the family's first; only lines that remain meet all others.
     """
-    lines = _lines(docs, text_col)
-    every = keep(lines.where(F.col("line").rlike(_NOT_SPACE)).select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")))
-    sets = _sets(lines, word_classes(docs, text_col), threshold)
-    firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "sig2", "prefix")).alias("s"))
+    lines = _lines(docs)
+    every = keep(lines.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")))
+    sets = _sets(lines, word_classes(docs), threshold)
+    firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "prefix")).alias("s"))
     firsts = keep(firsts.select("k1", "k2", "s.*"))
-    settled = keep(_verify(keep(_family_heads(firsts, threshold)), docs, threshold, text_col))
+    settled = keep(_verify(keep(_family_heads(firsts, threshold)), docs, threshold))
 
     at = ["doc", "line_no"]
     marked = firsts.join(settled.withColumn("done", F.lit(True)), at, "left").withColumn("done", F.coalesce("done", F.lit(False)))
     found = keep(_candidates(marked, threshold))
-    similar = settled.union(_verify(found, docs, threshold, text_col))
+    similar = settled.union(_verify(found, docs, threshold))
     gone = similar.withColumn("gone", F.lit(True))
     first_at = firsts.select("k1", "k2", *at).join(gone, at, "left")
     first_at = keep(first_at.select("k1", "k2", F.struct(*at).alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")))
@@ -196,24 +194,24 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     """``docs`` with the lines of ``_removed`` taken out of the text; every row stays.
 
     A text whose lines are all removed becomes empty; null and empty texts
-    stay as they are. Line ends between kept lines are kept.
+    stay as they are. Line ends between kept lines are kept. Other columns
+    keep their values, whatever their names.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    lists = keep(_removed(keyed, threshold, text_col).groupBy("doc").agg(F.collect_set("line_no").alias("_gone")))
-    joined = keyed.join(lists.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    rest = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    others = [c for c in docs.columns if c != text_col]
+    keyed = _keyed(docs, id_col, text_col, others)
+    lists = keep(_removed(keyed, threshold).groupBy("doc").agg(F.collect_set("line_no").alias("gone")))
+    rest = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return keyed.join(lists, "doc", "left").select(*((text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)``: the removed line numbers of every row of ``docs``, ascending."""
-    keyed = _keyed(docs, id_col, text_col)
-    gone = _removed(keyed, threshold, text_col)
+    keyed = _keyed(docs, id_col, text_col, [id_col])
+    gone = _removed(keyed, threshold)
     lists = keep(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
     sizes = keyed.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col("_doc").alias("doc"),
-        F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).alias("n_lines"),
+        F.col("row").getField(id_col).cast("long").alias("doc_id"), "doc", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
     )
     sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     joined = sizes.join(lists, "doc", "left")
