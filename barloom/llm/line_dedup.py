@@ -5,7 +5,7 @@ frequent over the whole corpus. Two lines whose Jaccard similarity reaches t
 share a word among the first n - ceil(t * n) + 1 of the larger and the first
 n - ceil(2t / (1 + t) * n) + 1 of the smaller (prefix filter), a shared
 word's places leave room for enough common words (positional filter), and the
-sizes differ by at most the factor t (length filter). A parity signature
+sizes differ by at most the factor t (length filter). A 128-bit parity signature
 bounds from below how many words only one of the lines has. What passes is
 verified on the words themselves. A line is removed if an equal or similar
 line stands before it.
@@ -83,11 +83,12 @@ def word_classes(docs: DataFrame) -> list[int]:
 
 
 def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
-    """``(doc, line_no, k1, k2, n, sig, prefix)`` of each line.
+    """``(doc, line_no, k1, k2, n, sig, sig2, prefix)`` of each line.
 
-    ``sig`` has a bit for each residue of the words' hashes modulo 64, set if
-    an odd number of words has it; ``prefix`` holds 31-bit hashes of the
-    rarest words. Different words may share a hash: that only adds candidates.
+    ``sig`` and ``sig2`` together have a bit for each residue of the words'
+    hashes modulo 128, set if an odd number of words has it; ``prefix`` holds
+    31-bit hashes of the rarest words. Different words may share a hash: that
+    only adds candidates.
     """
     # nothing here may be NULL: Spark sorts such arrays as plain numbers
     rank, low = constant_array(classes), F.lit((1 << 56) - 1)
@@ -99,10 +100,16 @@ def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
 
     ordered = F.sort_array(F.transform(F.array_remove(hashes, nothing), placed))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    sig = F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def parity(unit) -> Column:
+        """The bits modulo 64 that an odd number of words has, each word counting as ``unit(hash)`` of 0 or 1."""
+        return F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", unit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    either, upper = parity(lambda _: F.lit(1).cast("long")), parity(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1)).cast("long"))
     prefix = F.transform(F.slice("o", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     rows = lines.withColumn("o", ordered).withColumn("n", F.size("o"))
-    return rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", sig.alias("sig"), prefix.alias("prefix"))
+    rows = rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", either.alias("either"), upper.alias("sig2"), prefix.alias("prefix"))
+    return rows.select("doc", "line_no", "k1", "k2", "n", F.col("either").bitwiseXOR(F.col("sig2")).alias("sig"), "sig2", "prefix")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -143,10 +150,10 @@ def _candidates(firsts: DataFrame, t: float) -> DataFrame:
     smaller line's shorter one, the first in document order being the larger
     on ties.
     """
-    rows = firsts.select("doc", "line_no", "n", "sig", "done", F.posexplode("prefix").alias("place", "word"))
-    a = rows.select("word", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line_no", "n", "sig", "place", "done")))
+    rows = firsts.select("doc", "line_no", "n", "sig", "sig2", "done", F.posexplode("prefix").alias("place", "word"))
+    a = rows.select("word", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line_no", "n", "sig", "sig2", "place", "done")))
     short = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9)
-    b = rows.where(F.col("place") <= short).select("word", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line_no", "n", "sig", "place", "done")))
+    b = rows.where(F.col("place") <= short).select("word", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line_no", "n", "sig", "sig2", "place", "done")))
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
     sooner = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line_no") < F.col("b_line_no")))
     larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & sooner)
@@ -154,7 +161,7 @@ def _candidates(firsts: DataFrame, t: float) -> DataFrame:
     near = F.col("b_n") >= F.lit(t) * F.col("a_n") - 1e-9
     open_ = ~F.when(sooner, F.col("b_done")).otherwise(F.col("a_done"))
     different = (F.col("a_doc") != F.col("b_doc")) | (F.col("a_line_no") != F.col("b_line_no"))
-    odd = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig")))
+    odd = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) + F.bit_count(F.col("a_sig2").bitwiseXOR(F.col("b_sig2")))
     parity = odd <= F.col("a_n") + F.col("b_n") - 2 * need
     met = a.join(b, "word").where(larger & different & near & room & parity & open_)
     one, two = F.struct(F.col("a_doc").alias("doc"), F.col("a_line_no").alias("line_no")), F.struct(F.col("b_doc").alias("doc"), F.col("b_line_no").alias("line_no"))
@@ -175,7 +182,7 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     lines = _lines(docs)
     every = keep(lines.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")))
     sets = _sets(lines, word_classes(docs), threshold)
-    firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "prefix")).alias("s"))
+    firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "sig2", "prefix")).alias("s"))
     firsts = keep(firsts.select("k1", "k2", "s.*"))
     settled = keep(_verify(keep(_family_heads(firsts, threshold)), docs, threshold))
 

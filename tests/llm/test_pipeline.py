@@ -1,13 +1,16 @@
 """The corpus pipeline, stage by stage, against plain versions of its decisions."""
 
 import collections
+import re
 
 import corpus_pipeline
 import pyarrow.parquet as pq
 import pytest
+from barloom.llm.mixing import mix_sources
 from barloom.llm.queries import op8_toxicity, piece_model
 from barloom.llm.sentencepiece_codec import decode_documents
-from test_operators import components, plain_removed, plain_simhash
+from test_operators import components, plain_removed
+from test_whole_rows import plain_shingles
 
 
 @pytest.fixture(scope="module")
@@ -36,16 +39,26 @@ def test_decisions(stages, spark, sf_dir):
     second = stages[1].collect()
     assert {r["doc_id"]: r["text"] for r in second} == cut
     assert all(r["n_chars"] == len(r["text"]) for r in second)
-    prints = {i: plain_simhash(t, 5) for i, t in cut.items()}
-    ids = list(prints)
-    linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2]
+    sets, ids = {i: plain_shingles(t) for i, t in cut.items()}, list(cut)
+    linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     group = components(ids, linked)
     assert {r["doc_id"] for r in stages[2].collect()} == {i for i in ids if group[i] == i}
     times = collections.Counter(r["doc_id"] for r in stages[3].collect())
     assert set(times.values()) <= {1, 2}
-    words = lambda df: sum(len(r["text"].split()) for r in df.collect())
-    # whole documents, about ten a source: up to 64 words from each target, as in the operator's own test
-    assert abs(words(stages[3]) - 1.5 * words(stages[2])) <= 64 * 20
+    # each source has the largest sum of whole documents that its target leaves room for
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    target = {r["source"]: r["target"] for r in mix_sources(stages[2]).collect()}
+    have, taken = collections.defaultdict(list), collections.Counter()
+    for r in stages[2].collect():
+        have[r["source"]].append(size(r))
+    for r in stages[3].collect():
+        taken[r["source"]] += size(r)
+    for source, sizes in have.items():
+        passes = int(target[source] // sum(sizes))
+        room, sums = round(target[source] - passes * sum(sizes)), 1
+        for n in sizes:
+            sums |= sums << n
+        assert taken[source] == passes * sum(sizes) + max(s for s in range(room + 1) if sums >> s & 1)
     back = decode_documents(stages[4], piece_model()).collect()
     assert all(r["text"] == cut[r["doc_id"]] for r in back)
     assert collections.Counter(r["doc_id"] for r in back) == times
