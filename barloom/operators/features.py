@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.scan import scan_by_key
 from barloom.functions.windows import change, clip, ordered, rolling, so_far, trailing
 
 TINY = 1e-10
@@ -50,24 +49,36 @@ def indicators(bars: DataFrame) -> DataFrame:
     }).drop("_up", "_down", "_range", "_tr", "_in", "_out")
 
 
+#: Known values of a block. What is older than a whole block has lost its weight: 1e-17 of it is left at a span of 26.
+BLOCK = 512
+
+
 def exponential_means(bars: DataFrame) -> DataFrame:
-    """``ema5/10/20``, ``macd`` (12 less 26), its signal (9) and histogram, in one scan of each symbol."""
-    spans = (*SPANS, 12, 26)
-
-    def step(state, row):
-        x = row["close"]
-        means = [None] * len(spans) if state is None else state[0]
-        if x is not None:
-            means = [x if m is None else 2 / (s + 1) * x + (1 - 2 / (s + 1)) * m for m, s in zip(means, spans, strict=True)]
-        macd = None if means[3] is None else means[3] - means[4]
-        signal = None if state is None else state[1]
-        if macd is not None:
-            signal = macd if signal is None else 0.2 * macd + 0.8 * signal
-        hist = None if macd is None else macd - signal
-        return (means, signal), (*means[:3], macd, signal, hist)
-
-    names = [f"ema{s}" for s in SPANS] + ["macd", "macd_signal", "macd_hist"]
-    return scan_by_key(bars, ["symbol"], "ts", step, dict.fromkeys(names, "double"))
+    """``ema5/10/20``, ``macd`` (12 less 26), its signal (9) and histogram; a missing close carries the last ones on.
+
+    A mean starts with the first value and then moves by 2 / (span + 1) of
+    the way to each new one. Within a block of known values it is a decayed
+    running sum, and the end of the block before comes in with its weight, so
+    built-in windows give it.
+    """
+    seen = F.count("close").over(so_far("symbol")) - 1
+    rows = bars.withColumn("_k", seen)
+    rows = rows.withColumns({"_b": F.floor(F.col("_k") / BLOCK), "_j": F.when(F.col("close").isNotNull(), F.col("_k") % BLOCK)})
+    rows = _decayed(rows, {f"ema{s}": ("close", s) for s in (*SPANS, 12, 26)})
+    rows = _decayed(rows.withColumn("macd", F.col("ema12") - F.col("ema26")), {"macd_signal": ("macd", 9)})
+    return rows.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).select(*bars.columns, *(f"ema{s}" for s in SPANS), "macd", "macd_signal", "macd_hist")
+
+
+def _decayed(rows: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """``rows`` with the exponential means ``name: (column, span)``; ``_k`` numbers the known values, ``_j`` those of the block ``_b``."""
+    inside = Window.partitionBy("symbol", "_b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    before = ordered("symbol").rowsBetween(Window.unboundedPreceding, -1)
+    keep = {name: F.lit(1 - 2 / (span + 1)) for name, (_, span) in wanted.items()}
+    weighed = {n: F.when(F.col("_k") == 0, F.col(c)).otherwise((1 - keep[n]) * F.col(c)) for n, (c, _) in wanted.items()}
+    rows = rows.withColumns({f"_{n}": F.pow(keep[n], F.col("_j")) * F.sum(weighed[n] * F.pow(keep[n], -F.col("_j"))).over(inside) for n in wanted})
+    ends = {f"_e_{n}": F.last(F.when(F.col("_j") == BLOCK - 1, F.col(f"_{n}")), ignorenulls=True).over(before) for n in wanted}
+    rows = rows.withColumns(ends).withColumns({f"_{n}": F.col(f"_{n}") + F.pow(keep[n], F.col("_j") + 1) * F.coalesce(f"_e_{n}", F.lit(0.0)) for n in wanted})
+    return rows.withColumns({n: F.last(f"_{n}", ignorenulls=True).over(so_far("symbol")) for n in wanted})
 
 
 def is_label(name: str) -> bool:

@@ -61,6 +61,22 @@ def test_ema_against_pandas(spark):
     assert np.allclose(got["e"], want)
 
 
+def test_exponential_means_over_blocks(spark, monkeypatch):
+    """Means over several blocks, with gaps, against pandas."""
+    rng = np.random.default_rng(3)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 1300)))
+    close[rng.random(1300) < 0.1] = np.nan
+    rows = [("A", d, None if np.isnan(c) else float(c)) for d, c in zip(days(1300), close)]
+    got = ft.exponential_means(spark.createDataFrame(rows, "symbol string, ts date, close double")).toPandas().sort_values("ts")
+    series = pd.Series(close)
+    mean = lambda x, span: x.ewm(span=span, adjust=False, ignore_na=True).mean()
+    for span in (5, 10, 20):
+        assert np.allclose(got[f"ema{span}"].astype(float), mean(series, span), rtol=1e-12, equal_nan=True)
+    macd = mean(series, 12) - mean(series, 26)
+    signal = mean(macd.where(series.notna()), 9)
+    assert np.allclose(got["macd"].astype(float), macd, atol=1e-9, equal_nan=True) and np.allclose(got["macd_signal"].astype(float), signal, atol=1e-9, equal_nan=True)
+
+
 # pairs and factors --------------------------------------------------------------
 
 
