@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm.lookup import constant_array
-from barloom.llm.scratch import keep
+from barloom.llm.scratch import drop, keep, settled
 
 #: Counters of word frequency. They fix the order of words, which affects
 #: speed and never the result, so a word may share its counter with others.
@@ -113,7 +113,7 @@ def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The ``(doc, line_no)`` of ``pairs(late, early)`` that are similar, judged on the words."""
+    """The ``(doc, line_no)`` of the written ``pairs(late, early)`` that are similar, judged on the words; the pairs are deleted."""
     ends = pairs.select(F.col("late").alias("at")).union(pairs.select("early")).distinct()
     wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line_no").alias("numbers"))
     picked = docs.select("doc", "text").join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("lines"))
@@ -122,7 +122,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     left, right = words.select(F.col("at").alias("late"), F.col("words").alias("a")), words.select(F.col("at").alias("early"), F.col("words").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     alike = common >= F.lit(threshold) * (F.size("a") + F.size("b") - common) - 1e-9
-    return pairs.join(left, "late").join(right, "early").where(alike).select("late.doc", "late.line_no").distinct()
+    found = keep(pairs.join(left, "late").join(right, "early").where(alike).select("late.doc", "late.line_no").distinct())
+    drop(words, pairs)
+    return found
 
 
 def _family_heads(firsts: DataFrame, threshold: float) -> DataFrame:
@@ -184,15 +186,15 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     sets = _sets(lines, word_classes(docs), threshold)
     firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "sig2", "prefix")).alias("s"))
     firsts = keep(firsts.select("k1", "k2", "s.*"))
-    settled = keep(_verify(keep(_family_heads(firsts, threshold)), docs, threshold))
+    sure = _verify(keep(_family_heads(firsts, threshold)), docs, threshold)
 
     at = ["doc", "line_no"]
-    marked = firsts.join(settled.withColumn("done", F.lit(True)), at, "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    found = keep(_candidates(marked, threshold))
-    similar = settled.union(_verify(found, docs, threshold))
+    marked = firsts.join(sure.withColumn("done", F.lit(True)), at, "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    similar = sure.union(_verify(keep(_candidates(marked, threshold)), docs, threshold))
     gone = similar.withColumn("gone", F.lit(True))
     first_at = firsts.select("k1", "k2", *at).join(gone, at, "left")
     first_at = keep(first_at.select("k1", "k2", F.struct(*at).alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")))
+    drop(firsts)
     out = every.join(first_at, ["k1", "k2"]).where(F.col("gone") | (F.struct(*at) > F.col("at")))
     return out.select(*at).distinct()
 
@@ -206,7 +208,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     """
     others = [c for c in docs.columns if c != text_col]
     keyed = _keyed(docs, id_col, text_col, others)
-    lists = keep(_removed(keyed, threshold).groupBy("doc").agg(F.collect_set("line_no").alias("gone")))
+    lists = settled(lambda: _removed(keyed, threshold).groupBy("doc").agg(F.collect_set("line_no").alias("gone")))
     rest = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     return keyed.join(lists, "doc", "left").select(*((text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
@@ -215,8 +217,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 def line_report(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)``: the removed line numbers of every row of ``docs``, ascending."""
     keyed = _keyed(docs, id_col, text_col, [id_col])
-    gone = _removed(keyed, threshold)
-    lists = keep(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
+    lists = settled(lambda: _removed(keyed, threshold).groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
     sizes = keyed.select(
         F.col("row").getField(id_col).cast("long").alias("doc_id"), "doc", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
     )

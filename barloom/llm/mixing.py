@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.llm.rows import keyed_rows
-from barloom.llm.scratch import keep
+from barloom.llm.scratch import keep, settled
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CELLS = 4096
@@ -188,5 +188,6 @@ def mixed_documents(
     """
     rows = keyed_rows(docs).rows
     texts = rows.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col(f"row.{text_col}").alias("text"))
-    times = _mix(texts, weights, share, max_passes, seed).select("key", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    taken = settled(lambda: _mix(texts, weights, share, max_passes, seed).where("copies > 0").select("key", F.col("copies").cast("int")))
+    times = taken.select("key", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
     return rows.join(times.drop("copy"), "key").select("row.*")

@@ -3,7 +3,7 @@
 An iterative operator cuts its lineage by writing a table and reading it
 back. The tables go below ``spark.checkpoint.dir`` of the session, so a lost
 executor costs only the tasks it ran. They are removed when the driver exits,
-or by ``drop`` once nothing reads them.
+or by ``drop`` and ``settled`` once nothing reads them.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _used: dict[str, SparkSession] = {}
+_open: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +47,22 @@ def keep(df: DataFrame) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table.kept_at = path
+    if _open:
+        _open[-1].append(table)
+    return table
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build``, written; what it wrote on the way is deleted."""
+    _open.append([])
+    try:
+        result = build()
+        mine = _open.pop()
+    except BaseException:
+        _open.pop()
+        raise
+    table = keep(result)
+    drop(*mine)
     return table
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.components import connected_components
 from barloom.llm.rows import first_of_groups, keyed_rows, with_keys
-from barloom.llm.scratch import drop, keep
+from barloom.llm.scratch import drop, keep, settled
 from barloom.llm.simhash import SEED, close_pairs, print_of, shingle_hashes
 
 
@@ -147,4 +147,5 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
 def keep_first_of_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of similar ones: the first by id, rows without an id last."""
     keyed = keyed_rows(docs)
-    return first_of_groups(keyed, similar_groups(keyed.rows.select("key", F.col("row.text").alias("text")), words, threshold))
+    texts = keyed.rows.select("key", F.col("row.text").alias("text"))
+    return first_of_groups(keyed, settled(lambda: similar_groups(texts, words, threshold)))

@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm.rows import keyed_rows, with_keys
-from barloom.llm.scratch import keep
+from barloom.llm.scratch import keep, settled
 
 #: Labelled rows the model learns from, at most: the first by a hash of the id.
 MOST_TRAINING_ROWS = 12_000
@@ -218,8 +218,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more, judged row by row, also where ids are null or repeat."""
-    model = fit_toxicity(docs, labels.where(~_held_out(F.col("doc_id"))))
     rows = keyed_rows(docs).rows
-    scored = model.score(rows.select("key", F.col("row.text").alias("text")), "key")
-    toxic = keep(scored.where(F.col("score") >= threshold).select(F.col("doc_id").alias("key")))
+
+    def found() -> DataFrame:
+        model = fit_toxicity(docs, labels.where(~_held_out(F.col("doc_id"))))
+        scored = model.score(rows.select("key", F.col("row.text").alias("text")), "key")
+        return scored.where(F.col("score") >= threshold).select(F.col("doc_id").alias("key"))
+
+    toxic = settled(found)
     return with_keys(rows, toxic, "left_anti").select("row.*")
