@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.pieces import Pieces, load_pieces
 
-#: Words whose counts each Python worker keeps at hand.
-CACHED_WORDS = 400_000
+#: Words, chunks and pairs of pieces that each Python worker keeps at hand; none is longer than LONG_WORD.
+CACHED_WORDS, CACHED_PAIRS, LONG_WORD = 400_000, 1_000_000, 64
 
 
 class PrefixCounter:
@@ -53,6 +53,8 @@ class PrefixCounter:
         return parts
 
     def _follows(self, left: str, right: str, key: int) -> bool:
+        if len(self._valid) >= CACHED_PAIRS:
+            self._valid.clear()
         valid = self._valid[key] = self.merge(left + right) == [left, right]
         return valid
 
@@ -89,13 +91,14 @@ class PrefixCounter:
                 part = self._chunk.get(chunk)
                 if part is None:
                     part = self.chunk_counts(chunk)
-                    if len(self._chunk) >= CACHED_WORDS:
-                        self._chunk.clear()
-                    self._chunk[chunk] = part
+                    if len(chunk) <= LONG_WORD:
+                        if len(self._chunk) >= CACHED_WORDS:
+                            self._chunk.clear()
+                        self._chunk[chunk] = part
                 out.extend(part if not base else [base + c for c in part])
                 base += part[-1]
             found = tuple(out)
-            if len(word) <= 64:
+            if len(word) <= LONG_WORD:
                 if len(self._word) >= CACHED_WORDS:
                     self._word.clear()
                 self._word[word] = found
