@@ -130,6 +130,14 @@ def expand_grid(spark, axes: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(["trial int", *(f"{n} {k}" for n, k in zip(axes, kinds, strict=True))]))
 
 
+def grid_of_values(table: DataFrame, columns: list[str]) -> DataFrame:
+    """Every combination of the columns' values as ``(trial, ...)``, in their order, the last column moving fastest."""
+    out = table.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in columns))
+    for c in columns:
+        out = out.withColumn(c, F.explode(c))
+    return out.withColumn("trial", F.row_number().over(Window.orderBy(*columns)) - 1).select("trial", *columns)
+
+
 def sweep_summary(trial_stats: DataFrame) -> DataFrame:
     """Best trial by Sharpe ratio (the first on ties), the number of valid trials, their mean and deviation."""
     ok = trial_stats.where("sharpe is not null")

@@ -85,6 +85,11 @@ def is_label(name: str) -> bool:
     return name.startswith(LABEL_PREFIXES)
 
 
+def without_labels(frame: DataFrame) -> DataFrame:
+    """``frame`` as a model may see it: no column that tells the future."""
+    return frame.drop(*(c for c in frame.columns if is_label(c)))
+
+
 def lagged(frame: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
     """``{column}_lag{p}`` of every numeric column that is not a label, in one selection; p <= 0 is skipped."""
     numeric = [f.name for f in frame.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long") and not is_label(f.name)]

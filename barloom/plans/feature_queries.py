@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.functions.windows import change, ordered
+from barloom.functions.windows import change
 from barloom.operators import factors, features as ft, folds, scaling, universe
 from barloom.plans.panels import EVENT_BARS_SQL, event_bars, price_bars, read
 from barloom.plans.registry import query

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.windows import change, clip, ordered
 from barloom.operators import conformal, evaluate as ev, features as ft, members as mb, portfolio as pf
-from barloom.plans.feature_queries import BASELINE_SQL, ROLL, SIGMA_SQL, W, full
+from barloom.plans.feature_queries import BASELINE_SQL, SIGMA_SQL, W, full
 from barloom.plans.normal_sql import cdf_sql, deflated_sql, luck_sql
 from barloom.plans.panels import price_bars, read
 from barloom.plans.registry import query
@@ -442,6 +442,11 @@ def eval8_grid(spark: S, sf: str) -> D:
     return grid(spark).withColumn("_k", F.lit(1)).join(n, "_k")
 
 
+@query("trial:i segment nation:i", "s as (select distinct c_mktsegment as segment from customer), n as (select distinct c_nationkey as nation from customer), out as (select row_number() over (order by segment, nation) - 1 as trial, segment, nation from s cross join n)", "")
+def eval8_grid_of_values(spark: S, sf: str) -> D:
+    return ev.grid_of_values(read(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")), ["segment", "nation"])
+
+
 _SWEEP = "avs as (select symbol, ts, close, " + ", ".join(f"{full('avg', 'close', n)} as a{n}" for n in (5, 10, 20, 30, 50, 60)) + f""", lead(close) {W} / close - 1 as fwd from bars), {_GRID},
 tr as (select trial, ts, avg(sign(case f when 5 then a5 when 10 then a10 else a20 end - case s when 30 then a30 when 50 then a50 else a60 end) * w * fwd) as ret from avs, grid group by 1, 2),
 st as (select trial, avg(ret) / stddev_samp(ret) as sharpe from tr group by 1)"""

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from barloom.functions.windows import change, ordered
-from barloom.operators import evaluate as ev, factors as fc, features as ft, folds, packets, pairs as pr, sentiment as sn, walkforward as wf
+from barloom.functions.windows import ordered
+from barloom.operators import evaluate as ev, factors as fc, folds, packets, pairs as pr, sentiment as sn, walkforward as wf
 from barloom.plans import portfolio_queries as pq, signal_queries as sq
-from barloom.plans.feature_queries import FOLD_SQL, W, _folds
+from barloom.plans.feature_queries import FOLD_SQL, _folds
 from barloom.plans.panels import price_bars
-from barloom.sources import bars as src
-from barloom.plans.portfolio_queries import LOG_SQL, MEMBER_SQL, METRIC_SQL, _SWEEP, grid, member_table, safe_accounts, sweep, trips, weights
+from barloom.plans.portfolio_queries import LOG_SQL, MEMBER_SQL, _SWEEP, member_table, safe_accounts, trips, weights
 from barloom.plans.registry import query
+from barloom.sources import bars as src
 
 S, D = SparkSession, DataFrame
 

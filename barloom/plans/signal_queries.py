@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.windows import change, ordered
 from barloom.operators import factors as fc, members as mb, pairs as pr, sentiment as sn, universe, walkforward as wf
-from barloom.plans.feature_queries import FOLD_SQL, W, full
-from barloom.plans.panels import EVENT_BARS_SQL, NEWS_SQL, event_bars, price_bars, publications, read, stories
+from barloom.plans.feature_queries import W
 from barloom.plans.normal_sql import cdf_sql
+from barloom.plans.panels import EVENT_BARS_SQL, NEWS_SQL, event_bars, price_bars, publications, read, stories
 from barloom.plans.registry import query
 
 S, D = SparkSession, DataFrame
@@ -421,7 +421,6 @@ def sen1_bar_sentiment(spark: S, sf: str) -> D:
 @query("fold:i member mae:5 n:i")
 def mod1_boosted_forecast(spark: S, sf: str) -> D:
     """Skill of boosted trees on every fold against a forecast of nothing."""
-    from barloom.operators import features as ft
     from barloom.plans.feature_queries import _folds
 
     assigned = _folds(spark, sf)[0]

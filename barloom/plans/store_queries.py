@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.functions.windows import change, ordered
-from barloom.operators import factors as fc, members as mb, scaling, universe
+from barloom.functions.windows import change, ordered, rolling
+from barloom.operators import conformal, factors as fc, features as ft, members as mb, scaling, sentiment as sn, universe, walkforward as wf
 from barloom.plans import portfolio_queries as pq, signal_queries as sq
-from barloom.plans.feature_queries import SCALE_SQL, W, _apply_sql, _folds, _scaled
-from barloom.plans.panels import EVENT_BARS_SQL, price_bars, publications, read, stories
+from barloom.plans.feature_queries import SCALE_SQL, W, _apply_sql, _folds, _scaled, full
+from barloom.plans.panels import EVENT_BARS_SQL, price_bars, read, stories
 from barloom.plans.registry import query
 from barloom.sources import bars as src
 from barloom.sources.folder import fresh_folder
-from barloom.operators import conformal, sentiment as sn
 from barloom.streaming import bars as st
 
 S, D = SparkSession, DataFrame
@@ -100,6 +99,26 @@ def snk3_universe_file(spark: S, sf: str) -> D:
     return spark.read.text(path)
 
 
+# columns by name ------------------------------------------------------------------
+
+
+@query("grp col known:i", f"""base as (select *, {full('avg', 'close', 5)} as ma5, lead(close, 5) {W} as target_5 from bars),
+out as (select 'price' as grp, 'open' as col, count(open) as known from base union all select 'price', 'close', count(close) from base union all select 'price', 'ma5', count(ma5) from base
+  union all select 'volume', 'volume', count(volume) from base union all select 'label', 'target_5', count(target_5) from base)""")
+def prj2_column_groups(spark: S, sf: str) -> D:
+    """How many values each column of each group has."""
+    frame = ft.with_labels(price_bars(spark, sf)).select("symbol", "ts", "open", "close", "volume", "target_5").withColumn("ma5", rolling(F.avg, F.col("close"), 5))
+    groups = wf.column_groups(frame.columns, ft.is_label)
+    return frame.agg(F.array(*(F.struct(F.lit(g).alias("grp"), F.lit(c).alias("col"), F.count(c).alias("known")) for g, columns in groups.items() for c in columns)).alias("a")).select(F.inline("a"))
+
+
+@query("symbol ts:s close:8 columns", "out as (select symbol, ts, close, 'symbol ts open high low close volume' as columns from bars)")
+def prj10_without_labels(spark: S, sf: str) -> D:
+    """Bars with labels, as a model may see them, and the columns that are left."""
+    seen = ft.without_labels(ft.with_labels(price_bars(spark, sf)))
+    return seen.withColumn("columns", F.lit(" ".join(seen.columns)))
+
+
 # scalers and members -------------------------------------------------------------
 
 

@@ -106,16 +106,24 @@ def write_results(tables: dict[str, DataFrame], path: str, partition_by: str = "
         table.write.mode("overwrite").partitionBy(partition_by).parquet(f"{path}/{name}")
 
 
+#: Days, or symbols, that go to every executor as one array at most.
+MOST_SENT = 1_000_000
+
+
 def dense_panel(bars: DataFrame, columns: list[str]) -> DataFrame:
     """Every day of the calendar for every symbol, NULL where there is no bar.
 
-    The calendar goes to each symbol as one array, so the grid is made without
-    a cross join; its length is the number of bars of one symbol.
+    The shorter of the two lists goes to each entry of the other as an array,
+    so the grid is made without a cross join. A grid of more than MOST_SENT
+    symbols and days is refused: it would have a million million rows.
     """
-    days = bars.agg(F.array_sort(F.collect_set("ts")).alias("days"))
-    symbols = bars.select("symbol").distinct().withColumn("_k", F.lit(1))
-    grid = symbols.join(F.broadcast(days.withColumn("_k", F.lit(1))), "_k").select("symbol", F.explode("days").alias("ts"))
-    return grid.join(bars.select("symbol", "ts", *columns), ["symbol", "ts"], "left")
+    n = bars.agg(F.count_distinct("ts").alias("ts"), F.count_distinct("symbol").alias("symbol")).first()
+    few, many = ("ts", "symbol") if n["ts"] <= n["symbol"] or n["ts"] <= MOST_SENT // 10 else ("symbol", "ts")
+    if n[few] > MOST_SENT:
+        raise ValueError(f"a dense panel of {n['symbol']} symbols and {n['ts']} days is too large")
+    every = bars.agg(F.array_sort(F.collect_set(few)).alias("every")).withColumn("_k", F.lit(1))
+    grid = bars.select(many).distinct().withColumn("_k", F.lit(1)).join(F.broadcast(every), "_k").select(many, F.explode("every").alias(few))
+    return grid.join(bars.select("symbol", "ts", *columns), ["symbol", "ts"], "left").select("symbol", "ts", *columns)
 
 
 def positive_prices(bars: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from barloom.functions.normal import norm_cdf, norm_ppf
 from barloom.functions.scan import ema_step, scan_by_key
 from barloom.operators import conformal, evaluate as ev, factors as fc, features as ft, folds, members as mb, pairs as pr, portfolio as pf, scaling, sentiment as sn, universe
-from barloom.plans.panels import price_bars
 from barloom.sources import bars as src
 from barloom.streaming import bars as st
 
