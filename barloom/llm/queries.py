@@ -91,4 +91,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others need hashes, tokenizers or trained models that SQL lacks; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_dedup": """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+usable as (select * from v where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(e, lambda x: x * x)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+r(node, reached) as (select vec_id, vec_id from v union select r.node, p.b from r join p on p.a = r.reached),
+c as (select node, min(reached) as component_id from r group by 1), n as (select a, count(*) as n_links from p group by 1)
+select v.vec_id, coalesce(n_links, 0) as n_links, component_id, v.vec_id = component_id as kept from v join c on c.node = v.vec_id left join n on n.a = v.vec_id""",
+}
