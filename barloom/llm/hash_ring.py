@@ -13,6 +13,7 @@ rank in its arc.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 
@@ -101,9 +102,12 @@ def assign_shards(
     points = ring_points(shards, virtual_nodes)
     owners = [s for _, s in points]
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
-    held = rows.select(F.struct(*(rows[c] for c in kept)).alias("row"), rows[key].alias("key"), F.struct(F.lit(0), *(rows[c] for c in order)).alias("order"))
-    position = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), "key"), 64 - RING_BITS)
-    cell = F.pmod(F.xxhash64(F.lit("cell"), "key", "order"), F.lit(CELLS)).cast("int")
+    # the caller's columns have numbers meanwhile, so that none of their names clashes
+    held = rows.select(*(rows[c].alias(f"c{i}") for i, c in enumerate(kept)))
+    of = {c: f"c{i}" for i, c in enumerate(kept)}
+    ranked_by = [of[key], *(of[c] for c in order)]
+    position = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), of[key]), 64 - RING_BITS)
+    cell = F.pmod(F.xxhash64(F.lit("cell"), *ranked_by), F.lit(CELLS)).cast("int")
     base = held.withColumns({"_at": position, "_cell": cell})
     # the first point at or after the position; beyond the last one the ring starts again
     arc = points_below(F.col("_at"), [p for p, _ in points], closed=False)
@@ -121,15 +125,20 @@ def assign_shards(
         for c in sorted(cells):
             before[a][c] = n
             n += cells[c]
-    pieces = []
+    # for each cell of each arc the few ranges of its ranks: points x CELLS short lists, whatever the data's size
+    pieces: list[list[list[int]]] = [[] for _ in range(len(points) * CELLS)]
     for a, lo, hi, shard, slot in place_counts(owners, counts, bound):
         for c, n in before[a].items():
             first, end = max(lo, n), min(hi, n + seen[a][c])
             if first < end:
-                pieces.append([a, c, first - n, end - n, shard, slot + first - lo])
-    plan = rows.sparkSession.createDataFrame(pieces, "_arc int, _cell int, _lo long, _hi long, shard int, _slot long")
-    w = Window.partitionBy("_arc", "_cell").orderBy("_at", "key", "order")
-    ranked = base.withColumn("_rank", F.row_number().over(w).cast("long") - 1)
-    # at most points x (CELLS + 2) short rows, a few MB: a bound that does not grow with the data
-    joined = ranked.join(F.broadcast(plan), ["_arc", "_cell"]).where("_rank >= _lo and _rank < _hi")
-    return joined.select("row.*", "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))
+                pieces[a * CELLS + c].append([first - n, end - n, shard, slot + first - lo])
+    plan = F.from_json(F.lit(json.dumps(pieces)), "array<array<array<bigint>>>")
+    w = Window.partitionBy("_arc", "_cell").orderBy("_at", *ranked_by)
+    rank = F.row_number().over(w).cast("long") - 1
+    ranked = base.withColumn("_rank", rank)
+    mine = F.get(plan, F.col("_arc") * CELLS + F.col("_cell"))
+    piece = F.get(F.filter(mine, lambda p: (F.col("_rank") >= p[0]) & (F.col("_rank") < p[1])), F.lit(0))
+    placed = ranked.withColumn("_piece", piece)
+    return placed.select(
+        *(F.col(of[c]).alias(c) for c in kept), F.col("_piece")[2].cast("int").alias("shard"), (F.col("_piece")[3] + F.col("_rank") - F.col("_piece")[0]).alias("slot")
+    )

@@ -378,7 +378,7 @@ def test_ring_against_a_walk(spark):
     from barloom.llm.hash_ring import even_capacity, ring_points
 
     points = ring_points(5, 8)
-    keys = spark.range(700).select(F.col("id").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.lit("ring"), "id"), 2).alias("at"), F.pmod(F.xxhash64(F.lit("cell"), "id", F.struct(F.lit(0))), F.lit(32)).alias("cell")).collect()
+    keys = spark.range(700).select(F.col("id").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.lit("ring"), "id"), 2).alias("at"), F.pmod(F.xxhash64(F.lit("cell"), "id"), F.lit(32)).alias("cell")).collect()
     arc = lambda at: next((i for i, (p, _) in enumerate(points) if p >= at), len(points)) % len(points)
     queue = collections.defaultdict(list)
     for r in sorted(keys, key=lambda r: (r["cell"], r["at"], r["doc_id"])):
