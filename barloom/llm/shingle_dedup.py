@@ -12,7 +12,8 @@ Equal sets are one node. Nodes with equal or close SimHash prints meet first
 (the grid join of ``simhash``); those links are certain once verified. Prints
 miss most pairs near the threshold, so the prefix join goes over all nodes:
 each meets one node under every prefix element, another one in each round, as
-long as many pairs are open; then all nodes of different groups meet. A large
+long as many pairs are open; then all nodes of different groups meet whose
+parity signatures leave room for the similarity. A large
 group of near copies becomes one group in a few rounds and never makes all its
 pairs.
 """
@@ -33,8 +34,17 @@ from barloom.llm.scratch import drop, keep, settled
 from barloom.llm.simhash import SEED, close_pairs, print_of, shingle_hashes
 
 
+def parity_sign(hashes: np.ndarray) -> list[int]:
+    """A bit for each residue modulo 64 * SIGN, set if an odd number of ``hashes`` has it.
+
+    Two sets differ in at least as many elements as their signatures in bits.
+    """
+    odd = np.bincount(hashes.view("<u8") % np.uint64(64 * SIGN), minlength=64 * SIGN).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8").tolist()
+
+
 def _sets(words: int, threshold: float | None):
-    """``(key, node, n, fp, part)``: SimHash and the prefix of every row's set, or all of the set without ``threshold``."""
+    """``(key, node, n, fp, sign, part)``: SimHash, signature and prefix of every row's set, or all of the set without ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,16 +55,18 @@ def _sets(words: int, threshold: float | None):
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             part = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([print_of(h) for h in hashes], pa.int64()), part],
-                names=["key", "node", "n", "fp", "part"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([print_of(h) for h in hashes], pa.int64()), pa.array([parity_sign(s) for s in found], pa.list_(pa.int64())), part],
+                names=["key", "node", "n", "fp", "sign", "part"],
             )
 
     return run
 
 
-_SCHEMA = "key long, node long, n int, fp long, part array<long>"
+_SCHEMA = "key long, node long, n int, fp long, sign array<long>, part array<long>"
 #: Rounds of meeting one node of each key before all nodes that are left meet.
 ROUNDS = 6
+#: Words of a set's parity signature.
+SIGN = 8
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -87,7 +99,7 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
     that links reach.
     """
     prints = keep(rows.select("key", "text").mapInArrow(_sets(words, threshold), _SCHEMA))
-    nodes = keep(prints.groupBy("node").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("part").alias("part")))
+    nodes = keep(prints.groupBy("node").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sign").alias("sign"), F.first("part").alias("part")))
     members = keep(prints.select("key", "node"))
     drop(prints)
     links = _alike(_simhash_pairs(nodes), nodes, rows, words, threshold)
@@ -127,10 +139,13 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
         links = keep(links.union(fresh))
         groups = connected_components(links)
 
-    a = placed.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "rest", "last", "group")))
-    b = placed.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "rest", "last", "group")))
+    placed = keep(placed.join(nodes.select("node", *(F.get("sign", F.lit(i)).alias(f"s{i}") for i in range(SIGN))), "node"))
+    fields = ("node", "n", "rest", "last", "group", *(f"s{i}" for i in range(SIGN)))
+    a, b = (placed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in fields)) for side in "ab")
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    met_across = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & (small >= F.lit(threshold) * large - 1e-9))
+    apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SIGN)), F.lit(0))
+    close = apart <= small + large - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * (small + large) - 1e-9)
+    met_across = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & (small >= F.lit(threshold) * large - 1e-9) & close)
     # the prefix that ends first is whole below the other's end: beyond the shared elements only its set's rest is open
     room = F.min(F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))) + F.count("*")
     need = F.min(F.ceil(F.lit(threshold / (1 + threshold)) * (small + large) - 1e-9))
