@@ -190,4 +190,5 @@ def mixed_documents(
     texts = rows.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col(f"row.{text_col}").alias("text"))
     taken = settled(lambda: _mix(texts, weights, share, max_passes, seed).where("copies > 0").select("key", F.col("copies").cast("int")))
     times = taken.select("key", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
-    return rows.join(times.drop("copy"), "key").select("row.*")
+    # the same join at every size
+    return rows.join(times.drop("copy").hint("merge"), "key").select("row.*")
