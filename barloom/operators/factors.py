@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.scan import scan_by_key
 from barloom.functions.windows import change, clip, median, ordered, rolling
+from barloom.operators import tiles
 from barloom.operators.features import volume_time_weights
 from barloom.sources.bars import dense_panel
 
@@ -48,17 +49,40 @@ def eligibility(bars: DataFrame, members: DataFrame | None, corr_window: int, le
     return rows
 
 
-def correlations(returns: DataFrame, rebalances: DataFrame) -> DataFrame:
-    """``(rebalance, a, b, corr)`` for a < b over the rows ``(lo, ts]`` of each rebalance.
+def correlations(returns: DataFrame, rebalances: DataFrame, span: int = 25) -> DataFrame:
+    """``(rebalance, a, b, corr)`` for a < b over the days of each rebalance that both have; NULL without variance.
 
-    ``returns(ts, symbol, ret)`` and ``rebalances(rebalance, lo)``: trailing windows.
+    ``returns(ts, symbol, ret)`` and ``rebalances(rebalance, days)``: trailing
+    windows. Symbols meet as blocks, windows as sums over tiles of days, so
+    rows are sent once for each pair of blocks and ``span`` windows.
     """
-    inside = _windowed(returns, rebalances)
-    a, b = inside.withColumnsRenamed({"symbol": "a", "ret": "ra"}), inside.withColumnsRenamed({"symbol": "b", "ret": "rb"})
-    return a.join(b, ["rebalance", "ts"]).where("a < b").groupBy("rebalance", "a", "b").agg(F.corr("ra", "rb").alias("corr"))
+    known = returns.where("ret is not null").select("ts", "symbol", "ret")
+    chunks = tiles.window_chunks(rebalances, span)
+    packed = tiles.packed_blocks(tiles.chunk_rows(known, chunks), "chunk", "ret", tiles.BLOCK)
+    ends = tiles.window_ends(chunks).groupBy("chunk").agg(F.collect_list(F.struct("rebalance", "first", "last")).alias("ends"))
+    day = returns.schema["ts"].dataType.simpleString()
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        days, (left, x), (right, y) = tiles.aligned(frame)
+        ends, windows = tiles.ranges(days, pd.DataFrame([dict(e) for e in frame["ends"].iloc[0]]))
+        ordered_pair = left[:, None] < right[None, :]
+        a, b = np.broadcast_to(left[:, None], ordered_pair.shape), np.broadcast_to(right[None, :], ordered_pair.shape)
+        out = []
+        for rebalance, m in zip(ends["rebalance"], tiles.sliding_sums(windows, lambda lo, hi: tiles.joint_moments(x[lo:hi], y[lo:hi])), strict=True):
+            n, sx, sy, sxx, syy, sxy = m
+            keep = ordered_pair & (n > 0)
+            n = np.maximum(n, 1)
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            some = (vx > 1e-14 * sxx) & (vy > 1e-14 * syy)
+            corr = np.where(some, (sxy - sx * sy / n) / np.sqrt(np.where(some, vx * vy, 1.0)), np.nan)
+            out.append(pd.DataFrame({"rebalance": rebalance, "a": a[keep], "b": b[keep], "corr": pd.Series(corr[keep].astype(object)).where(~np.isnan(corr[keep]), None)}))
+        return pd.concat(out)
+
+    pairs = tiles.block_pairs(packed.join(ends, "chunk"), "chunk")
+    return pairs.groupBy("chunk", "i", "j").applyInPandas(run, f"rebalance {day}, a string, b string, corr double")
 
-def _windowed(returns: DataFrame, rebalances: DataFrame) -> DataFrame:
+
+def windowed(returns: DataFrame, rebalances: DataFrame) -> DataFrame:
     """Rows of each rebalance's window; the windows are exploded to days, so that the join is on equal days."""
     days = rebalances.withColumn("ts", F.explode("days")).select("rebalance", "ts")
     return returns.where("ret is not null").join(days, "ts").select("rebalance", "ts", "symbol", "ret")
@@ -74,37 +98,80 @@ def rebalance_days(calendar: DataFrame, window: int, every: int) -> DataFrame:
     return rows.where((F.col("_rn") >= window) & ((F.col("_rn") - window) % every == 0)).select(F.col("ts").alias("rebalance"), "days")
 
 
-def eigenportfolios(returns: DataFrame, rebalances: DataFrame, k: int) -> DataFrame:
-    """``(rebalance, factor, symbol, weight, explained)``: the top ``k`` eigenvectors over deviation, one task for each rebalance.
+def eigenportfolios(returns: DataFrame, rebalances: DataFrame, k: int, span: int = 25) -> DataFrame:
+    """``(rebalance, factor, symbol, weight, explained)``: the top ``k`` eigenvectors over deviation.
 
-    Symbols must be known on every day of the window. Signs make each
-    eigenvector's sum positive; a symbol without variance has weight 0.
+    Symbols must be known on every day of the window; with fewer than k + 2 of
+    them there are none. Signs make each eigenvector's sum positive (where it is
+    zero, the largest entry); a symbol without variance has weight 0. ``span``
+    rebalances are a task, which their rows reach once.
     """
-    return _eigenportfolios(_windowed(returns, rebalances), k)
+    chunks = tiles.window_chunks(rebalances, span)
+    rows = tiles.chunk_rows(returns.where("ret is not null").select("ts", "symbol", "ret"), chunks)
+    day = returns.schema["ts"].dataType.simpleString()
 
+    def run(frame: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame(columns=["rebalance", "factor", "symbol", "weight", "explained"])
+        days, symbols, ret = tiles.wide(frame, "ts", "ret")
+        ends, windows = tiles.ranges(days, ends)
+        # a day that no symbol has is no day of the frame, so a window is as long as its days that are there
+        choices = [np.isfinite(ret[lo:hi]).all(axis=0) & (hi > lo) for lo, hi in windows]
+        return _long_portfolios(ends["rebalance"], symbols, choices, window_portfolios(ret, windows, choices, k))
 
-def _eigenportfolios(rows: DataFrame, k: int) -> DataFrame:
-    """The same from the rows ``(rebalance, ts, symbol, ret)`` of the windows."""
+    schema = f"rebalance {day}, factor int, symbol string, weight double, explained double"
+    return rows.groupBy("chunk").cogroup(tiles.fresh(tiles.window_ends(chunks)).groupBy("chunk")).applyInPandas(run, schema)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.pivot(index="ts", columns="symbol", values="ret").dropna(axis=1)
-        columns = ["rebalance", "factor", "symbol", "weight", "explained"]
-        if x.shape[1] < k + 2:
-            return pd.DataFrame(columns=columns)
-        m = x.to_numpy()
-        dev = m.std(axis=0, ddof=1)
-        safe = np.where(dev > 1e-12, dev, 1.0)
-        z = np.where(dev > 1e-12, (m - m.mean(axis=0)) / safe, 0.0)
-        value, vector = np.linalg.eigh(z.T @ z / (len(m) - 1))
-        out = []
-        for j in range(k):
-            v = vector[:, -1 - j]
-            v = v if v.sum() >= 0 else -v
-            q = np.where(dev > 1e-12, v / safe, 0.0)
-            out += [(frame["rebalance"].iloc[0], j, s, float(w), float(value[-1 - j] / value.sum())) for s, w in zip(x.columns, q, strict=True)]
-        return pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy("rebalance").applyInPandas(run, "rebalance date, factor int, symbol string, weight double, explained double")
+def window_portfolios(ret: np.ndarray, windows: list[tuple[int, int]], choices: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """``(weights, explained)`` of the ``k`` eigenportfolios of each window over its chosen columns; None for fewer than k + 2.
+
+    Windows of more days than symbols are sums over tiles of Gram matrices,
+    which slide; others have the same eigenvectors by the smaller product of
+    the days.
+    """
+    filled = np.nan_to_num(ret)
+    one = np.column_stack([filled, np.ones(len(filled))])
+    tall = [w for w, c in zip(windows, choices, strict=True) if w[1] - w[0] >= len(c)]
+    grams = tiles.sliding_sums(tall, lambda lo, hi: one[lo:hi].T @ one[lo:hi])
+    out: list[tuple[np.ndarray, np.ndarray] | None] = []
+    for (lo, hi), chosen in zip(windows, choices, strict=True):
+        n, gram = hi - lo, next(grams) if hi - lo >= len(chosen) else None
+        if chosen.sum() < k + 2:
+            out.append(None)
+            continue
+        if gram is not None:
+            mean, part = gram[-1, :-1][chosen] / n, gram[:-1, :-1][np.ix_(chosen, chosen)]
+            cov = (part - n * np.outer(mean, mean)) / (n - 1)
+            # what is left of a constant by rounding is no variance
+            dev = np.sqrt(np.maximum(np.diag(cov), 0)) * (np.diag(cov) * (n - 1) > 1e-13 * np.diag(part))
+        else:
+            x = filled[lo:hi][:, chosen]
+            dev = x.std(axis=0, ddof=1)
+        live = dev > 1e-12
+        safe = np.where(live, dev, 1.0)
+        if gram is not None:
+            value, vector = np.linalg.eigh(np.where(np.outer(live, live), cov / np.outer(safe, safe), 0.0))
+        else:
+            z = np.where(live, (x - x.mean(axis=0)) / safe, 0.0) / np.sqrt(n - 1)
+            value, by_day = np.linalg.eigh(z @ z.T)
+            vector = z.T @ by_day / np.sqrt(np.maximum(value, 1e-300))
+        top = vector[:, ::-1][:, :k].T
+        largest = np.take_along_axis(top, np.abs(top).argmax(axis=1)[:, None], axis=1)[:, 0]
+        total = top.sum(axis=1)
+        top = top * np.where((total < 0) | ((total == 0) & (largest < 0)), -1.0, 1.0)[:, None]
+        out.append((np.where(live, top / safe, 0.0), value[::-1][:k] / max(value.sum(), 1e-300)))
+    return out
+
+
+def _long_portfolios(rebalances, symbols: np.ndarray, choices: list[np.ndarray], found: list) -> pd.DataFrame:
+    out = [pd.DataFrame(columns=["rebalance", "factor", "symbol", "weight", "explained"])]
+    for rebalance, chosen, got in zip(rebalances, choices, found, strict=True):
+        if got is not None:
+            weight, explained = got
+            k, n = weight.shape
+            out.append(pd.DataFrame({"rebalance": rebalance, "factor": np.repeat(np.arange(k), n), "symbol": np.tile(symbols[chosen], k), "weight": weight.ravel(), "explained": np.repeat(explained, n)}))
+    return pd.concat(out[1:] or out)
 
 
 def factor_returns(returns: DataFrame, portfolios: DataFrame) -> DataFrame:
@@ -260,6 +327,11 @@ class ResidualSpec:
     def warmup(self) -> int:
         return self.corr_window + self.regr_window
 
+    @property
+    def span(self) -> int:
+        """Rebalances of a task: their days are at least half of the window that precedes them."""
+        return math.ceil(self.corr_window / (2 * self.every))
+
 
 @dataclass(frozen=True)
 class ResidualPanel:
@@ -287,7 +359,9 @@ def residual_panel(bars: DataFrame, spec: ResidualSpec, members: DataFrame | Non
     whole regression window are active: least squares on the factor returns
     (0 for missing returns of their members) and mean reversion of the summed
     residuals. With ``volume_time`` the regression explains returns weighted
-    by volume. A rebalance is a task: the rows of its windows, for all symbols.
+    by volume. A task has ``spec.span`` rebalances: the days from the first of
+    them to the next task's first, and one correlation window before, so that
+    the panel is sent three times at most, however often it is rebalanced.
     """
     days = bars.select("ts").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("ts")) - 1).cast("int"))
     dense = dense_panel(bars, ["close", "volume"])
@@ -305,28 +379,20 @@ def residual_panel(bars: DataFrame, spec: ResidualSpec, members: DataFrame | Non
     rebalances = starts.withColumn("used", used)
     ahead = Window.orderBy("pos")
     live = rebalances.where("used").select("rebalance", "pos", (F.coalesce(F.lead("pos").over(ahead), F.lit(n)) - 1).cast("int").alias("hi"))
+    live = live.withColumn("chunk", F.floor((F.row_number().over(ahead) - 1) / spec.span).cast("int"))
 
+    reach = live.groupBy("chunk").agg(F.min("pos").alias("lo"), F.max("hi").alias("hi"))
+    halo = (spec.regr_window if spec.funds else spec.corr_window) - 1
+    inside = rows.join(reach.select("chunk", F.explode(F.sequence(F.greatest(F.col("lo") - halo, F.lit(0)), "hi")).alias("pos")), "pos")
+    turns = tiles.fresh(live).groupBy("chunk")
+    parts = inside.groupBy("chunk")
     if spec.funds:
         place = F.create_map(*(F.lit(x) for i, s in enumerate(spec.funds) for x in (s, i)))
         held = F.explode(F.array(*(F.lit(s) for s in spec.funds)))
         portfolios = live.select("rebalance", held.alias("symbol")).select("rebalance", place[F.col("symbol")].alias("factor"), "symbol", F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("explained"))
     else:
-        at = rows.where("eligible").select("pos", "symbol").join(live.select("rebalance", "pos"), "pos").select("rebalance", "symbol")
-        spans = live.select("rebalance", F.explode(F.sequence(F.col("pos") - spec.corr_window + 1, F.col("pos"))).alias("pos"))
-        window = rows.join(spans, "pos").join(at, ["rebalance", "symbol"]).select("rebalance", "ts", "symbol", "ret")
-        portfolios = _eigenportfolios(window, spec.k)
-
-    spans = live.select("rebalance", F.col("pos").alias("start"), F.explode(F.sequence(F.greatest(F.col("pos") - spec.regr_window + 1, F.lit(0)), F.col("hi"))).alias("pos"))
-    inside = rows.join(spans, "pos")
-    moved = inside.join(portfolios, ["rebalance", "symbol"]).groupBy("rebalance", "pos", "factor").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("f"))
-    moved = moved.groupBy("rebalance", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("factor", "f"))), lambda x: x["f"]).alias("f"))
-    if spec.funds:
-        inside = inside.where(~F.col("symbol").isin(list(spec.funds))).withColumn("inside", F.lit(True))
-    else:
-        section = portfolios.select("rebalance", "symbol").distinct().withColumn("inside", F.lit(True))
-        inside = inside.join(section, ["rebalance", "symbol"])
-    ready = inside.join(moved, ["rebalance", "pos"]).select("rebalance", "start", "pos", "ts", "symbol", "ret", "dep", "eligible", "f")
-    return ResidualPanel(spec, ready.groupBy("rebalance").applyInPandas(_score_bars(spec), _SCORES), portfolios, rebalances)
+        portfolios = parts.cogroup(turns).applyInPandas(_chunk_portfolios(spec), "rebalance date, factor int, symbol string, weight double, explained double")
+    return ResidualPanel(spec, parts.cogroup(turns).applyInPandas(_score_bars(spec), _SCORES), portfolios, rebalances)
 
 
 _SCORES = "ts date, symbol string, rebalance date, active boolean, valid boolean, sscore double, half_life double, tradeable boolean, betas array<double>"
@@ -349,34 +415,71 @@ def ou_batch(residuals: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.n
     return valid, np.where(inside, -math.log(2) / np.log(safe), np.nan), np.where(valid, score, np.nan)
 
 
+def _chunk_of(spec: ResidualSpec, frame: pd.DataFrame, turns: pd.DataFrame) -> tuple:
+    """``(days, symbols, ret, dep, eligible, turns, portfolios)`` of a chunk; a portfolio is None or its columns, weights and explained shares."""
+    days, symbols, ret, dep, eligible = tiles.wide(frame, "pos", "ret", "dep", "eligible")
+    eligible = eligible == 1
+    turns = turns.sort_values("pos")
+    at = np.searchsorted(days, turns["pos"].to_numpy())
+    if spec.funds:
+        weight = np.array([(symbols == f).astype(float) for f in spec.funds])
+        stocks = ~np.isin(symbols, spec.funds)
+        return days, symbols, ret, dep, eligible, turns, [(stocks, weight, None)] * len(turns)
+    choices = [eligible[i] for i in at]
+    found = window_portfolios(ret, [(int(i) + 1 - spec.corr_window, int(i) + 1) for i in at], choices, spec.k)
+    spread = []
+    for chosen, got in zip(choices, found, strict=True):
+        weight = np.zeros((spec.k, len(symbols)))
+        if got is not None:
+            weight[:, chosen] = got[0]
+        spread.append(None if got is None else (chosen, weight, got[1]))
+    return days, symbols, ret, dep, eligible, turns, spread
+
+
+def _chunk_portfolios(spec: ResidualSpec):
+    def run(frame: pd.DataFrame, turns: pd.DataFrame) -> pd.DataFrame:
+        _, symbols, _, _, _, turns, portfolios = _chunk_of(spec, frame, turns)
+        found = [None if p is None else (p[1][:, p[0]], p[2]) for p in portfolios]
+        return _long_portfolios(turns["rebalance"], symbols, [p and p[0] for p in portfolios], found)
+
+    return run
+
+
 def _score_bars(spec: ResidualSpec):
     w = spec.regr_window
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rebalance, start = frame["rebalance"].iloc[0], int(frame["start"].iloc[0])
-        days = frame.drop_duplicates("pos").sort_values("pos")
-        wide = {c: frame.pivot(index="pos", columns="symbol", values=c) for c in ("ret", "dep", "eligible")}
-        symbols, factor = wide["ret"].columns, np.array(days["f"].tolist())
-        ret, dep = wide["ret"].to_numpy(float), wide["dep"].to_numpy(float)
-        open_ = wide["eligible"].to_numpy(bool)
+    def run(frame: pd.DataFrame, turns: pd.DataFrame) -> pd.DataFrame:
+        days, symbols, ret, dep, eligible, turns, portfolios = _chunk_of(spec, frame, turns)
+        ts = frame.drop_duplicates("pos").set_index("pos")["ts"]
+        filled, known = np.nan_to_num(ret), np.isfinite(ret)
         out = []
-        for i, pos in enumerate(days["pos"]):
-            if pos < max(start, spec.warmup) or i + 1 < w or not open_[i].any():
+        for rebalance, lo, hi, portfolio in zip(turns["rebalance"], turns["pos"], turns["hi"], portfolios, strict=True):
+            if portfolio is None:
                 continue
-            whole = np.isfinite(ret[i + 1 - w : i + 1]).all(axis=0)
-            active, missing = np.flatnonzero(open_[i] & whole), np.flatnonzero(open_[i] & ~whole)
-            part = pd.DataFrame({"symbol": symbols[np.concatenate((active, missing))], "active": np.arange(len(active) + len(missing)) < len(active)})
-            a = np.column_stack([np.ones(w), factor[i + 1 - w : i + 1]])
-            y = dep[i + 1 - w : i + 1][:, active]
-            coef, *_ = np.linalg.lstsq(a, y, rcond=None)
-            valid, life, score = ou_batch(y - a @ coef, coef[0])
-            pad = np.full(len(missing), np.nan)
-            fast = valid & (life <= spec.max_half_life)
-            none = np.zeros(len(missing), dtype=bool)
-            part["valid"], part["sscore"], part["half_life"] = np.concatenate((valid, none)), np.concatenate((score, pad)), np.concatenate((life, pad))
-            part["tradeable"] = np.concatenate((fast & np.isfinite(score), none))
-            part["betas"] = [*coef[1:].T.tolist(), *([None] * len(missing))]
-            out.append(part.assign(ts=days["ts"].iloc[i], rebalance=rebalance))
+            section, weight, _ = portfolio
+            first = max(0, np.searchsorted(days, lo) + 1 - w)
+            factor = filled[first : np.searchsorted(days, hi, side="right")] @ weight.T
+            for pos in range(max(lo, spec.warmup), hi + 1):
+                i = int(np.searchsorted(days, pos))
+                if i + 1 < w or i >= len(days) or days[i] != pos:
+                    continue
+                open_ = section & eligible[i]
+                if not open_.any():
+                    continue
+                whole = known[i + 1 - w : i + 1].all(axis=0)
+                active, missing = np.flatnonzero(open_ & whole), np.flatnonzero(open_ & ~whole)
+                part = pd.DataFrame({"symbol": symbols[np.concatenate((active, missing))], "active": np.arange(len(active) + len(missing)) < len(active)})
+                a = np.column_stack([np.ones(w), factor[i + 1 - w - first : i + 1 - first]])
+                y = dep[i + 1 - w : i + 1][:, active]
+                coef, *_ = np.linalg.lstsq(a, y, rcond=None)
+                valid, life, score = ou_batch(y - a @ coef, coef[0])
+                pad = np.full(len(missing), np.nan)
+                fast = valid & (life <= spec.max_half_life)
+                none = np.zeros(len(missing), dtype=bool)
+                part["valid"], part["sscore"], part["half_life"] = np.concatenate((valid, none)), np.concatenate((score, pad)), np.concatenate((life, pad))
+                part["tradeable"] = np.concatenate((fast & np.isfinite(score), none))
+                part["betas"] = [*coef[1:].T.tolist(), *([None] * len(missing))]
+                out.append(part.assign(ts=ts[pos], rebalance=rebalance))
         names = ["ts", "symbol", "rebalance", "active", "valid", "sscore", "half_life", "tradeable", "betas"]
         if not out:
             return pd.DataFrame(columns=names)

@@ -151,7 +151,7 @@ def residual_report(
 def pca_residual_prices(returns: DataFrame, portfolios: DataFrame, windows: DataFrame, k: int) -> DataFrame:
     """``(symbol, ts, residual)``: running sum of each window's last regression residual on its eigenportfolios, as a price."""
     names = [f"f{j}" for j in range(k)]
-    inside = fc._windowed(returns, windows)
+    inside = fc.windowed(returns, windows)
     f = fc.factor_returns(inside.select("symbol", "ts", "ret").distinct(), portfolios).groupBy("rebalance", "ts").pivot("factor", list(range(k))).agg(F.first("f"))
     used = inside.join(portfolios.select("rebalance", "symbol").distinct(), ["rebalance", "symbol"], "left_semi").join(f.toDF("rebalance", "ts", *names), ["rebalance", "ts"])
     last = fc.factor_residuals(used, names).where("ts = rebalance")

@@ -210,7 +210,7 @@ def pair16_residual_prices(spark: S, sf: str) -> D:
 
 # factors -----------------------------------------------------------------------
 
-RET_SQL = f"rets as (select symbol, ts, close / lag(close) {W} - 1 as ret from bars), cal as (select ts, row_number() over (order by ts) as rn from (select distinct ts from bars)), reb as (select ts as rebalance, rn as hi from cal where rn >= 60 and (rn - 60) % 40 = 0), win as (select rebalance, cal.ts from reb join cal on rn > hi - 60 and rn <= hi)"
+RET_SQL = f"rets as (select symbol, ts, close / lag(close) {W} - 1 as ret from bars), cal as (select ts, row_number() over (order by ts) as rn from (select distinct ts from bars)), reb as (select ts as rebalance, rn as hi from cal where rn >= 60 and (rn - 60) % 5 = 0), win as (select rebalance, cal.ts from reb join cal on rn > hi - 60 and rn <= hi)"
 
 
 def rets(spark: S, sf: str) -> D:
@@ -218,7 +218,7 @@ def rets(spark: S, sf: str) -> D:
 
 
 def windows(spark: S, sf: str) -> D:
-    return fc.rebalance_days(price_bars(spark, sf).select("ts").distinct(), 60, 40)
+    return fc.rebalance_days(price_bars(spark, sf).select("ts").distinct(), 60, 5)
 
 
 @query("rebalance:s a b corr:6", RET_SQL + """, w as (select rebalance, symbol, ts, ret from win join rets using (ts) where ret is not null),
@@ -240,7 +240,7 @@ re as (select ro.*, beta, alpha, ret - alpha - beta * f as residual from ro join
 def one_factor(spark: S, sf: str) -> D:
     r = rets(spark, sf)
     market = r.groupBy("ts").agg(F.avg("ret").alias("f"))
-    inside = fc._windowed(r, windows(spark, sf)).join(market, "ts")
+    inside = fc.windowed(r, windows(spark, sf)).join(market, "ts")
     enough = F.count("*").over(Window.partitionBy("rebalance", "symbol"))
     return fc.one_factor_residuals(inside.withColumn("n", enough).where("n >= 20"), ["rebalance", "symbol"])
 
