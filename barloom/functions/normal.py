@@ -33,3 +33,9 @@ def norm_cdf(z: Column) -> Column:
 
 def norm_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
+
+
+def psr_argument(sharpe: Column, n: Column, skew: Column, kurt: Column, benchmark: float | Column = 0.0) -> Column:
+    """Argument of the probabilistic Sharpe ratio, kurtosis not in excess; NULL below three rows."""
+    below = 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe
+    return F.when((n >= 3) & (below > 0), (sharpe - benchmark) * F.sqrt(n - 1) / F.sqrt(below))

@@ -31,6 +31,11 @@ def change(x: Column, steps: int = 1, keys: tuple[str, ...] = ("symbol",)) -> Co
     return x / F.lag(x, steps).over(ordered(*keys)) - 1
 
 
+def compounded(x: Column) -> Column:
+    """Growth over all ``x`` of an aggregation or a frame; a loss of everything or more counts as it is, NULL as no change."""
+    return F.product(1 + x)
+
+
 def clip(x: Column, low: float | Column, high: float | Column) -> Column:
     """x held between low and high; NULL stays NULL."""
     lo, hi = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))

@@ -7,7 +7,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.normal import norm_cdf, norm_ppf
+from barloom.functions.normal import norm_cdf, norm_ppf, psr_argument
+from barloom.functions.windows import compounded
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -30,9 +31,7 @@ def moments(returns: DataFrame, keys: list[str]) -> DataFrame:
 
 def psr_z(stats: DataFrame, benchmark: float | Column = 0.0) -> DataFrame:
     """``z``: the probabilistic Sharpe ratio's argument; NULL below three rows."""
-    sr, n = F.col("sharpe"), F.col("n")
-    below = 1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr
-    return stats.withColumn("z", F.when((n >= 3) & (below > 0), (sr - benchmark) * F.sqrt(n - 1) / F.sqrt(below)))
+    return stats.withColumn("z", psr_argument(F.col("sharpe"), F.col("n"), F.col("skew"), F.col("kurt"), benchmark))
 
 
 def with_psr(stats: DataFrame, benchmark: float | Column = 0.0) -> DataFrame:
@@ -176,7 +175,7 @@ def trial_metrics(accounts: DataFrame) -> DataFrame:
     return accounts.groupBy("portfolio").agg(
         F.count("*").alias("n_obs"), F.sum("cost").alias("total_cost"), F.avg("gross").alias("avg_gross"), F.max("gross").alias("max_gross"),
         *(F.when(F.stddev_samp(x) > 1e-15, F.avg(x) / F.stddev_samp(x) * year).alias(f"{name}_sharpe") for name, x in (("net", net), ("gross", gross))),
-        *((F.exp(F.sum(F.log1p(x))) - 1).alias(f"{name}_total") for name, x in (("net", net), ("gross", gross))),
+        *((compounded(x) - 1).alias(f"{name}_total") for name, x in (("net", net), ("gross", gross))),
     )
 
 

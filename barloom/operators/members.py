@@ -7,7 +7,7 @@ import itertools
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.windows import clip, ordered
+from barloom.functions.windows import clip, compounded, ordered
 
 
 def return_position(ret: Column, sigma: Column, target_vol: float, cap: float) -> Column:
@@ -94,7 +94,7 @@ def reward_stream(positions: DataFrame, cost: float, scale: float, start: float
     before = F.coalesce(F.lag("position").over(w), F.lit(0.0))
     raw = p * (F.lead("close").over(w) - c) / c - cost * F.abs(p - before)
     rows = positions.withColumn("_r", raw).withColumn("reward", F.col("_r") * scale)
-    grown = F.exp(F.sum(F.log1p("_r")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    grown = compounded(F.col("_r")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("balance", F.when(F.col("_r").isNotNull(), start * grown)).drop("_r")
 
 

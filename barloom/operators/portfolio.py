@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.functions.scan import scan_by_key
-from barloom.functions.windows import clip, ordered, so_far
+from barloom.functions.normal import norm_cdf, psr_argument
+from barloom.functions.windows import clip, compounded, ordered, so_far
 
 YEAR = 252
 
@@ -145,20 +146,27 @@ def account(held: DataFrame, costs: Costs, dividends: bool = False) -> DataFrame
 
 
 def equity(returns: DataFrame, capital: float, column: str = "net_return") -> DataFrame:
-    return returns.withColumn("equity", capital * F.exp(F.sum(F.log1p(F.col(column))).over(so_far("portfolio"))))
+    return returns.withColumn("equity", capital * compounded(F.col(column)).over(so_far("portfolio")))
 
 
 def metrics(accounts: DataFrame, capital: float = 1e6) -> DataFrame:
-    """One row for each portfolio: returns, risk, drawdown and average exposures."""
+    """One row for each portfolio: returns, risk, drawdown and average exposures.
+
+    Losses of everything or more compound as they are: equity may pass zero,
+    and then there is no annual return. ``psr`` is the probability that the
+    Sharpe ratio is above zero.
+    """
     curve = equity(accounts, capital).withColumn("_peak", F.greatest(F.max("equity").over(so_far("portfolio")), F.lit(float(capital))))
-    total, n = F.exp(F.sum(F.log1p("net_return"))) - 1, F.count("net_return")
+    grown, n = compounded(F.col("net_return")), F.count("net_return")
     mean, dev = F.avg("net_return"), F.stddev_samp("net_return")
     out = curve.groupBy("portfolio").agg(
-        n.alias("bars"), total.alias("total_return"), (F.pow(1 + total, F.lit(float(YEAR)) / n) - 1).alias("annual_return"),
+        n.alias("bars"), (grown - 1).alias("total_return"), F.when(grown >= 0, F.pow(grown, F.lit(float(YEAR)) / n) - 1).alias("annual_return"),
         (dev * YEAR**0.5).alias("volatility"), F.when((n >= 2) & (dev > 1e-15), mean / dev * YEAR**0.5).alias("sharpe"),
         F.max(1 - F.col("equity") / F.col("_peak")).alias("max_drawdown"), F.avg("gross").alias("avg_gross"), F.avg("net").alias("avg_net"),
-        F.avg("turnover").alias("avg_turnover"), F.sum("cost").alias("total_cost"),
+        F.avg("turnover").alias("avg_turnover"), F.sum("cost").alias("total_cost"), F.skewness("net_return").alias("_skew"), (F.kurtosis("net_return") + 3).alias("_kurt"),
     )
+    z = psr_argument(F.col("sharpe") / YEAR**0.5, F.col("bars"), F.col("_skew"), F.col("_kurt"))
+    out = out.withColumn("psr", norm_cdf(z)).drop("_skew", "_kurt")
     return out.withColumn("calmar", F.when(F.col("max_drawdown") > 1e-9, F.col("annual_return") / F.col("max_drawdown")))
 
 
@@ -231,10 +239,14 @@ def marked_value(positions: DataFrame, cash: float) -> DataFrame:
 
 
 def trade_statistics(trades: DataFrame) -> DataFrame:
-    """Win rate, mean win and loss, and profit factor of closed trades with ``pnl``."""
+    """Win rate, mean win and loss, and profit factor of closed trades with ``pnl``.
+
+    A trade without profit is a loss of 0. Without wins, or losses, their mean
+    is 0; without anything lost there is no profit factor.
+    """
     p = F.col("pnl")
-    won, lost = F.sum(F.when(p > 0, p)), -F.sum(F.when(p < 0, p))
+    won, lost = F.coalesce(F.sum(F.when(p > 0, p)), F.lit(0.0)), F.abs(F.sum(F.when(p <= 0, p)))
     return trades.where("pnl is not null").agg(
-        F.count("*").alias("trades"), (F.count_if(p > 0) / F.count("*")).alias("win_rate"), F.avg(F.when(p > 0, p)).alias("avg_win"),
-        F.avg(F.when(p < 0, p)).alias("avg_loss"), (won / lost).alias("profit_factor"),
+        F.count("*").alias("trades"), (F.count_if(p > 0) / F.count("*")).alias("win_rate"), F.coalesce(F.avg(F.when(p > 0, p)), F.lit(0.0)).alias("avg_win"),
+        F.coalesce(F.avg(F.when(p <= 0, p)), F.lit(0.0)).alias("avg_loss"), F.when(lost > 0, won / lost).alias("profit_factor"),
     )

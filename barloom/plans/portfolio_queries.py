@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.windows import change, clip, ordered
 from barloom.operators import conformal, evaluate as ev, features as ft, members as mb, portfolio as pf
@@ -236,31 +236,54 @@ def join11_dividends(spark: S, sf: str) -> D:
     return pf.account(t, pf.Costs(), dividends=True)
 
 
-METRIC_SQL = TARGET_SQL + """, safe as (select *, greatest(net_return, -0.99) as r from acct),
-eq as (select *, exp(sum(ln(1 + r)) over (partition by portfolio order by ts rows between unbounded preceding and current row)) as e from safe),
+METRIC_SQL = TARGET_SQL + """, safe as (select *, net_return as r from acct),
+eq as (select *, product(1 + r) over (partition by portfolio order by ts rows between unbounded preceding and current row) as e from safe),
 dd as (select *, 1 - e / greatest(1, max(e) over (partition by portfolio order by ts rows between unbounded preceding and current row)) as d from eq)"""
 
 
-def safe_accounts(spark: S, sf: str) -> D:
-    """Accounts with losses held above -99 %: synthetic prices jump further than any market."""
-    return accounts(spark, sf).withColumn("net_return", F.greatest("net_return", F.lit(-0.99)))
+def signed_log_sql(x: str) -> str:
+    return f"sign({x}) * ln(1 + abs({x}))"
 
 
-@query("portfolio ts:s equity:5", METRIC_SQL + ", out as (select portfolio, ts, ln(e) as equity from eq)")
+def signed_log(x: Column) -> Column:
+    """Values of either sign and any size on one scale: prices made of single trades jump by more than any market's."""
+    return F.signum(x) * F.log1p(F.abs(x))
+
+
+def with_logs(metrics: D, *names: str) -> D:
+    return metrics.withColumns({c: signed_log(F.col(c)) for c in names})
+
+
+@query("portfolio ts:s equity:5", METRIC_SQL + f", out as (select portfolio, ts, {signed_log_sql('e')} as equity from eq)")
 def port10_log_equity(spark: S, sf: str) -> D:
-    return pf.equity(safe_accounts(spark, sf), 1.0).withColumn("equity", F.log("equity"))
+    """Equity, through ruin and back, as a signed logarithm."""
+    return with_logs(pf.equity(accounts(spark, sf), 1.0), "equity")
+
+
+def metrics_sql(rows: str) -> str:
+    """``mt``: the metrics of the drawdown rows ``rows(portfolio, r, d, gross, net, turnover, cost)``."""
+    return f"""mo as (select portfolio, count(r) as bars, product(1 + r) as g, avg(r) as m, stddev_samp(r) as sd, max(d) as max_drawdown, avg(gross) as avg_gross, avg(net) as avg_net, avg(turnover) as avg_turnover, sum(cost) as total_cost from {rows} group by 1),
+mc as (select portfolio, avg((r - m) ** 3) / pow(avg((r - m) ** 2), 1.5) as skew, avg((r - m) ** 4) / pow(avg((r - m) ** 2), 2) as kurt from {rows} join (select portfolio, m from mo) using (portfolio) group by 1),
+my as (select *, g - 1 as total_return, case when g >= 0 then pow(g, 252.0 / bars) - 1 end as annual_return, sd * sqrt(252) as volatility, case when sd > 1e-15 then m / sd end as sr from mo join mc using (portfolio)),
+mz as (select *, case when bars >= 3 and 1 - skew * sr + (kurt - 1) / 4 * sr * sr > 0 then sr * sqrt(bars - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) end as z from my),
+mt as (select *, sr * sqrt(252) as sharpe, {cdf_sql('z')} as psr, case when max_drawdown > 1e-9 then annual_return / max_drawdown end as calmar from mz)"""
+
+
+LOGGED = ("total_return", "annual_return", "max_drawdown", "calmar")
+METRICS = "portfolio bars:i total_return:5 annual_return:5 volatility:5 sharpe:6 psr:6 max_drawdown:5 calmar:5 avg_gross:6 avg_net:6 avg_turnover:6 total_cost:10"
+_LOGGED_SQL = "select * replace (" + ", ".join(f"{signed_log_sql(c)} as {c}" for c in LOGGED) + ") from mt"
 
 
-@query("portfolio bars:i sharpe:6 volatility:5 max_drawdown:6 avg_gross:6 avg_net:6 avg_turnover:6 total_cost:12", METRIC_SQL + """, out as (select portfolio, count(*) as bars, avg(r) / stddev_samp(r) * sqrt(252) as sharpe, stddev_samp(r) * sqrt(252) as volatility,
-  max(d) as max_drawdown, avg(gross) as avg_gross, avg(net) as avg_net, avg(turnover) as avg_turnover, sum(cost) as total_cost from dd group by 1)""")
+@query(METRICS, METRIC_SQL + ", " + metrics_sql("dd") + f", out as ({_LOGGED_SQL})")
 def port11_metrics(spark: S, sf: str) -> D:
-    return pf.metrics(safe_accounts(spark, sf))
+    """All metrics of the accounts as they are; those that ruin throws far as signed logarithms."""
+    return with_logs(pf.metrics(accounts(spark, sf), 1.0), *LOGGED)
 
 
-@query("portfolio ts:s equity:5", METRIC_SQL + ", x as (select *, exp(sum(ln(1 + r)) over (partition by portfolio order by ts rows between unbounded preceding and current row)) as q from safe where ts >= date '1999-01-01'), out as (select portfolio, ts, ln(q) as equity from x)")
+@query("portfolio ts:s equity:5", METRIC_SQL + f", x as (select *, product(1 + r) over (partition by portfolio order by ts rows between unbounded preceding and current row) as q from safe where ts >= date '1999-01-01'), out as (select portfolio, ts, {signed_log_sql('q')} as equity from x)")
 def port12_slice(spark: S, sf: str) -> D:
-    a = safe_accounts(spark, sf)
-    return pf.slice_result(a, a.where("ts >= date '1999-01-01'").select("portfolio", "ts"), 1.0).withColumn("equity", F.log("equity"))
+    a = accounts(spark, sf)
+    return with_logs(pf.slice_result(a, a.where("ts >= date '1999-01-01'").select("portfolio", "ts"), 1.0), "equity")
 
 
 SIDE_SQL = BASELINE_SQL + f", sd as (select symbol, ts, open, close, cast(ma_cross as int) as side, 0.5 as confidence from base), ch as (select *, coalesce(lag(side) {W}, 0) as before from sd), ords as (select symbol, ts, 'close' as kind, -before as side, close, open, 0 as shares from ch where side <> before and before <> 0 union all select symbol, ts, 'open', side, close, open, 100000 * 0.5 / close from ch where side <> before and side <> 0)"
@@ -289,7 +312,7 @@ def port14_trade_log(spark: S, sf: str) -> D:
 
 
 @query("trades:i win_rate:6 avg_win:2 avg_loss:2 profit_factor:6", LOG_SQL + """, t as (select pnl from trips where pnl is not null),
-out as (select count(*) as trades, count(*) filter (pnl > 0) / count(*) as win_rate, avg(pnl) filter (pnl > 0) as avg_win, avg(pnl) filter (pnl < 0) as avg_loss, sum(pnl) filter (pnl > 0) / -sum(pnl) filter (pnl < 0) as profit_factor from t)""")
+out as (select count(*) as trades, count(*) filter (pnl > 0) / count(*) as win_rate, coalesce(avg(pnl) filter (pnl > 0), 0) as avg_win, coalesce(avg(pnl) filter (pnl <= 0), 0) as avg_loss, case when sum(pnl) filter (pnl <= 0) < 0 then coalesce(sum(pnl) filter (pnl > 0), 0) / -sum(pnl) filter (pnl <= 0) end as profit_factor from t)""")
 def port17_trade_statistics(spark: S, sf: str) -> D:
     return pf.trade_statistics(trips(spark, sf))
 
@@ -331,14 +354,25 @@ def port20_target_from_position(spark: S, sf: str) -> D:
     return pf.scale_to_gross(t, 1.0)
 
 
-@query("portfolio bars:i avg_turnover:6", BASELINE_SQL + f""", t as (select 'hold/' || symbol as portfolio, symbol, ts, open, hold * 1.0 as target from base union all select 'tsmom/' || symbol, symbol, ts, open, tsmom from base),
-h as (select *, coalesce(lag(target) over (partition by portfolio order by ts), 0) as held from t), m as (select *, held - coalesce(lag(held) over (partition by portfolio order by ts), 0) as trade from h),
-out as (select portfolio, count(*) as bars, avg(abs(trade)) as avg_turnover from m group by 1)""")
+@query("fold:i " + METRICS, BASELINE_SQL + f""", t as (select 'hold/' || symbol as portfolio, symbol, ts, open, hold * 1.0 as target from base union all select 'tsmom/' || symbol, symbol, ts, open, tsmom from base),
+h as (select *, coalesce(lag(target) over (partition by portfolio order by ts), 0) as held from t),
+m as (select *, coalesce(lead(open) over w / open - 1, 0) as move, held - coalesce(lag(held) over w, 0) as trade from h window w as (partition by portfolio order by ts)),
+ac as (select portfolio, ts, held * move as gross_return, abs(trade) * 1.5 / 1e4 + trade * trade * 5 / 1e4 + greatest(-held, 0) * 50 / 1e4 / 252 as cost, abs(trade) as turnover, abs(held) as gross, held as net from m),
+fs as (select ts, floor((row_number() over (order by ts) - 1) * 4 / count(*) over ()) as fold from (select distinct ts from bars)),
+ar as (select ac.portfolio || '@' || fold::int as portfolio, ts, gross_return - cost as r, cost, turnover, gross, net from ac join fs using (ts)),
+eq as (select *, product(1 + r) over (partition by portfolio order by ts rows between unbounded preceding and current row) as e from ar),
+dd as (select *, 1 - e / greatest(1, max(e) over (partition by portfolio order by ts rows between unbounded preceding and current row)) as d from eq), """ + metrics_sql("dd") + f""", lo as ({_LOGGED_SQL}),
+out as (select * replace (split_part(portfolio, '@', 1) as portfolio), split_part(portfolio, '@', 2)::int as fold from lo)""")
 def port23_baseline_runs(spark: S, sf: str) -> D:
+    """Baselines of every symbol as portfolios with the costs of the blend, their metrics in each quarter of the calendar."""
     b = baselines(spark, sf)
     t = b.select("symbol", "ts", "open", F.inline(F.array(*(F.struct(F.concat_ws("/", F.lit(k), "symbol").alias("portfolio"), F.col(k).cast("double").alias("target")) for k in ("hold", "tsmom")))))
-    a = pf.account(pf.fills(t), pf.Costs()).withColumn("net_return", F.greatest("net_return", F.lit(-0.99)))
-    return pf.metrics(a)
+    place = F.row_number().over(Window.orderBy("ts")) - 1
+    quarter = F.floor(place * 4 / F.count("*").over(Window.partitionBy())).cast("int")
+    folds = b.select("ts").distinct().select("ts", quarter.alias("fold"))
+    a = pf.account(pf.fills(t), pf.Costs()).join(folds, "ts").withColumn("portfolio", F.concat_ws("@", "portfolio", "fold"))
+    m = with_logs(pf.metrics(a, 1.0), *LOGGED)
+    return m.withColumns({"fold": F.split_part("portfolio", F.lit("@"), F.lit(2)).cast("int"), "portfolio": F.split_part("portfolio", F.lit("@"), F.lit(1))})
 
 
 @query("order_id:i symbol submit_bar:i fill_bar:i ref_price:8 slip_bps:8 fill_price:6 slippage_cost:6 commission:6", """b as (select symbol, cast(row_number() over (partition by symbol order by ts) as int) as bar, case when volume >= 80 then open end as open from bars),
@@ -385,9 +419,9 @@ def eval4_deflated_sharpe(spark: S, sf: str) -> D:
     return ev.deflated_sharpe(returns(spark, sf), trials, ["portfolio"], declared=50)
 
 
-@query("portfolio calmar_known max_drawdown:6", METRIC_SQL + ", out as (select portfolio, max(d) > 1e-9 as calmar_known, max(d) as max_drawdown from dd group by 1)")
+@query("portfolio calmar_known calmar:5 max_drawdown:5", METRIC_SQL + ", " + metrics_sql("dd") + f", out as (select *, calmar is not null as calmar_known from ({_LOGGED_SQL}))")
 def eval6_calmar(spark: S, sf: str) -> D:
-    return pf.metrics(safe_accounts(spark, sf)).withColumn("calmar_known", F.col("calmar").isNotNull())
+    return with_logs(pf.metrics(accounts(spark, sf), 1.0), *LOGGED).withColumn("calmar_known", F.col("calmar").isNotNull())
 
 
 STRAT_SQL = f"""r0 as (select symbol as strategy, ts, close / lag(close) {W} - 1 as ret from bars),
@@ -501,10 +535,10 @@ def eval18_representative(spark: S, sf: str) -> D:
     return ev.nearest_to_mean(seeds(spark, sf))
 
 
-@query("portfolio n_obs:i total_cost:12 avg_gross:6 max_gross:6 net_sharpe:6 gross_sharpe:6", TARGET_SQL + """, out as (select portfolio, count(*) as n_obs, sum(cost) as total_cost, avg(gross) as avg_gross, max(gross) as max_gross,
+@query("portfolio n_obs:i total_cost:12 avg_gross:6 max_gross:6 net_sharpe:6 gross_sharpe:6 net_total:5 gross_total:5", TARGET_SQL + f""", out as (select portfolio, {signed_log_sql('product(1 + net_return) - 1')} as net_total, {signed_log_sql('product(1 + net_return + cost) - 1')} as gross_total, count(*) as n_obs, sum(cost) as total_cost, avg(gross) as avg_gross, max(gross) as max_gross,
   avg(net_return) / stddev_samp(net_return) * sqrt(252) as net_sharpe, avg(net_return + cost) / stddev_samp(net_return + cost) * sqrt(252) as gross_sharpe from acct group by 1)""")
 def eval11_trial_metrics(spark: S, sf: str) -> D:
-    return ev.trial_metrics(safe_accounts(spark, sf).withColumn("net_return", F.col("gross_return") - F.col("cost")))
+    return with_logs(ev.trial_metrics(accounts(spark, sf)), "net_total", "gross_total")
 
 
 _ALONE = BASELINE_SQL + """, al as (select 'hold/' || symbol as portfolio, symbol, ts, open, hold * 1.0 as target from base union all select 'tsmom/' || symbol, symbol, ts, open, tsmom from base union all select 'ma_cross/' || symbol, symbol, ts, open, ma_cross from base),

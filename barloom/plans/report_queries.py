@@ -9,7 +9,7 @@ from barloom.operators import evaluate as ev, factors as fc, folds, packets, pai
 from barloom.plans import portfolio_queries as pq, signal_queries as sq
 from barloom.plans.feature_queries import FOLD_SQL, _folds
 from barloom.plans.panels import price_bars
-from barloom.plans.portfolio_queries import LOG_SQL, MEMBER_SQL, _SWEEP, member_table, safe_accounts, trips, weights
+from barloom.plans.portfolio_queries import LOG_SQL, MEMBER_SQL, _SWEEP, member_table, accounts, trips, weights
 from barloom.plans.registry import query
 from barloom.sources import bars as src
 
@@ -132,7 +132,7 @@ def eval19_sweep_overfitting(spark: S, sf: str) -> D:
 @query("name sound fault")
 def eval14_packets(spark: S, sf: str) -> D:
     """Packets of the accounts, of which one is spoilt, and what their check finds."""
-    m = ev.trial_metrics(safe_accounts(spark, sf)).withColumnRenamed("portfolio", "name")
+    m = ev.trial_metrics(accounts(spark, sf)).withColumnRenamed("portfolio", "name")
     tiers = ev.claim_tier(m.withColumn("dsr", F.lit(float("nan"))), least=60).withColumnRenamed("tier", "claim_tier")
     runs = ev.config_hash(tiers.withColumn("artifacts", F.array(F.lit("fills.parquet"))), ["name"])
     made = packets.build_packets(runs, ["net_sharpe", "gross_sharpe", "total_cost", "dsr"], ["name", "config_hash", "claim_tier", "artifacts"])

@@ -319,6 +319,40 @@ def test_banded_fills(spark):
     assert free == pytest.approx(plain)
 
 
+def test_ruin_is_compounded(spark):
+    """A loss of more than everything stays lost; NULL is no change."""
+    ret = [0.1, -1.5, None, 0.1, 0.2]
+    rows = [("a", d, r, 0.0, 0.0, 0.0, 0.0) for d, r in zip(days(5), ret)] + [("b", d, r, 0.0, 0.0, 0.0, 0.0) for d, r in zip(days(5), [0.1, -1.0, 0.5, 0.1, 0.1])]
+    df = spark.createDataFrame(rows, "portfolio string, ts date, net_return double, gross double, net double, turnover double, cost double")
+    path = [r["equity"] for r in pf.equity(df, 100.0).where("portfolio = 'a'").orderBy("ts").collect()]
+    assert path == pytest.approx([110, -55, -55, -60.5, -72.6])
+    a, b = pf.metrics(df, 100.0).orderBy("portfolio").collect()
+    assert a["total_return"] == pytest.approx(-1.726) and a["annual_return"] is None and a["calmar"] is None
+    assert a["max_drawdown"] == pytest.approx(1 + 72.6 / 110) and a["bars"] == 4
+    assert b["total_return"] == -1.0 and b["annual_return"] == -1.0 and b["max_drawdown"] == 1.0
+    total = ev.trial_metrics(df).orderBy("portfolio").first()
+    assert total["net_total"] == pytest.approx(-1.726)
+
+
+def test_psr_of_metrics(spark):
+    rng = np.random.default_rng(9)
+    r = rng.normal(0.001, 0.01, 250)
+    rows = [("a", d, float(x), 0.0, 0.0, 0.0, 0.0) for d, x in zip(days(250), r)]
+    got = pf.metrics(spark.createDataFrame(rows, "portfolio string, ts date, net_return double, gross double, net double, turnover double, cost double")).first()
+    sr, z = r.mean() / r.std(ddof=1), (r - r.mean()) / r.std()
+    arg = sr * math.sqrt(249) / math.sqrt(1 - (z**3).mean() * sr + ((z**4).mean() - 1) / 4 * sr * sr)
+    assert got["psr"] == pytest.approx(0.5 * (1 + math.erf(arg / math.sqrt(2))), abs=1e-9)
+
+
+def test_trades_without_profit_are_losses(spark):
+    stats = lambda p: pf.trade_statistics(spark.createDataFrame([(x,) for x in p], "pnl double")).first()
+    r = stats([2.0, 0.0, -1.0, None])
+    assert (r["trades"], r["avg_win"], r["avg_loss"], r["profit_factor"]) == (3, 2.0, -0.5, 2.0)
+    r = stats([0.0, -2.0])
+    assert (r["avg_win"], r["avg_loss"], r["profit_factor"], r["win_rate"]) == (0.0, -1.0, 0.0, 0.0)
+    assert stats([1.0])["profit_factor"] is None
+
+
 def test_costs_are_checked():
     with pytest.raises(ValueError):
         pf.Costs(spread_bps=-1)
