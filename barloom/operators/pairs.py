@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions.normal import norm_cdf
 from barloom.functions.scan import scan_by_key
 from barloom.functions.windows import ordered, rolling
+from barloom.operators import tiles
 
 PAIR = ["fold", "y", "x"]
 #: MacKinnon's (1994) response surfaces for a constant, by number
@@ -32,6 +33,13 @@ def pair_rows(prices: DataFrame, both_orders: bool = False) -> DataFrame:
     return a.join(b, ["fold", "ts"]).where(met).select("fold", "y", "x", "ts", "ly", "lx")
 
 
+def rows_of_pairs(prices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pair_rows`` of the given ``pairs(fold, y, x)`` only."""
+    logs = prices.where("close > 0").select("fold", "ts", "symbol", F.log("close").alias("l"))
+    met = pairs.select(*PAIR).join(logs.withColumnsRenamed({"symbol": "y", "l": "ly"}), ["fold", "y"])
+    return met.join(logs.withColumnsRenamed({"symbol": "x", "l": "lx"}), ["fold", "x", "ts"]).select("fold", "y", "x", "ts", "ly", "lx")
+
+
 def hedge_ratios(rows: DataFrame) -> DataFrame:
     """``alpha, beta`` of ly on lx."""
     return rows.groupBy(*PAIR).agg(F.count("*").alias("n"), F.regr_intercept("ly", "lx").alias("alpha"), F.regr_slope("ly", "lx").alias("beta"))
@@ -124,50 +132,172 @@ def mackinnon_p(stat: Column, series: int) -> Column:
     return F.when(stat < s["low"], 0.0).when(stat > s["high"], 1.0).when(stat.isNotNull(), norm_cdf(mackinnon_z(stat, series)))
 
 
-def _adf(x: np.ndarray, constant: bool) -> tuple[float, int]:
-    """Augmented Dickey-Fuller statistic; the lag by AIC on a common sample, refitted on all rows."""
-    n = len(x)
-    most = min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 3)
-    d = np.diff(x)
+def _triangles(design: np.ndarray) -> np.ndarray:
+    """Cholesky factors of the Gram matrices of ``design[case, row, column]``, columns at unit length; NaN where columns depend on each other."""
+    size = np.sqrt((design * design).sum(axis=1, keepdims=True))
+    scaled = design / np.where(size > 0, size, 1.0)
+    gram = scaled.transpose(0, 2, 1) @ scaled
+    try:
+        return np.linalg.cholesky(gram)
+    except np.linalg.LinAlgError:
+        out = np.full_like(gram, np.nan)
+        for i, g in enumerate(gram):
+            try:
+                out[i] = np.linalg.cholesky(g)
+            except np.linalg.LinAlgError:
+                pass
+        return out
+
+
+def adf_batch(series: np.ndarray, constant: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``(statistics, lags)`` of augmented Dickey-Fuller tests of the columns of ``series``; the lag by AIC on a common sample, the statistic on all rows.
+
+    One factorization of the Gram matrix of all lags and the target has the
+    residual sum of every number of lags: the last row of the factor holds what
+    each regressor explains after those before it.
+    """
+    n, cases = series.shape
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3)
+    if most < 0:
+        return np.full(cases, np.nan), np.zeros(cases, int)
+    d = np.diff(series, axis=0)
 
-    def fit(lag: int, drop: int) -> tuple[float, float]:
-        target = d[drop:]
-        cols = [x[drop:-1], *(d[drop - k : len(d) - k] for k in range(1, lag + 1))]
+    def columns(of: np.ndarray | slice, lags: int, level_last: bool) -> np.ndarray:
+        level, past = [series[lags:-1, of]], [d[lags - k : len(d) - k, of] for k in range(1, lags + 1)]
+        found = [*past, *level] if level_last else [*level, *past]
         if constant:
-            cols.append(np.ones(len(target)))
-        a = np.column_stack(cols)
-        coef, *_ = np.linalg.lstsq(a, target, rcond=None)
-        left = target - a @ coef
-        free = len(target) - a.shape[1]
-        cov = np.linalg.pinv(a.T @ a) * (left @ left / max(free, 1))
-        aic = len(target) * math.log(max(left @ left, 1e-300) / len(target)) + 2 * a.shape[1]
-        return coef[0] / math.sqrt(cov[0, 0]), aic
+            found.insert(0, np.ones_like(level[0]))
+        return np.stack([*found, d[lags:, of]], axis=-1).transpose(1, 0, 2)
+
+    rows, first = n - 1 - most, 2 if constant else 1
+    last = _triangles(columns(slice(None), most, False))[:, -1]
+    # of the target's unit length: unexplained by the first 1, 2 ... regressors
+    left = np.cumsum(last[:, ::-1] ** 2, axis=1)[:, ::-1][:, first:]
+    with np.errstate(divide="ignore"):
+        lags = np.nan_to_num(rows * np.log(left) + 2 * np.arange(first, first + most + 1), nan=np.inf).argmin(axis=1)
+    stat = np.full(cases, np.nan)
+    for lag in np.unique(lags):
+        of = np.flatnonzero(lags == lag)
+        end = _triangles(columns(of, lag, True))[:, -1]
+        free = max(n - 1 - lag - (first + lag), 1)
+        stat[of] = end[:, -2] / end[:, -1] * math.sqrt(free)
+    return stat, lags
+
+
+def _aic_tests(y: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Tests of the columns of ``y`` on the series ``x``, both without gaps."""
+    m = y.shape[1]
+    if len(x) < 10 or x.std() < 1e-12:
+        return {"stat": np.full(m, np.nan), "lag": np.full(m, np.nan), "adf_stat": np.full(m, np.nan), "adf_lag": np.full(m, np.nan)}
+    y0, x0 = y - y.mean(axis=0), x - x.mean()
+    spread = y0 - np.outer(x0, x0 @ y0 / (x0 @ x0))
+    (stat, lag), (adf, adf_lag) = adf_batch(spread, False), adf_batch(spread, True)
+    return {"stat": stat, "lag": lag, "adf_stat": adf, "adf_lag": adf_lag}
+
+
+def _statistics(y: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+    """``pair_statistics`` of every column of ``y`` with the series ``x``, both without gaps, from their joint moments."""
+    n, m = y.shape
+    nothing = np.full(m, np.nan)
+    dot = lambda a, b: (a * b).sum(axis=0) if a.ndim > 1 else a @ b
+    mean_y, mean_x = y.mean(axis=0), x.mean()
+    y, x = y - mean_y, x - mean_x
+
+    def slope(rows: slice) -> np.ndarray:
+        a, b = y[rows], x[rows]
+        if len(b) < 1:
+            return nothing
+        b = b - b.mean()
+        return b @ a / (b @ b)
+
+    beta = slope(slice(None))
+    out = {"n": np.full(m, n), "alpha": mean_y - beta * mean_x, "beta": beta}
+    dy, dx = np.diff(y, axis=0), np.diff(x)
+    cy, cx = dy - dy.mean(axis=0) if n > 1 else dy, dx - dx.mean() if n > 1 else dx
+    out["return_corr"] = cx @ cy / np.sqrt(dot(cy, cy) * (cx @ cx)) if n > 2 else nothing
+    early = n // 2
+    drift = np.abs(slope(slice(early, None)) - slope(slice(0, early))) / np.abs(beta)
+    out["beta_drift"] = np.full(m, np.inf) if n < 6 else drift
+    before = y[:-1] - np.outer(x[:-1], beta)
+    step = dy - np.outer(dx, beta)
+    bb, bd, dd, k = dot(before, before), dot(before, step), dot(step, step), n - 1
+    rho = bd / bb
+    out["stat"] = rho / np.sqrt((dd - rho * bd) / (k - 1) / bb) if k > 1 else nothing
+    cb, cd = before - before.mean(axis=0) if k else before, step - step.mean(axis=0) if k else step
+    xx, xy, yy = dot(cb, cb), dot(cb, cd), dot(cd, cd)
+    trend = xy / xx
+    out["half_life"] = np.where(np.isnan(trend), np.nan, np.where(trend >= -1e-12, np.inf, np.maximum(1.0, -math.log(2) / np.minimum(trend, -1e-12))))
+    out["adf_stat"] = trend / np.sqrt((yy - trend * xy) / (k - 2) / xx) if k > 2 else nothing
+    spread = y - np.outer(x, beta)
+    out["spread_std"] = np.sqrt(dot(spread, spread) / k) if k else nothing
+    return out
+
+
+def _by_blocks(prices: DataFrame, both_orders: bool, kernel, kinds: dict[str, str]) -> DataFrame:
+    """``(fold, y, x)`` with what ``kernel(y, x)`` gives for the log prices of every pair on the days that both have.
+
+    Symbols of a fold meet as pairs of blocks, one matrix each: the columns of
+    a block that have every day of a series are one call, the others one each.
+    """
+    logs = prices.where("close > 0").select("fold", "ts", "symbol", F.log("close").alias("l"))
+    schema = "fold int, y string, x string, " + ", ".join(f"{c} {t}" for c, t in kinds.items())
+
+    def of(names: np.ndarray, ys: np.ndarray, x_name: str, x: np.ndarray) -> list[pd.DataFrame]:
+        there = np.isfinite(x)
+        allowed = names != x_name if both_orders else names < x_name
+        held = np.isfinite(ys[there])
+        whole = np.flatnonzero(allowed & held.all(axis=0)) if there.any() else np.array([], int)
+        parts = [(whole, there)] if len(whole) else []
+        parts += [(np.array([c]), there & np.isfinite(ys[:, c])) for c in np.flatnonzero(allowed & held.any(axis=0) & ~held.all(axis=0))]
+        with np.errstate(all="ignore"):
+            return [pd.DataFrame({"y": names[c], "x": x_name, **kernel(ys[rows][:, c], x[rows])}) for c, rows in parts]
 
-    if most < 0:
-        return float("nan"), 0
-    lag = min(range(most + 1), key=lambda k: fit(k, most)[1])
-    return fit(lag, lag)[0], lag
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        _, (left, a), (right, b) = tiles.aligned(frame)
+        out = [part for j, name in enumerate(right) for part in of(left, a, name, b[:, j])]
+        if len(frame) > 1 and both_orders:
+            out += [part for j, name in enumerate(left) for part in of(right, b, name, a[:, j])]
+        if not out:
+            return pd.DataFrame(columns=["fold", "y", "x", *kinds])
+        found = pd.concat(out)
+        found.insert(0, "fold", frame["fold"].iloc[0])
+        return found.astype({c: object for c in kinds}).where(found.notna(), None)[["fold", "y", "x", *kinds]]
 
+    return tiles.block_pairs(tiles.packed_blocks(logs, "fold", "l", tiles.BLOCK), "fold").groupBy("fold", "i", "j").applyInPandas(run, schema)
 
-def engle_granger_aic(rows: DataFrame) -> DataFrame:
-    """``stat, lag, adf_stat, adf_lag`` of each pair with lags chosen by AIC: one task for each (fold, pair).
+
+_STATISTICS = ("alpha", "beta", "return_corr", "half_life", "beta_drift", "stat", "adf_stat", "spread_std")
+
+
+def pair_table(prices: DataFrame, both_orders: bool = False) -> DataFrame:
+    """``pair_statistics`` of all pairs of ``prices(fold, ts, symbol, close)``, by blocks of symbols.
+
+    Rows of prices are sent once for each block that theirs meets, as
+    matrices; a row for each pair of symbols and day is never made.
+    """
+    return _by_blocks(prices, both_orders, _statistics, {"n": "long", **dict.fromkeys(_STATISTICS, "double")})
+
+
+def aic_table(prices: DataFrame, both_orders: bool = False) -> DataFrame:
+    """``stat, lag, adf_stat, adf_lag`` of all pairs of ``prices(fold, ts, symbol, close)`` with lags chosen by AIC, by blocks of symbols.
 
     ``stat`` tests the hedge residual without a constant, ``adf_stat`` with one.
     """
+    return _by_blocks(prices, both_orders, _aic_tests, _AIC)
+
+
+_AIC = {"stat": "double", "lag": "int", "adf_stat": "double", "adf_lag": "int"}
+
+
+def engle_granger_aic(rows: DataFrame) -> DataFrame:
+    """The same for pairs that are there as rows: a task for each pair."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts")
-        y, x = frame["ly"].to_numpy(), frame["lx"].to_numpy()
-        out = {c: [frame[c].iloc[0]] for c in PAIR}
-        if len(y) < 10 or x.std() < 1e-12:
-            return pd.DataFrame(out | {"stat": [None], "lag": [None], "adf_stat": [None], "adf_lag": [None]}).astype({"stat": float, "adf_stat": float})
-        slope = np.cov(x, y)[0, 1] / x.var(ddof=1)
-        spread = y - y.mean() - slope * (x - x.mean())
-        stat, lag = _adf(spread, False)
-        adf, adf_lag = _adf(spread, True)
-        return pd.DataFrame(out | {"stat": [stat], "lag": [lag], "adf_stat": [adf], "adf_lag": [adf_lag]})
+        found = pd.DataFrame({c: [frame[c].iloc[0]] for c in PAIR} | _aic_tests(frame[["ly"]].to_numpy(float), frame["lx"].to_numpy(float)))
+        return found.astype(object).where(found.notna(), None)
 
-    return rows.groupBy(*PAIR).applyInPandas(run, "fold int, y string, x string, stat double, lag int, adf_stat double, adf_lag int")
+    return rows.groupBy(*PAIR).applyInPandas(run, "fold int, y string, x string, " + ", ".join(f"{c} {t}" for c, t in _AIC.items()))
 
 
 def best_order(stats: DataFrame) -> DataFrame:
@@ -320,7 +450,9 @@ def fold_turnover(chosen: DataFrame) -> DataFrame:
     """``added``, ``dropped`` and their share of the union, of each fold against the one before."""
     now = chosen.select("fold", F.concat_ws("/", "y", "x").alias("pair"))
     both = now.withColumn("_now", F.lit(1)).join(now.withColumns({"fold": F.col("fold") + 1, "_past": F.lit(1)}), ["fold", "pair"], "full")
-    last = both.withColumn("_last", F.max(F.when(F.col("_now") == 1, F.col("fold"))).over(Window.partitionBy(F.lit(0)))).where("fold <= _last")
+    # one row: broadcast
+    end = now.agg(F.max("fold").alias("_last"))
+    last = both.join(F.broadcast(end), F.col("fold") <= F.col("_last"))
     added, dropped = F.count_if(F.col("_past").isNull()), F.count_if(F.col("_now").isNull())
     return last.groupBy("fold").agg(added.alias("added"), dropped.alias("dropped"), ((added + dropped) / F.count("*")).alias("turnover"))
 

@@ -69,14 +69,14 @@ def pairs_report(
     ratio ``summary`` deflates by the trials (``pair_set_dsr``).
     """
     days = fold_days(bars, slices)
-    rows = pr.pair_rows(bars.join(days, "ts"), both_orders=True)
-    formed = rows.join(days.where("formation").select("fold", "ts"), ["fold", "ts"], "left_semi")
-    stats = pr.pair_statistics(formed)
+    prices = bars.join(days, "ts").select("fold", "ts", "symbol", "close", "formation")
+    formed = prices.where("formation")
+    stats = pr.pair_table(formed, both_orders=True)
     if lags:
-        stats = stats.drop("stat", "adf_stat").join(pr.engle_granger_aic(formed).select(*pr.PAIR, "stat", "adf_stat"), pr.PAIR)
+        stats = stats.drop("stat", "adf_stat").join(pr.aic_table(formed, both_orders=True).select(*pr.PAIR, "stat", "adf_stat"), pr.PAIR)
     candidates = stored(pr.choose_pairs(stats, selection), "candidates")
     chosen = candidates.where("reason is null")
-    held = rows.join(chosen.select(*pr.PAIR), pr.PAIR, "left_semi")
+    held = pr.rows_of_pairs(prices, chosen)
     test = days.where("not formation").select("fold", "ts")
     scored = pr.spread_scores(held, chosen, book.window, book.least).select(*pr.PAIR, "ts", "beta", "z")
     states = pr.pair_positions(scored, book.entry, book.leave, book.stop)

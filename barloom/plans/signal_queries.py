@@ -31,22 +31,18 @@ def pair_prices(spark: S, sf: str) -> D:
     return event_bars(spark, sf).withColumn("fold", F.lit(0))
 
 
-def rows(spark: S, sf: str) -> D:
-    return pr.pair_rows(pair_prices(spark, sf))
-
-
 def stats(spark: S, sf: str) -> D:
-    return pr.pair_statistics(rows(spark, sf))
+    return pr.pair_table(pair_prices(spark, sf))
 
 
 @query(f"{PAIR} n:i", PAIR_SQL + ", out as (select fold, y, x, count(*) as n from pairs group by 1, 2, 3)", "")
 def join3_pairs(spark: S, sf: str) -> D:
-    return rows(spark, sf).groupBy("fold", "y", "x").agg(F.count("*").alias("n"))
+    return stats(spark, sf)
 
 
 @query(f"{PAIR} n:i alpha:6 beta:6", PAIR_SQL + ", out as (select * from stats)", "")
 def pair1_hedge_ratios(spark: S, sf: str) -> D:
-    return pr.hedge_ratios(rows(spark, sf))
+    return stats(spark, sf)
 
 
 @query(f"{PAIR} half_life:6", PAIR_SQL + ", out as (select * from stats)", "")
@@ -66,7 +62,7 @@ def pair4_return_corr(spark: S, sf: str) -> D:
 
 @query(f"{PAIR} stat:4 lag:i adf_stat:4 adf_lag:i")
 def pair6_aic_lags(spark: S, sf: str) -> D:
-    return pr.engle_granger_aic(rows(spark, sf))
+    return pr.aic_table(pair_prices(spark, sf))
 
 
 #: Random walks: the running sum of each type's centred log prices, so that some pairs revert and others do not.
@@ -92,7 +88,7 @@ def walk_prices(spark: S, sf: str) -> D:
 
 
 def walk_stats(spark: S, sf: str) -> D:
-    return pr.pair_statistics(pr.pair_rows(walk_prices(spark, sf), both_orders=True))
+    return pr.pair_table(walk_prices(spark, sf), both_orders=True)
 
 
 def selected(spark: S, sf: str) -> D:
@@ -148,7 +144,7 @@ zs as (select *, case when c >= 40 and sd > 1e-12 then (s - m) / sd end as z fro
 
 
 def scores(spark: S, sf: str) -> D:
-    return pr.spread_scores(rows(spark, sf), stats(spark, sf))
+    return pr.spread_scores(pr.rows_of_pairs(pair_prices(spark, sf), stats(spark, sf)), stats(spark, sf))
 
 
 @query(f"{PAIR} ts:i z:5", _ZS + ", out as (select * from zs)", "")
@@ -187,18 +183,19 @@ out as (select fold, y, x, n, return_corr, spread_std, case when sl >= -1e-12 th
 @query(f"{PAIR} n:i return_corr:6 spread_std:6 half_life:4 adf_stat:5", _LATER, "")
 def pair14_diagnostics(spark: S, sf: str) -> D:
     """Pairs fitted on the first half of the hours and judged on the second."""
-    all_rows = pr.pair_rows(walk_prices(spark, sf))
-    middle = walk_prices(spark, sf).agg(F.expr("percentile_disc(0.5) within group (order by ts)").alias("t")).first()["t"]
-    return pr.pair_diagnostics(all_rows.where(F.col("ts") > middle), pr.hedge_ratios(all_rows.where(F.col("ts") <= middle)))
+    prices = walk_prices(spark, sf)
+    middle = prices.agg(F.expr("percentile_disc(0.5) within group (order by ts)").alias("t")).first()["t"]
+    fitted = pr.pair_table(prices.where(F.col("ts") <= middle))
+    return pr.pair_diagnostics(pr.rows_of_pairs(prices.where(F.col("ts") > middle), fitted), fitted)
 
 
-_CHOSEN = "chosen as (select distinct p_size % 6 as fold, p_brand as y, substr(p_type, 1, 5) as x from part where p_retailprice < 950)"
+_CHOSEN = "chosen as (select distinct p_size % 6 as fold, p_brand as y, substr(p_type, 1, 5) as x from part)"
 
 
 @query("fold:i added:i dropped:i turnover:6", _CHOSEN + """, f as (select a.fold is not null as now, b.fold is not null as past, coalesce(a.fold, b.fold + 1) as fold from chosen a full join chosen b on b.fold + 1 = a.fold and a.y = b.y and a.x = b.x),
 out as (select fold, count(*) filter (not past) as added, count(*) filter (not now) as dropped, count(*) filter (not past or not now) / count(*) as turnover from f where fold <= (select max(fold) from chosen) group by 1)""", "")
 def pair15_turnover(spark: S, sf: str) -> D:
-    c = read(spark, sf, "part").where("p_retailprice < 950").select((F.col("p_size") % 6).alias("fold"), F.col("p_brand").alias("y"), F.substring("p_type", 1, 5).alias("x")).distinct()
+    c = read(spark, sf, "part").select((F.col("p_size") % 6).alias("fold"), F.col("p_brand").alias("y"), F.substring("p_type", 1, 5).alias("x")).distinct()
     return pr.fold_turnover(c)
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import factors as fc, tiles
+from barloom.operators import factors as fc, pairs as pr, tiles
 
 
 def days(n):
@@ -99,3 +99,85 @@ def test_the_panel_is_sent_three_times_at_most(spark):
         chunks = -(-own // (spec.span * every)) if own else 0
         assert own + chunks * halo <= 3 * n
         assert scores.select("ts").distinct().count() == n - spec.warmup
+
+
+# pairs of blocks -----------------------------------------------------------------
+
+
+def walks(spark, symbols=7, n=90, gaps=(2, 5), seed=6):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for fold in (0, 1):
+        common = np.cumsum(rng.normal(0, 0.02, n))
+        for j in range(symbols):
+            path = 4 + common * (j % 3) + np.cumsum(rng.normal(0, 0.02, n)) * (0.3 if j % 2 else 1)
+            for i, d in enumerate(days(n)):
+                if not (j in gaps and rng.random() < 0.2):
+                    rows.append((fold, d, f"S{j}", float(np.exp(path[i]))))
+    rows += [(1, days(n)[3], "LATE", 2.0), (1, days(n)[4], "LATE", 2.1), (1, days(n)[5], "ZERO", 0.0)]
+    return spark.createDataFrame(rows, "fold int, ts date, symbol string, close double")
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_pair_table_equals_pair_rows(spark, monkeypatch, both):
+    """Blocks of three symbols, some with days missing, against the statistics of every pair's own rows."""
+    monkeypatch.setattr(tiles, "BLOCK", 3)
+    prices = walks(spark)
+    rows = pr.pair_rows(prices, both)
+    enough = rows.groupBy(*pr.PAIR).count().where("count > 10").drop("count")
+    want = pr.pair_statistics(rows.join(enough, pr.PAIR)).toPandas().set_index(pr.PAIR).sort_index()
+    found = pr.pair_table(prices, both).toPandas().set_index(pr.PAIR).sort_index()
+    assert len(found) == rows.select(*pr.PAIR).distinct().count() > len(want)
+    pd.testing.assert_frame_equal(found.loc[want.index][list(want.columns)].astype(float), want.astype(float), rtol=1e-8, check_dtype=False)
+    late = found[found.index.get_level_values("x").str.startswith("LATE") | found.index.get_level_values("y").str.startswith("LATE")]
+    assert (late["n"].astype(int) <= 2).all() and late["stat"].isna().all() and (late["beta_drift"] == np.inf).all()
+    some = pr.rows_of_pairs(prices, pr.pair_table(prices, both).where("n > 10"))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, rows.join(enough, pr.PAIR).select(*some.columns).collect()))
+
+
+def plain_adf(x, constant):
+    """Every lag refitted by least squares."""
+    n, d = len(x), np.diff(x)
+    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 3)
+
+    def fit(lag, drop):
+        a = np.column_stack([x[drop:-1], *(d[drop - k : len(d) - k] for k in range(1, lag + 1)), *([np.ones(len(d) - drop)] if constant else [])])
+        coef, *_ = np.linalg.lstsq(a, d[drop:], rcond=None)
+        left = d[drop:] - a @ coef
+        error = np.sqrt(np.linalg.inv(a.T @ a)[0, 0] * (left @ left) / (len(left) - a.shape[1]))
+        return coef[0] / error, len(left) * np.log((left @ left) / len(left)) + 2 * a.shape[1]
+
+    lag = min(range(most + 1), key=lambda k: fit(k, most)[1])
+    return fit(lag, lag)[0], lag
+
+
+def test_one_factorization_has_all_lags():
+    rng = np.random.default_rng(8)
+    for n in (12, 40, 200, 600):
+        e = rng.normal(size=(n, 9))
+        x = np.cumsum(e, axis=0)
+        x[:, :4] = e[:, :4]
+        for t in range(2, n):
+            x[t, 4:7] = 0.3 * x[t - 1, 4:7] + 0.4 * x[t - 2, 4:7] + e[t, 4:7]
+        for constant in (False, True):
+            stat, lag = pr.adf_batch(x, constant)
+            want = [plain_adf(x[:, j], constant) for j in range(9)]
+            assert lag.tolist() == [w[1] for w in want]
+            assert stat == pytest.approx([w[0] for w in want], rel=1e-6)
+    stat, lag = pr.adf_batch(np.column_stack([np.ones(50), rng.normal(size=50)]), True)
+    assert np.isnan(stat[0]) and np.isfinite(stat[1])
+    assert np.isnan(pr.adf_batch(np.ones((4, 2)), True)[0]).all()
+
+
+def test_aic_table_equals_rows(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "BLOCK", 3)
+    prices = walks(spark, symbols=5)
+    want = pr.engle_granger_aic(pr.pair_rows(prices, True)).toPandas().set_index(pr.PAIR).sort_index()
+    found = pr.aic_table(prices, True).toPandas().set_index(pr.PAIR).sort_index()
+    pd.testing.assert_frame_equal(found.astype(float), want[found.columns].astype(float), rtol=1e-8)
+
+
+def test_no_row_for_each_pair_and_day(spark):
+    """The plan of a pair table has no join of days: blocks alone meet."""
+    plan = pr.pair_table(walks(spark), True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "symbol" in plan  # the number of a symbol's block
