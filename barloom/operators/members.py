@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.windows import clip, compounded, ordered
+from barloom.operators.boosting import boosted_folds
 
 
 def return_position(ret: Column, sigma: Column, target_vol: float, cap: float) -> Column:
@@ -149,15 +150,10 @@ def meta_weights(oof: DataFrame, members: list[str], default: list[float]) -> li
 
 def boosted_forecast(train: DataFrame, test: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(predictions, importance)`` of gradient-boosted trees over all symbols; missing features are 0, missing labels the training mean."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    mean = train.agg(F.avg(label)).first()[0] or 0.0
-    ready = lambda df: VectorAssembler(inputCols=features, outputCol="_x").transform(df.fillna(0.0, subset=features))
-    model = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=7).fit(ready(train).fillna(mean, subset=[label]))
-    predicted = model.transform(ready(test)).withColumnRenamed("prediction", "forecast").drop("_x")
-    rows = sorted(((f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)), key=lambda x: (-x[1], x[0]))
-    return predicted, train.sparkSession.createDataFrame(rows, "feature string, importance double")
+    one = lambda df, role: df.withColumns({"_fold": F.lit(0), "_role": F.lit(role)})
+    rows = one(train, "train").unionByName(one(test, "test"), allowMissingColumns=True)
+    predicted, importance = boosted_folds(rows, features, label, rounds, depth, fold="_fold", role="_role")
+    return predicted.drop("_fold", "_role"), importance.drop("_fold").orderBy(F.desc("importance"), "feature")
 
 
 def autoregression(series: DataFrame, most: int = 2) -> DataFrame:

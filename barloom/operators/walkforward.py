@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.functions.windows import ordered
 from barloom.operators import evaluate as ev, factors as fc, folds, members as mb, pairs as pr, portfolio as pf
+from barloom.operators.boosting import boosted_folds
 from barloom.sources.folder import stored
 
 
@@ -158,15 +159,10 @@ def pca_residual_prices(returns: DataFrame, portfolios: DataFrame, windows: Data
     return last.withColumn("residual", F.exp(F.sum("residual").over(ordered("symbol").rowsBetween(Window.unboundedPreceding, 0)))).select("symbol", "ts", "residual")
 
 
-def out_of_fold(assigned: DataFrame, features: list[str], label: str, n_folds: int, **options) -> DataFrame:
-    """Forecasts of boosted trees for the test rows of every fold, each from its own training rows."""
-    out = None
-    for fold in range(n_folds):  # a model for each fold, each over all symbols
-        part = assigned.where(F.col("fold") == fold)
-        found, _ = mb.boosted_forecast(part.where("role = 'train'"), part.where("role = 'test'"), features, label, **options)
-        found = found.select("symbol", "ts", "fold", "forecast")
-        out = found if out is None else out.unionByName(found)
-    return out
+def out_of_fold(assigned: DataFrame, features: list[str], label: str, **options) -> DataFrame:
+    """Forecasts of boosted trees for the test rows of every fold, each from its own training rows; all folds grow at once."""
+    found, _ = boosted_folds(assigned, features, label, **options)
+    return found.select("symbol", "ts", "fold", "forecast")
 
 
 def borrow_accrual(positions: DataFrame, rate: float) -> DataFrame:

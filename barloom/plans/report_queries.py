@@ -61,7 +61,7 @@ def mod12_out_of_fold(spark: S, sf: str) -> D:
     b = _folds(spark, sf)[0]
     by_fold = Window.partitionBy("symbol", "fold").orderBy("ts")
     rows = b.withColumns({"r1": F.log(F.col("close") / F.lag("close").over(by_fold)), "y": F.log(F.lead("close").over(by_fold) / F.col("close"))}).where("y is not null")
-    found = wf.out_of_fold(rows, ["r1"], "y", 4, rounds=4)
+    found = wf.out_of_fold(rows, ["r1"], "y", rounds=4)
     return found.join(rows.where("role = 'test'").select("symbol", "ts", "fold", "y"), ["symbol", "ts", "fold"]).groupBy("fold").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("forecast") - F.col("y"))).alias("mae"))
 
 

@@ -424,7 +424,7 @@ def mod1_boosted_forecast(spark: S, sf: str) -> D:
     names = [f"r{k}" for k in (1, 2, 5)]
     w = ordered("symbol", "fold")
     rows_ = assigned.withColumns({n: F.log(F.col("close") / F.lag("close", int(n[1:])).over(w)) for n in names}).withColumn("y", F.log(F.lead("close").over(w) / F.col("close")))
-    predicted = wf.out_of_fold(rows_, names, "y", 4, rounds=8).join(rows_.where("role = 'test' and y is not null").select("symbol", "ts", "fold", "y"), ["symbol", "ts", "fold"])
+    predicted = wf.out_of_fold(rows_, names, "y", rounds=8).join(rows_.where("role = 'test' and y is not null").select("symbol", "ts", "fold", "y"), ["symbol", "ts", "fold"])
     items = F.array(F.struct(F.lit("boosted").alias("member"), F.abs(F.col("forecast") - F.col("y")).alias("e")), F.struct(F.lit("nothing").alias("member"), F.abs("y").alias("e")))
     return predicted.select("fold", F.inline(items)).groupBy("fold", "member").agg(F.avg("e").alias("mae"), F.count("*").alias("n"))
 

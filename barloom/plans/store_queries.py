@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.windows import change, ordered, rolling
-from barloom.operators import conformal, factors as fc, features as ft, members as mb, scaling, sentiment as sn, universe, walkforward as wf
+from barloom.operators import boosting, conformal, factors as fc, features as ft, scaling, sentiment as sn, universe, walkforward as wf
 from barloom.plans import portfolio_queries as pq, signal_queries as sq
 from barloom.plans.feature_queries import SCALE_SQL, W, _apply_sql, _folds, _scaled, full
 from barloom.plans.panels import EVENT_BARS_SQL, price_bars, read, stories
@@ -141,13 +141,7 @@ def scl7_fold_replay(spark: S, sf: str) -> D:
 def mod2_importance(spark: S, sf: str) -> D:
     w = ordered("symbol", "fold")
     rows = _folds(spark, sf)[0].withColumns({f"r{k}": F.log(F.col("close") / F.lag("close", k).over(w)) for k in (1, 2, 5)}).withColumn("y", F.log(F.lead("close").over(w) / F.col("close")))
-    out = None
-    for fold in range(4):  # a model for each fold
-        part = rows.where(F.col("fold") == fold)
-        _, importance = mb.boosted_forecast(part.where("role = 'train'"), part.where("role = 'test'"), ["r1", "r2", "r5"], "y", rounds=4)
-        importance = importance.withColumn("fold", F.lit(fold))
-        out = importance if out is None else out.unionByName(importance)
-    return out
+    return boosting.boosted_folds(rows, ["r1", "r2", "r5"], "y", rounds=4)[1]
 
 
 # streams -------------------------------------------------------------------------
