@@ -5,6 +5,8 @@ import hashlib
 import itertools
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -212,6 +214,26 @@ def test_best_segmentations_against_all(spark):
         assert all(decode_ids(lattice.pieces, lattice.apply(ids, c)) == text for _, c in best)
 
 
+@pytest.mark.parametrize("text", ["the" * 67_000, "a" * 200_000, "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=200_000)), "日本" * 50_000])
+def test_long_texts_without_spaces(text):
+    """Time and memory in proportion to the text, and N segmentations by falling score."""
+    lattice = load_lattice(Q.piece_model(), 4)
+    began = time.process_time()
+    ids, best = lattice.best(text)
+    assert time.process_time() - began < 60
+    tracemalloc.start()
+    lattice.best(text[: len(text) // 10])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # 300 MB for the whole text
+    assert [s for s, _ in best] == sorted((s for s, _ in best), reverse=True)
+    tried = [lattice.apply(ids, c) for _, c in best]
+    assert len({tuple(x) for x in tried}) == len(best) and all(decode_ids(lattice.pieces, x) == text for x in tried)
+    score = lattice.pieces.score
+    if not any(i in lattice.pieces.byte_id for i in ids):
+        assert np.allclose([sum(score[i] for i in x) for x in tried], [s for s, _ in best])
+
+
 def test_codec_round_trip(spark, sf_dir, texts, odd, empty):
     found = Q.op2_sentencepiece(spark, sf_dir)
     back = {r["doc_id"]: r["text"] for r in decode_documents(found, Q.piece_model()).collect()}
