@@ -175,14 +175,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 3, most_rows: i
 
     At most ``most_rows`` labelled ids are used, the first by a hash of the
     id; of them, three in ten calibrate and the rest grow the trees. An id
-    labelled twice has the higher label. Null ids, labels and texts are left
+    labelled twice has the higher label, an id with several texts the one of
+    least hash. Null ids, labels and texts are left
     out. Without labels of both kinds the score is the share of toxic labels
     (0 without any).
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     # at most ``most_rows`` rows of two numbers: broadcast, so that no text is moved
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = keep(rows.withColumn("calibrates", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(10)) < 3))
     lexicon = fit_lexicon(rows.where("not calibrates"))
     table = keep(features_of(rows, lexicon, ["doc_id", "toxic", "calibrates"]))
