@@ -44,29 +44,40 @@ def _rolling(data: bytes) -> np.ndarray:
     return out
 
 
+def _boundaries(rolled: np.ndarray, block: int) -> int:
+    return int(np.count_nonzero(rolled % np.uint32(block) == block - 1))
+
+
 def _signature(rolled: np.ndarray, block: int) -> bytes:
-    """The characters of the chunks at a block size; the last one covers the rest."""
-    ends = np.flatnonzero(rolled % np.uint32(block) == block - 1)[: LENGTH - 1] + 1
-    starts = np.concatenate(([0], ends))
+    """The characters of the chunks at a block size, of even runs of chunks where there are more than LENGTH."""
+    starts = np.concatenate(([0], np.flatnonzero(rolled % np.uint32(block) == block - 1) + 1))
     starts = starts[starts < len(rolled)]
+    starts = starts[:: -(-len(starts) // LENGTH)]
     sums = np.add.reduceat(rolled, starts, dtype=np.uint32)
     sums = (sums ^ (sums >> np.uint32(16))) * _MIX
     return _CODES[(sums >> np.uint32(26)).astype(np.int64)].tobytes()
 
 
 def fingerprint(data: bytes) -> str:
-    """``block:signature:signature at twice the block``; an empty text has empty signatures."""
+    """``block:signature:signature at twice the block``; an empty text has empty signatures.
+
+    The block is halved while there are few chunks and doubled while there are
+    more than a signature holds, so that characters are chunks. A text of short
+    period has very many chunks at one block and hardly any at the next; there
+    a character stands for a run of chunks, and the signature still covers the
+    whole text.
+    """
     block = SMALLEST_BLOCK
     while block * LENGTH < len(data):
         block *= 2
     if not data:
         return f"{block}::"
     rolled = _rolling(data)
-    first = _signature(rolled, block)
-    while block > SMALLEST_BLOCK and len(first) < LENGTH // 2:
+    while block > SMALLEST_BLOCK and _boundaries(rolled, block) < LENGTH // 2:
         block //= 2
-        first = _signature(rolled, block)
-    return f"{block}:{first.decode()}:{_signature(rolled, 2 * block).decode()}"
+    while _boundaries(rolled, block) >= LENGTH and _boundaries(rolled, 2 * block) >= LENGTH // 8:
+        block *= 2
+    return f"{block}:{_signature(rolled, block).decode()}:{_signature(rolled, 2 * block).decode()}"
 
 
 def _lcs(left: list[str], right: list[str]) -> np.ndarray:
