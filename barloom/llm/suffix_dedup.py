@@ -299,10 +299,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc_id = F.col(id_col).cast("long").alias("doc_id")
-    # a row with the id and the text of another has its marks and spans, so the two may share a key
     told = docs.select(doc_id).groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-    doc = (doc_id if told else F.xxhash64(doc_id, text_col)).alias("doc")
-    texts = docs.select(doc, doc_id, F.col(text_col).alias("text"))
+    texts = docs.select((doc_id if told else F.monotonically_increasing_id()).alias("doc"), doc_id, F.col(text_col).alias("text"))
+    if not told:  # rows are numbered, and the numbers written, so that they stay
+        texts = keep(texts)
     lead = F.least("place", F.lit(length - gram))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +326,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     used = used.withColumn("lo", F.col("place") - lead).withColumn("hi", F.col("lo") + F.col("size"))
 
     dealt = texts.repartition(parts, "doc")
-    once = dealt if told else texts.dropDuplicates(["doc"]).repartition(parts, "doc")
 
     def contexts_of(chosen: DataFrame, texts: DataFrame) -> DataFrame:
         lists = chosen.groupBy("doc").agg(F.collect_set(F.struct("place", "gram")).alias("marks"))
@@ -338,11 +337,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     whole, different = _classes(used)
     different = keep(different)
-    ranges = whole.unionByName(repeats_in(contexts_of(different.where(F.col("n") <= SPLIT), once), gram))
+    ranges = whole.unionByName(repeats_in(contexts_of(different.where(F.col("n") <= SPLIT), dealt), gram))
     hot = different.where(F.col("n") > SPLIT)
     if not hot.isEmpty():
         of_hot = with_keys(texts.withColumnRenamed("doc", "key"), keep(hot.select(F.col("doc").alias("key")).distinct())).withColumnRenamed("key", "doc")
-        of_hot = of_hot if told else of_hot.dropDuplicates(["doc"])
         ranges = ranges.unionByName(_in_longer_grams(keep(contexts_of(hot, of_hot)), length, gram, repeats_in))
     spans = ranges.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return dealt.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(
