@@ -34,6 +34,10 @@ from barloom.llm.scratch import drop, keep, settled
 from barloom.llm.simhash import SEED, close_pairs, print_of, shingle_hashes
 
 
+#: Words of a set's parity signature.
+SIGN = 8
+
+
 def parity_sign(hashes: np.ndarray) -> list[int]:
     """A bit for each residue modulo 64 * SIGN, set if an odd number of ``hashes`` has it.
 
@@ -44,36 +48,34 @@ def parity_sign(hashes: np.ndarray) -> list[int]:
 
 
 def _sets(words: int, threshold: float | None):
-    """``(key, node, n, fp, sign, part)``: SimHash, signature and prefix of every row's set, or all of the set without ``threshold``."""
+    """``(key, w1, w2, n, fp, sign, part)``: a 128-bit digest, SimHash, signature and prefix of every row's set, or all of the set without ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             found = [np.unique(h.view("<i8")) for h in hashes]
-            nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in found]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in found), "<i8").reshape(-1, 2)
             parts = found if threshold is None else [s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1] for s in found]
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             part = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([print_of(h) for h in hashes], pa.int64()), pa.array([parity_sign(s) for s in found], pa.list_(pa.int64())), part],
-                names=["key", "node", "n", "fp", "sign", "part"],
+                [batch.column(0), *(pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)), pa.array([len(s) for s in found], pa.int32()), pa.array([print_of(h) for h in hashes], pa.int64()), pa.array([parity_sign(s) for s in found], pa.list_(pa.int64())), part],
+                names=["key", "w1", "w2", "n", "fp", "sign", "part"],
             )
 
     return run
 
 
-_SCHEMA = "key long, node long, n int, fp long, sign array<long>, part array<long>"
 #: Rounds of meeting one node of each key before all nodes that are left meet.
 ROUNDS = 6
-#: Words of a set's parity signature.
-SIGN = 8
+_SCHEMA = "key long, w1 long, w2 long, n int, fp long, sign array<long>, part array<long>"
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, threshold: float) -> DataFrame:
     """The ``pairs(a, b)`` of nodes that are similar, judged on the whole sets."""
     pairs = keep(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("first").alias("key")), "node").select("key")
-    sets = keep(with_keys(rows, keep(wanted)).mapInArrow(_sets(words, None), _SCHEMA).select("node", "part"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().select(F.col("node").alias("key"))
+    sets = keep(with_keys(rows, keep(wanted)).mapInArrow(_sets(words, None), _SCHEMA).select(F.col("key").alias("node"), "part"))
     left, right = sets.select(F.col("node").alias("a"), F.col("part").alias("x")), sets.select(F.col("node").alias("b"), F.col("part").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similar = common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9
@@ -99,8 +101,9 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
     that links reach.
     """
     prints = keep(rows.select("key", "text").mapInArrow(_sets(words, threshold), _SCHEMA))
-    nodes = keep(prints.groupBy("node").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sign").alias("sign"), F.first("part").alias("part")))
-    members = keep(prints.select("key", "node"))
+    # equal sets, by 128 bits of digest, are one node under the smallest of their keys
+    nodes = keep(prints.groupBy("w1", "w2").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sign").alias("sign"), F.first("part").alias("part")))
+    members = keep(prints.select("key", "w1", "w2").join(nodes.select("w1", "w2", "node"), ["w1", "w2"]).select("key", "node"))
     drop(prints)
     links = _alike(_simhash_pairs(nodes), nodes, rows, words, threshold)
     groups = connected_components(links)
@@ -153,10 +156,7 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
     across = counted.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     groups = connected_components(links.union(_alike(across, nodes, rows, words, threshold)))
 
-    named = keep(nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group")))
-    smallest = named.groupBy("group").agg(F.min("first").alias("component"))
-    classes = keep(named.join(smallest, "group").select("node", "component"))
-    return members.join(classes, "node").select("key", "component")
+    return members.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
 
 
 def keep_first_of_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -37,6 +38,12 @@ LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("qua
 LONG = "word%d " * 3000
 
 
+@pytest.fixture(scope="session")
+def larger_dir(sf_dir):
+    """A table size with labels enough to fit and calibrate."""
+    return os.path.join(os.path.dirname(sf_dir), "sf0.01")
+
+
 @pytest.fixture(scope="module")
 def texts(sf_dir):
     rows = pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()
@@ -289,13 +296,16 @@ def test_signatures_chunk_by_chunk():
         return h ^ h >> 13
 
     def signature(data, block):
-        out, total, open_, ends = "", 0, False, 0
+        chunks, open_ = [0], False
         for i in range(len(data)):
             h = rolled(data, i)
-            total, open_ = (total + h) % (1 << 32), True
-            if h % block == block - 1 and ends < 63:
-                out, total, open_, ends = out + char(total), 0, False, ends + 1
-        return out + char(total) if open_ else out
+            chunks[-1], open_ = (chunks[-1] + h) % (1 << 32), True
+            if h % block == block - 1:
+                chunks.append(0)
+                open_ = False
+        chunks = chunks if open_ else chunks[:-1]
+        run = -(-len(chunks) // 64)
+        return "".join(char(sum(chunks[k : k + run]) % (1 << 32)) for k in range(0, len(chunks), run)), len(chunks)
 
     def char(total):
         return "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[(total ^ total >> 16) * 0x9E3779B1 % (1 << 32) >> 26]
@@ -304,8 +314,22 @@ def test_signatures_chunk_by_chunk():
     for n in (1, 5, 40, 300, 2000):
         data = bytes(rng.randrange(97, 123) for _ in range(n))
         block, first, second = fingerprint(data).split(":")
-        assert (first, second) == (signature(data, int(block)), signature(data, 2 * int(block)))
-        assert int(block) == 3 or len(first) >= 32
+        assert (first, second) == (signature(data, int(block))[0], signature(data, 2 * int(block))[0])
+        assert signature(data, int(block))[1] <= 64 and (int(block) == 3 or len(first) >= 8)
+
+
+def test_signatures_cover_texts_of_short_period():
+    """A quarter of the text changed is a quarter of the characters, however many chunks there are."""
+    rng = random.Random(3)
+    for period in (9, 30, 41, 200, 1500):
+        unit = bytes(rng.randrange(97, 123) for _ in range(period))
+        text = unit * (60_000 // period)
+        edited = text[: len(text) * 3 // 4] + bytes(rng.randrange(97, 123) for _ in range(len(text) // 4))
+        for t in (text, edited):
+            block, first, second = fingerprint(t).split(":")
+            assert len(first) <= 64 and len(second) <= 64
+        near = likeness([fingerprint(text)], [fingerprint(edited)])[0]
+        assert fingerprint(text) != fingerprint(edited) and near < 0.9, (period, near)
 
 
 def test_likeness_is_the_edit_distance():
@@ -542,10 +566,46 @@ def test_features_one_by_one():
     assert len(read.features("")) == len(FEATURES)
 
 
-def test_calibration_is_isotonic(spark):
+def test_scores_from_trees_and_steps(spark, larger_dir):
+    """Every score again in plain Python: features, walks down the fitted trees, logistic link, interpolated steps."""
+    from barloom.llm.toxicity import Reader, _held_out, fit_toxicity
+
+    docs, labels = spark.read.parquet(f"{larger_dir}/documents.parquet"), spark.read.parquet(f"{larger_dir}/labels.parquet")
+    model = fit_toxicity(docs, labels.where(~_held_out(F.col("doc_id"))))
+    assert model.trees is not None
+    reader = Reader(model.lexicon)
+
+    def walk(node, x):
+        while node.subtreeDepth():
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    roots = [t._java_obj.rootNode() for t in model.trees.trees]
+    bounds, levels = list(model.steps.boundaries), list(model.steps.predictions)
+    found = rows_of(Q.op8_toxicity(spark, larger_dir))
+    for r in docs.limit(40).collect():
+        x = reader.features(r["text"] or "")
+        margin = sum(w * walk(root, x) for w, root in zip(model.trees.treeWeights, roots, strict=True))
+        p = 1 / (1 + np.exp(-2 * margin))
+        score = 0.999 * np.interp(p, bounds, levels) + 0.001 * p
+        assert found[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-12) and found[r["doc_id"]]["predicted"] == (score >= 0.7)
+
+
+def test_labelled_ids_with_several_texts(spark, larger_dir):
+    """The model does not depend on the order of the rows where an id has several texts."""
+    docs, labels = spark.read.parquet(f"{larger_dir}/documents.parquet"), spark.read.parquet(f"{larger_dir}/labels.parquet")
+    other = docs.withColumn("text", F.concat(F.reverse("text"), F.lit(" you")))
+    both = docs.unionByName(other)
+    one = rows_of(score_documents(both.repartition(3), labels).groupBy("doc_id").agg(F.sort_array(F.collect_list("score")).alias("s")))
+    two = rows_of(score_documents(both.orderBy(F.desc("doc_id"), "text").coalesce(2), labels).groupBy("doc_id").agg(F.sort_array(F.collect_list("score")).alias("s")))
+    assert {i: r["s"] for i, r in one.items()} == {i: r["s"] for i, r in two.items()}
+
+
+def test_calibration_is_isotonic(spark, larger_dir):
     from barloom.llm.toxicity import fit_toxicity
 
-    big = "/root/testdata/sf0.01"
+    big = larger_dir
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     model = fit_toxicity(docs, labels)
     bounds, levels = model.steps.boundaries, model.steps.predictions
@@ -561,8 +621,8 @@ def test_toxic_rows_without_an_id_go(spark):
 
 
 
-def test_toxicity_on_held_out_rows(spark):
-    big = "/root/testdata/sf0.01"
+def test_toxicity_on_held_out_rows(spark, larger_dir):
+    big = larger_dir
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{big}/labels.parquet").to_pylist()}
     found = rows_of(Q.op8_toxicity(spark, big))
     assert len(found) == pq.read_table(f"{big}/documents.parquet").num_rows
