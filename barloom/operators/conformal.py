@@ -47,7 +47,7 @@ def adaptive_alpha(misses: DataFrame, target: float = 0.1, rate: float = 0.02, k
             alpha = adapt(alpha, int(row["miss"]), target, rate)
         return alpha, (alpha,)
 
-    return scan_by_key(misses, list(keys), "ts", step, {"alpha": "double"})
+    return scan_by_key(misses, list(keys), "ts", step, {"alpha": "double"}, ["miss"])
 
 
 def coverage(judged: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -250,7 +250,7 @@ def reversion_step(long_in: float = -1.25, long_out: float = -0.5, short_in: flo
 
 
 def reversion_positions(scores: DataFrame, keys: list[str]) -> DataFrame:
-    return scan_by_key(scores, keys, "ts", reversion_step(), {"state": "int"})
+    return scan_by_key(scores, keys, "ts", reversion_step(), {"state": "int"}, ["ok", "sscore"])
 
 
 def residual_book(states: DataFrame, loadings: DataFrame, portfolios: DataFrame, unit: float, scale: str | None = None) -> DataFrame:

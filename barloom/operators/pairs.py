@@ -436,7 +436,7 @@ def band_step(entry: float, leave: float, stop: float):
 
 
 def pair_positions(scores: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0) -> DataFrame:
-    return scan_by_key(scores, PAIR, "ts", band_step(entry, leave, stop), {"state": "int"})
+    return scan_by_key(scores, PAIR, "ts", band_step(entry, leave, stop), {"state": "int"}, ["z"])
 
 
 def pair_legs(positions: DataFrame, gross: float) -> DataFrame:

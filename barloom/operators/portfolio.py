@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.functions.scan import scan_by_key
+from barloom.functions.scan import banded_step, scan_by_day, scan_by_key
 from barloom.functions.normal import norm_cdf, psr_argument
 from barloom.functions.windows import clip, compounded, ordered, so_far
 
@@ -67,7 +65,7 @@ def no_trade_band(targets: DataFrame, band: float | str, target: str = "weight",
             held = x
         return held, (held,)
 
-    return scan_by_key(targets, list(keys), "ts", step, {"held": "double"})
+    return scan_by_key(targets, list(keys), "ts", step, {"held": "double"}, [target, *([band] if isinstance(band, str) else [])])
 
 
 def directional_targets(scores: DataFrame, size: float, cap: float, limit: float) -> DataFrame:
@@ -86,31 +84,14 @@ def banded_fills(targets: DataFrame, band: float, limit: float | None) -> DataFr
     """``held`` with a band and a gross limit.
 
     The limit ties the symbols of a portfolio together: one scan for each
-    portfolio. Without it, symbols are scans of their own. A bar without any target gives no order; a single missing target keeps
-    its position; targets within the band of the position keep it; the rest
-    is scaled to the limit; a book equal to the last within 1e-5 relative and
+    portfolio, day by day. Without it, symbols are scans of their own. A bar
+    without any target gives no order; a single missing target keeps its
+    position; targets within the band of the position keep it; the rest is
+    scaled to the limit; a book equal to the last within 1e-5 relative and
     1e-8 absolute trades nothing.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = frame.pivot(index="ts", columns="symbol", values="target").sort_index()
-        wanted, held = grid.to_numpy(float), np.zeros(grid.shape[1])
-        out = np.zeros_like(wanted)
-        for t in range(1, len(wanted)):
-            row = wanted[t - 1]
-            if not np.isnan(row).all():
-                book = np.where(np.isnan(row) | (np.abs(row - held) <= band), held, row)
-                gross = np.abs(book).sum()
-                if limit is not None and gross > limit:
-                    book = book * (limit / gross)
-                if not np.allclose(book, held):
-                    held = book
-            out[t] = held
-        long = pd.DataFrame(out, index=grid.index, columns=grid.columns).stack().rename("held").reset_index()
-        return frame.merge(long, on=["ts", "symbol"])[[*frame.columns, "held"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in targets.schema.fields) + ", held double"
-    return targets.groupBy("portfolio", *(["symbol"] if limit is None else [])).applyInPandas(run, schema)
+    keys = ["portfolio", *(["symbol"] if limit is None else [])]
+    return scan_by_day(targets, keys, "ts", banded_step(band, limit), {"held": "double"}, ["symbol", "target"], "symbol")
 
 
 def account(held: DataFrame, costs: Costs, dividends: bool = False) -> DataFrame:
