@@ -208,10 +208,14 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     """
     others = [c for c in docs.columns if c != text_col]
     keyed = _keyed(docs, id_col, text_col, others)
-    lists = settled(lambda: _removed(keyed, threshold).groupBy("doc").agg(F.collect_set("line_no").alias("gone")))
-    rest = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    return keyed.join(lists, "doc", "left").select(*((text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
+    lists = settled(lambda: _removed(keyed, threshold).groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("gone")))
+    joined = keyed.join(lists, "doc", "left").withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    # what stands between two removed lines is a slice
+    joined = joined.withColumn("ends", F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("lines"))))
+    after = lambda k: F.get("ends", k) + 2
+    parts = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", after(k), F.get("ends", k + 1) - F.get("ends", k) - 1))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
+    return joined.select(*((text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -83,3 +83,15 @@ def test_lines_in_rows_without_own_id(spark):
     assert sorted((str(r["doc_id"]), r["n_lines"], r["n_removed"]) for r in report) == sorted(
         [("None", 3, 0), ("None", 3, 1), ("None", 3, 0), ("3", 3, 1), ("3", 2, 0), ("4", 1, 1), ("None", 1, 0), ("None", 1, 1)]
     )
+
+
+def test_many_lines_of_one_text(spark):
+    """A text of very many lines, half of them removed, keeps the others in order; time is in proportion to its lines."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    seen = [" ".join(word() for _ in range(6)) for _ in range(20_000)]
+    fresh = [" ".join(word() for _ in range(6)) for _ in range(20_000)]
+    mixed = [x for pair in zip(seen, fresh, strict=True) for x in pair]
+    rows = [(1, "\n".join(seen), "en", "a", 1), (2, "\n".join(["", *mixed, "", mixed[0]]), "en", "a", 1), (3, seen[5], "en", "a", 1), (4, None, "en", "a", 1)]
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {1: rows[0][1], 2: "\n".join(["", *fresh, ""]), 3: "", 4: None}
