@@ -114,7 +114,7 @@ def split_scores(returns: DataFrame, slices: int) -> DataFrame:
     return both.withColumns({"rank": F.row_number().over(up), "best": F.row_number().over(top) == 1})
 
 
-def backtest_overfitting(returns: DataFrame, slices: int = 8) -> DataFrame:
+def backtest_overfitting(returns: DataFrame, slices: int = 10) -> DataFrame:
     """``(pbo, splits)``: how often the best in-sample strategy is below the median out of sample."""
     scored = split_scores(returns, slices)
     width = F.count("*").over(Window.partitionBy("split"))

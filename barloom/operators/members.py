@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.windows import clip, compounded, ordered
@@ -111,41 +113,85 @@ def evaluate(judged: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """Minimise w'Gw - 2c'w over w >= 0, sum w <= 1, by trying every set of active members (k is small)."""
-    k, best, out = len(cross), 0.0, np.zeros(len(cross))
-    for size in range(1, k + 1):
-        for chosen in itertools.combinations(range(k), size):
-            i = np.array(chosen)
-            g, c = gram[np.ix_(i, i)], cross[i]
-            free = np.linalg.lstsq(g, c, rcond=None)[0]
-            edge = np.linalg.lstsq(np.block([[g, np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]]), np.append(c, 1.0), rcond=None)[0][:size]
-            for w in (free, edge):
-                if (w >= -1e-12).all() and w.sum() <= 1 + 1e-12:
-                    value = w @ g @ w - 2 * c @ w
-                    if value < best - 1e-15:
-                        best, out = value, np.zeros(k)
-                        out[i] = np.maximum(w, 0)
-    return out
+def _onto_simplex(v: np.ndarray) -> np.ndarray:
+    """The nearest point with w >= 0 and sum w <= 1."""
+    w = np.maximum(v, 0)
+    if w.sum() <= 1:
+        return w
+    u = np.sort(v)[::-1]
+    over = (np.cumsum(u) - 1) / np.arange(1, len(v) + 1)
+    return np.maximum(v - over[np.flatnonzero(u > over)[-1]], 0)
 
 
-def meta_weights(oof: DataFrame, members: list[str], default: list[float]) -> list[float]:
-    """Weights of the members' out-of-fold positions against ``ideal``: one aggregation of k * k moments, solved on the driver.
+def simplex_weights(gram: np.ndarray, cross: np.ndarray, rounds: int = 5000) -> np.ndarray:
+    """Minimise w'Gw - 2c'w over w >= 0, sum w <= 1.
 
-    ``oof`` has a column for each member. Fewer than five complete rows keep
-    the default.
+    Projected gradient steps with momentum find the active members; their
+    equations are then solved as such, on the edge of the simplex or inside.
+    """
+    k = len(cross)
+    loss = lambda w: w @ gram @ w - 2 * cross @ w
+    top = float(np.linalg.eigvalsh(gram)[-1]) if k else 0.0
+    if top <= 0:
+        return np.zeros(k)
+    best = w = ahead = np.zeros(k)
+    pace = 1.0
+    for _ in range(rounds):
+        following = _onto_simplex(ahead - (gram @ ahead - cross) / top)
+        if loss(following) > loss(w):  # momentum went too far
+            following, pace = _onto_simplex(w - (gram @ w - cross) / top), 1.0
+        quicker = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, moved = following + (pace - 1) / quicker * (following - w), np.abs(following - w).max()
+        w, pace = following, quicker
+        if moved < 1e-13:
+            break
+    best = w
+    i = np.flatnonzero(w > 1e-7)
+    if len(i):
+        g, c, size = gram[np.ix_(i, i)], cross[i], len(i)
+        edge = np.block([[g, np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
+        for tried in (np.linalg.lstsq(g, c, rcond=None)[0], np.linalg.lstsq(edge, np.append(c, 1.0), rcond=None)[0][:size]):
+            full = np.zeros(k)
+            full[i] = tried
+            if (tried >= 0).all() and tried.sum() <= 1 + 1e-12 and loss(full) <= loss(best) + 1e-15:
+                best = full
+    return best
+
+
+def meta_weights_by(oof: DataFrame, members: list[str], keys: list[str], default: list[float]) -> DataFrame:
+    """``(*keys, member, weight)``: weights of the members' out-of-fold positions against ``ideal`` for each key, such as a fold.
+
+    Each task adds up the moments of its rows by key, so what meets in one
+    place is a matrix of members for each task. Fewer than five complete rows
+    keep the default.
     """
-    full = oof.dropna(subset=[*members, "ideal"])
-    pairs = [(a, b) for i, a in enumerate(members) for b in members[i:]]
-    r = full.agg(
-        F.count("*").alias("n"), *(F.avg(F.col(a) * F.col(b)).alias(f"g{i}") for i, (a, b) in enumerate(pairs)), *(F.avg(F.col(a) * F.col("ideal")).alias(f"c{i}") for i, a in enumerate(members))
-    ).first()
-    if r["n"] < 5:
-        return default
-    gram = np.zeros((len(members),) * 2)
-    for i, (a, b) in enumerate(pairs):
-        gram[members.index(a), members.index(b)] = gram[members.index(b), members.index(a)] = r[f"g{i}"]
-    return simplex_weights(gram, np.array([r[f"c{i}"] for i in range(len(members))])).tolist()
+    k = len(members)
+    kinds = [f"`{c}` {oof.schema[c].dataType.simpleString()}" for c in keys]
+    full = oof.dropna(subset=[*members, "ideal"]).select(*keys, *(F.col(c).cast("double") for c in [*members, "ideal"]))
+
+    def moments(frames):
+        total: dict = {}
+        for frame in frames:
+            for key, part in frame.groupby(keys, dropna=False):
+                x = part[[*members, "ideal"]].to_numpy(float)
+                total[key] = total.get(key, 0.0) + np.append(x.T @ x, len(x))
+        if total:
+            yield pd.DataFrame([(*key, m.tolist()) for key, m in total.items()], columns=[*keys, "m"])
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        m = np.sum(np.stack(frame["m"].to_numpy()), axis=0)
+        gram, n = m[:-1].reshape(k + 1, k + 1), m[-1]
+        w = simplex_weights(gram[:k, :k] / n, gram[:k, k] / n) if n >= 5 else np.array(default, float)
+        return pd.DataFrame({**{c: [frame[c].iloc[0]] * k for c in keys}, "member": members, "weight": w})
+
+    sums = full.mapInPandas(moments, ", ".join([*kinds, "m array<double>"]))
+    return sums.groupBy(*keys).applyInPandas(solve, ", ".join([*kinds, "member string, weight double"]))
+
+
+def meta_weights(oof: DataFrame, members: list[str], default: list[float]) -> list[float]:
+    """The same over all rows as a list; the default without rows."""
+    found = {r["member"]: r["weight"] for r in meta_weights_by(oof.withColumn("_all", F.lit(0)), members, ["_all"], default).collect()}
+    return [found[m] for m in members] if found else default
 
 
 def boosted_forecast(train: DataFrame, test: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -162,8 +208,6 @@ def autoregression(series: DataFrame, most: int = 2) -> DataFrame:
     ``series(symbol, ts, x)``; a symbol is one task. Orders run over p <= most
     and d in {0, 1}; the forecast is the next value.
     """
-    import pandas as pd
-
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x = frame.sort_values("ts")["x"].dropna().to_numpy(float)
         best = None
@@ -187,6 +231,105 @@ def autoregression(series: DataFrame, most: int = 2) -> DataFrame:
     return series.groupBy("symbol").applyInPandas(run, "symbol string, p int, d int, aic double, coefficients array<double>, forecast double")
 
 
+def arima(
+    series: DataFrame, exog: list[str] | None = None, orders: tuple[int, int, int] = (2, 1, 2), seasons: tuple[int, ...] = (7, 12, 52), least_seasonal: int = 365
+) -> DataFrame:
+    """``(symbol, p, d, q, sp, sd, sq, season, n, aic, names, coefficients, forecast)``: the order of least AIC of each symbol and its forecast of the next value.
+
+    ``series(symbol, ts, x, *exog)``; a symbol is one task. Moving-average terms
+    are lags of the residuals of a long autoregression (Hannan and Rissanen),
+    so every candidate is a least-squares fit on columns of one matrix, whose
+    moments all candidates with the same differences share. Orders run up to
+    ``orders``; with ``least_seasonal`` values or more, the best of them is
+    then tried with seasonal terms of each season's lag (0 or 1 of each kind),
+    and their products with the lags inside the season. Regressors enter by
+    their value of the row before. Candidates are compared over the same rows.
+    """
+    exog = exog or []
+
+    def differenced(x: np.ndarray, d: int, sd: int, s: int) -> np.ndarray:
+        """x after differencing, at its own positions; NaN where there is none."""
+        for lag in [1] * d + [s] * sd:
+            x = np.concatenate([np.full(lag, np.nan), x[lag:] - x[:-lag]])
+        return x
+
+    def candidate(x, w, e, z, start, p, q, s, sp, sq):
+        """``(aic terms, names, coefficients, next w)`` of one fit of w over the rows from ``start``."""
+        lags = [("ar", i) for i in range(1, p + 1)] + [("ar", s * sp + i) for i in range(p + 1) if sp] + [("ma", i) for i in range(1, q + 1)] + [("ma", s * sq + i) for i in range(q + 1) if sq]
+        of = {"ar": w, "ma": e}
+        n = len(x)
+        columns = [np.ones(n - start)] + [of[kind][start - lag : n - lag] for kind, lag in lags] + [z[start - 1 : n - 1, j] for j in range(z.shape[1])]
+        a = np.column_stack(columns)
+        coef, *_ = np.linalg.lstsq(a, w[start:], rcond=None)
+        left = w[start:] - a @ coef
+        rows, k = len(left), a.shape[1]
+        aic = rows * math.log(max(left @ left / rows, 1e-300)) + 2 * k
+        now = np.array([1.0] + [of[kind][n - lag] for kind, lag in lags] + list(z[n - 1]))
+        return aic, ["const", *(f"{kind}{lag}" for kind, lag in lags), *exog], coef, float(now @ coef), rows
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ts").dropna(subset=["x"])
+        x, z = frame["x"].to_numpy(float), np.nan_to_num(frame[exog].to_numpy(float)).reshape(len(frame), len(exog))
+        n, names = len(x), ["symbol", "p", "d", "q", "sp", "sd", "sq", "season", "n", "aic", "names", "coefficients", "forecast"]
+        seasonal = [s for s in seasons if n >= max(least_seasonal, 4 * s)]
+        long = max(1, min(int(math.ceil(10 * math.log10(max(n, 2)))), n // 5))
+        prepared: dict = {}
+
+        def parts(d: int, sd: int, s: int):
+            """Differences and residuals of a long autoregression, once for all orders that share them."""
+            if (d, sd, s) not in prepared:
+                w = differenced(x, d, sd, s)
+                first = d + sd * s
+                a = np.column_stack([np.ones(n - first - long)] + [w[first + long - i : n - i] for i in range(1, long + 1)])
+                coef, *_ = np.linalg.lstsq(a, w[first + long :], rcond=None)
+                e = np.full(n, np.nan)
+                e[first + long :] = w[first + long :] - a @ coef
+                prepared[d, sd, s] = w, e, first + long
+            return prepared[d, sd, s]
+
+        def forecast(step: float, d: int, sd: int, s: int) -> float:
+            """The next x from the next difference."""
+            past = [x]
+            for lag in [1] * d + [s] * sd:
+                past.append(past[-1][lag:] - past[-1][:-lag])
+            for before, lag in zip(past[-2::-1], reversed([1] * d + [s] * sd), strict=True):
+                step = before[-lag] + step
+            return step
+
+        top_p, top_d, top_q = orders
+        start = top_d + long + max(top_p, top_q)
+        if n < start + 10 + top_p + top_q + len(exog):
+            return pd.DataFrame(columns=names)
+        best = None
+        for d in range(top_d + 1):
+            for p, q in itertools.product(range(top_p + 1), range(top_q + 1)):
+                w, e, _ = parts(d, 0, 0)
+                aic, *fit = candidate(x, w, e, z, start, p, q, 0, 0, 0)
+                if best is None or aic < best[0] - 1e-9:
+                    best = (aic, p, d, q, 0, 0, 0, 0, fit)
+        for s in seasonal:
+            _, p, d, q, *_ = best
+            after = top_d + s + long + s + max(top_p, top_q)
+            if n < after + 30:
+                continue
+            plain = parts(d, 0, 0)
+            base = candidate(x, plain[0], plain[1], z, after, p, q, 0, 0, 0)[0]  # the best so far over the same rows
+            for sp, sd, sq in itertools.product((0, 1), repeat=3):
+                if not sp + sd + sq:
+                    continue
+                w, e, _ = parts(d, sd, s)
+                aic, *fit = candidate(x, w, e, z, after, p, q, s, sp, sq)
+                gain = base - aic
+                if gain > (best[9] if len(best) > 9 else 1e-9):
+                    best = (aic, p, d, q, sp, sd, sq, s, fit, gain)
+        aic, p, d, q, sp, sd, sq, s, (terms, coef, step, rows) = best[:9]
+        row = (frame["symbol"].iloc[0], p, d, q, sp, sd, sq, s, rows, aic, terms, coef.tolist(), forecast(step, d, sd, s))
+        return pd.DataFrame([row], columns=names)
+
+    schema = "symbol string, p int, d int, q int, sp int, sd int, sq int, season int, n int, aic double, names array<string>, coefficients array<double>, forecast double"
+    return series.select("symbol", "ts", "x", *exog).groupBy("symbol").applyInPandas(run, schema)
+
+
 def seasonal_trend(train: DataFrame, test: DataFrame, regressors: list[str], orders: dict[float, int] | None = None) -> DataFrame:
     """Trend, weekly and yearly Fourier terms and regressors in a linear regression of each symbol; ``(symbol, ts, forecast)`` of the test rows.
 

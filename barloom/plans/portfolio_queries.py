@@ -437,15 +437,15 @@ def strategies(spark: S, sf: str) -> D:
     return r.join(days, "ts").select(F.col("symbol").alias("strategy"), "pos", "ret")
 
 
-PBO_SQL = STRAT_SQL + """, sz as (select (max(pos) + 1) // 6 as size from rr), ps as (select strategy, pos // size as slice, ret from rr, sz where pos < size * 6),
-masks as (select m from range(64) t(m) where bit_count(m) = 3),
+PBO_SQL = STRAT_SQL + """, sz as (select (max(pos) + 1) // 10 as size from rr), ps as (select strategy, pos // size as slice, ret from rr, sz where pos < size * 10),
+masks as (select m from range(1024) t(m) where bit_count(m) = 5),
 sc as (select m, strategy, avg(ret) filter (m >> slice & 1 = 1) / stddev_samp(ret) filter (m >> slice & 1 = 1) as inside, avg(ret) filter (m >> slice & 1 = 0) / stddev_samp(ret) filter (m >> slice & 1 = 0) as outside from ps, masks group by 1, 2),
 rk as (select *, row_number() over (partition by m order by outside, strategy) as rank, row_number() over (partition by m order by inside desc, strategy) as top from sc)"""
 
 
 @query("pbo:6 splits:i", PBO_SQL + ", out as (select avg(cast(rank / ((select count(distinct strategy) from sc) + 1) < 0.5 as int)) as pbo, count(*) as splits from rk where top = 1)")
 def eval7_overfitting(spark: S, sf: str) -> D:
-    return ev.backtest_overfitting(strategies(spark, sf), 6)
+    return ev.backtest_overfitting(strategies(spark, sf))
 
 
 @query("strategy n:i mean_inside:6 mean_outside:6 times_best:i sharpe:6 psr:6 dsr:6 pbo:6", PBO_SQL + f""", {deflated_sql('sd', 'rr', 'strategy', '')},
@@ -455,11 +455,11 @@ out as (select ta.*, sharpe, psr, dsr, pbo from ta join (select strategy, sharpe
 def eval16_strategy_table(spark: S, sf: str) -> D:
     """Every strategy with its own figures, its deflation by all of them, and the overfitting of the choice among them."""
     rows = strategies(spark, sf)
-    s = ev.split_scores(rows, 6)
+    s = ev.split_scores(rows, 10)
     table = s.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("inside").alias("mean_inside"), F.avg("outside").alias("mean_outside"), F.count_if("best").alias("times_best"))
     stats = ev.moments(rows, ["strategy"])
     judged = ev.deflate(stats, stats, []).select("strategy", "sharpe", "psr", "dsr")
-    pbo = ev.backtest_overfitting(rows, 6).select("pbo", F.lit(1).alias("_k"))
+    pbo = ev.backtest_overfitting(rows).select("pbo", F.lit(1).alias("_k"))
     return table.join(judged, "strategy").withColumn("_k", F.lit(1)).join(F.broadcast(pbo), "_k")
 
 

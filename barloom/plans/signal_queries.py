@@ -434,6 +434,13 @@ def mod3_autoregression(spark: S, sf: str) -> D:
     return mb.autoregression(price_bars(spark, sf).select("symbol", "ts", F.log("close").alias("x")))
 
 
+@query("symbol p:i d:i q:i season:i n:i forecast:4")
+def mod3_arima(spark: S, sf: str) -> D:
+    """Orders with moving-average and seasonal terms, and yesterday's volume as a regressor."""
+    bars = price_bars(spark, sf).select("symbol", "ts", F.log("close").alias("x"), F.log("volume").alias("lv"))
+    return mb.arima(bars, ["lv"], seasons=(4, 13), least_seasonal=200)
+
+
 @query("symbol n:i mae:4")
 def mod4_seasonal_trend(spark: S, sf: str) -> D:
     b = price_bars(spark, sf).select("symbol", "ts", F.log("close").alias("close"), F.log("volume").alias("lv"))
