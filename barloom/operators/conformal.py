@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right, insort
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.functions.scan import scan_by_key
@@ -20,6 +23,62 @@ def residual_quantile(residuals: DataFrame, alpha: float, keys: tuple[str, ...]
     return found.select(*keys, "n", F.when(F.col("n") >= least, F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("q"))
 
 
+#: Values of a sorted run of a rank structure at most.
+RUN = 512
+
+
+class Ranks:
+    """Values in order as sorted runs, of which each begins where the one before ends: adding one, or finding one by its place, touches one run."""
+
+    def __init__(self) -> None:
+        self.runs: list[list[float]] = []
+        self.firsts: list[float] = []
+        self.n = 0
+
+    def add(self, value: float) -> None:
+        self.n += 1
+        if not self.runs:
+            self.runs, self.firsts = [[value]], [value]
+            return
+        i = max(0, bisect_right(self.firsts, value) - 1)
+        run = self.runs[i]
+        insort(run, value)
+        self.firsts[i] = run[0]
+        if len(run) > RUN:
+            half = len(run) // 2
+            self.runs[i : i + 1] = [run[:half], run[half:]]
+            self.firsts[i : i + 1] = [run[0], run[half]]
+
+    def at(self, place: int) -> float:
+        for run in self.runs:
+            if place < len(run):
+                return run[place]
+            place -= len(run)
+        raise IndexError(place)
+
+
+def expanding_quantile(residuals: DataFrame, alpha: float, keys: tuple[str, ...] = ("symbol",), least: int = 5) -> DataFrame:
+    """``q`` at every bar: ``residual_quantile`` over the residuals known by then, its own included; NULL below ``least`` of them.
+
+    A missing residual leaves the quantile as it is. The scan keeps a key's
+    absolute residuals as sorted runs, so a bar costs one run, not a sort.
+    """
+
+    def step(ranks: Ranks | None, row: dict) -> tuple[Ranks, tuple]:
+        ranks = Ranks() if ranks is None else ranks
+        if row["residual"] is not None:
+            ranks.add(abs(row["residual"]))
+        n = ranks.n
+        if n < least:
+            return ranks, (None,)
+        place = min(1.0, (1 - alpha) * (n + 1) / n) * (n - 1)
+        low = math.floor(place)
+        below = ranks.at(low)
+        return ranks, (below + (place - low) * (ranks.at(min(low + 1, n - 1)) - below),)
+
+    return scan_by_key(residuals, list(keys), "ts", step, {"q": "double"}, ["residual"])
+
+
 def bands(points: DataFrame, cap: float, q: str | None = "q") -> DataFrame:
     """``low`` and ``high``: the position +- q within +-cap; the whole range without q."""
     if q is None:

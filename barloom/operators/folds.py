@@ -82,6 +82,30 @@ def fold_contract(assigned: DataFrame) -> DataFrame:
     )
 
 
+def contract_faults(saved: DataFrame, now: DataFrame, saved_terms: dict, now_terms: dict) -> DataFrame:
+    """``(symbol, fold, role, fault)`` of contracts ``fold_contract`` that do not hold any more.
+
+    ``terms`` are what else a replay must find again, such as the horizon, the
+    target and the list of features; one that differs, or is on one side only,
+    is a fault of every fold and is named.
+    """
+    key, names = ["symbol", "fold", "role"], ["n", "first", "last", "row_hash"]
+    terms = sorted(t for t in {*saved_terms, *now_terms} if saved_terms.get(t) != now_terms.get(t))
+    old = saved.where("role is not null").select(*key, F.struct(*names).alias("old"))
+    both = old.join(now.where("role is not null").select(*key, F.struct(*names).alias("new")), key, "full")
+    same = lambda c: F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
+    fault = F.when(F.col("new").isNull(), "missing").when(F.col("old").isNull(), "unknown").when(F.lit(bool(terms)), ", ".join(terms))
+    fault = fault.when(~same("n"), "rows").when(~(same("first") & same("last")), "span").when(~same("row_hash"), "row_hash")
+    return both.select(*key, fault.alias("fault")).where("fault is not null")
+
+
+def require_contract(saved: DataFrame, now: DataFrame, saved_terms: dict, now_terms: dict) -> None:
+    """Stops a replay whose contract does not hold."""
+    found = contract_faults(saved, now, saved_terms, now_terms).orderBy("symbol", "fold", "role").limit(3).collect()
+    if found:
+        raise ValueError("the fold contract does not hold: " + "; ".join(f"{r['symbol']} fold {r['fold']} {r['role']}: {r['fault']}" for r in found))
+
+
 def replay_rows(bars: DataFrame, saved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(found, missing)``: the bars of the saved rows ``(symbol, fold, pos, ts)``, and saved rows without a bar."""
     return saved.join(bars, ["symbol", "ts"]), saved.join(bars, ["symbol", "ts"], "left_anti")

@@ -73,6 +73,13 @@ def html_tables(spark: SparkSession, pages: DataFrame, html_col: str = "html") -
     return spark.sql(f"select {others}, t.* from {{pages}} p, lateral barloom_html_tables(p.{html_col}) t", pages=pages)
 
 
+def required(table: DataFrame, what: str) -> DataFrame:
+    """``table``, or an error where nothing was found: a page that changed its layout must not pass as one without members."""
+    if table.isEmpty():
+        raise ValueError(f"no {what} table was found")
+    return table
+
+
 def constituents(cells: DataFrame) -> DataFrame:
     """``(ticker, row_no)`` of the first table whose first row names a symbol column; doubles keep the first row."""
     heads = cells.where((F.col("row_no") == 0) & F.lower("cell").contains("symbol"))

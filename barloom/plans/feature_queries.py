@@ -97,12 +97,15 @@ def src8_ledger(spark: S, sf: str) -> D:
     return stats.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k")
 
 
-@query("symbol n:i dev:6", """s as (select event_type as symbol, value as v from events where event_id % 6 <> 0),
-out as (select symbol, count(*) as n, case when count(*) >= 2 then stddev_samp(v) end as dev from s group by 1)""", "")
+@query("symbol n:i dev:6", """s as (select event_type as symbol, value as v, count(*) over (partition by event_type, date_trunc('hour', ts)) as inside from events where event_id % 6 <> 0),
+out as (select symbol, count(*) as n, stddev_samp(v) as dev from s where inside >= 2 group by 1)""", "")
 def src12_trial_file(spark: S, sf: str) -> D:
-    v = F.when(F.col("event_id") % 6 == 0, float("nan")).otherwise(F.col("value"))
-    kept = read(spark, sf, "events").select(F.col("event_type").alias("symbol"), v.alias("v")).where(~F.isnan("v"))
-    return kept.groupBy("symbol").agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.stddev_samp("v")).alias("dev"))
+    """A trial file of each event type and hour, every sixth number of it not one; files with fewer than two finite numbers give none."""
+    v = F.when(F.col("event_id") % 6 == 0, "NaN").otherwise(F.col("value").cast("string"))
+    named = read(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("hour"), v.alias("v"))
+    text = F.concat(F.lit('{"trial_sharpes": ['), F.array_join(F.collect_list("v"), ", "), F.lit("]}"))
+    kept = src.trial_sharpes(named.groupBy("symbol", "hour").agg(text.alias("payload")))
+    return kept.groupBy("symbol").agg(F.count("*").alias("n"), F.stddev_samp("sharpe").alias("dev"))
 
 
 @query("symbol:i price:6", "out as (select o_orderkey as symbol, case when o_orderkey % 3 > 0 and o_totalprice - 50000 > 0 then o_totalprice - 50000 end as price from orders)", "")
@@ -454,6 +457,16 @@ def fld5_contract(spark: S, sf: str) -> D:
     return folds.fold_contract(_folds(spark, sf)[0])
 
 
+@query("symbol fold:i role fault", FOLD_SQL + """, co as (select symbol, fold, role, count(*) as n, min(ts) as f, max(ts) as l, sha256(string_agg(cast(ts as varchar), ',' order by ts)) as h from assigned where role is not null group by 1, 2, 3),
+cn as (select symbol, fold, role, count(*) as n, min(ts) as f, max(ts) as l, sha256(string_agg(cast(ts as varchar), ',' order by ts)) as h from assigned where role is not null and volume >= 120 group by 1, 2, 3),
+out as (select symbol, fold, role, case when cn.n is null then 'missing' when co.n is null then 'unknown' when co.n <> cn.n then 'rows' when co.f <> cn.f or co.l <> cn.l then 'span' when co.h <> cn.h then 'row_hash' end as fault from co full join cn using (symbol, fold, role) where cn.n is null or co.n is null or co.n <> cn.n or co.h <> cn.h)""")
+def fld5_contract_faults(spark: S, sf: str) -> D:
+    """Contracts of all folds against folds that lack the bars of low volume."""
+    assigned = _folds(spark, sf)[0]
+    terms = {"horizon": 1, "target": "close", "features": ["r1"]}
+    return folds.contract_faults(folds.fold_contract(assigned), folds.fold_contract(assigned.where("volume >= 120")), terms, dict(terms))
+
+
 _METRIC = FOLD_SQL + ", m as (select symbol, fold, case when count(*) > 1 then avg(close / open - 1) / stddev_samp(close / open - 1) end as metric from assigned where role = 'test' group by 1, 2)"
 
 

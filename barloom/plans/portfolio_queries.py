@@ -97,6 +97,14 @@ def mod14_evaluation(spark: S, sf: str) -> D:
     return mb.evaluate(blended(spark, sf).join(ideals(spark, sf).select("symbol", "ts", "ideal"), ["symbol", "ts"]), ["symbol"])
 
 
+@query("member symbol n:i mae:6 rmse:6", IDEAL_SQL + ", " + MEMBER_SQL + """, j as (select member, symbol, pos - ideal as e from mem join ideals using (symbol, ts) where ideal is not null and pos is not null),
+out as (select member, symbol, count(*) as n, avg(abs(e)) as mae, sqrt(avg(e * e)) as rmse from j group by 1, 2)""")
+def mod14_member_errors(spark: S, sf: str) -> D:
+    """Errors of each member beside those of the blend."""
+    judged = member_table(spark, sf).withColumnRenamed("pos", "position").join(ideals(spark, sf).select("symbol", "ts", "ideal"), ["symbol", "ts"])
+    return mb.evaluate(judged, ["member", "symbol"])
+
+
 @query(f"{DAY} agreement:6 confidence:6", MEMBER_SQL + ", out as (select * from conf)")
 def mod15_agreement(spark: S, sf: str) -> D:
     return confident(spark, sf)
@@ -584,6 +592,16 @@ def cnf1_residual_quantile(spark: S, sf: str) -> D:
     return conformal.residual_quantile(residuals(spark, sf), 0.1)
 
 
+_GROW = _RESID + """, known as (select symbol, ts, residual, count(residual) over w as n, list_sort(list_filter(list(abs(residual)) over w, lambda x: x is not null)) as a from res window w as (partition by symbol order by ts rows between unbounded preceding and current row)),
+placed as (select *, least(1, 0.9 * (n + 1) / n) * (n - 1) as p from known), grown as (select symbol, ts, case when n >= 5 then a[cast(floor(p) as bigint) + 1] + (p - floor(p)) * (a[cast(ceil(p) as bigint) + 1] - a[cast(floor(p) as bigint) + 1]) end as q from placed)"""
+
+
+@query("symbol ts:s q:7", _GROW + ", out as (select * from grown)")
+def cnf1_expanding_quantile(spark: S, sf: str) -> D:
+    """The conformal quantile as it was known at every bar."""
+    return conformal.expanding_quantile(residuals(spark, sf), 0.1)
+
+
 _BANDS = _RESID + ", bd as (select *, greatest(-1, least(1, position - 0.6)) as low, greatest(-1, least(1, position + 0.6)) as high from res)"
 
 

@@ -42,7 +42,7 @@ def cells_of_orders(spark: S, sf: str) -> D:
 
 @query("ticker row_no:i", f"out as (select {_TICK.format('p_brand')} as ticker, min(p_partkey) + 1 as row_no from part group by 1)", "")
 def src10_constituents(spark: S, sf: str) -> D:
-    return universe.constituents(cells_of_parts(spark, sf))
+    return universe.required(universe.constituents(cells_of_parts(spark, sf)), "constituents")
 
 
 _CHANGES = """changes as (select cast(o_orderdate as date) as date, 'C' || (o_custkey % 97) as added, 'C' || ((o_custkey + 31) % 97) as removed, o_orderkey as row_no from orders where o_orderkey % 7 <> 0)"""
@@ -50,7 +50,7 @@ _CHANGES = """changes as (select cast(o_orderdate as date) as date, 'C' || (o_cu
 
 @query("date:s added removed row_no:i", _CHANGES + ", out as (select * from changes)", "")
 def src11_changes(spark: S, sf: str) -> D:
-    return universe.changes(cells_of_orders(spark, sf))
+    return universe.required(universe.changes(cells_of_orders(spark, sf)), "changes")
 
 
 @query("members:i covered:i coverage:6", _CHANGES + """, ev as (select removed as ticker, date, row_no, 0 as k from changes union all select added, date, row_no, 1 from changes),

@@ -91,6 +91,23 @@ def ledger_parts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, lines.agg(F.count_if(F.col("_corrupt").isNotNull()).alias("corrupt"), F.count("*").alias("lines"))
 
 
+def trial_sharpes(files: DataFrame, column: str = "payload") -> DataFrame:
+    """``files`` (the text of a trial file in ``column``) with each finite number of its ``trial_sharpes`` as ``sharpe``.
+
+    A file that is no JSON, lacks the list, or has fewer than two finite
+    numbers gives no rows: nothing can be deflated by it.
+    """
+    parsed = F.from_json(column, "trial_sharpes array<double>", {"allowNonNumericNumbers": "true"})["trial_sharpes"]
+    finite = F.filter(parsed, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = files.withColumn("_found", finite).where(F.size("_found") >= 2)
+    return kept.withColumn("sharpe", F.explode("_found")).drop("_found", column)
+
+
+def read_trial_sharpes(spark: SparkSession, path: str) -> DataFrame:
+    """``sharpe`` of every trial file below ``path``."""
+    return trial_sharpes(spark.read.text(path, wholetext=True), "value")
+
+
 def write_universe(symbols: DataFrame, path: str) -> None:
     """The distinct symbols, sorted, one on each line."""
     symbols.select(F.upper(F.regexp_replace("symbol", r"\s+", "")).alias("value")).distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)

@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from barloom.functions.scan import banded_step, day_scan, ema_step, row_scan, scan_by_day, scan_by_key
 from barloom.operators import portfolio as pf
 
@@ -128,3 +130,56 @@ def test_scans_of_empty_tables(spark):
     empty = spark.createDataFrame([], "portfolio string, symbol string, ts date, target double")
     assert scan_by_key(empty, ["symbol"], "ts", ema_step("target", 3), {"e": "double"}).collect() == []
     assert scan_by_day(empty, ["portfolio"], "ts", banded_step(0.1, 1.0), {"held": "double"}, ["symbol", "target"], "symbol").collect() == []
+
+
+def test_quantile_known_at_each_bar(spark, monkeypatch):
+    """Against a sort of all residuals so far, with runs that split often."""
+    from barloom.operators import conformal
+
+    monkeypatch.setattr(conformal, "RUN", 4)
+    rng = np.random.default_rng(7)
+    rows = []
+    for s in ("a", "b"):
+        for i in range(120):
+            v = None if rng.random() < 0.2 else float(np.round(rng.normal(), 1))
+            rows.append((s, dt.date(2020, 1, 1) + dt.timedelta(days=i), v))
+    df = spark.createDataFrame(rows, "symbol string, ts date, residual double").repartition(4)
+    got = {(r["symbol"], r["ts"]): r["q"] for r in conformal.expanding_quantile(df, 0.1).collect()}
+    seen = {"a": [], "b": []}
+    for s, t, v in rows:
+        if v is not None:
+            seen[s].append(abs(v))
+        n = len(seen[s])
+        want = None if n < 5 else float(np.quantile(seen[s], min(1.0, 0.9 * (n + 1) / n)))
+        assert got[s, t] == (want if want is None else pytest.approx(want, abs=1e-12))
+    ranks = conformal.Ranks()
+    for v in rng.permutation(500).tolist():
+        ranks.add(v)
+    assert [ranks.at(i) for i in range(500)] == list(range(500))
+
+
+def test_contracts_that_do_not_hold(spark):
+    from barloom.operators import folds
+
+    rows = [("A", f, "train" if i < 5 else "test", dt.date(2020, 1, 1) + dt.timedelta(days=i)) for f in (0, 1) for i in range(8)]
+    df = spark.createDataFrame(rows, "symbol string, fold int, role string, ts date")
+    saved, terms = folds.fold_contract(df), {"horizon": 1, "features": ["a", "b"]}
+    folds.require_contract(saved, folds.fold_contract(df), terms, {"features": ["a", "b"], "horizon": 1})
+    moved = df.withColumn("ts", F.expr("case when fold = 1 and ts = date'2020-01-03' then date'2020-01-09' else ts end"))
+    found = folds.contract_faults(saved, folds.fold_contract(moved.where("not (fold = 0 and role = 'test')")), terms, dict(terms)).collect()
+    assert {(r["fold"], r["role"], r["fault"]) for r in found} == {(1, "train", "span"), (0, "test", "missing")}
+    with pytest.raises(ValueError, match="features"):
+        folds.require_contract(saved, saved, terms, {"horizon": 1, "features": ["a"]})
+    with pytest.raises(ValueError, match="horizon"):
+        folds.require_contract(saved, saved, terms, {"features": ["a", "b"]})
+
+
+def test_trial_files(spark, tmp_path):
+    from barloom.operators import universe
+    from barloom.sources import bars as src
+
+    for name, text in {"a": '{"trial_sharpes": [0.1, NaN, 0.3,\n Infinity]}', "b": '{"trial_sharpes": [0.5]}', "c": "{}", "d": "no"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    assert sorted(r["sharpe"] for r in src.read_trial_sharpes(spark, str(tmp_path)).collect()) == [0.1, 0.3]
+    with pytest.raises(ValueError, match="constituents"):
+        universe.required(universe.constituents(universe.html_tables(spark, spark.createDataFrame([(1, "<p>x</p>")], "page_id int, html string"))), "constituents")
