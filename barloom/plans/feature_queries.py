@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.windows import change
@@ -35,6 +37,13 @@ def src1_scan(spark: S, sf: str) -> D:
     return src.scan_bars(price_bars(spark, sf), ["Brand#11", "Brand#23"], "1996-01-01", "1998-12-31")
 
 
+@query("symbol ts:s close:8 change:8", f"part3 as (select * from bars where ts between date '1996-06-01' and date '1998-12-31'), out as (select symbol, ts, close, close / lag(close) {W} - 1 as change from part3)")
+def src1_store_scan(spark: S, sf: str) -> D:
+    """Three years of a stored table of bars, with a window by symbol over them."""
+    store = src.store_bars(price_bars(spark, sf), f"barloom_bars_{uuid.uuid4().hex}")
+    return src.scan_store(store, None, "1996-06-01", "1998-12-31").withColumn("change", change(F.col("close")))
+
+
 _PAYLOAD = """payloads as (
   select o_custkey as symbol, o_orderkey as k, o_totalprice as p, strftime(o_orderdate, '%Y-%m-%d') as d from orders),"""
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from barloom.sources.folder import fresh_folder
+
 EASTERN = "America/New_York"
 #: The fields of a vendor's bar payload.
 BAR_FIELDS = ("open", "high", "low", "close", "volume")
@@ -21,6 +23,27 @@ def bars_from_trades(trades: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def store_bars(bars: DataFrame, name: str, buckets: int = 16) -> DataFrame:
+    """Writes ``bars`` as the table ``name``: a folder for each year, in it the symbols dealt to ``buckets`` files, sorted.
+
+    A scan of dates reads the folders of their years, symbols are pushed to
+    the sorted files, and windows by symbol need no exchange; neither do joins
+    by symbol and day where Spark may co-partition by some of the keys
+    (``spark.sql.requireAllClusterKeysForCoPartition`` off).
+    """
+    by_year = bars.withColumn("year", F.year("ts")).repartition(buckets, "symbol")
+    where = fresh_folder(bars.sparkSession, name)
+    by_year.write.partitionBy("year").bucketBy(buckets, "symbol").sortBy("symbol", "ts").option("path", where).mode("overwrite").saveAsTable(name)
+    return bars.sparkSession.table(name)
+
+
+def scan_store(store: DataFrame, symbols: list[str] | None, start: str, end: str) -> DataFrame:
+    """``scan_bars`` of a stored table: years are pruned, symbols and dates are pushed to the files."""
+    years = F.col("year").between(int(start[:4]), int(end[:4]))
+    inside = store.where(years & F.col("ts").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return (inside if symbols is None else inside.where(F.col("symbol").isin(symbols))).drop("year")
+
+
 def scan_bars(bars: DataFrame, symbols: list[str], start: str, end: str) -> DataFrame:
     """Bars of some symbols between two dates, both included."""
     return bars.where(F.col("symbol").isin(symbols) & F.col("ts").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
