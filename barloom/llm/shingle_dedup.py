@@ -34,8 +34,8 @@ from barloom.llm.scratch import drop, keep, settled
 from barloom.llm.simhash import SEED, close_pairs, print_of, shingle_hashes
 
 
-#: Words of a set's parity signature.
-SIGN = 8
+#: Words of a set's parity signature: with 2,048 bits, sets of some thousand elements that differ in a fourth still differ in more bits than similar ones may.
+SIGN = 32
 
 
 def parity_sign(hashes: np.ndarray) -> list[int]:
