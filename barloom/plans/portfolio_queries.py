@@ -105,6 +105,41 @@ def mod14_member_errors(spark: S, sf: str) -> D:
     return mb.evaluate(judged, ["member", "symbol"])
 
 
+def _simplex_sql() -> str:
+    """``best``: the weights of least loss among the stationary points of every set of three members, inside the simplex and on its edge."""
+    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    points = [["0", "0", "0"]]
+    put = lambda w: [w.get(i, "0") for i in range(3)]
+    for i in range(3):
+        points += [put({i: f"c{i} / nullif({g(i, i)}, 0)"}), put({i: "1"})]
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        det = f"nullif({g(i, i)} * {g(j, j)} - {g(i, j)} * {g(i, j)}, 0)"
+        points.append(put({i: f"(c{i} * {g(j, j)} - c{j} * {g(i, j)}) / {det}", j: f"(c{j} * {g(i, i)} - c{i} * {g(i, j)}) / {det}"}))
+        on = f"({g(j, j)} - {g(i, j)} + c{i} - c{j}) / nullif({g(i, i)} + {g(j, j)} - 2 * {g(i, j)}, 0)"
+        points.append(put({i: on, j: f"1 - {on}"}))
+    minor = lambda r, s: f"({g(*r)} * {g(*s)})"
+    a = {(0, 0): f"{minor((1, 1), (2, 2))} - {minor((1, 2), (1, 2))}", (0, 1): f"{minor((0, 2), (1, 2))} - {minor((0, 1), (2, 2))}", (0, 2): f"{minor((0, 1), (1, 2))} - {minor((0, 2), (1, 1))}",
+         (1, 1): f"{minor((0, 0), (2, 2))} - {minor((0, 2), (0, 2))}", (1, 2): f"{minor((0, 1), (0, 2))} - {minor((0, 0), (1, 2))}", (2, 2): f"{minor((0, 0), (1, 1))} - {minor((0, 1), (0, 1))}"}
+    inv = lambda i, j: f"({a[min(i, j), max(i, j)]})"
+    det = f"nullif(g00 * {inv(0, 0)} + g01 * {inv(0, 1)} + g02 * {inv(0, 2)}, 0)"
+    free = [f"(({' + '.join(f'{inv(i, j)} * c{j}' for j in range(3))}) / {det})" for i in range(3)]
+    rows = [f"(({' + '.join(inv(i, j) for j in range(3))}) / {det})" for i in range(3)]
+    over = f"(({' + '.join(free)}) - 1) / nullif({' + '.join(rows)}, 0)"
+    points += [free, [f"{f} - {r} * ({over})" for f, r in zip(free, rows, strict=True)]]
+    every = " union all ".join(f"select *, {w0} as w0, {w1} as w1, {w2} as w2 from mo" for w0, w1, w2 in points)
+    loss = " + ".join(f"w{i} * w{j} * {g(i, j)}" for i in range(3) for j in range(3)) + " - 2 * (w0 * c0 + w1 * c1 + w2 * c2)"
+    return f"pts as ({every}), best as (select arg_min(struct_pack(w0 := w0, w1 := w1, w2 := w2), {loss}) as w from pts where w0 >= -1e-12 and w1 >= -1e-12 and w2 >= -1e-12 and w0 + w1 + w2 <= 1 + 1e-12)"
+
+
+@query("member weight:6", IDEAL_SQL + ", " + MEMBER_SQL + """, oo as (select b.hold::double as m0, b.ma_cross::double as m1, b.tsmom::double as m2, ideal from base b join ideals using (symbol, ts) where ideal is not null and b.hold is not null and b.ma_cross is not null and b.tsmom is not null),
+mo as (select avg(m0 * m0) as g00, avg(m0 * m1) as g01, avg(m0 * m2) as g02, avg(m1 * m1) as g11, avg(m1 * m2) as g12, avg(m2 * m2) as g22, avg(m0 * ideal) as c0, avg(m1 * ideal) as c1, avg(m2 * ideal) as c2 from oo), """ + _simplex_sql() + """,
+out as (select 'hold' as member, w.w0 as weight from best union all select 'ma_cross', w.w1 from best union all select 'tsmom', w.w2 from best)""")
+def mod11_meta_weights(spark: S, sf: str) -> D:
+    """Weights of three members over all rows."""
+    oof = baselines(spark, sf).select("symbol", "ts", *(F.col(k).cast("double") for k in KINDS)).join(ideals(spark, sf).select("symbol", "ts", "ideal"), ["symbol", "ts"])
+    return mb.meta_weights_by(oof.withColumn("_all", F.lit(0)), list(KINDS), ["_all"], [0.5, 0.8, 0.0])
+
+
 @query(f"{DAY} agreement:6 confidence:6", MEMBER_SQL + ", out as (select * from conf)")
 def mod15_agreement(spark: S, sf: str) -> D:
     return confident(spark, sf)

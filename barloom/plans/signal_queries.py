@@ -449,16 +449,6 @@ def mod4_seasonal_trend(spark: S, sf: str) -> D:
     return f.join(b, ["symbol", "ts"]).groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("forecast") - F.col("close"))).alias("mae"))
 
 
-@query("member weight:6")
-def mod11_meta_weights(spark: S, sf: str) -> D:
-    from barloom.plans.portfolio_queries import KINDS, baselines, ideals
-
-    names = list(KINDS)
-    oof = baselines(spark, sf).select("symbol", "ts", *(F.col(k).cast("double") for k in names)).join(ideals(spark, sf).select("symbol", "ts", "ideal"), ["symbol", "ts"])
-    w = mb.meta_weights(oof, names, [0.5, 0.8, 0.0])
-    return spark.createDataFrame(list(zip(names, map(float, w), strict=True)), "member string, weight double")
-
-
 @query("page_id:i cells:i tables:i longest:i")
 def src9_html_tables(spark: S, sf: str) -> D:
     """Cells of the tables of every page; each page's words come as a table of their own, as the pages have none."""
