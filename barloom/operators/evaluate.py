@@ -137,13 +137,6 @@ def grid_of_values(table: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("trial", F.row_number().over(Window.orderBy(*columns)) - 1).select("trial", *columns)
 
 
-def sweep_summary(trial_stats: DataFrame) -> DataFrame:
-    """Best trial by Sharpe ratio (the first on ties), the number of valid trials, their mean and deviation."""
-    ok = trial_stats.where("sharpe is not null")
-    best = F.max_by("trial", F.struct("sharpe", -F.col("trial")))
-    return ok.agg(best.alias("best_trial"), F.max("sharpe").alias("best_sharpe"), F.count("*").alias("n_valid"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_samp("sharpe").alias("std_sharpe"))
-
-
 def best_deflated(returns: DataFrame, run: str, groups: list[str]) -> DataFrame:
     """Of each group the run with the highest Sharpe ratio (the first on ties), deflated by all runs of the group.
 

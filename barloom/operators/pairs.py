@@ -22,6 +22,7 @@ SURFACE = {
     1: {"low": -18.83, "high": 2.74, "star": -1.61, "small": (2.1659, 1.4412, 0.038269), "large": (1.7339, 0.93202, -0.12745, -0.010368)},
     2: {"low": -18.86, "high": 0.92, "star": -2.62, "small": (2.92, 1.5012, 0.039796), "large": (2.1945, 0.64695, -0.29198, -0.042377)},
 }
+#: Reasons of a rejection, in the order of the gates.
 REASONS = ("candidate_unavailable", "fdr", "coint_pvalue", "adf_pvalue", "return_corr", "half_life", "beta_drift", "max_pairs")
 
 

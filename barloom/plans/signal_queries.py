@@ -355,12 +355,12 @@ def fac11_conviction_and_band(spark: S, sf: str) -> D:
 # news --------------------------------------------------------------------------
 
 
-def _hits(words: str) -> str:
-    return " + ".join(f"(contains(lower(title), '{w}') or contains(lower(description), '{w}'))::int" for w in words.split())
+def _hits(words: tuple[str, ...]) -> str:
+    return " + ".join(f"(contains(lower(title), '{w}') or contains(lower(description), '{w}'))::int" for w in words)
 
 
-_FOR = _hits("positive bullish upbeat optimistic growth profit up gain surge rally strong beat exceed outperform upgrade buy recommend success innovation partnership launch record dividend buyback")
-_AGAINST = _hits("negative bearish pessimistic downbeat decline loss down drop fall plunge weak miss underperform downgrade sell avoid fail layoff cut delay recall investigation lawsuit debt default bankruptcy")
+_FOR = _hits(sn.POSITIVE)
+_AGAINST = _hits(sn.NEGATIVE)
 SCORE_SQL = NEWS_SQL + f""", hit as (select article_id, symbol, published, {_FOR} as p, {_AGAINST} as n from news),
 scored as (select article_id, symbol, published, case when p + n > 0 then (p - n) / (p + n) else 0 end as score from hit)"""
 
