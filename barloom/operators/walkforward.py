@@ -38,8 +38,9 @@ def _flat_at_the_end(book: DataFrame, days: DataFrame, keys: list[str], weight:
 
 
 def _on_all_days(targets: DataFrame, bars: DataFrame, portfolio: str) -> DataFrame:
-    """Targets ``(ts, symbol, target)`` on every bar, 0 where there is none."""
-    filled = bars.select("ts", "symbol", "open").join(targets, ["ts", "symbol"], "left")
+    """Targets ``(ts, symbol, target)`` on every bar, 0 where there is none, and ``adv``, the bar's dollar volume, where bars have volumes."""
+    adv = [(F.col("close") * F.col("volume")).alias("adv")] if {"close", "volume"} <= set(bars.columns) else []
+    filled = bars.select("ts", "symbol", "open", *adv).join(targets, ["ts", "symbol"], "left")
     return filled.withColumns({"target": F.coalesce("target", F.lit(0.0)), "portfolio": F.lit(portfolio)})
 
 

@@ -6,7 +6,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barloom.operators import factors as fc, pairs as pr, tiles
 
@@ -181,3 +181,20 @@ def test_no_row_for_each_pair_and_day(spark):
     """The plan of a pair table has no join of days: blocks alone meet."""
     plan = pr.pair_table(walks(spark), True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "symbol" in plan  # the number of a symbol's block
+
+
+def test_impact_by_dollar_volume_in_a_walk_forward(spark):
+    """Thinner volumes cost more, and the report can tell."""
+    from barloom.operators import folds, portfolio as pf, walkforward as wf
+
+    _, df = returns(spark, 140, 8, 21)
+    path = F.exp(F.sum(F.log1p("ret")).over(Window.partitionBy("symbol").orderBy("ts")))
+    bars = df.withColumns({"close": 100 * path, "volume": F.lit(1000.0)}).withColumn("open", F.col("close"))
+    bars = spark.createDataFrame(bars.select("symbol", "ts", "open", "close", "volume").toPandas())
+    panel = fc.residual_panel(bars, fc.ResidualSpec(40, 20, 2, 5, 0.0, 0.0))
+    slices = folds.calendar_slices(bars, 70, 25, least_test=5)
+    cost = {}
+    for name, table, impact in (("none", bars, 0.0), ("thick", bars, 100.0), ("thin", bars.withColumn("volume", F.col("volume") / 100), 100.0)):
+        report = wf.residual_report(panel, table, slices, 0.05, costs=pf.Costs(0.0, 0.0, impact, 1.0, 0.0, "adv_sqrt", 1e5))
+        cost[name] = report["accounts"].agg(F.sum("impact")).first()[0]
+    assert cost["none"] == 0 < cost["thick"] and cost["thin"] == pytest.approx(10 * cost["thick"], rel=1e-6)
