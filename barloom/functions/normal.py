@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, functions as F
@@ -31,6 +32,19 @@ def norm_cdf(z: Column) -> Column:
     return F.when(z.isNotNull(), F.when(z > 0, 1 - tail).otherwise(tail))
 
 
+#: Hastings' (1955) first guess of a quantile from sqrt(-2 ln q), numerator and denominator from the highest power down.
+GUESS_ABOVE = (0.010328, 0.802853, 2.515517)
+GUESS_BELOW = (0.001308, 0.189269, 1.432788, 1.0)
+
+
+def norm_upper(q: Column) -> Column:
+    """The value that a normal variate exceeds with probability ``q``, for 0 < q <= 1/2, to 10 digits or more: a first guess and Newton's steps."""
+    t = F.sqrt(-2 * F.log(q))
+    guess = F.transform(F.array(t), lambda x: x - _poly(GUESS_ABOVE, x) / _poly(GUESS_BELOW, x))
+    density = lambda z: F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return F.aggregate(F.array(*(F.lit(0) for _ in range(4))), F.get(guess, F.lit(0)), lambda z, _: z + (norm_cdf(-z) - q) / density(z))
+
+
 def norm_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
 

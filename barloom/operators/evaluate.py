@@ -7,7 +7,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.normal import norm_cdf, norm_ppf, psr_argument
+from barloom.functions.normal import norm_cdf, norm_ppf, norm_upper, psr_argument
 from barloom.functions.windows import compounded
 
 EULER_GAMMA = 0.5772156649015329
@@ -64,16 +64,13 @@ def deflated_sharpe(returns: DataFrame, trials: DataFrame, keys: list[str], decl
 def deflate(stats: DataFrame, trials: DataFrame, keys: list[str], declared: int | None = None) -> DataFrame:
     """``stats(n, sharpe, skew, kurt)`` with ``trials, sr_null, psr, dsr`` from ``trials(sharpe)`` of the same ``keys``.
 
-    The factor of the expected maximum depends on the number of trials alone;
-    it is looked up for the few numbers that occur. NULL below two trials.
+    The factor of the expected maximum depends on the number of trials alone.
+    NULL below two trials.
     """
     level = trials.where("sharpe is not null").groupBy(*keys).agg(F.count("*").alias("trials"), F.stddev_samp("sharpe").alias("_dev"))
     most = F.greatest(F.col("trials"), F.lit(declared or 0))
-    level = level.withColumn("_most", most)
-    numbers = [r[0] for r in level.select("_most").distinct().collect() if r[0] >= 2]  # a number for each count of trials
-    factor = F.lit(None).cast("double")
-    for n in numbers:
-        factor = F.when(F.col("_most") == n, expected_max_factor(n)).otherwise(factor)
+    level = level.withColumn("_most", most.cast("double"))
+    factor = (1 - EULER_GAMMA) * norm_upper(1 / F.col("_most")) + EULER_GAMMA * norm_upper(1 / (F.col("_most") * math.e))
     null = F.when(F.col("trials") >= 2, F.when(F.coalesce("_dev", F.lit(0.0)) < 1e-15, 0.0).otherwise(F.col("_dev") * factor))
     both = stats.join(level.withColumn("sr_null", null).drop("_dev", "_most"), keys, "left") if keys else stats.withColumn("_k", F.lit(1)).join(F.broadcast(level.withColumn("sr_null", null).withColumn("_k", F.lit(1))), "_k", "left").drop("_k", "_dev", "_most")
     plain = psr_z(both, 0.0).withColumnRenamed("z", "psr_z")

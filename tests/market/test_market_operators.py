@@ -381,6 +381,16 @@ def test_normal_distribution(spark):
     assert norm_ppf(0.975) == pytest.approx(1.959964, abs=1e-5)
 
 
+def test_upper_quantiles(spark):
+    from statistics import NormalDist
+
+    from barloom.functions.normal import norm_upper
+
+    qs = [0.5, 0.49, 0.3, 0.1, 0.02, 1e-3, 1e-6, 1e-9]
+    got = [r[0] for r in spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "i int, q double").orderBy("i").select(norm_upper(F.col("q"))).collect()]
+    assert got == pytest.approx([-NormalDist().inv_cdf(q) for q in qs], abs=1e-10)  # the tail that is inverted has some 11 digits at 6
+
+
 def test_deflation_lowers_confidence(spark):
     rng = np.random.default_rng(4)
     r = spark.createDataFrame([("s", float(x)) for x in rng.normal(0.05, 1, 500)], "k string, ret double")
