@@ -26,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from barloom.llm.parts import parts_of
 from barloom.llm.piece_walk import UNKNOWN_PENALTY, PieceWalk
 from barloom.llm.pieces import SPACE, Pieces, load_pieces
 
 #: Words and chunks that each Python worker keeps at hand, none of them longer than LONG_WORD.
 CACHED_WORDS, CACHED_CHUNKS, LONG_WORD = 200_000, 30_000, 64
+#: Characters of new words that walk the tree at once: their edges take a few hundred bytes for each.
+WALKED = 1 << 16
 
 
 class WordRows:
@@ -56,7 +59,8 @@ class WordRows:
     def columns(self) -> list[np.ndarray]:
         """``score, loss, size, whole, first, ids``: a row for each word, whose ids are ``size`` ones from ``first`` on."""
         for part in self._parts:
-            part[:] = [np.concatenate(part) if part else np.zeros(0, dtype=np.int64)]
+            if len(part) != 1:
+                part[:] = [np.concatenate(part) if part else np.zeros(0, dtype=np.int64)]
         return [part[0] for part in self._parts]
 
 
@@ -68,6 +72,21 @@ class Encoded(NamedTuple):
     best: list[list[tuple[float, list]]]
     back: list[bool]
 
+    def every_ids(self) -> pa.ListArray:
+        """The ids of all N best segmentations of each text, best first."""
+        parts, sizes = [np.zeros(0, dtype=np.int32)], []
+        for lo, hi, best in zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), self.best, strict=True):
+            for _, changes in best:
+                at, size = lo, hi - lo
+                for start, dropped, put in sorted(changes):
+                    parts += (self.ids[at : lo + start], np.array(put, dtype=np.int32))
+                    at, size = lo + start + dropped, size + len(put) - dropped
+                parts.append(self.ids[at:hi])
+                sizes.append(size)
+        flat = pa.array(np.concatenate(parts), pa.int32())
+        each = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, self.best)]), pa.int32()), each)
+
 
 def least_of(values: np.ndarray, n: int) -> list[int]:
     """Where the ``n`` smallest values are, the first of equal ones."""
@@ -85,7 +104,7 @@ class Lattice:
         self.pieces, self.n = pieces, n
         self.walk = PieceWalk(pieces)
         self._first: dict[str, tuple[float, tuple[int, ...], float]] = {}
-        self._nbest: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self._nbest: dict[str, tuple[list[tuple[float, tuple[int, ...]]], bool]] = {}
         self._rows = WordRows()
 
     def _scan(self, chunk: str) -> tuple[list[tuple[int, int, float, int]], list[float], list[int]]:
@@ -204,8 +223,8 @@ class Lattice:
             self._first[chunk] = found
         return found
 
-    def chunk_best(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
-        """Up to N segmentations of a chunk as ``(score, ids)``, best first.
+    def chunk_best(self, chunk: str) -> tuple[list[tuple[float, tuple[int, ...]]], bool]:
+        """Up to N segmentations of a chunk as ``(score, ids)``, best first, and whether all of them decode to it.
 
         The first is the one that ``chunk_viterbi`` gives; other equal scores
         are in the order in which the search meets them. The queue holds no
@@ -241,7 +260,8 @@ class Lattice:
             out.append((-rank, tuple(ids)))
             queue = heapq.nsmallest(self.n - len(out), chain(queue, apart))  # each gives one segmentation; sorted is a heap
         score, first, _ = self.chunk_viterbi(chunk)
-        found = [(score, first), *[x for x in out if x[1] != first]][: self.n]
+        options = [(score, first), *[x for x in out if x[1] != first]][: self.n]
+        found = options, all("".join(decode_pieces(self.pieces, ids)) == chunk for _, ids in options)
         if len(chunk) <= LONG_WORD:
             if len(self._nbest) >= CACHED_CHUNKS:
                 self._nbest.clear()
@@ -258,8 +278,10 @@ class Lattice:
     def _learn(self, words: list[str]) -> None:
         """Give every one of the distinct new ``words`` a row."""
         short = [w for w in words if len(w) <= LONG_WORD]
-        if short:
-            self._rows.add(short, *self.walk.best(short))
+        turn = np.cumsum([len(w) for w in short], dtype=np.int64) // WALKED
+        cuts = np.flatnonzero(np.diff(turn, prepend=-1, append=-1))  # where each turn begins, and the end
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            self._rows.add(short[lo:hi], *self.walk.best(short[lo:hi]))
         long = [w for w in words if len(w) > LONG_WORD]
         if long:
             found = [self._word_best(w) for w in long]
@@ -279,7 +301,7 @@ class Lattice:
         return out
 
     def encode(self, texts: list[str]) -> Encoded:
-        """All ``texts`` at once: ids in a row with their ends, N best segmentations, and whether the ids decode to the text."""
+        """All ``texts`` at once: ids in a row with their ends, N best segmentations, and whether all of them decode to the text."""
         rows = self._rows
         rows.make_room()
         words = [self.pieces.words(t) for t in texts]
@@ -300,9 +322,10 @@ class Lattice:
         for text, of, hi in zip(texts, words, ends.tolist(), strict=True):
             few = least_of(loss[lo:hi], self.n - 1)
             losses = [x for i in few for x in self._losses(of[i], int(after[lo + i] - after[lo]))]
-            best.append(self._combine(float(score[lo:hi].sum()), losses))
+            combined, decoded = self._combine(float(score[lo:hi].sum()), losses)
+            best.append(combined)
             # the words decode, and only U+2581 is lost between them
-            back.append(bool(whole[lo:hi].all()) and SPACE not in text)
+            back.append(bool(whole[lo:hi].all()) and decoded and SPACE not in text)
             lo = hi
         return Encoded(flat, after[np.concatenate(([0], ends))], best, back)
 
@@ -315,11 +338,16 @@ class Lattice:
         found = self.encode([text])
         return found.ids.tolist(), found.best[0]
 
-    def _combine(self, score: float, losses: list[tuple[float, int, str]]) -> list[tuple[float, list]]:
-        """The N best of a text from its best score and the chunks with the least ``losses``; no other chunk is changed by any of them."""
+    def _combine(self, score: float, losses: list[tuple[float, int, str]]) -> tuple[list[tuple[float, list]], bool]:
+        """The N best of a text from its best score and the chunks with the least ``losses``, and whether what those chunks become decodes.
+
+        No other chunk is changed by any of the N best.
+        """
         combined: list[tuple[float, list]] = [(score, [])]
+        decoded = True
         for _, offset, chunk in heapq.nsmallest(self.n - 1, losses):
-            options = self.chunk_best(chunk)
+            options, whole = self.chunk_best(chunk)
+            decoded = decoded and whole
             top, first = options[0]
             grown = [
                 (score - (top - alt), changes if k == 0 else [*changes, (offset, len(first), put)])
@@ -327,7 +355,7 @@ class Lattice:
                 for k, (alt, put) in enumerate(options)
             ]
             combined = heapq.nsmallest(self.n, grown, key=lambda x: -x[0])
-        return combined
+        return combined, decoded
 
     def apply(self, ids: list[int], changes: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
         """The ids of one of the N best segmentations."""
@@ -370,41 +398,33 @@ def load_lattice(model_file: str, n: int) -> Lattice:
     return Lattice(load_pieces(model_file), n)
 
 
-def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in short pieces: ids of a text take several times its own memory."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-ENCODED = "doc_id long, n_tokens int, token_ids array<int>, best_score double, nbest_scores array<double>, nbest_tokens array<int>, round_trip boolean"
+ENCODED = "doc_id long, n_tokens int, token_ids array<int>, best_score double, nbest_scores array<double>, nbest_tokens array<int>, nbest_ids array<array<int>>, round_trip boolean"
 
 
 def encode_documents(docs: DataFrame, model_file: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every whole text as the ids of its best segmentation, with the N best beside it.
 
     Returns ``doc_id``, ``n_tokens``, ``token_ids`` (best segmentation),
-    ``best_score``, ``nbest_scores`` and ``nbest_tokens`` (scores and lengths
-    of the N best, best first; fewer where the text has fewer), and
-    ``round_trip``: decoding gives the text again. The model reads U+2581 as a
-    space, so it is the one character that does not come back. Null and empty
-    texts have no ids and one empty segmentation of score 0. Repeated rows and
-    null ids are kept.
+    ``best_score``, ``nbest_scores``, ``nbest_tokens`` and ``nbest_ids``
+    (scores, lengths and ids of the N best, best first; fewer where the text
+    has fewer), and ``round_trip``: decoding any of them gives the text again.
+    The model reads U+2581 as a space, so it is the one character that does
+    not come back. Null and empty texts have no ids and one empty segmentation
+    of score 0. Repeated rows and null ids are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = load_lattice(model_file, n)
         for batch in parts_of(batches):
             found = lattice.encode([t or "" for t in batch.column(1).to_pylist()])
-            counts = np.diff(found.ends)
-            tops = [[s for s, _ in best] for best in found.best]
-            sizes = [[n + sum(len(put) - dropped for _, dropped, put in c) for _, c in best] for n, best in zip(counts.tolist(), found.best, strict=True)]
+            tops, every = [[s for s, _ in best] for best in found.best], found.every_ids()
+            sizes = pa.ListArray.from_arrays(every.offsets, every.values.value_lengths())
             ids = pa.ListArray.from_arrays(pa.array(found.ends.astype(np.int32)), pa.array(found.ids, pa.int32()))
             arrays = [
-                pa.array(counts, pa.int32()), ids, pa.array([t[0] for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64())),
-                pa.array(sizes, pa.list_(pa.int32())), pa.array(found.back, pa.bool_()),
+                pa.array(np.diff(found.ends), pa.int32()), ids, pa.array([t[0] for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64())),
+                sizes, every, pa.array(found.back, pa.bool_()),
             ]
-            names = ["doc_id", "n_tokens", "token_ids", "best_score", "nbest_scores", "nbest_tokens", "round_trip"]
+            names = ["doc_id", "n_tokens", "token_ids", "best_score", "nbest_scores", "nbest_tokens", "nbest_ids", "round_trip"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ENCODED)
@@ -415,7 +435,7 @@ def nbest_segmentations(docs: DataFrame, model_file: str, n: int = 4, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = load_lattice(model_file, n)
-        for batch in batches:
+        for batch in parts_of(batches):
             for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 ids, best = lattice.best(text or "")
                 rows = [(k, s, lattice.apply(ids, c)) for k, (s, c) in enumerate(best, 1)]
@@ -434,7 +454,7 @@ def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(model_file)
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = [decode_ids(pieces, ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
