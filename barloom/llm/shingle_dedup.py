@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.components import connected_components
+from barloom.llm.parts import parts_of
 from barloom.llm.rows import first_of_groups, keyed_rows, with_keys
 from barloom.llm.scratch import drop, keep, settled
 from barloom.llm.simhash import SEED, close_pairs, print_of, shingle_hashes
@@ -51,7 +52,7 @@ def _sets(words: int, threshold: float | None):
     """``(key, w1, w2, n, fp, sign, part)``: a 128-bit digest, SimHash, signature and prefix of every row's set, or all of the set without ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, rows=1024, size=1 << 21):
             hashes = [shingle_hashes(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             found = [np.unique(h.view("<i8")) for h in hashes]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in found), "<i8").reshape(-1, 2)

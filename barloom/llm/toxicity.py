@@ -19,11 +19,13 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barloom.llm.parts import parts_of
 from barloom.llm.rows import keyed_rows, with_keys
 from barloom.llm.scratch import keep, settled
 
@@ -142,14 +144,13 @@ def features_of(docs: DataFrame, lexicon: dict[str, float], others: list[str]) -
     """``docs`` as the columns ``others`` (doc_id, toxic...) and the array ``x`` of FEATURES."""
     fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in others]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
-        for frame in frames:
-            out = frame[others].copy()
-            out["x"] = [[float(v) for v in reader.features(t or "")] for t in frame["text"]]
-            yield out
+        for batch in parts_of(batches, rows=1024, column="text"):
+            x = [[float(v) for v in reader.features(t or "")] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(x, pa.list_(pa.float64()))], names=[*others, "x"])
 
-    return docs.select(*others, "text").mapInPandas(run, ", ".join([*fields, "x array<double>"]))
+    return docs.select(*others, "text").mapInArrow(run, ", ".join([*fields, "x array<double>"]))
 
 
 class ToxicityModel:
