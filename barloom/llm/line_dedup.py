@@ -28,6 +28,8 @@ COUNTERS = 1 << 14
 #: Pairs of neighbours in a line's prefix, from its end, under which the line
 #: looks for a first similar one, and how many lines such a pair must have.
 HUB_KEYS, HUB_LINES = 5, 32
+#: Rounds in which lines meet under the words of their prefixes, each with its share of the words: what a round shuffles is deleted before the last ones write.
+ROUNDS = 3
 _SPACE = r"[\x20\x09-\x0D]+"
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 _OTHER_SPACE = r"[\x09\x0B-\x0D]"
@@ -145,14 +147,30 @@ def _family_heads(firsts: DataFrame, threshold: float) -> DataFrame:
     return met.select(late.alias("late"), early.alias("early")).distinct()
 
 
-def _candidates(firsts: DataFrame, t: float) -> DataFrame:
-    """``(late, early)`` that pass all filters; lines with ``done`` are no late ones.
+def _prefix_words(firsts: DataFrame, turn: int) -> DataFrame:
+    """The columns of ``firsts`` that a filter needs, with every ``place`` and ``word`` of the prefix that belongs to the round ``turn``."""
+    rows = firsts.select("doc", "line_no", "n", "sig", "sig2", "done", F.posexplode("prefix").alias("place", "word"))
+    return rows.where(F.pmod("word", F.lit(ROUNDS)) == turn)
+
+
+def _all_candidates(firsts: DataFrame, t: float) -> DataFrame:
+    """``(late, early)`` of all rounds, written."""
+    met = [keep(_candidates(_prefix_words(firsts, turn), t)) for turn in range(ROUNDS)]
+    every = met[0]
+    for part in met[1:]:
+        every = every.union(part)
+    pairs = keep(every.distinct())  # a pair can meet in several rounds
+    drop(*met)
+    return pairs
+
+
+def _candidates(rows: DataFrame, t: float) -> DataFrame:
+    """``(late, early)`` that pass all filters, of lines under the words of ``rows``; lines with ``done`` are no late ones.
 
     A pair meets under a word of the larger line's prefix that is in the
     smaller line's shorter one, the first in document order being the larger
     on ties.
     """
-    rows = firsts.select("doc", "line_no", "n", "sig", "sig2", "done", F.posexplode("prefix").alias("place", "word"))
     a = rows.select("word", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line_no", "n", "sig", "sig2", "place", "done")))
     short = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9)
     b = rows.where(F.col("place") <= short).select("word", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line_no", "n", "sig", "sig2", "place", "done")))
@@ -190,7 +208,7 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
 
     at = ["doc", "line_no"]
     marked = firsts.join(sure.withColumn("done", F.lit(True)), at, "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    similar = sure.union(_verify(keep(_candidates(marked, threshold)), docs, threshold))
+    similar = sure.union(_verify(_all_candidates(marked, threshold), docs, threshold))
     gone = similar.withColumn("gone", F.lit(True))
     first_at = firsts.select("k1", "k2", *at).join(gone, at, "left")
     first_at = keep(first_at.select("k1", "k2", F.struct(*at).alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")))
