@@ -15,9 +15,13 @@ Everything on this path is DataFrame work: no Python touches a row.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from barloom.llm.lookup import constant_array
 from barloom.llm.scratch import drop, keep, settled
@@ -32,13 +36,13 @@ HUB_KEYS, HUB_LINES = 5, 32
 ROUNDS = 3
 _SPACE = r"[\x20\x09-\x0D]+"
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
-_OTHER_SPACE = r"[\x09\x0B-\x0D]"
+_OTHER_SPACE = "\x09\x0b\x0c\x0d"
 
 
 def _split(line: Column) -> Column:
-    """Lower-cased words of a line, with empty ones between spaces; one-character splits are the fast ones."""
-    low = F.lower(line)
-    return F.when(line.rlike(_OTHER_SPACE), F.split(low, _SPACE)).otherwise(F.split(low, " "))
+    """Lower-cased words of a line, with empty ones between spaces; one-character splits and searches are the fast ones."""
+    low, other = F.lower(line), functools.reduce(operator.or_, (line.contains(c) for c in _OTHER_SPACE))
+    return F.when(other, F.split(low, _SPACE)).otherwise(F.split(low, " "))
 
 
 def _words(line: Column) -> Column:
@@ -84,34 +88,42 @@ def word_classes(docs: DataFrame) -> list[int]:
     return [min(126, int(2 * math.log2(counts[c]))) if counts.get(c) else 0 for c in range(COUNTERS)]
 
 
+def _middle_class(classes: list[int]) -> int:
+    """The least class below which at least half of all words are, as far as classes tell their number."""
+    weights = sorted((c, 2 ** (c / 2)) for c in classes if c)
+    sums = list(itertools.accumulate(w for _, w in weights))
+    return next((c + 1 for (c, _), w in zip(weights, sums, strict=True) if 2 * w >= sums[-1]), 1)
+
+
 def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
     """``(doc, line_no, k1, k2, n, sig, sig2, prefix)`` of each line.
 
-    ``sig`` and ``sig2`` together have a bit for each residue of the words'
-    hashes modulo 128, set if an odd number of words has it; ``prefix`` holds
-    31-bit hashes of the rarest words. Different words may share a hash: that
-    only adds candidates.
+    ``sig`` has a bit for each residue of the words' hashes modulo 64, set if
+    an odd number of words of the rarer classes has it, ``sig2`` for the
+    others; ``prefix`` holds 31-bit hashes of the rarest words. Different words
+    may share a hash: that only adds candidates.
     """
     # nothing here may be NULL: Spark sorts such arrays as plain numbers
     rank, low = constant_array(classes), F.lit((1 << 56) - 1)
+    border = F.lit(_middle_class(classes) << 56)  # stands between the halves once sorted
     hashes = F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)))
     nothing = F.xxhash64(F.lit(""))
 
     def placed(h: Column) -> Column:
         return F.shiftleft(F.coalesce(F.get(rank, _counter(h)), F.lit(0)), 56).bitwiseOR(h.bitwiseAND(low))
 
-    ordered = F.sort_array(F.transform(F.array_remove(hashes, nothing), placed))
+    ordered = F.sort_array(F.concat(F.transform(F.array_remove(hashes, nothing), placed), F.array(border)))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
 
-    def parity(unit) -> Column:
-        """The bits modulo 64 that an odd number of words has, each word counting as ``unit(hash)`` of 0 or 1."""
-        return F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", unit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+    def parity(words: Column) -> Column:
+        """The bits modulo 64 that an odd number of words has."""
+        return F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
-    either, upper = parity(lambda _: F.lit(1).cast("long")), parity(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1)).cast("long"))
-    prefix = F.transform(F.slice("o", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    rows = lines.withColumn("o", ordered).withColumn("n", F.size("o"))
-    rows = rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", either.alias("either"), upper.alias("sig2"), prefix.alias("prefix"))
-    return rows.select("doc", "line_no", "k1", "k2", "n", F.col("either").bitwiseXOR(F.col("sig2")).alias("sig"), "sig2", "prefix")
+    rows = lines.withColumn("o", ordered).withColumn("n", F.size("o") - 1).withColumn("rare", F.array_position("o", border).cast("int") - 1)
+    rarest = F.slice(F.array_remove("o", border), F.lit(1), length)
+    prefix = F.transform(rarest, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    sig, sig2 = parity(F.slice("o", F.lit(1), F.col("rare"))), parity(F.slice("o", F.col("rare") + 2, F.col("n")))
+    return rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", sig.alias("sig"), sig2.alias("sig2"), prefix.alias("prefix"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -120,42 +132,45 @@ def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line_no").alias("numbers"))
     picked = docs.select("doc", "text").join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("lines"))
     words = picked.select(F.struct("doc", "line_no").alias("at"), _words(F.get("lines", F.col("line_no"))).alias("words"))
-    words = keep(words.dropDuplicates(["at"]))
+    numbers = isinstance(docs.schema["doc"].dataType, LongType)  # ids by themselves are unique, see ``_keyed``
+    words = keep(words if numbers else words.dropDuplicates(["at"]))
     left, right = words.select(F.col("at").alias("late"), F.col("words").alias("a")), words.select(F.col("at").alias("early"), F.col("words").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    alike = common >= F.lit(threshold) * (F.size("a") + F.size("b") - common) - 1e-9
+    # common words >= threshold * all words; the intersection stands here once, as Spark makes it as often as it is named
+    alike = F.size(F.array_intersect("a", "b")) * F.lit(1 + threshold) >= F.lit(threshold) * (F.size("a") + F.size("b")) - 1e-9
     found = keep(pairs.join(left, "late").join(right, "early").where(alike).select("late.doc", "late.line_no").distinct())
     drop(words, pairs)
     return found
 
 
 def _family_heads(firsts: DataFrame, threshold: float) -> DataFrame:
-    """``(late, early)``: each line with the first line that shares a pair of its rare words, where many share it."""
-    tail = F.slice(F.reverse("prefix"), 1, HUB_KEYS + 1)
-    pair = [F.when(F.size("prefix") > i + 1, F.xxhash64(F.get(tail, F.lit(i)), F.get(tail, F.lit(i + 1)))) for i in range(HUB_KEYS)]
-    whole = F.when(F.size("prefix") == 1, F.xxhash64("prefix"))
-    keys = F.filter(F.array(*pair, whole), lambda k: k.isNotNull())
-    keyed = firsts.select(F.explode(keys).alias("key"), "doc", "line_no", "n", "sig")
+    """``(late, early)``, written: each line with the first line that shares a pair of its rare words, where many share it."""
+    size = F.size("prefix")
+    last = [F.get("prefix", size - 1 - i) for i in range(HUB_KEYS + 1)]
+    pair = [F.when(size > i + 1, F.xxhash64(last[i], last[i + 1])) for i in range(HUB_KEYS)]
+    whole = F.when(size == 1, F.xxhash64("prefix"))
+    keyed = firsts.select(F.explode(F.array(*pair, whole)).alias("key"), "doc", "line_no", "n", "sig").where(F.col("key").isNotNull())
     often = keep(keyed.groupBy("key").count().where(F.col("count") >= HUB_LINES).select("key"))
-    among = keyed.join(often, "key", "left_semi")
+    among = keep(keyed.join(often, "key", "left_semi"))
     heads = keep(among.groupBy("key").agg(F.min(F.struct("doc", "line_no", "n", "sig")).alias("head")))
     late, early = F.struct("doc", "line_no"), F.struct("head.doc", "head.line_no")
     small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (small + large) - 1e-9)
     parity = F.bit_count(F.col("sig").bitwiseXOR(F.col("head.sig"))) <= small + large - 2 * need
     met = among.join(heads, "key").where((late > early) & (small >= F.lit(threshold) * large - 1e-9) & parity)
-    return met.select(late.alias("late"), early.alias("early")).distinct()
+    pairs = keep(met.select(late.alias("late"), early.alias("early")).distinct())
+    drop(often, among, heads)
+    return pairs
 
 
-def _prefix_words(firsts: DataFrame, turn: int) -> DataFrame:
+def _prefix_words(firsts: DataFrame, turn: int, prefix: Column | str = "prefix") -> DataFrame:
     """The columns of ``firsts`` that a filter needs, with every ``place`` and ``word`` of the prefix that belongs to the round ``turn``."""
-    rows = firsts.select("doc", "line_no", "n", "sig", "sig2", "done", F.posexplode("prefix").alias("place", "word"))
+    rows = firsts.select("doc", "line_no", "n", "sig", "sig2", "done", F.posexplode(prefix).alias("place", "word"))
     return rows.where(F.pmod("word", F.lit(ROUNDS)) == turn)
 
 
 def _all_candidates(firsts: DataFrame, t: float) -> DataFrame:
     """``(late, early)`` of all rounds, written."""
-    met = [keep(_candidates(_prefix_words(firsts, turn), t)) for turn in range(ROUNDS)]
+    met = [keep(_candidates(firsts, turn, t)) for turn in range(ROUNDS)]
     every = met[0]
     for part in met[1:]:
         every = every.union(part)
@@ -164,17 +179,41 @@ def _all_candidates(firsts: DataFrame, t: float) -> DataFrame:
     return pairs
 
 
-def _candidates(rows: DataFrame, t: float) -> DataFrame:
-    """``(late, early)`` that pass all filters, of lines under the words of ``rows``; lines with ``done`` are no late ones.
+def _half_octave(n: Column) -> Column:
+    """Twice the binary logarithm of a number of words, rounded down; it never falls as the number grows."""
+    return F.floor(F.lit(2) * F.log2(n))
+
+
+def _sides(firsts: DataFrame, turn: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """The larger and the smaller lines of pairs in the round ``turn``, columns ``a_`` and ``b_``, that meet under ``key``.
+
+    A key is a word and the half octave of the larger line's number of words.
+    The smaller line is under every half octave that a similar larger one can
+    have, so lines of far sizes do not meet.
+    """
+    columns = ("doc", "line_no", "n", "sig", "sig2", "place", "done")
+
+    def under(band: Column) -> Column:
+        return (F.col("word").cast("long") * 64 + band).alias("key")
+
+    n = F.col("n")
+    a = _prefix_words(firsts, turn).select(under(_half_octave(n)), *(F.col(c).alias(f"a_{c}") for c in columns))
+    short = n - F.ceil(F.lit(2 * t / (1 + t)) * n - 1e-9).cast("int") + 1
+    b = _prefix_words(firsts, turn, F.slice("prefix", F.lit(1), short))
+    b = b.withColumn("band", F.explode(F.sequence(_half_octave(n), _half_octave(n / F.lit(t) + 1e-6))))
+    return a, b.select(under(F.col("band")), *(F.col(c).alias(f"b_{c}") for c in columns))
+
+
+def _candidates(firsts: DataFrame, turn: int, t: float) -> DataFrame:
+    """``(late, early)`` that pass all filters, of lines under the words of the round ``turn``; lines with ``done`` are no late ones.
 
     A pair meets under a word of the larger line's prefix that is in the
     smaller line's shorter one, the first in document order being the larger
     on ties.
     """
-    a = rows.select("word", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line_no", "n", "sig", "sig2", "place", "done")))
-    short = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9)
-    b = rows.where(F.col("place") <= short).select("word", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line_no", "n", "sig", "sig2", "place", "done")))
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    a, b = _sides(firsts, turn, t)
+    # whole numbers of words in common reach this bound as they reach the next whole number
+    need = F.lit(t / (1 + t)) * (F.col("a_n") + F.col("b_n")) - 1e-9
     sooner = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line_no") < F.col("b_line_no")))
     larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & sooner)
     room = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= need
@@ -183,7 +222,7 @@ def _candidates(rows: DataFrame, t: float) -> DataFrame:
     different = (F.col("a_doc") != F.col("b_doc")) | (F.col("a_line_no") != F.col("b_line_no"))
     odd = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) + F.bit_count(F.col("a_sig2").bitwiseXOR(F.col("b_sig2")))
     parity = odd <= F.col("a_n") + F.col("b_n") - 2 * need
-    met = a.join(b, "word").where(larger & different & near & room & parity & open_)
+    met = a.join(b, "key").where(near & room & parity & larger & different & open_)
     one, two = F.struct(F.col("a_doc").alias("doc"), F.col("a_line_no").alias("line_no")), F.struct(F.col("b_doc").alias("doc"), F.col("b_line_no").alias("line_no"))
     return met.select(F.greatest(one, two).alias("late"), F.least(one, two).alias("early")).distinct()
 
@@ -200,11 +239,11 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     next looks at the family's first; only lines that remain meet all others.
     """
     lines = _lines(docs)
-    every = keep(lines.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")))
+    every = lines.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
     sets = _sets(lines, word_classes(docs), threshold)
     firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "sig2", "prefix")).alias("s"))
     firsts = keep(firsts.select("k1", "k2", "s.*"))
-    sure = _verify(keep(_family_heads(firsts, threshold)), docs, threshold)
+    sure = _verify(_family_heads(firsts, threshold), docs, threshold)
 
     at = ["doc", "line_no"]
     marked = firsts.join(sure.withColumn("done", F.lit(True)), at, "left").withColumn("done", F.coalesce("done", F.lit(False)))
@@ -241,9 +280,8 @@ def line_report(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     keyed = _keyed(docs, id_col, text_col, [id_col])
     lists = settled(lambda: _removed(keyed, threshold).groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
     sizes = keyed.select(
-        F.col("row").getField(id_col).cast("long").alias("doc_id"), "doc", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
+        F.col("row").getField(id_col).cast("long").alias("doc_id"), "doc", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"),
     )
-    sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     joined = sizes.join(lists, "doc", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
