@@ -27,8 +27,9 @@ from barloom.llm.lookup import constant_array
 from barloom.llm.scratch import drop, keep, settled
 
 #: Counters of word frequency. They fix the order of words, which affects
-#: speed and never the result, so a word may share its counter with others.
-COUNTERS = 1 << 14
+#: speed and never the result, so a word may share its counter with others. As
+#: many as these leave most rare words apart from the frequent ones.
+COUNTERS = 1 << 16
 #: Pairs of neighbours in a line's prefix, from its end, under which the line
 #: looks for a first similar one, and how many lines such a pair must have.
 HUB_KEYS, HUB_LINES = 5, 32
@@ -106,32 +107,40 @@ def _sets(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
     # nothing here may be NULL: Spark sorts such arrays as plain numbers
     rank, low = constant_array(classes), F.lit((1 << 56) - 1)
     border = F.lit(_middle_class(classes) << 56)  # stands between the halves once sorted
-    hashes = F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)))
-    nothing = F.xxhash64(F.lit(""))
 
     def placed(h: Column) -> Column:
         return F.shiftleft(F.coalesce(F.get(rank, _counter(h)), F.lit(0)), 56).bitwiseOR(h.bitwiseAND(low))
 
-    ordered = F.sort_array(F.concat(F.transform(F.array_remove(hashes, nothing), placed), F.array(border)))
-    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-
-    def parity(words: Column) -> Column:
+    def parity(words: str) -> Column:
         """The bits modulo 64 that an odd number of words has."""
         return F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
-    rows = lines.withColumn("o", ordered).withColumn("n", F.size("o") - 1).withColumn("rare", F.array_position("o", border).cast("int") - 1)
-    rarest = F.slice(F.array_remove("o", border), F.lit(1), length)
-    prefix = F.transform(rarest, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    sig, sig2 = parity(F.slice("o", F.lit(1), F.col("rare"))), parity(F.slice("o", F.col("rare") + 2, F.col("n")))
-    return rows.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "n", sig.alias("sig"), sig2.alias("sig2"), prefix.alias("prefix"))
+    # Functions with a lambda box what they read unless it is a column, and a column that the next step names once is
+    # no column any more: each array below is named twice, so that only the lambdas themselves are not compiled.
+    at = ["doc", "line_no", "k1", "k2"]
+    hashes = F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)))
+    rows = lines.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("h"))
+    rows = rows.select(*at, F.size("h").alias("n"), F.sort_array(F.concat(F.transform("h", placed), F.array(border))).alias("o"))
+    rows = rows.select(*at, "n", "o", F.array_position("o", border).cast("int").alias("half"))
+    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
+    halves = F.slice("o", F.lit(1), F.col("half") - 1).alias("rare"), F.slice("o", F.col("half") + 1, F.col("n")).alias("common")
+    rows = rows.select(*at, *halves, F.slice(F.array_remove("o", border), F.lit(1), length).alias("first"))
+    prefix = F.when(F.size("first") > 0, F.transform("first", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+    n = F.size("rare") + F.size("common")
+    return rows.select(*at, n.alias("n"), parity("rare").alias("sig"), parity("common").alias("sig2"), prefix.alias("prefix"))
+
 
+def _verify(pairs: DataFrame, docs: DataFrame, threshold: float, many: bool = True) -> DataFrame:
+    """The ``(doc, line_no)`` of the written ``pairs(late, early)`` that are similar, judged on the words; the pairs are deleted.
 
-def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The ``(doc, line_no)`` of the written ``pairs(late, early)`` that are similar, judged on the words; the pairs are deleted."""
+    If they are ``many``, texts meet a hash table of line numbers and are not sorted; few can be broadcast.
+    """
     ends = pairs.select(F.col("late").alias("at")).union(pairs.select("early")).distinct()
     wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line_no").alias("numbers"))
-    picked = docs.select("doc", "text").join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("lines"))
-    words = picked.select(F.struct("doc", "line_no").alias("at"), _words(F.get("lines", F.col("line_no"))).alias("words"))
+    found = docs.select("doc", "text").join(wanted.hint("shuffle_hash") if many else wanted, "doc").select("doc", "numbers", F.split("text", "\n").alias("lines"))
+    # ``lines`` is named twice, so that a text is split once and not for each of its numbers
+    picked = F.when(F.size("lines") > 0, F.transform("numbers", lambda k: F.struct(k.alias("line_no"), F.get("lines", k).alias("line"))))
+    words = found.select("doc", F.inline(picked)).select(F.struct("doc", "line_no").alias("at"), _words(F.col("line")).alias("words"))
     numbers = isinstance(docs.schema["doc"].dataType, LongType)  # ids by themselves are unique, see ``_keyed``
     words = keep(words if numbers else words.dropDuplicates(["at"]))
     left, right = words.select(F.col("at").alias("late"), F.col("words").alias("a")), words.select(F.col("at").alias("early"), F.col("words").alias("b"))
@@ -241,18 +250,19 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     lines = _lines(docs)
     every = lines.select("doc", "line_no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
     sets = _sets(lines, word_classes(docs), threshold)
-    firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "sig2", "prefix")).alias("s"))
-    firsts = keep(firsts.select("k1", "k2", "s.*"))
-    sure = _verify(_family_heads(firsts, threshold), docs, threshold)
+    firsts = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", "sig", "sig2", "prefix")).alias("s"), F.count("*").alias("copies"))
+    firsts = keep(firsts.select("k1", "k2", "s.*", "copies"))
+    sure = _verify(_family_heads(firsts, threshold), docs, threshold, many=False)
 
     at = ["doc", "line_no"]
     marked = firsts.join(sure.withColumn("done", F.lit(True)), at, "left").withColumn("done", F.coalesce("done", F.lit(False)))
     similar = sure.union(_verify(_all_candidates(marked, threshold), docs, threshold))
     gone = similar.withColumn("gone", F.lit(True))
-    first_at = firsts.select("k1", "k2", *at).join(gone, at, "left")
-    first_at = keep(first_at.select("k1", "k2", F.struct(*at).alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")))
+    first_at = firsts.select("k1", "k2", *at, "copies").join(gone, at, "left")
+    first_at = first_at.select("k1", "k2", F.struct(*at).alias("at"), F.coalesce("gone", F.lit(False)).alias("gone"), "copies")
+    first_at = keep(first_at.where(F.col("gone") | (F.col("copies") > 1)).drop("copies"))  # a single line that stays has nothing to tell
     drop(firsts)
-    out = every.join(first_at, ["k1", "k2"]).where(F.col("gone") | (F.struct(*at) > F.col("at")))
+    out = every.join(first_at.hint("shuffle_hash"), ["k1", "k2"]).where(F.col("gone") | (F.struct(*at) > F.col("at")))
     return out.select(*at).distinct()
 
 
