@@ -23,7 +23,7 @@ class Pieces:
     """Pieces with their ids and scores, prepared for scans over text."""
 
     def __init__(self, model_file: str) -> None:
-        self.processor = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         probe = "A  Àﬁ ① x"
         if sp.decode(sp.encode(probe)) != probe:
             raise ValueError("the model normalises text; only models that keep it are handled")

@@ -1,7 +1,8 @@
 """From raw documents to token ids, in five stages.
 
 ``run(spark, sf_dir)`` applies the stages in turn; each writes its result as
-Parquet to the shared folder, and the next one reads it back.
+Parquet to the shared folder, and the next one reads it back. Stages that send
+texts to Python send them in short batches, a setting that the session keeps.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.llm.line_dedup import dedup_lines
 from barloom.llm.mixing import mixed_documents
+from barloom.llm.parts import send_short
 from barloom.llm.queries import piece_model, read
 from barloom.llm.scratch import keep
 from barloom.llm.sentencepiece_codec import encode_documents
@@ -24,6 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are judged one by one. Without labels of both kinds the share of toxic
     labels is every score. An empty table stays empty.
     """
+    send_short(spark)
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
@@ -44,6 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shingle; null, empty and wordless texts are near duplicates of each other.
     Equal rows are one group. An empty table stays empty.
     """
+    send_short(spark)
     return keep_first_of_similar(docs, words=5, threshold=0.8)
 
 
@@ -64,6 +68,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; rows without an id and repeated rows are
     kept as they are. An empty table stays empty.
     """
+    send_short(spark)
     return encode_documents(docs, piece_model(), n=4)
 
 
