@@ -99,7 +99,8 @@ def close_pairs(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     cells = prints.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
     left, right = cells.withColumnRenamed("fp", "a"), cells.withColumnRenamed("fp", "b")
     near = F.expr(f"a < b and bit_count(a ^ b) <= {max_bits}")
-    return left.join(right, "cell").where(near).select("a", "b").distinct()
+    # Spark sizes the cells as the prints before the explode, with a 33rd of their rows, and would broadcast them: they are shuffled at every size
+    return left.join(right.hint("merge"), "cell").where(near).select("a", "b").distinct()
 
 
 def near_duplicates(
