@@ -1,6 +1,9 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles.
 
-A document is the set of the 64-bit hashes of its shingles, ordered by hash.
+A document is the set of the 64-bit hashes of its shingles, written once.
+Elements are ordered from rare to frequent, as far as tasks have seen them
+repeat, and by hash among themselves; any order that all sets share is right,
+and this one keeps passages that many documents share out of the prefixes.
 Two sets of similarity t or more share an element among the first
 n - ceil(t * n) + 1 of both (prefix filter), whose places leave room for
 enough common elements (positional filter), and their sizes differ by at most
@@ -20,6 +23,7 @@ pairs.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.components import connected_components
 from barloom.llm.parts import parts_of
-from barloom.llm.rows import first_of_groups, keyed_rows, with_keys
+from barloom.llm.rows import MOST_SENT, first_of_groups, keyed_rows, with_keys
 from barloom.llm.scratch import drop, keep, settled
 from barloom.llm.simhash import SEED, close_pairs, print_of, shingle_hashes
 
@@ -48,35 +52,98 @@ def parity_sign(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd, bitorder="little").view("<i8").tolist()
 
 
-def _sets(words: int, threshold: float | None):
-    """``(key, w1, w2, n, fp, sign, part)``: a 128-bit digest, SimHash, signature and prefix of every row's set, or all of the set without ``threshold``."""
+_SCHEMA = "key long, w1 long, w2 long, n int, fp long, sign array<long>, part array<long>, first int"
+_NAMES = [field.split()[0] for field in _SCHEMA.split(", ")]
+#: Elements among which a task looks for repeated ones at a time, and how many are ordered by how often they repeat, at most: the most frequent. Both affect speed and never the result.
+BLOCK, MOST_RANKED = 1 << 19, 1 << 18
+
+
+def _repeated(found: list[np.ndarray]) -> pa.RecordBatch:
+    """The elements that several sets have as rows without a key: ``w1`` is the element and ``n`` the number of sets."""
+    every = np.concatenate(found)
+    every.sort()
+    values, again = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+    none = [pa.nulls(len(values), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())]
+    return pa.RecordBatch.from_arrays([none[0], pa.array(values), none[1], pa.array(again + 1, pa.int32()), *none[2:]], names=_NAMES)
+
+
+def _sets(words: int, threshold: float):
+    """``(key, w1, w2, n, fp, sign, part, first)``: a 128-bit digest, SimHash, signature, whole set and length of the prefix of every row, and rows of ``_repeated``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in parts_of(batches, rows=1024, size=1 << 21):
             hashes = [shingle_hashes(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             found = [np.unique(h.view("<i8")) for h in hashes]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in found), "<i8").reshape(-1, 2)
-            parts = found if threshold is None else [s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1] for s in found]
-            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            part = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+            part = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)))
+            first = [min(len(s), len(s) - math.ceil(threshold * len(s) - 1e-9) + 1) for s in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)), pa.array([len(s) for s in found], pa.int32()), pa.array([print_of(h) for h in hashes], pa.int64()), pa.array([parity_sign(s) for s in found], pa.list_(pa.int64())), part],
-                names=["key", "w1", "w2", "n", "fp", "sign", "part"],
+                [batch.column(0), *(pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)), pa.array([len(s) for s in found], pa.int32()), pa.array([print_of(h) for h in hashes], pa.int64()), pa.array([parity_sign(s) for s in found], pa.list_(pa.int64())), part, pa.array(first, pa.int32())],
+                names=_NAMES,
             )
+            held += found
+            if sum(map(len, held)) >= BLOCK:
+                yield from _filled(held)
+                held = []
+        if held:
+            yield from _filled(held)
 
     return run
 
 
-#: Rounds of meeting one node of each key before all nodes that are left meet.
-ROUNDS = 6
-_SCHEMA = "key long, w1 long, w2 long, n int, fp long, sign array<long>, part array<long>"
+def _filled(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    batch = _repeated(found)
+    if batch.num_rows:
+        yield batch
+
+
+def _ranked(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of ``repeated(w1, n)``, ascending, and the rank of each, twice the binary logarithm of its number: those of the highest ranks, MOST_RANKED at most."""
+    counted = keep(repeated.groupBy("w1").agg(F.sum("n").alias("n")).select("w1", F.least(F.floor(F.lit(2) * F.log2("n")), F.lit(126)).cast("long").alias("rank")))
+    least, total = 127, 0
+    for rank, n in sorted(((r["rank"], r["count"]) for r in counted.groupBy("rank").count().collect()), reverse=True):
+        total += n
+        if total > MOST_RANKED:
+            break
+        least = rank
+    table = counted.where(F.col("rank") >= least).toArrow()
+    values, ranks = (table.column(c).to_numpy() for c in ("w1", "rank"))
+    drop(counted)
+    order = np.argsort(values)
+    return values[order], ranks[order]
+
 
+def _prefixes(values: np.ndarray, ranks: np.ndarray):
+    """``(node, n, part)`` of sets ``(key, part, first)``: the first elements by rank, without one before all others, and hash.
 
-def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes that are similar, judged on the whole sets."""
+    An element of a prefix is its rank and 56 bits of its hash. Different ones that this makes equal only add pairs to verify.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches, rows=4096, size=1 << 18, column="part"):
+            sizes, first = (batch.column(1).value_lengths().to_numpy(), batch.column(2).to_numpy())
+            ends, flat = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), batch.column(1).flatten().to_numpy()
+            placed = (flat.view("<u8") >> np.uint64(8)).view("<i8")
+            if len(values):
+                at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+                placed |= np.where(values[at] == flat, ranks[at], 0) << 56
+            for a, b in itertools.pairwise(ends.tolist()):
+                placed[a:b].sort()
+            inside = np.arange(len(flat)) - np.repeat(ends[:-1], sizes) < np.repeat(first, sizes)
+            part = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(first))).astype(np.int32)), pa.array(placed[inside]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), part], names=["node", "n", "part"])
+
+    return run
+
+
+#: Rounds of meeting one node of each key before all nodes that are left meet.
+ROUNDS = 6
+def _alike(pairs: DataFrame, written: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes that are similar, judged on the whole sets of ``written(key, part)``."""
     pairs = keep(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().select(F.col("node").alias("key"))
-    sets = keep(with_keys(rows, keep(wanted)).mapInArrow(_sets(words, None), _SCHEMA).select(F.col("key").alias("node"), "part"))
+    sets = keep(with_keys(written, keep(wanted)).select(F.col("key").alias("node"), "part"))
     left, right = sets.select(F.col("node").alias("a"), F.col("part").alias("x")), sets.select(F.col("node").alias("b"), F.col("part").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similar = common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9
@@ -101,21 +168,29 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
     linked, wordless texts with each other; ``component`` is the smallest key
     that links reach.
     """
-    prints = keep(rows.select("key", "text").mapInArrow(_sets(words, threshold), _SCHEMA))
+    every = keep(rows.select("key", "text").mapInArrow(_sets(words, threshold), _SCHEMA))
+    prints = every.where("key is not null")
+    sets = prints.select("key", "part")
     # equal sets, by 128 bits of digest, are one node under the smallest of their keys
-    nodes = keep(prints.groupBy("w1", "w2").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sign").alias("sign"), F.first("part").alias("part")))
+    nodes = keep(prints.groupBy("w1", "w2").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sign").alias("sign")))
     members = keep(prints.select("key", "w1", "w2").join(nodes.select("w1", "w2", "node"), ["w1", "w2"]).select("key", "node"))
-    drop(prints)
-    links = _alike(_simhash_pairs(nodes), nodes, rows, words, threshold)
+    links = _alike(_simhash_pairs(nodes), sets, threshold)
     groups = connected_components(links)
 
-    keyed = nodes.select("node", F.explode("part").alias("key"))
+    ranked = _ranked(every.where("key is null").select("w1", "n"))
+    heads = keep(nodes.select(F.col("node").alias("key")))
+    # sets are long: where nodes are too many to be sent, all rows get a prefix and the short prefixes move
+    few = heads.count() <= MOST_SENT
+    ordered = prints.select("key", "part", "first")
+    ordered = (ordered.join(F.broadcast(heads), "key", "left_semi") if few else ordered).mapInArrow(_prefixes(*ranked), "node long, n int, part array<long>")
+    parts = keep(ordered if few else ordered.join(heads.withColumnRenamed("key", "node"), "node", "left_semi"))
+    keyed = parts.select("node", F.explode("part").alias("key"))
     # most shingles are in one document; what is dealt out for them is as slim as can be
     shared = keep(keyed.groupBy("key").count().where("count > 1").select("key"))
     held = keep(keyed.join(shared, "key"))
     drop(shared)
     place = (F.array_position("part", F.col("key")) - 1).cast("int").alias("place")
-    met = keep(held.join(nodes, "node").select("key", "node", "n", place, (F.col("n") - F.size("part")).alias("rest"), F.element_at("part", -1).alias("last")))
+    met = keep(held.join(parts, "node").select("key", "node", "n", place, (F.col("n") - F.size("part")).alias("rest"), F.element_at("part", -1).alias("last")))
     drop(held)
 
     def fits(n1: str, p1: str, n2: str, p2: str):
@@ -136,7 +211,7 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
         draw = F.xxhash64(F.lit(turn), "node")
         heads = placed.groupBy("key").agg(*(F.min_by(c, draw).alias(f"head_{c}") for c in ("node", "n", "place", "group")))
         first = placed.join(heads, "key").where((F.col("group") != F.col("head_group")) & fits("n", "place", "head_n", "head_place"))
-        fresh = _alike(first.select(F.col("head_node").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows, words, threshold)
+        fresh = _alike(first.select(F.col("head_node").alias("a"), F.col("node").alias("b")).distinct(), sets, threshold)
         if fresh.isEmpty() and turn:
             break
         drop(written)
@@ -151,11 +226,14 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
     close = apart <= small + large - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * (small + large) - 1e-9)
     met_across = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & (small >= F.lit(threshold) * large - 1e-9) & close)
     # the prefix that ends first is whole below the other's end: beyond the shared elements only its set's rest is open
-    room = F.min(F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))) + F.count("*")
+    rest = F.when(F.col("last_a") < F.col("last_b"), F.col("rest_a")).when(F.col("last_a") > F.col("last_b"), F.col("rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
+    room = F.min(rest) + F.count("*")
     need = F.min(F.ceil(F.lit(threshold / (1 + threshold)) * (small + large) - 1e-9))
     counted = met_across.groupBy("node_a", "node_b").agg(room.alias("room"), need.alias("need")).where("room >= need")
     across = counted.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    groups = connected_components(links.union(_alike(across, nodes, rows, words, threshold)))
+    links = links.union(_alike(across, sets, threshold))
+    drop(every)
+    groups = connected_components(links)
 
     return members.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
 
