@@ -147,7 +147,8 @@ def _alike(pairs: DataFrame, written: DataFrame, threshold: float) -> DataFrame:
     left, right = sets.select(F.col("node").alias("a"), F.col("part").alias("x")), sets.select(F.col("node").alias("b"), F.col("part").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similar = common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9
-    links = keep(pairs.join(left, "a").join(right, "b").where(similar).select("a", "b"))
+    # pairs and elements of prefixes are many times as large in memory as the files by which Spark sizes them: none is broadcast
+    links = keep(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(similar).select("a", "b"))
     drop(sets, pairs)
     return links
 
@@ -190,7 +191,7 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
     held = keep(keyed.join(shared, "key"))
     drop(shared)
     place = (F.array_position("part", F.col("key")) - 1).cast("int").alias("place")
-    met = keep(held.join(parts, "node").select("key", "node", "n", place, (F.col("n") - F.size("part")).alias("rest"), F.element_at("part", -1).alias("last")))
+    met = keep(held.join(parts.hint("merge"), "node").select("key", "node", "n", place, (F.col("n") - F.size("part")).alias("rest"), F.element_at("part", -1).alias("last")))
     drop(held)
 
     def fits(n1: str, p1: str, n2: str, p2: str):
@@ -218,7 +219,7 @@ def similar_groups(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> D
         links = keep(links.union(fresh))
         groups = connected_components(links)
 
-    placed = keep(placed.join(nodes.select("node", *(F.get("sign", F.lit(i)).alias(f"s{i}") for i in range(SIGN))), "node"))
+    placed = keep(placed.join(nodes.select("node", *(F.get("sign", F.lit(i)).alias(f"s{i}") for i in range(SIGN))).hint("merge"), "node"))
     fields = ("node", "n", "rest", "last", "group", *(f"s{i}" for i in range(SIGN)))
     a, b = (placed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in fields)) for side in "ab")
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
